@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .media_ogg import store_and_read
 from .packing import pack
+from .sentencepiece_bpe import encode_decode
 
 
 def tokenizer_file(name: str) -> str:
@@ -20,8 +22,18 @@ def op3_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"), digest=True)
+
+
+def op8_media_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_and_read(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bounded_space_packing": op3_bounded_space_packing,
+    "op7_sentencepiece": op7_sentencepiece,
+    "op8_media_ogg": op8_media_ogg,
 }
 
 ORACLES: dict[str, str] = {}
