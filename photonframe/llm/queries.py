@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import documents
 from .media_ogg import store_and_read
 from .packing import pack
 from .sentencepiece_bpe import encode_decode
+from .sharding import digest_rows, shuffle_into_shards
 
 
 def tokenizer_file(name: str) -> str:
@@ -30,10 +32,16 @@ def op8_media_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_read(documents(spark, sf_dir))
 
 
+def op9_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shuffle_into_shards(digest_rows(documents(spark, sf_dir)), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bounded_space_packing": op3_bounded_space_packing,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_media_ogg": op8_media_ogg,
+    "op9_hypergeometric_sharding": op9_hypergeometric_sharding,
 }
 
 ORACLES: dict[str, str] = {}
