@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import documents
 from .media_ogg import store_and_read
 from .packing import pack
+from .quality_rules import quality
 from .sentencepiece_bpe import encode_decode
 from .sharding import digest_rows, shuffle_into_shards
 
@@ -37,11 +38,17 @@ def op9_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "log_ppl", "lower_band", "upper_band")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bounded_space_packing": op3_bounded_space_packing,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_media_ogg": op8_media_ogg,
     "op9_hypergeometric_sharding": op9_hypergeometric_sharding,
+    "op10_quality_perplexity": op10_quality_perplexity,
 }
 
 ORACLES: dict[str, str] = {}
