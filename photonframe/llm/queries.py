@@ -11,6 +11,7 @@ from .common import documents
 from .media_ogg import store_and_read
 from .packing import pack
 from .quality_rules import quality
+from .secret_scan import scan
 from .sentencepiece_bpe import encode_decode
 from .sharding import digest_rows, shuffle_into_shards
 
@@ -25,6 +26,10 @@ def op3_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
 
+def op5_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(documents(spark, sf_dir))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"), digest=True)
 
@@ -45,6 +50,7 @@ def op10_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bounded_space_packing": op3_bounded_space_packing,
+    "op5_linked_secrets": op5_linked_secrets,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_media_ogg": op8_media_ogg,
     "op9_hypergeometric_sharding": op9_hypergeometric_sharding,
