@@ -13,6 +13,7 @@ from .packing import pack
 from .quality_rules import quality
 from .secret_scan import scan
 from .sentencepiece_bpe import encode_decode
+from .simhash import near_duplicates
 from .sharding import digest_rows, shuffle_into_shards
 
 
@@ -26,6 +27,10 @@ def op3_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
 
+def op4_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op5_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir))
 
@@ -50,6 +55,7 @@ def op10_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bounded_space_packing": op3_bounded_space_packing,
+    "op4_simhash_pivots": op4_simhash_pivots,
     "op5_linked_secrets": op5_linked_secrets,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_media_ogg": op8_media_ogg,
