@@ -15,6 +15,7 @@ from .secret_scan import scan
 from .sentencepiece_bpe import encode_decode
 from .simhash import near_duplicates
 from .sharding import digest_rows, shuffle_into_shards
+from .substring_dedup import dedup
 
 
 def tokenizer_file(name: str) -> str:
@@ -35,6 +36,10 @@ def op5_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup(documents(spark, sf_dir))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"), digest=True)
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bounded_space_packing": op3_bounded_space_packing,
     "op4_simhash_pivots": op4_simhash_pivots,
     "op5_linked_secrets": op5_linked_secrets,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_media_ogg": op8_media_ogg,
     "op9_hypergeometric_sharding": op9_hypergeometric_sharding,
