@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, materialize
+from . import license_scan, merkle
 from .media_ogg import store_and_read
 from .packing import pack
 from .quality_rules import quality
@@ -24,6 +25,27 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: The audited replica: one record in 97 is altered, one in 211 is lost.
+ALTERED, LOST = "page_id % 97 = 13", "page_id % 211 = 5"
+ARCHIVE_RECORDS = 512
+
+
+def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits an altered replica of pages, 512 records to an archive, against the original."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    altered = F.when(F.expr(ALTERED), F.concat("html", F.lit("!"))).otherwise(F.col("html"))
+    key = F.struct("page_id", F.expr(LOST).alias("lost"), F.sha2(altered, 256).alias("altered"))
+    first = merkle.records(pages, F.expr(f"page_id div {ARCHIVE_RECORDS}"), key, F.col("html"))
+    first = materialize(first, "records")
+    second = first.where("not key.lost").withColumn("digest", F.col("key.altered"))
+    return merkle.report(first, second)
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files /source/lang/doc_id."""
+    return license_scan.scan(documents(spark, sf_dir), F.concat_ws("/", "source", "lang", "doc_id"))
+
+
 def op3_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
@@ -59,6 +81,8 @@ def op10_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_merkle_fixity": op1_merkle_fixity,
+    "op2_license_scan": op2_license_scan,
     "op3_bounded_space_packing": op3_bounded_space_packing,
     "op4_simhash_pivots": op4_simhash_pivots,
     "op5_linked_secrets": op5_linked_secrets,
@@ -69,4 +93,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_perplexity": op10_quality_perplexity,
 }
 
-ORACLES: dict[str, str] = {}
+#: Four levels reach 65,536 records; as many as the longest archive needs count.
+_OP1_SQL = f"""
+with leaf as (
+  select page_id // {ARCHIVE_RECORDS} as archive, row_number() over w - 1 as idx,
+    cast(sum(strlen(html)) over (w rows unbounded preceding) - strlen(html) as bigint) as off, cast(strlen(html) as bigint) as len,
+    sha256(html) as da, case when {ALTERED} then sha256(html || '!') else sha256(html) end as db, {LOST} as lost
+  from pages window w as (partition by page_id // {ARCHIVE_RECORDS} order by page_id)),
+h0 as (select archive, idx, sha256(off || ':' || len || ':' || da) as a, case when not lost then sha256(off || ':' || len || ':' || db) end as b from leaf),
+h1 as (select archive, idx // 16 as idx, sha256(string_agg(a, '' order by idx)) as a, sha256(string_agg(b, '' order by idx)) as b from h0 group by 1, 2),
+h2 as (select archive, idx // 16 as idx, sha256(string_agg(a, '' order by idx)) as a, sha256(string_agg(b, '' order by idx)) as b from h1 group by 1, 2),
+h3 as (select archive, idx // 16 as idx, sha256(string_agg(a, '' order by idx)) as a, sha256(string_agg(b, '' order by idx)) as b from h2 group by 1, 2),
+n as (select max(idx) + 1 as n from leaf),
+root as (
+  select archive, a, b from h0, n where n = 1
+  union all select archive, a, b from h1, n where n between 2 and 16
+  union all select archive, a, b from h2, n where n between 17 and 256
+  union all select archive, a, b from h3, n where n between 257 and 4096),
+bad as (
+  select archive, count(*) as n, string_agg(idx || ':' || case when lost then 'missing' else 'corrupt' end || ':' || off || ':' || len, ',' order by idx) as t
+  from leaf where lost or da <> db group by 1)
+select archive, a as root_a, b as root_b, a = b as intact, coalesce(n, 0) as n_faults, coalesce(t, '') as faults
+from root left join bad using (archive)
+"""
+
+ORACLES: dict[str, str] = {"op1_merkle_fixity": _OP1_SQL}
