@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,3 +45,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def words_of(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text, as UTF-8."""
     return (text or "").encode("utf-8", "surrogatepass").split()
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished jobs: it does so when the driver collects
+    what refers to them, which may otherwise come late."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -49,11 +49,13 @@ def _lengths(text: Column, pattern: str, group: int) -> Column:
     return F.when(text.rlike(pattern), found)
 
 
-def parts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(row, doc_id) of all rows, and their parts (row, kind, class, weak, start, end)."""
+def parts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, hit) of all rows, with ``whole`` also doc, a struct of all columns; and
+    their parts (row, kind, class, weak, start, end). hit: some pattern matches."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), text.alias("text"))
-    found = materialize(source.select("row", "doc_id", *(_lengths(F.col("text"), pattern, group).alias(kind) for kind, _, _, pattern, group, _ in KINDS)), "matches")
+    doc = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")] if whole else []
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), text.alias("text"), *doc)
+    found = materialize(source.select("row", "doc_id", *(["doc"] if whole else []), *(_lengths(F.col("text"), pattern, group).alias(kind) for kind, _, _, pattern, group, _ in KINDS)), "matches")
     each = F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("found")) for kind in _ORDER))
     rows = found.select("row", F.explode(each).alias("x")).where("x.found is not null").select("row", "x.kind", F.posexplode("x.found").alias("n", "m")).select("row", "kind", "n", "m.*")
     before = Window.partitionBy("row", "kind").orderBy("n")
@@ -61,7 +63,8 @@ def parts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = rows.withColumn("end", end).where("length is not null").withColumn("start", F.col("end") - F.col("length"))
     kinds = reduce(lambda c, k: c.when(F.col("kind") == k[0], F.struct(F.lit(k[1]).alias("class"), F.lit(k[2]).alias("weak"), F.lit(k[5]).alias("least"))), KINDS[1:], F.when(F.col("kind") == KINDS[0][0], F.struct(F.lit(KINDS[0][1]).alias("class"), F.lit(KINDS[0][2]).alias("weak"), F.lit(KINDS[0][5]).alias("least"))))
     rows = rows.withColumn("k", kinds).where("value >= k.least")
-    return found.select("row", "doc_id"), rows.select("row", "kind", "k.class", "k.weak", "start", "end")
+    hit = F.coalesce(*_ORDER).isNotNull().alias("hit")
+    return found.select("row", "doc_id", hit, *(["doc"] if whole else [])), rows.select("row", "kind", "k.class", "k.weak", "start", "end")
 
 
 def linked(parts: DataFrame, reach: int = 256) -> DataFrame:
@@ -76,16 +79,40 @@ def linked(parts: DataFrame, reach: int = 256) -> DataFrame:
     return kept.where("case class when 'secret' then i when 'identifier' then s else i and s end").select("row", "kind", "start", "end")
 
 
-def scan(docs: DataFrame, reach: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row the counts of the base kinds, the digest of the base spans, and all spans."""
-    ids, parts = parts_of(docs, id_col, text_col)
+def _spans(parts: DataFrame, reach: int) -> DataFrame:
+    """(row, spans): base spans and linked weak ones by start, then by kind as listed."""
     parts = materialize(parts, "parts")
     strong = parts.where("not weak").select("row", "kind", "start", "end")
     order = reduce(lambda c, k: c.when(F.col("kind") == k, _ORDER[k]), list(_ORDER)[1:], F.when(F.col("kind") == KINDS[0][0], 0))
-    spans = strong.unionByName(linked(parts, reach)).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", order.alias("order"), "end", "kind"))).alias("spans"))
+    return strong.unionByName(linked(parts, reach)).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", order.alias("order"), "end", "kind"))).alias("spans"))
+
+
+def scan(docs: DataFrame, reach: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For each row the counts of the base kinds, the digest of the base spans, and all spans."""
+    ids, parts = parts_of(docs, id_col, text_col)
+    spans = _spans(parts, reach)
     text = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     base = F.filter("spans", lambda x: x["order"] < 3)
     out = ids.join(spans, "row", "left").withColumn("spans", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)))
     count = lambda k: F.size(F.filter("spans", lambda x: x["order"] == k)).cast("long")
     counts = [count(_ORDER[kind]).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
     return out.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
+def redact(docs: DataFrame, reach: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with its columns, where each span in the text has become [kind]; of overlapping
+    spans the first one's kind stands for all. n_chars, where there is one, follows."""
+    rows, parts = parts_of(docs, id_col, text_col, whole=True)
+    text = F.col(f"doc.`{text_col}`")
+    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+
+    def step(acc, span):  # type: ignore[no-untyped-def]
+        before = F.substring(text, acc["at"] + 1, F.greatest(span["start"] - acc["at"], F.lit(0)))
+        mark = F.when(span["start"] >= acc["at"], F.concat(F.lit("["), span["kind"], F.lit("]"))).otherwise(F.lit(""))
+        return F.struct(F.concat(acc["out"], before, mark).alias("out"), F.greatest(acc["at"], span["end"]).alias("at"))
+
+    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    hit = rows.where("hit").join(_spans(parts, reach), "row", "left").select("doc", F.coalesce(clean, text).alias("clean"))
+    both = rows.where("not hit").select("doc", text.alias("clean")).unionByName(hit)  # rows without a match are not shuffled
+    new = {text_col: F.col("clean"), "n_chars": F.length("clean").cast("long")}
+    return both.select(*((new[c] if c in new else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))

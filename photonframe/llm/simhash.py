@@ -27,9 +27,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize, whole_texts
+from .common import materialize
 from .graph import components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -56,15 +58,17 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long) of whole texts."""
+def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """(doc_id, fp long) of whole texts; with ``whole`` also doc, a struct of all columns."""
+    source = docs.select(F.col(id_col).alias("doc_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc") if whole else F.struct(F.col(text_col)).alias("doc"))
+    out = T.StructType([*source.schema.fields[: 1 + whole], T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(x.as_py(), width) for x in batch.column(1)], pa.int64())], names=["doc_id", "fp"])
+            found = [fingerprint(x.as_py(), width) for x in batch.column(1).field(text_col)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: 1 + whole], pa.array(found, pa.int64())], names=out.names)
 
-    texts = whole_texts(docs, id_col, text_col)
-    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, fp long")
+    return source.mapInArrow(run, out)
 
 
 def block_masks(blocks: int, drop: int) -> list[int]:
@@ -165,12 +169,23 @@ def links(nodes: DataFrame, radius: int = 3, blocks: int = 8, references: int =
     return groups.select("fps").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of docs."""
-    prints = materialize(fingerprints(docs, width, id_col, text_col), "fingerprints")
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of docs; with ``whole`` also doc, a
+    struct of its columns, and component, the least fingerprint of the component."""
+    prints = materialize(fingerprints(docs, width, id_col, text_col, whole), "fingerprints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     member = components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
     named = nodes.join(member, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = named.join(least, "component").select("fp", "component_id", "component")
+    print_ = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return prints.join(named, "fp").select("doc_id", print_, "component_id", *(["doc", "component"] if whole else []))
+
+
+def keep_one(docs: DataFrame, width: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs of each component, with its columns: the one with the least id; of
+    repeated rows one."""
+    found = near_duplicates(docs, width, radius, id_col, text_col, whole=True)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))  # few rows of a component are left
+    order = Window.partitionBy("component").orderBy("fingerprint", F.xxhash64(f"doc.`{text_col}`"))
+    return first.withColumn("n", F.row_number().over(order)).where("n = 1").select("doc.*")

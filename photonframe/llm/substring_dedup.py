@@ -26,6 +26,7 @@ order of doc_id, as ``dedup`` does, where the least id is to stay.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,8 +37,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import table_path, whole_texts, words_of
+from .common import materialize, release, table_path, whole_texts, words_of
 
 WINDOW, GRAM = 13, 5
 _GRAM_MIX, _WINDOW_MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -163,31 +165,42 @@ def _compare(rows: DataFrame) -> DataFrame:
 
 def late_windows(rows: DataFrame) -> DataFrame:
     """(doc_id, crc, late): places of windows that a document with a smaller id has."""
-    by_salt = _compare(rows)
+    by_salt = materialize(_compare(rows), "by-salt")  # two readers
     firsts = by_salt.where(F.size("first") > 0).select("fp", "doc_id", "crc", F.explode(F.arrays_zip("first", "first_hashes")).alias("w"))
     between = _compare(firsts.select("fp", F.lit(0).cast("long").alias("salt"), F.lit(1).cast("long").alias("salts"), "doc_id", "crc", F.col("w.first").alias("start"), F.array("w.first_hashes").alias("hashes")))
     return by_salt.unionByName(between).where(F.size("late") > 0).select("doc_id", "crc", "late")
 
 
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
+
+
+def _without(raw: bytes, removed: list[bool] | None) -> bytes:
+    """The text without the removed words and the white space after each; all else stays."""
+    if not removed or not any(removed):
+        return raw
+    head = raw[: len(raw) - len(raw.lstrip())]
+    return head + b"".join(w for w, r in zip(_WORD.findall(raw), removed, strict=True) if not r)
+
+
 def _apply(names: list[str], keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, out = [], [], []
             for text, late in zip(batch.column(1), batch.column(2), strict=True):
-                words = words_of(text.as_py())
+                raw = text.as_py().encode("utf-8", "surrogatepass")
+                words, removed = raw.split(), None
                 n.append(len(words))
                 if late.is_valid:
                     edge = np.zeros(len(words) + 1, np.int64)
                     starts = late.values.to_numpy(zero_copy_only=False)
                     np.add.at(edge, starts, 1)
                     np.add.at(edge, starts + WINDOW, -1)
-                    removed = np.cumsum(edge[:-1]) > 0
-                    gone.append(int(removed.sum()))
-                    words = [w for w, r in zip(words, removed.tolist(), strict=True) if not r]
+                    removed = (np.cumsum(edge[:-1]) > 0).tolist()
+                gone.append(sum(removed) if removed else 0)
+                if keep_text:
+                    out.append(_without(raw, removed).decode("utf-8", "surrogatepass"))
                 else:
-                    gone.append(0)
-                kept = b" ".join(words)
-                out.append(kept.decode("utf-8", "surrogatepass") if keep_text else hashlib.sha256(kept).hexdigest())
+                    out.append(hashlib.sha256(b" ".join(w for w, r in zip(words, removed, strict=True) if not r) if removed else b" ".join(words)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.string()), *batch.columns[3:]], names=names)
 
     return run
@@ -222,6 +235,7 @@ class SubstringIndex:
             counts = counts.join(old, "fp", "left").select("fp", (F.col("n") + F.coalesce("n_", F.lit(0))).alias("n"), F.least("low", "low_").alias("low"), F.greatest("high", "high_").alias("high"))
         shared = counts.where("low < high").select("fp", F.expr(f"1 + n div {self.salt_rows}").alias("salts"))
         self.runs.append(new)
+        release(self.spark)
         hits = reduce(DataFrame.unionByName, (self.spark.table(run).join(shared, "fp") for run in self.runs))
         return hits.groupBy("doc_id").agg(F.collect_list("fp").alias("fps"), F.collect_list("salts").alias("salts"))
 
@@ -237,17 +251,20 @@ class SubstringIndex:
         texts = batch if stored is None else stored.unionByName(batch)
         rows = texts.join(candidates, "doc_id", "left").select("doc_id", F.when(F.col("fps").isNotNull(), F.col("text")).alias("text"), "fps", F.col("salts"))
         rows = rows.mapInArrow(_candidate_windows, "fp long, salt long, salts long, doc_id long, crc long, start int, hashes array<bigint>")
-        late = late_windows(rows)
+        late = materialize(late_windows(rows), "late")
+        release(self.spark)
         if len(self.runs) >= self.fanout:
             self.compact()
         return late
 
 
-def dedup(docs: DataFrame, batches: int = 2, fanout: int = 4, salt_rows: int = 10_000, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, or with keep_text kept_text) of every row.
+def dedup(docs: DataFrame, batches: int = 2, fanout: int = 4, salt_rows: int = 10_000, whole: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) of every row; with ``whole`` kept_text (white
+    space between words that stay is not touched) in place of the digest, and doc, a struct
+    of all columns of docs.
 
     The documents are ingested in ``batches`` ranges of doc_id, in ascending order; the
-    result does not depend on how many. ``carry``: further columns to keep."""
+    result does not depend on how many."""
     texts = whole_texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     index = SubstringIndex(docs.sparkSession, fanout, salt_rows)
     cuts = texts.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
@@ -259,9 +276,19 @@ def dedup(docs: DataFrame, batches: int = 2, fanout: int = 4, salt_rows: int = 1
         now = now if high is None else now.where(F.col("doc_id") < high)
         late.append(index.ingest(now, before))
     late = reduce(DataFrame.unionByName, late).groupBy("doc_id", "crc").agg(F.flatten(F.collect_list("late")).alias("late"))
-    carry = carry or []
-    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carry) if carry else texts
-    joined = whole.withColumn("crc", F.crc32(F.col("text").cast("binary"))).join(late, ["doc_id", "crc"], "left").select("doc_id", "text", "late", *carry)
-    kept = "kept_text" if keep_text else "kept_sha256"
-    extra = "".join(f", `{c}` {whole.schema[c].dataType.simpleString()}" for c in carry)
-    return joined.mapInArrow(_apply(["doc_id", "n_words", "n_removed", kept, *carry], keep_text), f"doc_id long, n_words long, n_removed long, {kept} string{extra}")
+    doc = F.struct(*(F.col(f"`{c}`") for c in (docs.columns if whole else [text_col]))).alias("doc")
+    text = F.coalesce(F.col(f"doc.`{text_col}`"), F.lit(""))
+    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), doc).withColumn("crc", F.crc32(text.cast("binary")))
+    joined = every.join(late, ["doc_id", "crc"], "left").select("doc_id", text.alias("text"), "late", *(["doc"] if whole else []))
+    kinds = [T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_text" if whole else "kept_sha256", T.StringType()))]
+    out = T.StructType(kinds + ([joined.schema["doc"]] if whole else []))
+    return joined.mapInArrow(_apply(out.names, whole), out)
+
+
+def strip(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with its columns, where repeated passages are gone from the text; n_chars, where
+    there is one, follows."""
+    found = dedup(docs, batches, whole=True, id_col=id_col, text_col=text_col)
+    text = F.when((F.col("n_removed") == 0) & F.col(f"doc.`{text_col}`").isNull(), F.lit(None)).otherwise(F.col("kept_text"))
+    new = {text_col: text, "n_chars": F.length("kept_text").cast("long")}
+    return found.select(*((new[c] if c in new else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
