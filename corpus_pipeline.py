@@ -1,23 +1,55 @@
-"""Corpus pipeline: quality rules, near-dedup, substring dedup, secret scans, packing."""
+"""Corpus pipeline: quality rules, SimHash near-dedup, substring dedup, secret scans, packing.
+
+Every stage takes all that its predecessor kept. Stages but the last return the columns of
+documents: the first two drop rows, the next two change texts (and n_chars with them)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from photonframe.llm import packing, quality_rules, secret_scan, simhash, substring_dedup
 from photonframe.llm.common import documents, materialize
-from photonframe.llm.packing import pack
+from photonframe.llm.queries import tokenizer_file
+from photonframe.session import ship_package
 
-#: SQL cannot express the tokenizer of the last stage.
+#: SQL cannot express the model, the fingerprints and the tokenizer of the stages.
 ORACLE_SQL = None
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from photonframe.llm.queries import tokenizer_file
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _shipped(stage: Stage) -> Stage:
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.keep(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs)
+
+
+def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substring_dedup.strip(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_scan.redact(docs)
+
 
-    return pack(docs, tokenizer_file("word_bpe_49k.json"))
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
 
 
-STAGES = [("packing", packing)]
+STAGES: list[tuple[str, Stage]] = [(name, _shipped(stage)) for name, stage in (("quality rules", quality), ("near-dedup", near_dedup), ("substring dedup", substring), ("secret scans", secrets), ("packing", pack))]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,5 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = materialize(docs, name)
+            docs = materialize(docs, name.replace(" ", "-"))
     return docs
