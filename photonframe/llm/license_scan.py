@@ -2,7 +2,7 @@
 
 Only DataFrame functions. Licence text of a file is its header lines with a licence word, or
 the whole text of a licence file (one named like one, or one that consists of licence lines
-by half at least). Its terms are weighted by term frequency and an inverse frequency counted
+by three quarters). Its terms are weighted by term frequency and an inverse frequency counted
 over all licence texts for the terms of the templates; any other term has the weight of a
 term that is in none. The vectors are sparse rows (text, term) joined with the rows
 (template, term); the templates are a fixed list, and so is what is broadcast. A file whose
@@ -78,7 +78,7 @@ def licence_texts(files: DataFrame, id_col: str, text_col: str, path: Column) ->
     rows = files.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.regexp_replace(path, r"/?[^/]*$", "").alias("dir"), F.regexp_extract(path, r"([^/]*)$", 1).alias("name"), text.alias("text"), lines.alias("lines"))
     size = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.size(terms_of(x)))
     cue_terms = size(F.col("lines"))
-    is_file = F.col("name").rlike(FILE_NAME) | F.coalesce(F.when(F.col("lines").isNotNull(), 2 * cue_terms >= F.size(terms_of(F.col("text")))), F.lit(False))
+    is_file = F.col("name").rlike(FILE_NAME) | F.coalesce(F.when(F.col("lines").isNotNull(), 4 * cue_terms >= 3 * F.size(terms_of(F.col("text")))), F.lit(False))
     rows = rows.withColumn("is_file", is_file)
     parts = F.when(F.col("is_file"), F.array("text")).otherwise(F.col("lines"))
     return rows.select("row", "id", "dir", "is_file", F.posexplode_outer(parts).alias("n", "part")).select("row", "id", "dir", "is_file", "n", F.when(F.col("n").isNotNull(), terms_of(F.col("part"))).alias("terms"))
