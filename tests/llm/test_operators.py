@@ -320,7 +320,7 @@ def test_licences(spark):
 def test_merkle_finds_the_damage(spark):
     table = spark.createDataFrame([(i // 40, i, None if i == 7 else f"payload {i}") for i in range(100)], "a long, k long, p string")
     first = merkle.records(table, F.col("a"), F.col("k"), F.col("p"))
-    second = first.where("k <> 45").withColumn("digest", F.when(F.col("k") == 13, F.lit("x")).otherwise(F.col("digest")))
+    second = first.where("key <> 45").withColumn("digest", F.when(F.col("key") == 13, F.lit("x")).otherwise(F.col("digest")))
     got = {r.archive: r for r in merkle.report(first, second, fanout=3).collect()}
     assert (got[0].n_faults, got[0].faults.split(":")[:2], got[0].intact) == (1, ["13", "corrupt"], False)
     assert (got[1].n_faults, got[1].faults.split(":")[:2]) == (1, ["5", "missing"]) and got[2].intact
