@@ -14,6 +14,7 @@ window opened first; only the id and text columns are read, so other columns can
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
@@ -34,6 +35,7 @@ class WordEncoder:
     space; ids of words are kept, at most ``keep`` of them, so that a word is encoded once."""
 
     def __init__(self, path: str, keep: int = 1_000_000) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
         from tokenizers import Tokenizer
 
         self.model, self.keep = Tokenizer.from_file(path), keep
