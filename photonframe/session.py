@@ -11,9 +11,15 @@ from pyspark.sql import SparkSession
 _SHIPPED: set[str] = set()
 
 
+#: Arrow batches of texts stay small, so that a Python worker holds a few MB of them.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give this package to the executors, once for each application, so that their Python
-    workers can import it wherever the driver was started."""
+    workers can import it wherever the driver was started; bound the Arrow batches."""
+    for key, value in ARROW.items():
+        spark.conf.set(key, value)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
