@@ -209,7 +209,7 @@ def _apply(names: list[str], keep_text: bool):
 class SubstringIndex:
     """The runs, and the documents that have been ingested."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 4, salt_rows: int = 10_000, buckets: int | None = None) -> None:
+    def __init__(self, spark: SparkSession, fanout: int = 4, salt_rows: int = 1_000, buckets: int | None = None) -> None:
         self.spark, self.fanout, self.salt_rows = spark, fanout, salt_rows
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[str] = []
@@ -258,7 +258,7 @@ class SubstringIndex:
         return late
 
 
-def dedup(docs: DataFrame, batches: int = 2, fanout: int = 4, salt_rows: int = 10_000, whole: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, batches: int = 2, fanout: int = 4, salt_rows: int = 1_000, whole: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row; with ``whole`` kept_text (white
     space between words that stay is not touched) in place of the digest, and doc, a struct
     of all columns of docs.
