@@ -26,12 +26,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, whole_texts
 from .graph import components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -58,17 +56,15 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
-    """(doc_id, fp long) of whole texts; with ``whole`` also doc, a struct of all columns."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc") if whole else F.struct(F.col(text_col)).alias("doc"))
-    out = T.StructType([*source.schema.fields[: 1 + whole], T.StructField("fp", T.LongType())])
+def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp long) of whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(x.as_py(), width) for x in batch.column(1).field(text_col)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: 1 + whole], pa.array(found, pa.int64())], names=out.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(x.as_py(), width) for x in batch.column(1)], pa.int64())], names=["doc_id", "fp"])
 
-    return source.mapInArrow(run, out)
+    texts = whole_texts(docs, id_col, text_col)
+    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def block_masks(blocks: int, drop: int) -> list[int]:
@@ -169,23 +165,115 @@ def links(nodes: DataFrame, radius: int = 3, blocks: int = 8, references: int =
     return groups.select("fps").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of docs; with ``whole`` also doc, a
-    struct of its columns, and component, the least fingerprint of the component."""
-    prints = materialize(fingerprints(docs, width, id_col, text_col, whole), "fingerprints")
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of docs."""
+    prints = materialize(fingerprints(docs, width, id_col, text_col), "fingerprints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     member = components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
     named = nodes.join(member, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("fp", "component_id", "component")
-    print_ = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return prints.join(named, "fp").select("doc_id", print_, "component_id", *(["doc", "component"] if whole else []))
+    named = named.join(least, "component").select("fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs of each component, with its columns: the one with the least id; of
-    repeated rows one."""
-    found = near_duplicates(docs, width, radius, id_col, text_col, whole=True)
+# ---- long fingerprints, for similarities that a few bits of 64 do not reach
+BITS = 512
+
+
+def long_fingerprint(text: str | None, width: int = 5) -> bytes:
+    """512 bits from four 128-bit hashes of each different shingle, lower-cased words."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    n = max(len(words) - width + 1, 1)
+    shingles = {b" ".join(words[i : i + width]) for i in range(n)} if words else set()
+    ones = np.zeros(BITS, np.int64)
+    hash_ = xxhash.xxh3_128_digest
+    held = b"".join(hash_(s, k) for s in shingles for k in (1, 2, 3, 4))
+    rows = np.frombuffer(held, np.uint8).reshape(-1, BITS // 8)
+    for at in range(0, len(rows), CHUNK // 8):
+        ones += np.unpackbits(rows[at : at + CHUNK // 8], axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(rows)).tobytes()
+
+
+def bits_apart(similarity: float, bits: int = BITS, spread: float = 0.8) -> int:
+    """Bits that differ between texts of this Jaccard similarity, and ``spread`` standard
+    deviations: the angle of two sets with cosine 2J / (1 + J), as a share of a half turn."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * share + spread * (bits * share * (1 - share)) ** 0.5)
+
+
+def _sampled_keys(tables: int, size: int, seed: int = 7):
+    """Rows (key, node): for each table the bits at ``size`` fixed places, and its number."""
+    places = np.stack([np.random.default_rng((seed, t)).choice(BITS, size, replace=False) for t in range(tables)])
+    powers = (1 << np.arange(size, dtype=np.int64))[None, :]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                node = part.column(0).to_numpy(zero_copy_only=False)
+                bits = np.unpackbits(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, BITS // 8), axis=1)
+                keys = np.concatenate([(bits[:, places[t]] * powers).sum(axis=1) + (t << size) for t in range(tables)])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.tile(node, tables))], names=["key", "node"])
+
+    return run
+
+
+def _verified(radius: int, references: int):
+    """Of pairs (a, b, fa, fb) those that the pivot table keeps and that are near."""
+    refs = np.random.default_rng(0).integers(0, 256, (references, BITS // 8), dtype=np.uint8).view(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BITS // 8).view(np.uint64) for c in (2, 3))
+            alive = np.ones(len(x), bool)
+            for r in refs:
+                alive &= np.abs(np.bitwise_count(x ^ r).sum(1, dtype=np.int64) - np.bitwise_count(y ^ r).sum(1, dtype=np.int64)) <= radius
+            alive[alive] = np.bitwise_count(x[alive] ^ y[alive]).sum(1, dtype=np.int64) <= radius
+            keep = pa.array(alive)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    return run
+
+
+def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 128, size: int = 24, references: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, component, component_id) for every row: components of texts whose
+    long fingerprints are as near as those of texts of this similarity are.
+
+    Pairs come together where they agree in all bits of one of ``tables`` samples; in such a
+    group each member is compared with the least and the greatest, never all with all. At a
+    similarity of 0.8 a pair shares a group with a probability of 0.92, at 0.9 of 0.9999, and
+    a group of copies offers many ways. The pivot table discards pairs, the bits decide."""
+    fields = [docs.schema[id_col].dataType.simpleString(), "long", "binary"]
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([long_fingerprint(x.as_py(), width) for x in batch.column(1)], pa.binary())], names=["doc_id", "text_hash", "fp"])
+
+    texts = whole_texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+    rows = materialize(texts.mapInArrow(prints, "doc_id {}, text_hash {}, fp {}".format(*fields)), "long-fingerprints")
+    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    keys = nodes.select("node", "fp").mapInArrow(_sampled_keys(tables, size), "key long, node long")
+    ends = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    pairs = keys.join(ends, "key").select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end")
+    pairs = pairs.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
+    known = nodes.select("node", "fp")
+    pairs = pairs.join(known.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a").join(known.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b").select("a", "b", "fa", "fb")
+    member = components(pairs.mapInArrow(_verified(bits_apart(similarity), references), "a long, b long"))
+    named = nodes.join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return rows.join(named.join(least, "component").select("fp", "component", "component_id"), "fp").select("doc_id", "text_hash", "component", "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs of each component of similar texts, with its columns: the one with the
+    least id; of repeated rows one. Only ids and hashes decide; texts move once, at the end."""
+    found = similar(docs, width, similarity, id_col=id_col, text_col=text_col)
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))  # few rows of a component are left
-    order = Window.partitionBy("component").orderBy("fingerprint", F.xxhash64(f"doc.`{text_col}`"))
-    return first.withColumn("n", F.row_number().over(order)).where("n = 1").select("doc.*")
+    order = Window.partitionBy("component").orderBy("text_hash")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    stay = first.withColumn("n", F.row_number().over(order)).where("n = 1").select(name.alias("_id"), F.col("text_hash").alias("_hash"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    text = F.coalesce(F.col(f"doc.`{text_col}`"), F.lit(""))
+    rows = rows.withColumns({"_id": F.coalesce(F.col(f"doc.`{id_col}`").cast("string"), F.lit("null")), "_hash": F.xxhash64(text)})
+    again = Window.partitionBy("_id", "_hash").orderBy(F.lit(0))
+    return rows.join(stay, ["_id", "_hash"], "left_semi").withColumn("n", F.row_number().over(again)).where("n = 1").select("doc.*")

@@ -220,8 +220,24 @@ def test_simhash_components(docs, none):
                     least[a] = min(least[a], least[b])
     assert {i: (r.fingerprint, r.component_id) for i, r in got.items()} == {i: (f"{prints[i]:016x}", least[i]) for i in prints}
     assert simhash.near_duplicates(none).count() == 0
-    kept = simhash.keep_one(docs, width=3)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
+
+
+def test_keep_one_of_similar_texts(docs, none):
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(20) if i not in (1, 2, 4, 5)]
+    assert simhash.keep_one(none).count() == 0
+
+
+def test_similar_finds_near_copies(spark):
+    import random
+
+    r = random.Random(1)
+    base = [[f"w{r.randrange(3000)}" for _ in range(300)] for _ in range(40)]
+    near = [[w if k not in (50, 150, 250) else "changed" for k, w in enumerate(b)] for b in base]
+    rows_ = [(i, " ".join(w)) for i, w in enumerate(base + near)]
+    got = {x.doc_id: x.component_id for x in simhash.similar(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}
+    assert all(got[i] == i for i in range(40)) and sum(got[40 + i] == i for i in range(40)) >= 38
 
 
 def test_links_keep_every_connection(spark):
