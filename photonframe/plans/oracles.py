@@ -480,6 +480,8 @@ ORACLES: dict[str, str] = {
     "tile_sides": "select p_partkey as image_id, case " + " ".join(f"when pow(least({s}, greatest(p_size*97, p_size*61 + 5)), 2)*2500 <= 1e9 then {s}" for s in (1024, 768, 512, 384, 256, 192, 128, 64)) + " else 64 end as tile from part",
     "tiles_pasted": f"with {PX} select * from px",
     "png_round_trip": f"with {PX} select * from px where r + g + b > 0",
+    "identity_job": f"with {PX} select * from px",
+    "blended": "with " + lighting_sql(PROFILES["vivid"]).removeprefix("with ").replace("\nselect image_id, y, x,", ",\nlit as (select image_id, y, x,", 1) + ") select image_id, y, x, " + ", ".join(f"cast(floor(px.{c}*0.65::double + lit.{c}*0.35::double + 0.5) as int) as {c}" for c in C3) + " from px join lit using (image_id, y, x)",
     "synthetic_pattern": "select cast(0 as bigint) as image_id, cast(i // 64 as int) as y, cast(i % 64 as int) as x, cast(floor((i % 64)*(255.0/63) + 0.5) as int) as r, cast(floor((i // 64)*(255.0/63) + 0.5) as int) as g, cast((i % 64 + i // 64) % 32*8 as int) as b from range(4096) t(i)",
     "output_names": "with s as (select page_id as seq, url as source, regexp_extract(url, '^https?://[^/]+/([^/?#]*)', 1) || '.png' as output from pages), f as (select output, source, min(seq) as m from s group by 1, 2), n as (select *, row_number() over (partition by output order by m) as number from f) select seq, case when number = 1 then output else regexp_extract(output, '^(.*)\\.png$', 1) || ' (' || number || ').png' end as name, cast(number as int) as number from s join n using (output, source)",
     "best_variants": "with p as (select p_brand as family, p_size as native, min(p_partkey) as spec from part group by 1, 2), q as (select family, scale from (select distinct family from p) cross join (values (2), (20), (45)) t(scale)), r as (select q.family, q.scale, native, spec, row_number() over (partition by q.family, q.scale order by native <> q.scale, native < q.scale, abs(native - q.scale), native) as k from q join p on p.family = q.family) select family, scale, native, spec from r where k = 1",

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from photonframe.functions import colour, pixel
 from photonframe.functions.pixel import cols, luma8
-from photonframe.operators import jobs, joins, lighting, resample, stats, stencil
+from photonframe.operators import jobs, joins, lighting, repair, resample, stats, stencil
+from photonframe.plans import pipeline
 from photonframe.sources import formats
 from photonframe.sources.relations import px_grey8, px_rgb64, table, test_pattern
 from photonframe.streaming import events as ev
@@ -521,3 +522,40 @@ def synthetic_pattern(spark: SparkSession, d: str) -> DataFrame:
     return test_pattern(spark)
 
 
+
+
+# ---- repair and whole jobs
+@query
+def restored_levels(spark: SparkSession, d: str) -> DataFrame:
+    return repair.restore_levels(px_rgb64(spark, d), 60, True)
+
+
+@query
+def specks_removed(spark: SparkSession, d: str) -> DataFrame:
+    px = px_rgb64(spark, d).select("image_id", "y", "x", (luma8(cols()) / 255.0).alias("v"))
+    return rounded(repair.remove_specks(px, "v", 5, 0.3, tile=32), "fixed", "v", digits=5)
+
+
+@query
+def blended(spark: SparkSession, d: str) -> DataFrame:
+    px = px_rgb64(spark, d)
+    return repair.blend(px, lighting.apply_profile(px, "vivid"), 0.35)
+
+
+@query
+def recoloured(spark: SparkSession, d: str) -> DataFrame:
+    px = px_rgb64(spark, d)
+    return repair.soft_colour(px.withColumns({c: luma8(cols()) for c in "rgb"}), px, 0.8)
+
+
+@query
+def whole_job(spark: SparkSession, d: str) -> DataFrame:
+    """Levels, lighting, a look, upscaling and HDR as one plan."""
+    options = pipeline.Options(fading=40, lighting=lighting.PROFILES["studio"], look=lighting.LOOKS["canon-natural"], scale=2, hdr="natural")
+    return pipeline.run(px_rgb64(spark, d), options).groupBy("image_id").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in "rgb"))
+
+
+@query
+def identity_job(spark: SparkSession, d: str) -> DataFrame:
+    """Options that change nothing leave the scan alone."""
+    return pipeline.run(px_rgb64(spark, d), pipeline.Options())
