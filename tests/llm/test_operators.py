@@ -352,3 +352,51 @@ def test_queries_run(spark, name):
     out = QUERIES[name](spark, SF)
     n = spark.read.parquet(f"{SF}/{table}.parquet").count()
     assert out.count() >= (1 if table == "pages" else n)
+
+
+# ---- null ids
+def test_rows_without_id(spark):
+    text = rows()[0][1]
+    table = spark.createDataFrame([(None, text, None, None, None), (None, None, None, None, None), (4, text, "en", "s", 1)], SCHEMA)
+    n = lambda df: df.count()
+    assert n(sentencepiece_bpe.encode_decode(table, tokenizer_file("piece_bpe_32k.model"), digest=True)) == 3
+    assert n(media_ogg.store_and_read(table)) == 3 and n(secret_scan.scan(table)) == 3 and n(quality_rules.quality(table)) == 3
+    assert n(sharding.shuffle_into_shards(sharding.digest_rows(table), shards=2)) == 3
+    assert packing.pack(table, tokenizer_file("word_bpe_49k.json")).count() == 3
+    got = [(r.doc_id, r.component_id) for r in simhash.near_duplicates(table).collect()]
+    assert sorted(got, key=str) == sorted([(None, 4), (None, None), (4, 4)], key=str)
+    assert sorted(((r.doc_id, r.n_removed) for r in substring_dedup.dedup(table).collect()), key=str) == sorted([(None, 0), (None, 0), (4, 0)], key=str)
+    assert simhash.keep_one(table).count() == 2
+    out = license_scan.scan(table, F.col("source"))
+    assert out.count() == 3 and out.where("origin = 'none'").count() == 3
+
+
+def test_very_long_texts(spark):
+    long_word, many = "x" * 200_000, "ab cd " * 40_000
+    table = spark.createDataFrame([(1, long_word, "en", "s", 0), (2, many, "en", "s", 0)], SCHEMA)
+    assert packing.pack(table, tokenizer_file("word_bpe_49k.json")).agg(F.sum("length")).first()[0] > 80_000
+    assert {r.doc_id: r.n_repeat_words for r in quality_rules.quality(table).collect()} == {1: 0, 2: 80_000}
+    assert {r.doc_id: r.payload_bytes for r in media_ogg.store_and_read(table).collect()} == {1: 200_064, 2: 240_000}
+    assert simhash.near_duplicates(table).count() == 2 and substring_dedup.dedup(table).where("n_removed = 0").count() == 2
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
+    for r in sentencepiece_bpe.encode_decode(table, tokenizer_file("piece_bpe_32k.model")).collect():
+        assert r.ids == library.encode(long_word if r.doc_id == 1 else many, add_bos=True, add_eos=True)
+
+
+# ---- the pipeline
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    assert len(corpus_pipeline.STAGES) == 5
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, before = docs.columns, docs.count()
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF).persist()
+        now = docs.count()
+        if name != "packing":
+            assert docs.columns == columns and now <= before and docs.select("doc_id").distinct().count() == now
+            assert docs.where("n_chars <> length(text)").count() == 0
+            before = now
+    assert docs.select("doc_id").distinct().count() == before
