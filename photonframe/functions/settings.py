@@ -1,0 +1,74 @@
+"""Settings documents as columns: read from JSON, unknown keys dropped, values clamped."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Field, type, default, range or choices.
+FIELDS: list[tuple[str, str, object, tuple]] = [
+    ("mode", "string", "upscale", ("upscale", "restore")),
+    ("scale", "int", 4, (2, 4)),
+    ("output_format", "string", "png", ("png", "jpeg", "webp")),
+    ("quality", "int", 95, (1, 100)),
+    ("lighting_profile", "string", "original", ()),
+    ("lighting_intensity", "int", 100, (0, 100)),
+    ("camera_look", "string", "original", ()),
+    ("camera_look_intensity", "int", 50, (0, 100)),
+    ("camera_look_grain", "string", "auto", ("auto", "off", "low", "medium", "high")),
+    ("hdr_enabled", "boolean", False, ()),
+    ("preset", "string", "", ()),
+]
+# Some presets as settings they stand for; more are registered by callers.
+PRESETS: dict[str, dict[str, object]] = {
+    "original": {"lighting_profile": "original", "lighting_intensity": 100, "camera_look": "original", "camera_look_intensity": 50, "camera_look_grain": "auto", "hdr_enabled": False},
+}
+
+
+def register_preset(name: str, values: dict[str, object]) -> None:
+    PRESETS[name] = values
+
+
+def read(text: Column) -> Column:
+    """Struct of all fields: missing, unreadable or impossible values become the defaults,
+    numbers outside their range its nearest end."""
+    raw = F.from_json(text, "map<string,string>")
+    out = []
+    for name, kind, default, allowed in FIELDS:
+        value = F.element_at(raw, name)
+        fallback = F.lit(default).cast(kind)
+        if kind == "int":
+            number = F.rint(value.try_cast("double")).cast("int")
+            v = F.when(number.isNotNull(), F.least(F.greatest(number, F.lit(allowed[0])), F.lit(allowed[1]))) if allowed else number
+        elif kind == "boolean":
+            v = F.when(value.isin("true", "false"), value == "true")
+        else:
+            v = F.when(value.isin(*allowed), value) if allowed else value
+        out.append(F.coalesce(v, fallback).alias(name))
+    return F.struct(*out)
+
+
+def write(settings: Column) -> Column:
+    return F.to_json(settings)
+
+
+def apply_preset(settings: Column, name: str) -> Column:
+    """The preset's values in the settings, and its name remembered."""
+    values = PRESETS[name] | {"preset": name}
+    return F.struct(*((F.lit(values[n]).cast(kind) if n in values else settings[n]).alias(n) for n, kind, _, _ in FIELDS))
+
+
+def matches(settings: Column, name: str) -> Column:
+    """Whether every value of the preset still holds."""
+    out = F.lit(True)
+    for n, v in PRESETS[name].items():
+        out = out & settings[n].eqNullSafe(F.lit(v))
+    return out
+
+
+def label(settings: Column) -> Column:
+    """Name to show: the preset, whether it was modified, or Custom."""
+    out = F.when(matches(settings, "original"), "Original").otherwise("Custom")
+    for n in PRESETS:
+        out = F.when(settings["preset"] == n, F.concat(F.lit(n.capitalize()), F.when(matches(settings, n), "").otherwise(" · Modified"))).otherwise(out)
+    return out
