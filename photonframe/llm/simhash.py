@@ -240,7 +240,7 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: in
     long fingerprints are as near as those of texts of this similarity are.
 
     Pairs come together where they agree in all bits of one of ``tables`` samples; in such a
-    group each member is compared with the least and the greatest, never all with all. At a
+    group each member is compared with the least, never all with all. At a
     similarity of 0.8 a pair shares a group with a probability of 0.92, at 0.9 of 0.9999, and
     a group of copies offers many ways. The pivot table discards pairs, the bits decide."""
     fields = [docs.schema[id_col].dataType.simpleString(), "long", "binary"]
@@ -253,9 +253,8 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: in
     rows = materialize(texts.mapInArrow(prints, "doc_id {}, text_hash {}, fp {}".format(*fields)), "long-fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     keys = nodes.select("node", "fp").mapInArrow(_sampled_keys(tables, size), "key long, node long")
-    ends = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    pairs = keys.join(ends, "key").select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end")
-    pairs = pairs.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
+    ends = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("high")).where("a < high").drop("high")
+    pairs = keys.join(ends, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     known = nodes.select("node", "fp")
     pairs = pairs.join(known.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a").join(known.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b").select("a", "b", "fa", "fb")
     member = components(pairs.mapInArrow(_verified(bits_apart(similarity), references), "a long, b long"))
