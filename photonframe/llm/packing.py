@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
@@ -34,31 +35,32 @@ class WordEncoder:
     """Token ids of texts under a ``tokenizers`` model that never joins across ASCII white
     space; ids of words are kept, at most ``keep`` of them, so that a word is encoded once."""
 
-    def __init__(self, path: str, keep: int = 1_000_000) -> None:
+    def __init__(self, path: str, keep: int = 1_500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
         from tokenizers import Tokenizer
 
         self.model, self.keep = Tokenizer.from_file(path), keep
         self.seen: dict[bytes, bytes] = {}
 
-    def learn(self, words: list[bytes]) -> None:
-        new = list(dict.fromkeys(w for w in words if w not in self.seen))
+    def learn(self, new: set[bytes]) -> None:
+        words = sorted(new)
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            for w, e in zip(part, self.model.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                self.seen[w] = array("I", e.ids).tobytes()
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids as unsigned 32-bit integers in the machine's order, which Spark's own machines
+        have little-endian."""
+        words = [text.encode("utf-8", "replace").split() for text in texts]
+        parts = [list(map(self.seen.get, w)) for w in words]
+        new = {w for own, found in zip(words, parts, strict=True) if None in found for w, x in zip(own, found, strict=True) if x is None}
         if len(self.seen) + len(new) > self.keep:
             self.seen.clear()
-            new = list(dict.fromkeys(words))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.model.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.seen[w] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words = text.encode("utf-8", "replace").split()
-        try:
-            return b"".join(map(self.seen.__getitem__, words))
-        except KeyError:
-            self.learn(words)
-            return b"".join(map(self.seen.__getitem__, words))
+            new = set().union(*words)
+            parts = [[None]] * len(words)
+        self.learn(new)
+        return [b"".join(map(self.seen.__getitem__, own) if None in found else found) for own, found in zip(words, parts, strict=True)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -111,7 +113,11 @@ def _split(windows: list | None) -> list[list]:
     return [windows]
 
 
-def _packer(encoder: Callable[[], Callable[[str], bytes]], end_id: int, max_len: int, k: int):
+def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
+def _packer(encoder: Callable[[], Callable[[list[str]], list[bytes]]], end_id: int, max_len: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -127,21 +133,20 @@ def _packer(encoder: Callable[[], Callable[[str], bytes]], end_id: int, max_len:
                 offset += piece[2]
             number += 1
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py()) + end
-                n = len(ids) // 4
-                for start in range(0, n, max_len):
-                    part = ids[4 * start : 4 * (start + max_len)]
-                    piece = (doc_id, start, len(part) // 4, zlib.crc32(part), n)
-                    if piece[2] == max_len:
-                        emit([piece], False)
-                    else:
-                        for w in _split(windows.put(piece, piece[2])):
-                            emit(w, False)
-                if len(rows) >= 20_000:
-                    yield _batch(rows)
-                    rows.clear()
+        for doc_id, body in ((d, x) for batch in batches for part in _slices(batch) for d, x in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True)):
+            ids = body + end
+            n = len(ids) // 4
+            for start in range(0, n, max_len):
+                part = ids[4 * start : 4 * (start + max_len)]
+                piece = (doc_id, start, len(part) // 4, zlib.crc32(part), n)
+                if piece[2] == max_len:
+                    emit([piece], False)
+                else:
+                    for w in _split(windows.put(piece, piece[2])):
+                        emit(w, False)
+            if len(rows) >= 20_000:
+                yield _batch(rows)
+                rows.clear()
         for w in windows.rest():
             emit(w, True)
         yield _batch(rows)
@@ -205,7 +210,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, max_len: int = 2048,
 
     ``sequence_id`` is unique, not dense. Ids are those of ``tokenizer`` (a file of the
     tokenizers library whose model keeps white-space-separated words apart), then ``end_id``."""
-    pieces = whole_texts(docs, id_col, text_col).mapInArrow(_packer(lambda: word_encoder(tokenizer).encode, end_id, max_len, open_windows), f"{SCHEMA}, leftover boolean, task long")
+    pieces = whole_texts(docs, id_col, text_col).mapInArrow(_packer(lambda: word_encoder(tokenizer).encode_many, end_id, max_len, open_windows), f"{SCHEMA}, leftover boolean, task long")
     pieces = materialize(pieces, "pieces")  # both branches below read it
     done = pieces.where(~F.col("leftover")).drop("leftover", "task")
     left = pieces.where("leftover").withColumn("group", F.expr(f"task div {merge_tasks}"))
