@@ -167,7 +167,7 @@ def late_windows(rows: DataFrame) -> DataFrame:
     """(doc_id, crc, late): places of windows that a document with a smaller id has."""
     by_salt = materialize(_compare(rows), "by-salt")  # two readers
     firsts = by_salt.where(F.size("first") > 0).select("fp", "doc_id", "crc", F.explode(F.arrays_zip("first", "first_hashes")).alias("w"))
-    between = _compare(firsts.select("fp", F.lit(0).cast("long").alias("salt"), F.lit(1).cast("long").alias("salts"), "doc_id", "crc", F.col("w.first").alias("start"), F.array("w.first_hashes").alias("hashes")))
+    between = _compare(firsts.select("fp", F.pmod("w.first_hashes", F.lit(1024)).alias("salt"), F.lit(1).cast("long").alias("salts"), "doc_id", "crc", F.col("w.first").alias("start"), F.array("w.first_hashes").alias("hashes")))
     return by_salt.unionByName(between).where(F.size("late") > 0).select("doc_id", "crc", "late")
 
 
