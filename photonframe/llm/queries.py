@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import documents, materialize
 from . import license_scan, merkle
 from .media_ogg import store_and_read
+from .oracles import license_sql
 from .packing import pack
 from .quality_rules import quality
 from .secret_scan import scan
@@ -117,4 +118,4 @@ select archive, a as root_a, b as root_b, a = b as intact, coalesce(n, 0) as n_f
 from root left join bad using (archive)
 """
 
-ORACLES: dict[str, str] = {"op1_merkle_fixity": _OP1_SQL}
+ORACLES: dict[str, str] = {"op1_merkle_fixity": _OP1_SQL, "op2_license_scan": license_sql()}
