@@ -30,22 +30,30 @@ def _shipped(stage: Stage) -> Stage:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that pass the base rules and their language's perplexity bands. Null and empty
+    texts have no words and go; a null language is one of its own; repeated rows share a fate."""
     return quality_rules.keep(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component of similar texts, the one with the least id. Null and empty
+    texts are equal; of repeated rows one stays; a row without id goes where one with id stays."""
     return simhash.keep_one(docs)
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows; words of 13-word passages that a smaller id has are gone from the text.
+    Null texts stay null; rows without id are left alone; doc_id becomes a long."""
     return substring_dedup.strip(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows; spans of secrets have become [kind]. Null texts stay null."""
     return secret_scan.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all rows in sequences of 2048 tokens; a null text has its end id alone."""
     return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from math import ceil, exp
 
 import numpy as np
@@ -433,7 +434,34 @@ def sharpen_sql() -> str:
 
 NAMES = "list_extract(['pending','queued','processing','done','skipped','failed','cancelled'], 1 + cast(((cast(floor(value*100) as bigint) % 7) + 7) % 7 as int))"
 
+def recolour_sql() -> str:
+    q = Chain(PX, source="px").select(f"image_id, y, x, ((54*r + 183*g + 19*b + 128) >> 8) as l8, (r - {Y601})/255.0::double as cr, (b - {Y601})/255.0::double as cb")
+    q.select("image_id, y, x, cr, cb, l8*0.299::double + l8*0.587::double + l8*0.114::double as v, sqrt(cb*cb + cr*cr) as n")
+    q.select("*, 255*0.8::double*case when n > 0.35 then (0.35 + 0.65::double*tanh((n - 0.35)/0.65::double))/n else 1 end as k")
+    q.select("image_id, y, x, v, v + cr*k as r, v + cb*k as b").select("image_id, y, x, r, (v - 0.299::double*r - 0.114::double*b)/0.587::double as g, b")
+    return q.sql("image_id, y, x, " + ", ".join(f"cast(floor(least(greatest({c} + 0.5, 0), 255)) as int) as {c}" for c in C3))
+
+
+def restored_sql(t: float = 0.6) -> str:
+    """On top of the levels: stretch, and a midtone balance as far as the photo shows age."""
+    levels = levels_sql().replace("round(case when", "(case when")
+    levels = re.sub(r"round\((\w+), 6\) as", r"\1 as", levels).replace("a_r end, 6)", "a_r end)").replace("a_g end, 6)", "a_g end)").replace("a_b end, 6)", "a_b end)")
+    levels = levels.replace("round(least(greatest((greatest(low_r", "(least(greatest((greatest(low_r").replace(", 0), 1), 6) as evidence", ", 0), 1)) as evidence")
+    head, _, tail = levels.rpartition("\nselect ")
+    amount = 0.6 + 0.4 * t
+    lo, hi = "least(low_r, low_g, low_b)", "greatest(high_r, high_g, high_b)"
+    ctes = [f"lv as (select {tail})"]
+    ctes.append("a1 as (select *, " + ", ".join(f"({lo} + evidence*(low_{c} - {lo}))*{amount} as lo_{c}, 1 - (1 - ({hi} + evidence*(high_{c} - {hi})))*{amount} as hi_{c}" for c in C3) + " from lv)")
+    ctes.append("a2 as (select * exclude (lo_r, lo_g, lo_b), " + ", ".join(f"greatest(hi_{c} - lo_{c}, 0.35) as sp_{c}, case when hi_{c} - lo_{c} < 0.35 then (lo_{c} + hi_{c})/2 - greatest(hi_{c} - lo_{c}, 0.35)/2 else lo_{c} end as lo_{c}" for c in C3) + " from a1)")
+    ctes.append("a3 as (select *, " + ", ".join(clip(f"(mid_{c}*(high_{c} - low_{c}) + low_{c} - lo_{c})/sp_{c}", 0.05, 0.95) + f" as m_{c}" for c in C3) + " from a2)")
+    ctes.append("a4 as (select *, " + ", ".join(f"pow(least(greatest(ln((m_r + m_g + m_b)/3)/ln(m_{c}), 0.65), 1.35), {0.3 + 0.2 * t}*evidence) as g_{c}" for c in C3) + " from a3)")
+    out = ", ".join(f"cast(round_even(pow({clip(f'(px.{c}/255.0::double - lo_{c})/sp_{c}')}, g_{c})*255, 0) as int) as {c}" for c in C3)
+    return head + ",\n" + ",\n".join(ctes) + f"\nselect image_id, y, x, {out} from px join a4 using (image_id)"
+
+
 ORACLES: dict[str, str] = {
+    "recoloured": recolour_sql(),
+    "restored_levels": restored_sql(),
     "lighting_embeddings_8x8": "with " + ",\n".join([GP, "a as (select image_id, y, x, l/255.0::double as v from gp)", f"b as (select image_id, y, x, v as l0, {clip('v + 0.25*v*(1-v)*(1-v)')} as t from a)", "c as (select image_id, y, x, case when t < l0 then l0*t/greatest(l0, 1e-6) else l0*(1-t)/greatest(1-l0, 1e-6) + 1 - (1-t)/greatest(1-l0, 1e-6) end as v from b)", "e as (select image_id, y, x, cast(floor(least(greatest((0.5 + (v-0.5)*1.2 - 0.8*pow(v-0.5, 3))*255 + 0.5, 0), 255)) as int) as r from c)", box("e", ["r"], 2, "f"), "g as (select e.image_id, e.r, cast(floor(r_m + 0.5) as int) as m from e join f using (image_id, y, x))"]) + "\nselect image_id, min(m) as lowest, max(m) as highest, round(avg(r), 6) as level, count(*) as n from g group by 1",
     "lighting_cinematic": lighting_sql(PROFILES["cinematic"]),
     "lighting_low_light_half": lighting_sql(PROFILES["low-light-recovery"].scaled(0.5)),
