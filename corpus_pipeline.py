@@ -43,7 +43,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows; words of 13-word passages that a smaller id has are gone from the text.
-    Null texts stay null; rows without id are left alone; doc_id becomes a long."""
+    Null texts stay null; rows without id are left alone."""
     return substring_dedup.strip(docs)
 
 
