@@ -42,12 +42,12 @@ def suppress(boxes: DataFrame, threshold: float = 0.4) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "box_id"], ascending=[False, True]).reset_index(drop=True)
         kept: list[int] = []
-        area = (pdf.x1 - pdf.x0 + 1) * (pdf.y1 - pdf.y0 + 1)
+        area = (pdf.x1 - pdf.x0).clip(lower=0) * (pdf.y1 - pdf.y0).clip(lower=0)
         for i in range(len(pdf)):
             k = pdf.loc[kept]
-            w = (k.x1.clip(upper=pdf.x1[i]) - k.x0.clip(lower=pdf.x0[i]) + 1).clip(lower=0)
-            h = (k.y1.clip(upper=pdf.y1[i]) - k.y0.clip(lower=pdf.y0[i]) + 1).clip(lower=0)
-            if not ((w * h) / (area.loc[kept] + area[i] - w * h) > threshold).any():
+            w = (k.x1.clip(upper=pdf.x1[i]) - k.x0.clip(lower=pdf.x0[i])).clip(lower=0)
+            h = (k.y1.clip(upper=pdf.y1[i]) - k.y0.clip(lower=pdf.y0[i])).clip(lower=0)
+            if not ((w * h) / (area.loc[kept] + area[i] - w * h).clip(lower=1e-6) > threshold).any():
                 kept.append(i)
         return pdf.loc[kept]
 
