@@ -15,6 +15,7 @@ window opened first; only the id and text columns are read, so other columns can
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -31,11 +32,24 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 SCHEMA = f"{PIECE}, sequence_id long, offset long"
 
 
+_MARKS = re.compile(rb"(?<=[a-z0-9])([.,;:!?]+)(?=[\x20\x09-\x0D]|$)")
+
+
+def _split_words(text: str) -> list[bytes]:
+    """Words whose ids together are the text's: the models meant here lower-case, drop white
+    space, and cut between a letter or digit and a mark, so fewer different words are met
+    when ASCII capitals are lowered and marks at a word's end stand alone. Texts that might
+    hold the name of a special token stay as they are."""
+    raw = text.encode("utf-8", "replace")
+    return raw.split() if b"<|" in raw else _MARKS.sub(rb" \1", raw.lower()).split()
+
+
 class WordEncoder:
-    """Token ids of texts under a ``tokenizers`` model that never joins across ASCII white
-    space; ids of words are kept, at most ``keep`` of them, so that a word is encoded once."""
+    """Token ids of texts under a ``tokenizers`` model that lower-cases, never joins across
+    ASCII white space and cuts words from marks; ids of words are kept, at most ``keep`` of
+    them, so that a word is encoded once."""
 
-    def __init__(self, path: str, keep: int = 1_500_000) -> None:
+    def __init__(self, path: str, keep: int = 2_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
         from tokenizers import Tokenizer
 
@@ -52,7 +66,7 @@ class WordEncoder:
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids as unsigned 32-bit integers in the machine's order, which Spark's own machines
         have little-endian."""
-        words = [text.encode("utf-8", "replace").split() for text in texts]
+        words = [_split_words(text) for text in texts]
         parts = [list(map(self.seen.get, w)) for w in words]
         new = {w for own, found in zip(words, parts, strict=True) if None in found for w, x in zip(own, found, strict=True) if x is None}
         if len(self.seen) + len(new) > self.keep:
