@@ -244,6 +244,13 @@ class SubstringIndex:
         if len(self.runs) > 1:
             self.runs = [self._write_run(reduce(DataFrame.unionByName, (self.spark.table(r) for r in self.runs)))]
 
+    def drop(self) -> None:
+        """Take the runs out of the catalogue; their files stay in the shared folder. Only
+        after everything that reads them has been written."""
+        for run in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+        self.runs = []
+
     def ingest(self, batch: DataFrame, stored: DataFrame | None) -> DataFrame:
         """Ingest a batch (doc_id, text). stored: the documents ingested before, if any.
         (doc_id, crc, late) of documents of the batch that lose windows."""
