@@ -63,6 +63,16 @@ def test_specks_go_and_edges_stay(spark):
     assert all(abs(r.fixed - (0.5 if r.x < 20 else 0.8)) < 1e-6 for r in rows)
 
 
+def test_scratches_go_and_edges_stay(spark):
+    plane = np.full((48, 48), 0.4)
+    plane[:, 36:] = 0.7  # an edge has different sides
+    plane[20, 2:34] = 0.9
+    rows = repair.remove_scratches(pixels(spark, plane), "v", 3, 17, 0.1, 0.2, tile=24).collect()
+    hits = {(r.y, r.x) for r in rows if r.hit}
+    assert hits and all(y == 20 for y, _ in hits) and len(hits) >= 28
+    assert all(abs(r.fixed - (0.4 if r.x < 36 else 0.7)) < 1e-6 for r in rows if 4 <= r.x <= 30 or r.x >= 38)
+
+
 def test_good_levels_are_kept_and_faded_ones_stretched(spark):
     ramp = spark.range(256).select(F.lit(0).cast("long").alias("image_id"), F.lit(0).alias("y"), F.col("id").cast("int").alias("x"), *(F.col("id").cast("int").alias(c) for c in "rgb"))
     same = repair.restore_levels(ramp, 0, True).where("abs(r - x) > 2").count()
