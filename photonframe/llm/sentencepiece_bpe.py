@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -58,19 +59,19 @@ class PieceCodec:
 
     NORMAL, CONTROL, BYTE = 1, 3, 6
 
-    def __init__(self, pieces: list[tuple[str, float, int]], keep: int = 1_000_000) -> None:
+    def __init__(self, pieces: list[tuple[str, float, int]], keep: int = 1_500_000) -> None:
         self.pieces, self.keep = pieces, keep
         self.ids = {p: i for i, (p, _, kind) in enumerate(pieces) if kind == self.NORMAL}
         self.score = {p: s for p, s, kind in pieces if kind == self.NORMAL}
         self.byte_ids = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == self.BYTE}
         self.bytes_of = {i: b for b, i in self.byte_ids.items()}
         self.bos, self.eos = (next(i for i, x in enumerate(pieces) if x[0] == name) for name in ("<s>", "</s>"))
+        self.letters = frozenset(p for p in self.ids if len(p) == 1)
         self.match = ahocorasick.Automaton()
         for p in self.ids:
             self.match.add_word(p, len(p))
         self.match.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.alone: dict[str, bool] = {}
+        self.pairs: dict[tuple[str | None, str], bool] = {}
         self.units: dict[str, tuple[bytes, int, str]] = {}
 
     # ---- encoding
@@ -89,15 +90,11 @@ class PieceCodec:
         return parts
 
     def compatible(self, left: str | None, right: str) -> bool:
-        if left is None:
-            if right not in self.alone:
-                self.alone[right] = self.merge(right) == [right]
-            return self.alone[right]
-        key = (left, right)
-        if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) >= self.keep:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merge(left + right) == [left, right]
+        """Whether merging the joined text gives the two (or the one) again."""
+        if len(self.pairs) >= self.keep:
+            self.pairs.clear()
+        want = [right] if left is None else [left, right]
+        known = self.pairs[left, right] = self.merge("".join(want)) == want
         return known
 
     def backtrack(self, text: str) -> list[str]:
@@ -109,14 +106,15 @@ class PieceCodec:
         failed = bytearray(n + 1)  # 1: nothing compatible leads on from here
         pieces: list[str] = []
         choice: list[int] = []  # index into starts of the place before each piece
-        at, nth = 0, len(starts[0]) - 1
+        at, nth, pairs = 0, len(starts[0]) - 1, self.pairs
         while at < n:
             lengths, left = starts[at], pieces[-1] if pieces else None
             while nth >= 0:
                 end = at + lengths[nth]
                 if not failed[end]:
                     piece = text[at:end]
-                    if self.compatible(left, piece):
+                    known = pairs.get((left, piece))
+                    if self.compatible(left, piece) if known is None else known:
                         break
                 nth -= 1
             if nth >= 0:
@@ -136,6 +134,9 @@ class PieceCodec:
 
     def unit(self, unit: str) -> tuple[bytes, int, str]:
         """(ids as little-endian unsigned 32-bit integers, their number, decoded text)."""
+        if self.letters.issuperset(unit):  # as nearly always
+            pieces = self.backtrack(unit)
+            return array("I", map(self.ids.__getitem__, pieces)).tobytes(), len(pieces), "".join(pieces).replace(MARK, " ")
         ids: list[int] = []
         for known, part in _runs(unit, self.ids):
             if known:
