@@ -26,10 +26,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, whole_texts
+from .common import materialize, release, whole_texts
 from .graph import components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -176,91 +176,200 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: st
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# ---- long fingerprints, for similarities that a few bits of 64 do not reach
-BITS = 512
+# ---- exact similarity, for texts that a few bits of 64 do not reach
+SAMPLE = 16  # one text in so many is asked which shingles are common
+COMMON = 8  # texts of the sample that make a shingle common
+LISTED = 1 << 17  # common shingles that are broadcast at most, the most common first
+HUBS = 8  # members of a meeting place that are compared with all others first
+BITS = 2048
+MARKS = 1 << 24  # places of the marks by which texts are read again
 
 
-def long_fingerprint(text: str | None, width: int = 5) -> bytes:
-    """512 bits from four 128-bit hashes of each different shingle, lower-cased words."""
+def shingles(text: str | None, width: int = 5) -> np.ndarray:
+    """Sorted different 64-bit hashes of the shingles, lower-cased words."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
     n = max(len(words) - width + 1, 1)
-    shingles = {b" ".join(words[i : i + width]) for i in range(n)} if words else set()
-    ones = np.zeros(BITS, np.int64)
-    hash_ = xxhash.xxh3_128_digest
-    held = b"".join(hash_(s, k) for s in shingles for k in (1, 2, 3, 4))
-    rows = np.frombuffer(held, np.uint8).reshape(-1, BITS // 8)
-    for at in range(0, len(rows), CHUNK // 8):
-        ones += np.unpackbits(rows[at : at + CHUNK // 8], axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(rows)).tobytes()
+    spans = map(slice, (ends - lengths)[:n].tolist(), ends[min(width, len(words)) - 1 :].tolist())
+    view, hash_ = memoryview(joined), xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((hash_(view[s]) for s in spans), np.uint64, n))
+
+
+def node_of(grams: np.ndarray) -> int:
+    """A name for a set of shingles, as a signed integer."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes())).view(np.int64))
+
+
+def bitmap(grams: np.ndarray) -> bytes:
+    """A bit for each place that some shingle takes. Two bitmaps differ in at most as many
+    bits as their sets have shingles that the other lacks."""
+    bits = np.zeros(BITS, np.uint8)
+    bits[grams % BITS] = 1
+    return np.packbits(bits).tobytes()
+
+
+def prefix_size(n: int, similarity: float) -> int:
+    """So many of n shingles, the first in an order that all texts share, hold at least one
+    that any text of the similarity has among its own first ones."""
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+
+
+def _common(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles and how often a sample of the texts has them. They only settle the
+    order of shingles; any order gives the same pairs, this one gives small groups."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py(), width).view(np.int64))], names=["gram"])
 
-def bits_apart(similarity: float, bits: int = BITS, spread: float = 0.8) -> int:
-    """Bits that differ between texts of this Jaccard similarity, and ``spread`` standard
-    deviations: the angle of two sets with cosine 2J / (1 + J), as a share of a half turn."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * share + spread * (bits * share * (1 - share)) ** 0.5)
+    counted = texts.where(f"pmod(text_hash, {SAMPLE}) = 0").select("text").mapInArrow(run, "gram long").groupBy("gram").agg(F.count("*").alias("n"))
+    found = counted.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "gram").limit(LISTED).toPandas()
+    grams = found["gram"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(grams)
+    return grams[order], found["n"].to_numpy(np.int64)[order]
 
 
-def _sampled_keys(tables: int, size: int, seed: int = 7):
-    """Rows (key, node): for each table the bits at ``size`` fixed places, and its number."""
-    places = np.stack([np.random.default_rng((seed, t)).choice(BITS, size, replace=False) for t in range(tables)])
-    powers = (1 << np.arange(size, dtype=np.int64))[None, :]
+def _prefixes(shared, width: int, similarity: float):  # type: ignore[no-untyped-def]
+    """Of rows (doc_id, text, text_hash): (doc_id, text_hash, node, n, bits, prefix), rare shingles first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, often = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                node = part.column(0).to_numpy(zero_copy_only=False)
-                bits = np.unpackbits(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, BITS // 8), axis=1)
-                keys = np.concatenate([(bits[:, places[t]] * powers).sum(axis=1) + (t << size) for t in range(tables)])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.tile(node, tables))], names=["key", "node"])
+            nodes, sizes, bitmaps, prefixes = [], [], [], []
+            for text in batch.column(1):
+                grams = shingles(text.as_py(), width)
+                weight = np.zeros(len(grams), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
+                    weight = np.where(common[at] == grams, often[at], 0)
+                nodes.append(node_of(grams))
+                sizes.append(len(grams))
+                bitmaps.append(bitmap(grams))
+                prefixes.append(grams[np.argsort(weight, kind="stable")[: prefix_size(len(grams), similarity)]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bitmaps, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "n", "bits", "prefix"])
 
     return run
 
 
-def _verified(radius: int, references: int):
-    """Of pairs (a, b, fa, fb) those that the pivot table keeps and that are near."""
-    refs = np.random.default_rng(0).integers(0, 256, (references, BITS // 8), dtype=np.uint8).view(np.uint64)
+def _sets(shared, width: int):  # type: ignore[no-untyped-def]
+    """Of rows (doc_id, text): (node, grams) where the node's place is marked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = np.zeros(MARKS, bool)
+        marked[shared.value] = True
+        seen: set[int] = set()
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BITS // 8).view(np.uint64) for c in (2, 3))
-            alive = np.ones(len(x), bool)
-            for r in refs:
-                alive &= np.abs(np.bitwise_count(x ^ r).sum(1, dtype=np.int64) - np.bitwise_count(y ^ r).sum(1, dtype=np.int64)) <= radius
-            alive[alive] = np.bitwise_count(x[alive] ^ y[alive]).sum(1, dtype=np.int64) <= radius
-            keep = pa.array(alive)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+            nodes, sets = [], []
+            for text in batch.column(1):
+                grams = shingles(text.as_py(), width)
+                node = node_of(grams)
+                if marked[node % MARKS] and node not in seen:
+                    seen.add(node)
+                    nodes.append(node)
+                    sets.append(grams.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "grams"])
 
     return run
 
 
-def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 128, size: int = 24, references: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, component, component_id) for every row: components of texts whose
-    long fingerprints are as near as those of texts of this similarity are.
+def _possible(similarity: float):
+    """Of pairs (a, b, n, other_n, bits, other_bits) those that the bitmaps do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in (4, 5))
+            all_ = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            most = (all_ - np.bitwise_count(x ^ y).sum(1, dtype=np.int64)) / 2
+            mask = pa.array(most * (1 + similarity) >= similarity * all_ - 1e-6)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+
+    return run
 
-    Pairs come together where they agree in all bits of one of ``tables`` samples; in such a
-    group each member is compared with the least, never all with all. At a
-    similarity of 0.8 a pair shares a group with a probability of 0.92, at 0.9 of 0.9999, and
-    a group of copies offers many ways. The pivot table discards pairs, the bits decide."""
-    fields = [docs.schema[id_col].dataType.simpleString(), "long", "binary"]
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _alike(similarity: float):
+    """Of pairs (a, b, ga, gb) those of the similarity, by their whole sets of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([long_fingerprint(x.as_py(), width) for x in batch.column(1)], pa.binary())], names=["doc_id", "text_hash", "fp"])
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = np.sort(np.concatenate([x, y]), kind="stable")
+                same = int(np.count_nonzero(both[1:] == both[:-1]))
+                keep.append(same >= similarity * (len(both) - same) - 1e-9)
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+
+    return run
+
+
+def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, component, component_id) for every row: components of all pairs of
+    texts whose sets of shingles have at least this Jaccard similarity, and of no others.
 
+    Texts with the same set are one node. Two sets of the similarity share one of their first
+    shingles (``prefix_size``) in any order common to all texts, so no pair is left to chance;
+    with rare shingles first, what many texts share is no meeting place unless a text has
+    little else. At a meeting place the sizes and the places of the shingle in the order rule
+    out pairs. All members are compared with ``HUBS`` of them first; where that leaves members
+    in different components, all pairs across components are compared. Whole sets decide."""
+    spark = docs.sparkSession
     texts = whole_texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
-    rows = materialize(texts.mapInArrow(prints, "doc_id {}, text_hash {}, fp {}".format(*fields)), "long-fingerprints")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    keys = nodes.select("node", "fp").mapInArrow(_sampled_keys(tables, size), "key long, node long")
-    ends = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("high")).where("a < high").drop("high")
-    pairs = keys.join(ends, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    known = nodes.select("node", "fp")
-    pairs = pairs.join(known.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a").join(known.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b").select("a", "b", "fa", "fb")
-    member = components(pairs.mapInArrow(_verified(bits_apart(similarity), references), "a long, b long"))
+    listed = spark.sparkContext.broadcast(_common(texts, width))
+    id_type = docs.schema[id_col].dataType.simpleString()
+    rows = materialize(texts.mapInArrow(_prefixes(listed, width, similarity), f"doc_id {id_type}, text_hash long, node long, n int, bits binary, prefix array<long>"), "prefixes")
+
+    def near(n: Column, pos: Column, other_n: Column, other_pos: Column) -> Column:
+        return F.least(n - pos, other_n - other_pos) * (1 + similarity) >= similarity * (n + other_n) - 1e-6
+
+    place = Window.partitionBy("key")
+    met = rows.select("node", "n", "prefix").dropDuplicates(["node"]).select("node", "n", F.posexplode("prefix").alias("pos", "key"))
+    met = met.withColumns({"low": F.min("node").over(place), "high": F.max("node").over(place)}).where("low < high").drop("low", "high")
+    met = materialize(met, "meetings")
+    release(spark)
+    renamed = lambda df, *more: df.select("key", *(F.col(c).alias(f"other_{c}") for c in ("node", "n", "pos", *more)))
+    ok = near(F.col("n"), F.col("pos"), F.col("other_n"), F.col("other_pos"))
+    other = renamed(met)
+    met = materialize(met.join(other, (met["key"] == other["key"]) & (F.col("node") != F.col("other_node")) & ok, "left_semi"), "meetings")
+    bits = rows.join(met.select("node").distinct(), "node").select("node", "n", "bits").dropDuplicates(["node"])
+    bits = materialize(bits, "bitmaps")
+    release(spark)
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) of the similarity. The sets that the bitmaps leave are made from the
+        texts again: kept from the start, they would take more room than the texts."""
+        both = pairs.join(bits.withColumnRenamed("node", "a"), "a").join(bits.select(F.col("node").alias("b"), F.col("n").alias("other_n"), F.col("bits").alias("other_bits")), "b")
+        left = materialize(both.select("a", "b", "n", "other_n", "bits", "other_bits").mapInArrow(_possible(similarity), "a long, b long"), "possible")
+        marks = left.select(F.explode(F.array("a", "b")).alias("node")).select(F.pmod("node", F.lit(MARKS)).cast("int").alias("at")).distinct()
+        marks = spark.sparkContext.broadcast(marks.toPandas()["at"].to_numpy(np.int32))  # MARKS at most
+        sets = materialize(texts.select("doc_id", "text").mapInArrow(_sets(marks, width), "node long, grams binary").dropDuplicates(["node"]), "sets")
+        release(spark)
+        both = left.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
+        found = materialize(both.select("a", "b", "ga", "gb").mapInArrow(_alike(similarity), "a long, b long"), "alike")
+        release(spark)
+        return found
+
+    hubs = F.array(*(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("rank"), "node", "n", "pos")).over(place) for k in range(HUBS)))
+    first = met.withColumn("hubs", hubs).withColumn("hub", F.explode(F.filter("hubs", lambda h: (h["node"] != F.col("node")) & near(F.col("n"), F.col("pos"), h["n"], h["pos"]))))
+    pairs = materialize(first.select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")).distinct(), "pairs")
+    links_ = alike(pairs)
+    part = components(links_).withColumnRenamed("component", "part")
+    open_ = met.join(part, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    open_ = open_.withColumns({"low": F.min("part").over(place), "high": F.max("part").over(place)}).where("low < high").drop("low", "high")
+    open_ = materialize(open_, "open")
+    other = renamed(open_, "part")
+    across = open_.join(other, (open_["key"] == other["key"]) & (F.col("node") < F.col("other_node")) & (F.col("part") != F.col("other_part")) & ok)
+    across = across.select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    member = components(links_.unionByName(alike(materialize(across, "pairs"))))
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
     named = nodes.join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(least, "component").select("fp", "component", "component_id"), "fp").select("doc_id", "text_hash", "component", "component_id")
+    return rows.select("doc_id", "text_hash", "node").join(named.join(least, "component").select("node", "component", "component_id"), "node").select("doc_id", "text_hash", "component", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

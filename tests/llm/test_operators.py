@@ -240,6 +240,32 @@ def test_similar_finds_near_copies(spark):
     assert all(got[i] == i for i in range(40)) and sum(got[40 + i] == i for i in range(40)) >= 38
 
 
+def brute_components(table, similarity=0.8, width=5):
+    sets = {i: {tuple(w[k : k + width]) for k in range(max(len(w) - width + 1, 1))} for i, t in table.items() for w in [words(t)]}
+    near = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])}
+    least = {i: i for i in sets}
+    while True:
+        before = dict(least)
+        for a, b in near:
+            least[a] = least[b] = min(least[a], least[b])
+        if before == least:
+            return least
+
+
+def test_similar_in_a_source_with_boilerplate(spark):
+    import random
+
+    r = random.Random(2)
+    own = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    shared = own(90)
+    texts = [shared + own(60) for _ in range(200)]  # strangers with a mutual similarity of 0.4
+    texts += [t[:k] + own(len(t) - k) for t, k in zip(texts[:60], [136, 135, 134, 133, 145, 140] * 10, strict=True)]  # on both sides of 0.8
+    texts += [own(1) + t[1:] for t in texts[200:230]]  # linked to a text that its group's least may not be
+    table = dict(enumerate(" ".join(t) for t in texts))
+    got = {x.doc_id: x.component_id for x in simhash.similar(spark.createDataFrame(list(table.items()), "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute_components(table) and len(set(got.values())) < 200 + 60
+
+
 def test_links_keep_every_connection(spark):
     r = np.random.default_rng(5)
     centres = r.integers(0, 1 << 63, 6, dtype=np.uint64)
