@@ -1,4 +1,4 @@
-"""Corpus pipeline: quality rules, SimHash near-dedup, substring dedup, secret scans, packing.
+"""Corpus pipeline: quality rules, exact near-dedup, substring dedup, secret scans, packing.
 
 Every stage takes all that its predecessor kept. Stages but the last return the columns of
 documents: the first two drop rows, the next two change texts (and n_chars with them)."""

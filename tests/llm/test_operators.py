@@ -240,6 +240,18 @@ def test_similar_finds_near_copies(spark):
     assert all(got[i] == i for i in range(40)) and sum(got[40 + i] == i for i in range(40)) >= 38
 
 
+def test_similar_takes_pairs_from_the_threshold_on(spark):
+    import random
+
+    r = random.Random(3)
+    own = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    base = [own(304) for _ in range(80)]  # 300 shingles: 33 others give 267 / 333, 34 give 266 / 334
+    near = [b[: -33 - i % 2] + own(33 + i % 2) for i, b in enumerate(base)]
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(base + near)], "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in simhash.similar(table).collect()}
+    assert all(got[80 + i] == (80 + i if i % 2 else i) for i in range(80))
+
+
 def brute_components(table, similarity=0.8, width=5):
     sets = {i: {tuple(w[k : k + width]) for k in range(max(len(w) - width + 1, 1))} for i, t in table.items() for w in [words(t)]}
     near = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])}
