@@ -4,10 +4,10 @@ Only DataFrame functions. A pattern's places come from the lengths of its matche
 text between them, summed up by a window over the match number. Base spans always stay.
 Weak candidates are identifiers, bare 40-character keys and endpoints that say little alone.
 They are joined by interval with the parts of other classes: both sides are dealt by
-document and a bin of ``reach`` code points, a candidate looks into its own bin and the two
-beside it, and the condition compares the true distance. Matches of one pattern do not
-overlap, so a bin holds a bounded number of parts and the join a bounded number of pairs
-for each candidate. A weak secret needs an identifier near it, a weak identifier a secret,
+document and to every bin of ``reach`` code points that they cover, a candidate also to the
+two beside these, and the condition compares the true distance. Matches of one pattern do
+not overlap, so a bin holds a bounded number of parts and the join a bounded number of pairs
+for each bin of a candidate. A weak secret needs an identifier near it, a weak identifier a secret,
 an endpoint both.
 
 Cases: null texts count as empty ones; a document without any span has zero counts and the
@@ -69,12 +69,12 @@ def parts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wh
 
 def linked(parts: DataFrame, reach: int = 256) -> DataFrame:
     """Weak candidates (row, kind, start, end) whose complementary parts are within reach."""
-    place = F.expr(f"start div {reach}")
-    weak = parts.where("weak").withColumn("bin", F.explode(F.array(place - 1, place, place + 1)))
-    other = parts.select("row", place.alias("bin"), F.col("class").alias("other"), F.col("start").alias("from"), F.col("end").alias("to")).where("other <> 'endpoint'")
+    first, last = F.expr(f"start div {reach}"), F.expr(f"end div {reach}")
+    weak = parts.where("weak").withColumn("bin", F.explode(F.sequence(first - 1, last + 1)))
+    other = parts.select("row", F.explode(F.sequence(first, last)).alias("bin"), F.col("class").alias("other"), F.col("start").alias("from"), F.col("end").alias("to")).where("other <> 'endpoint'")
     near = (F.col("from") - F.col("end") <= reach) & (F.col("start") - F.col("to") <= reach) & (F.col("other") != F.col("class"))
     has = lambda c: F.bool_or(F.col("other") == c)
-    pairs = weak.join(other, ["row", "bin"]).where(near & (F.abs(F.col("from") - F.col("start")) <= reach))
+    pairs = weak.join(other, ["row", "bin"]).where(near)
     kept = pairs.groupBy("row", "kind", "class", "start", "end").agg(has("identifier").alias("i"), has("secret").alias("s"))
     return kept.where("case class when 'secret' then i when 'identifier' then s else i and s end").select("row", "kind", "start", "end")
 

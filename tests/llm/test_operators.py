@@ -346,6 +346,21 @@ def test_secret_base_spans(docs, none):
     assert secret_scan.scan(none).count() == 0
 
 
+def test_long_parts_are_linked_by_distance(spark):
+    long = "aB3" * 300
+    texts = {
+        1: f"token={long} client_id=bob7",  # the part is long
+        2: f"client_id=bob7 https://h/{long} token=abcdefgh",  # an endpoint between its parts is long
+        3: f"https://h/{long}?client_id=bob7&{long}&token=abcdefgh&{long}",  # parts inside a long endpoint
+        4: f"token=abcdefgh {'.' * 260} client_id=bob7",  # too far
+        5: f"token=abcdefgh{'.' * 240} {'x ' * 4}client_id=bob7",
+    }
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: {x.split(":")[0] for x in r.spans.split(",") if x} for r in secret_scan.scan(table).collect()}
+    assert got == {1: {"assign", "identifier"}, 2: {"assign", "endpoint"}, 3: {"assign", "endpoint"}, 4: {"assign"}, 5: {"assign", "identifier"}}
+    assert "bob7" not in secret_scan.redact(table.where("doc_id = 1")).first().text
+
+
 def test_redaction(docs):
     out = secret_scan.redact(docs)
     texts = {r.doc_id: r for r in out.collect()}
