@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: the one that the cluster names in
-    ``spark.checkpoint.dir``; only where that is unset (as in tests) an own one."""
+    ``spark.checkpoint.dir``. Only where that is unset and all runs on this machine, an own one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='checkpoint-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -10,13 +10,15 @@ from .common import materialize
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges (u, v), u > v. A step links neighbours of a node to the least of its
-    neighbourhood: the larger neighbours (large star) or the smaller ones (small star)."""
+    neighbourhood: the larger neighbours (large star) or the smaller ones (small star).
+    The least ones are written first: both sides of the join are then read as they are, so
+    that Spark can split the edges of a node that has very many."""
     if large:
         sides = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = materialize(sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         new = sides.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
         both = edges.join(least, "u")
         new = both.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return new.where("u > v").distinct()

@@ -8,8 +8,8 @@ most 2^(masked bits) different fingerprints (2^24), whatever the input. Within a
 distances to many reference fingerprints are computed once; a pair whose distances to any
 reference differ by more than the radius is discarded by the triangle inequality, and the
 pairs that survive are verified bit by bit. Groups are connected along a spanning forest:
-members that a reference of the group itself links directly need no pairs among them, so a
-large group of near copies costs its size, not its square. Components of the forest's edges
+what the distances to a reference out of the group itself link directly needs no pairs among
+itself, so a large group of near copies costs its size, not its square. Components of the forest's edges
 are found by star steps.
 
 Cases: null and empty texts have fingerprint zero and link like any other; fewer words than
@@ -85,12 +85,15 @@ def pivot_table(fps: np.ndarray, refs: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fps[:, None] ^ refs[None, :])
 
 
-def group_links(fps: np.ndarray, radius: int, refs: np.ndarray, block: int = 1024) -> list[tuple[int, int]]:
+def group_links(fps: np.ndarray, radius: int, refs: np.ndarray, block: int = 1024, small: int = 64, own: int = 32) -> list[tuple[int, int]]:
     """Edges (indices) that connect what links within ``radius`` connect in the group.
 
-    Own references come first: a member is picked, all within the radius are linked to it,
-    and those need no pairs among themselves. Pairs of what the picks leave in different
-    parts are discarded by the pivot table, block by block, and verified."""
+    The distance table comes first: the distances of all members to the references. A group
+    of more than ``small`` members gets up to ``own`` references of its own besides, members
+    that no reference before is near; what the table shows to be within the radius of such a
+    one is linked to it and needs no pairs among itself. All other pairs in different parts
+    are discarded where any coordinate differs by more than the radius, and the survivors
+    are verified bit by bit."""
     n = len(fps)
     parent = np.arange(n)
 
@@ -108,16 +111,18 @@ def group_links(fps: np.ndarray, radius: int, refs: np.ndarray, block: int = 102
             parent[max(a, b)] = min(a, b)
             edges.append((i, j))
 
-    table = pivot_table(fps, refs)
-    own, free = [], np.ones(n, bool)
-    while len(own) < 64 and free.any():
+    table = pivot_table(fps, refs).astype(np.int16)
+    free = np.ones(n, bool)
+    for _ in range(own if n > small else 0):
+        if not free.any():
+            break
         pick = int(np.argmax(free))
-        near = np.bitwise_count(fps ^ fps[pick]) <= radius
+        column = pivot_table(fps, fps[pick : pick + 1]).astype(np.int16)
+        table = np.concatenate([table, column], axis=1)
+        near = column[:, 0] <= radius
         for j in np.flatnonzero(near).tolist():
             join(pick, j)
-        own.append(pick)
         free &= ~near
-    table = np.concatenate([table, pivot_table(fps, fps[own])], axis=1).astype(np.int16)
     # All pairs left have at least one member outside the largest part.
     part = np.array([root(i) for i in range(n)])
     names, sizes = np.unique(part, return_counts=True)
@@ -148,6 +153,7 @@ def links(nodes: DataFrame, radius: int = 3, blocks: int = 8, references: int =
     """Edges (a, b) between different fingerprints at most ``radius`` bits apart, enough to
     connect all that such links connect. nodes: (fp long), each once."""
     masks = F.array(*(F.lit(m).cast("long") for m in block_masks(blocks, radius)))
+    nodes = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # each row becomes 56
     dealt = nodes.select("fp", F.posexplode(masks).alias("choice", "mask")).select("fp", "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("kept"))
     groups = dealt.groupBy("choice", "kept").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
 
@@ -171,7 +177,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: st
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     member = components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
     named = nodes.join(member, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    # Both sides of the join are then read as they are, so that a large component can be split.
+    named = materialize(named, "named")
+    least = materialize(named.groupBy("component").agg(F.min("least").alias("component_id")), "least")
     named = named.join(least, "component").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -180,8 +188,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: st
 SAMPLE = 16  # one text in so many is asked which shingles are common
 COMMON = 8  # texts of the sample that make a shingle common
 LISTED = 1 << 17  # common shingles that are broadcast at most, the most common first
-HUBS = 8  # members of a meeting place that are compared with all others first
-BITS = 2048
+HUBS = 2  # members of a meeting place that are compared with all others first
 MARKS = 1 << 24  # places of the marks by which texts are read again
 
 
@@ -204,12 +211,32 @@ def node_of(grams: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes())).view(np.int64))
 
 
+def majority(grams: np.ndarray) -> int:
+    """The set's SimHash: bits that more than half of the hashes have, as a signed integer."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(grams), CHUNK):
+        bits = np.unpackbits(grams[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(grams), bitorder="little").view(np.int64)[0])
+
+
 def bitmap(grams: np.ndarray) -> bytes:
-    """A bit for each place that some shingle takes. Two bitmaps differ in at most as many
-    bits as their sets have shingles that the other lacks."""
-    bits = np.zeros(BITS, np.uint8)
-    bits[grams % BITS] = 1
-    return np.packbits(bits).tobytes()
+    """A bit for each place that some shingle takes, of four places or more for each shingle
+    (a power of two). Two bitmaps differ in at most as many bits as their sets have shingles
+    that the other lacks; the same holds when the longer one is folded to the other's size."""
+    size = max(512, 4 << int(len(grams) - 1).bit_length()) if len(grams) else 512
+    bits = np.zeros(size, np.uint8)
+    bits[grams % np.uint64(size)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def bitmap_distance(x: bytes, y: bytes) -> int:
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) > len(b):
+        a = np.bitwise_or.reduce(a.reshape(-1, len(b)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
 
 
 def prefix_size(n: int, similarity: float) -> int:
@@ -234,13 +261,16 @@ def _common(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return grams[order], found["n"].to_numpy(np.int64)[order]
 
 
+_ROW = [("text_hash", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("bits", pa.binary()), ("prefix", pa.list_(pa.int64()))]
+
+
 def _prefixes(shared, width: int, similarity: float):  # type: ignore[no-untyped-def]
-    """Of rows (doc_id, text, text_hash): (doc_id, text_hash, node, n, bits, prefix), rare shingles first."""
+    """Of rows (doc_id, text, text_hash): doc_id and what ``_ROW`` names, rare shingles first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, often = shared.value
         for batch in batches:
-            nodes, sizes, bitmaps, prefixes = [], [], [], []
+            nodes, prints, sizes, bitmaps, prefixes = [], [], [], [], []
             for text in batch.column(1):
                 grams = shingles(text.as_py(), width)
                 weight = np.zeros(len(grams), np.int64)
@@ -248,29 +278,32 @@ def _prefixes(shared, width: int, similarity: float):  # type: ignore[no-untyped
                     at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
                     weight = np.where(common[at] == grams, often[at], 0)
                 nodes.append(node_of(grams))
+                prints.append(majority(grams))
                 sizes.append(len(grams))
                 bitmaps.append(bitmap(grams))
                 prefixes.append(grams[np.argsort(weight, kind="stable")[: prefix_size(len(grams), similarity)]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bitmaps, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "n", "bits", "prefix"])
+            own = (nodes, prints, sizes, bitmaps, prefixes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, t) for c, (_, t) in zip(own, _ROW[1:], strict=True))], names=["doc_id", *(n for n, _ in _ROW)])
 
     return run
 
 
 def _sets(shared, width: int):  # type: ignore[no-untyped-def]
-    """Of rows (doc_id, text): (node, grams) where the node's place is marked."""
+    """Of rows (text, text_hash) whose place is marked: (node, grams)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = np.zeros(MARKS, bool)
         marked[shared.value] = True
         seen: set[int] = set()
         for batch in batches:
+            hashes = batch.column(1).to_numpy()
+            wanted = np.flatnonzero(marked[hashes % MARKS])
             nodes, sets = [], []
-            for text in batch.column(1):
-                grams = shingles(text.as_py(), width)
-                node = node_of(grams)
-                if marked[node % MARKS] and node not in seen:
-                    seen.add(node)
-                    nodes.append(node)
+            for i in wanted.tolist():
+                if hashes[i] not in seen:
+                    seen.add(hashes[i])
+                    grams = shingles(batch.column(0)[i].as_py(), width)
+                    nodes.append(node_of(grams))
                     sets.append(grams.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "grams"])
 
@@ -278,15 +311,16 @@ def _sets(shared, width: int):  # type: ignore[no-untyped-def]
 
 
 def _possible(similarity: float):
-    """Of pairs (a, b, n, other_n, bits, other_bits) those that the bitmaps do not rule out."""
+    """Of pairs (a, b, n, other_n, bits, other_bits, hash, other_hash) those that sizes and
+    bitmaps do not rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in (4, 5))
             all_ = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
-            most = (all_ - np.bitwise_count(x ^ y).sum(1, dtype=np.int64)) / 2
+            apart = np.array([bitmap_distance(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
+            most = (all_ - apart) / 2
             mask = pa.array(most * (1 + similarity) >= similarity * all_ - 1e-6)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in (0, 1, 6, 7)], names=["a", "b", "hash", "other_hash"])
 
     return run
 
@@ -308,68 +342,98 @@ def _alike(similarity: float):
     return run
 
 
+def print_pairs(nodes: DataFrame, radius: int = 3) -> DataFrame:
+    """Pairs (a, b) of nodes that SimHash nominates: nodes of a fingerprint with the least of
+    them, and the least ones of fingerprints that ``links`` connects. nodes: (node, fp)."""
+    first = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")), "prints")
+    same = nodes.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = links(first.select("fp"), radius).withColumnsRenamed({"a": "x", "b": "y"})
+    ends = [first.select(F.col("fp").alias(k), F.col("first").alias(n)) for k, n in (("x", "m"), ("y", "n"))]
+    near = near.join(ends[0], "x").join(ends[1], "y").select(F.least("m", "n").alias("a"), F.greatest("m", "n").alias("b"))
+    return same.unionByName(near).distinct()
+
+
 def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, component, component_id) for every row: components of all pairs of
     texts whose sets of shingles have at least this Jaccard similarity, and of no others.
 
-    Texts with the same set are one node. Two sets of the similarity share one of their first
-    shingles (``prefix_size``) in any order common to all texts, so no pair is left to chance;
-    with rare shingles first, what many texts share is no meeting place unless a text has
-    little else. At a meeting place the sizes and the places of the shingle in the order rule
-    out pairs. All members are compared with ``HUBS`` of them first; where that leaves members
-    in different components, all pairs across components are compared. Whole sets decide."""
+    Texts with the same set are one node. Pairs are nominated in three rounds, and the whole
+    sets decide on each: first what SimHash over the pivot tables links, which gathers the
+    copies; then, since SimHash finds a pair at the threshold by chance only, the meeting
+    places: two sets of the similarity share one of their first shingles (``prefix_size``) in
+    any order common to all texts, so no pair is left out; with rare shingles first, what many
+    texts share is no meeting place unless a text has little else. At a meeting place the
+    sizes and the places of the shingle in the order rule out pairs. Where members are still
+    in different components, all are compared with ``HUBS`` of them; where that leaves
+    different components, all pairs across components are compared."""
     spark = docs.sparkSession
     texts = whole_texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     listed = spark.sparkContext.broadcast(_common(texts, width))
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = materialize(texts.mapInArrow(_prefixes(listed, width, similarity), f"doc_id {id_type}, text_hash long, node long, n int, bits binary, prefix array<long>"), "prefixes")
-
-    def near(n: Column, pos: Column, other_n: Column, other_pos: Column) -> Column:
-        return F.least(n - pos, other_n - other_pos) * (1 + similarity) >= similarity * (n + other_n) - 1e-6
-
-    place = Window.partitionBy("key")
-    met = rows.select("node", "n", "prefix").dropDuplicates(["node"]).select("node", "n", F.posexplode("prefix").alias("pos", "key"))
-    met = met.withColumns({"low": F.min("node").over(place), "high": F.max("node").over(place)}).where("low < high").drop("low", "high")
-    met = materialize(met, "meetings")
-    release(spark)
-    renamed = lambda df, *more: df.select("key", *(F.col(c).alias(f"other_{c}") for c in ("node", "n", "pos", *more)))
-    ok = near(F.col("n"), F.col("pos"), F.col("other_n"), F.col("other_pos"))
-    other = renamed(met)
-    met = materialize(met.join(other, (met["key"] == other["key"]) & (F.col("node") != F.col("other_node")) & ok, "left_semi"), "meetings")
-    bits = rows.join(met.select("node").distinct(), "node").select("node", "n", "bits").dropDuplicates(["node"])
-    bits = materialize(bits, "bitmaps")
+    rows = materialize(texts.mapInArrow(_prefixes(listed, width, similarity), f"doc_id {id_type}, text_hash long, node long, fp long, n int, bits binary, prefix array<long>"), "prefixes")
+    nodes = materialize(rows.select("node", "fp", "n", "bits", "text_hash").dropDuplicates(["node"]), "nodes")
     release(spark)
 
     def alike(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) of the similarity. The sets that the bitmaps leave are made from the
         texts again: kept from the start, they would take more room than the texts."""
-        both = pairs.join(bits.withColumnRenamed("node", "a"), "a").join(bits.select(F.col("node").alias("b"), F.col("n").alias("other_n"), F.col("bits").alias("other_bits")), "b")
-        left = materialize(both.select("a", "b", "n", "other_n", "bits", "other_bits").mapInArrow(_possible(similarity), "a long, b long"), "possible")
-        marks = left.select(F.explode(F.array("a", "b")).alias("node")).select(F.pmod("node", F.lit(MARKS)).cast("int").alias("at")).distinct()
+        one = nodes.select(F.col("node").alias("a"), "n", "bits", F.col("text_hash").alias("hash"))
+        two = nodes.select(F.col("node").alias("b"), F.col("n").alias("other_n"), F.col("bits").alias("other_bits"), F.col("text_hash").alias("other_hash"))
+        sizes = F.least("n", "other_n") >= similarity * F.greatest("n", "other_n") - 1e-6
+        both = pairs.join(one, "a").join(two, "b").where(sizes).select("a", "b", "n", "other_n", "bits", "other_bits", "hash", "other_hash")
+        left = materialize(both.mapInArrow(_possible(similarity), "a long, b long, hash long, other_hash long"), "possible")
+        marks = left.select(F.explode(F.array("hash", "other_hash")).alias("hash")).select(F.pmod("hash", F.lit(MARKS)).cast("int").alias("at")).distinct()
         marks = spark.sparkContext.broadcast(marks.toPandas()["at"].to_numpy(np.int32))  # MARKS at most
-        sets = materialize(texts.select("doc_id", "text").mapInArrow(_sets(marks, width), "node long, grams binary").dropDuplicates(["node"]), "sets")
         release(spark)
-        both = left.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
+        sets = materialize(texts.select("text", "text_hash").mapInArrow(_sets(marks, width), "node long, grams binary").dropDuplicates(["node"]), "sets")
+        release(spark)
+        both = left.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
         found = materialize(both.select("a", "b", "ga", "gb").mapInArrow(_alike(similarity), "a long, b long"), "alike")
         release(spark)
         return found
 
-    hubs = F.array(*(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("rank"), "node", "n", "pos")).over(place) for k in range(HUBS)))
-    first = met.withColumn("hubs", hubs).withColumn("hub", F.explode(F.filter("hubs", lambda h: (h["node"] != F.col("node")) & near(F.col("n"), F.col("pos"), h["n"], h["pos"]))))
-    pairs = materialize(first.select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")).distinct(), "pairs")
+    def near(n: Column, pos: Column, other_n: Column, other_pos: Column) -> Column:
+        return F.least(n - pos, other_n - other_pos) * (1 + similarity) >= similarity * (n + other_n) - 1e-6
+
+    pairs = materialize(print_pairs(nodes.select("node", "fp")), "pairs")
     links_ = alike(pairs)
-    part = components(links_).withColumnRenamed("component", "part")
-    open_ = met.join(part, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    open_ = open_.withColumns({"low": F.min("part").over(place), "high": F.max("part").over(place)}).where("low < high").drop("low", "high")
-    open_ = materialize(open_, "open")
-    other = renamed(open_, "part")
+
+    place = Window.partitionBy("key")
+    met = rows.select("node", "n", "prefix").dropDuplicates(["node"]).select("node", "n", F.posexplode("prefix").alias("pos", "key"))
+    met = met.withColumns({"low": F.min("node").over(place), "high": F.max("node").over(place)}).where("low < high").drop("low", "high")
+    met = materialize(met, "meetings")
+    release(spark)
+
+    def still_open() -> DataFrame:
+        """Members of meeting places that are not all in one component, and their part."""
+        part = components(links_).withColumnRenamed("component", "part")
+        parts = met.join(part, "node", "left").withColumn("part", F.coalesce("part", "node"))
+        parts = parts.withColumns({"low": F.min("part").over(place), "high": F.max("part").over(place)}).where("low < high").drop("low", "high")
+        return materialize(parts, "open")
+
+    met = still_open().drop("part")
+    ok = near(F.col("n"), F.col("pos"), F.col("other_n"), F.col("other_pos"))
+    other = met.select("key", *(F.col(c).alias(f"other_{c}") for c in ("node", "n", "pos")))
+    met = materialize(met.join(other, (met["key"] == other["key"]) & (F.col("node") != F.col("other_node")) & ok, "left_semi"), "meetings")
+    open_ = still_open()
+    hubs = F.array(*(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("rank"), "node", "n", "pos", "part")).over(place) for k in range(HUBS)))
+    apart = lambda h: (h["part"] != F.col("part")) & near(F.col("n"), F.col("pos"), h["n"], h["pos"])
+    first = open_.withColumn("hubs", hubs).withColumn("hub", F.explode(F.filter("hubs", apart)))
+    more = first.select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = materialize(more, "pairs")
+    release(spark)
+    links_, pairs = links_.unionByName(alike(more)), pairs.unionByName(more)
+    open_ = still_open()
+    other = open_.select("key", *(F.col(c).alias(f"other_{c}") for c in ("node", "n", "pos", "part")))
     across = open_.join(other, (open_["key"] == other["key"]) & (F.col("node") < F.col("other_node")) & (F.col("part") != F.col("other_part")) & ok)
     across = across.select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     member = components(links_.unionByName(alike(materialize(across, "pairs"))))
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = nodes.join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows.select("doc_id", "text_hash", "node").join(named.join(least, "component").select("node", "component", "component_id"), "node").select("doc_id", "text_hash", "component", "component_id")
+    named = rows.groupBy("node").agg(F.min("doc_id").alias("least")).join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # Both sides of the joins are then read as they are, so that a large component can be split.
+    named = materialize(named, "named")
+    least = materialize(named.groupBy("component").agg(F.min("least").alias("component_id")), "least")
+    named = materialize(named.join(least, "component").select("node", "component", "component_id"), "components")
+    return rows.select("doc_id", "text_hash", "node").join(named, "node").select("doc_id", "text_hash", "component", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
