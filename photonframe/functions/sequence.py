@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from photonframe.functions.stored import stored
+
 
 def global_sequence(rows: DataFrame, order: list[str], out: str = "seq", ranges: int | None = None) -> DataFrame:
-    """Numbers from 0 in the order of columns. Rows are dealt by range, numbered in their
-    range, and shifted by the sizes of the ranges before (one number for each range)."""
+    """Numbers from 0 in the order of columns. Rows are dealt by range and written with the
+    number of their range, since the bounds of ranges are sampled and differ each time they
+    are; then numbered in their range, and shifted by the sizes of the ranges before (one
+    number for each range). Ties are numbered in any order, each number once."""
     n = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
+    dealt = stored(rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).select("_range", F.coalesce("_before", F.lit(0)).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1

@@ -20,29 +20,38 @@ def line(axis: tuple[str, str]):  # type: ignore[no-untyped-def]
     return Window.partitionBy("image_id", axis[0]).orderBy(axis[1])
 
 
+def box_means(df: DataFrame, columns: dict[str, str], radius: int, replicate: bool = False) -> DataFrame:
+    """Means of several columns (name to source) over the (2r+1)^2 window, all along one axis
+    and then all along the other, so that the pixels are dealt twice however many columns
+    there are. Only the part inside the picture counts; with ``replicate`` edges are repeated:
+    the frame's sum, and the first and last value of the line for what the frame lacks."""
+    sums = {out: F.col(source) for out, source in columns.items()}
+    if not replicate:
+        df = df.withColumn("_n", F.lit(1))
+        for axis in AXES:  # sums and counts, not means of means: exact for integers
+            frame = line(axis).rowsBetween(-radius, radius)
+            df = df.withColumns({**{out: F.sum(c).over(frame) for out, c in sums.items()}, "_n": F.sum("_n").over(frame)})
+            sums = {out: F.col(out) for out in columns}
+        return df.withColumns({out: F.col(out) / F.col("_n") for out in columns}).drop("_n")
+    for axis in AXES:
+        ordered = line(axis)
+        whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        df = df.withColumns({"_at": F.row_number().over(ordered) - 1, "_n": F.count("*").over(whole)})
+        low, high = F.greatest(radius - F.col("_at"), F.lit(0)), F.greatest(F.col("_at") + radius - (F.col("_n") - 1), F.lit(0))
+        total = {out: F.sum(c).over(ordered.rowsBetween(-radius, radius)) + low * F.first(c).over(whole) + high * F.last(c).over(whole) for out, c in sums.items()}
+        df = df.withColumns(total).drop("_at", "_n")
+        sums = {out: F.col(out) for out in columns}
+    return df.withColumns({out: F.col(out) / float((2 * radius + 1) ** 2) for out in columns})
+
+
 def box_clip(df: DataFrame, col: str, radius: int, out: str | None = None) -> DataFrame:
     """Mean over the part of the (2r+1)^2 window that is inside the picture."""
-    out = out or col
-    df = df.withColumns({"_sum": F.col(col), "_n": F.lit(1)})
-    for axis in AXES:  # sums and counts, not means of means: exact for integers
-        frame = line(axis).rowsBetween(-radius, radius)
-        df = df.withColumns({"_sum": F.sum("_sum").over(frame), "_n": F.sum("_n").over(frame)})
-    return df.withColumn(out, F.col("_sum") / F.col("_n")).drop("_sum", "_n")
+    return box_means(df, {out or col: col}, radius)
 
 
 def box_replicate(df: DataFrame, col: str, radius: int, out: str | None = None) -> DataFrame:
-    """Mean over the window with edges repeated: the frame's sum, and the first and last
-    value of the line for what the frame lacks."""
-    out = out or col
-    for axis in AXES:
-        source = F.col(col if axis is AXES[0] else out)
-        whole = Window.partitionBy("image_id", axis[0]).orderBy(axis[1]).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        frame = line(axis).rowsBetween(-radius, radius)
-        at, n = F.row_number().over(line(axis)) - 1, F.count("*").over(Window.partitionBy("image_id", axis[0]))
-        low, high = F.greatest(radius - at, F.lit(0)), F.greatest(at + radius - (n - 1), F.lit(0))
-        total = F.sum(source).over(frame) + low * F.first(source).over(whole) + high * F.last(source).over(whole)
-        df = df.withColumn(out, total)
-    return df.withColumn(out, F.col(out) / float((2 * radius + 1) ** 2))
+    """Mean over the window with edges repeated."""
+    return box_means(df, {out or col: col}, radius, replicate=True)
 
 
 def extreme(df: DataFrame, col: str, size: tuple[int, int], largest: bool, out: str | None = None) -> DataFrame:
@@ -70,8 +79,8 @@ def kernel(sigma: float) -> list[float]:
 
 def gaussian(df: DataFrame, col: str, sigma: float, out: str | None = None) -> DataFrame:
     """Separable Gaussian of three sigma, edges reflected (repeated in lines that are too
-    short for it). A sum of shifted columns while the kernel is short; longer kernels fold
-    over the frame's array."""
+    short for it). The frame of a pixel holds all it needs, reflected values too, so a pixel
+    carries 2r + 1 values, never its line."""
     out = out or col
     k = kernel(sigma)
     r = len(k) // 2
@@ -79,14 +88,15 @@ def gaussian(df: DataFrame, col: str, sigma: float, out: str | None = None) -> D
         source = col if axis is AXES[0] else out
         w = line(axis)
         whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        df = df.withColumns({"_v": F.collect_list(source).over(whole), "_n": F.count("*").over(Window.partitionBy("image_id", axis[0])), "_at": F.row_number().over(w) - 1})
+        df = df.withColumns({"_v": F.collect_list(source).over(w.rowsBetween(-r, r)), "_n": F.count("*").over(whole), "_at": F.row_number().over(w) - 1})
         n, at = F.col("_n"), F.col("_at")
 
         def value(i: int) -> Column:
             j = at + i
             reflected = F.when(j < 0, -j).when(j > n - 1, 2 * (n - 1) - j).otherwise(j)
             repeated = F.least(F.greatest(j, F.lit(0)), n - 1)
-            return F.element_at("_v", (F.when(n > r, reflected).otherwise(repeated) + 1).cast("int"))
+            place = F.when(n > r, reflected).otherwise(repeated) - F.greatest(at - r, F.lit(0))
+            return F.element_at("_v", (place + 1).cast("int"))
 
         total = value(-r) * k[0]
         for i in range(-r + 1, r + 1):
@@ -95,16 +105,17 @@ def gaussian(df: DataFrame, col: str, sigma: float, out: str | None = None) -> D
     return df
 
 
-def guided(df: DataFrame, guide: str, source: str, radius: int, eps: float, out: str, border=box_clip) -> DataFrame:  # type: ignore[no-untyped-def]
-    """Guided filter: local linear model of ``source`` in ``guide``."""
-    df = df.withColumns({"_i": F.col(guide).cast("double"), "_p": F.col(source).cast("double"), "_ip": F.col(guide) * F.col(source).cast("double"), "_ii": F.col(guide) * F.col(guide).cast("double")})
-    for c in ("_i", "_p", "_ip", "_ii"):
-        df = border(df, c, radius)
-    df = df.withColumn("_a", (F.col("_ip") - F.col("_i") * F.col("_p")) / (F.greatest(F.col("_ii") - F.col("_i") * F.col("_i"), F.lit(0.0)) + eps))
-    df = df.withColumn("_b", F.col("_p") - F.col("_a") * F.col("_i"))
-    for c in ("_a", "_b"):
-        df = border(df, c, radius)
-    return df.withColumn(out, F.col("_a") * F.col(guide) + F.col("_b")).drop("_i", "_p", "_ip", "_ii", "_a", "_b")
+def guided(df: DataFrame, guide: str, sources: dict[str, str], radius: int, eps: float, replicate: bool = False) -> DataFrame:
+    """Guided filter: local linear models of several columns (name to source) in ``guide``.
+    All of them together deal the pixels four times."""
+    g = F.col(guide).cast("double")
+    df = df.withColumns({"_i": g, "_ii": g * g, **{f"_p_{o}": F.col(s).cast("double") for o, s in sources.items()}, **{f"_q_{o}": g * F.col(s).cast("double") for o, s in sources.items()}})
+    df = box_means(df, {c: c for c in ("_i", "_ii", *(f"_{k}_{o}" for k in "pq" for o in sources))}, radius, replicate)
+    spread = F.greatest(F.col("_ii") - F.col("_i") * F.col("_i"), F.lit(0.0)) + eps
+    df = df.withColumns({f"_q_{o}": (F.col(f"_q_{o}") - F.col("_i") * F.col(f"_p_{o}")) / spread for o in sources})
+    df = df.withColumns({f"_p_{o}": F.col(f"_p_{o}") - F.col(f"_q_{o}") * F.col("_i") for o in sources})
+    df = box_means(df, {c: c for c in (f"_{k}_{o}" for k in "pq" for o in sources)}, radius, replicate)
+    return df.withColumns({o: F.col(f"_q_{o}") * F.col(guide) + F.col(f"_p_{o}") for o in sources}).drop("_i", "_ii", *(f"_{k}_{o}" for k in "pq" for o in sources))
 
 
 def paeth(df: DataFrame, col: str, out: str) -> DataFrame:
@@ -144,39 +155,48 @@ def denoise(df: DataFrame, strength: float, noise: float) -> DataFrame:
     radius = max(1, round(1 + 2 * t))
     eps = ((1.2 + 1.8 * t) * max(noise, 0.004)) ** 2
     df = df.withColumn("_y", luma(cols(), (0.299, 0.587, 0.114)))
-    df = guided(df, "_y", "_y", radius, eps, "_smooth")
+    df = guided(df, "_y", {"_smooth": "_y"}, radius, eps)
     df = df.withColumns({f"_c{c}": F.col(c) - F.col("_y") for c in "rgb"})
-    for c in "rgb":
-        df = guided(df, "_y", f"_c{c}", 2 * radius, 0.03**2, f"_s{c}")
+    df = guided(df, "_y", {f"_s{c}": f"_c{c}" for c in "rgb"}, 2 * radius, 0.03**2)
     new = F.col("_y") + 0.85 * t * (F.col("_smooth") - F.col("_y"))
     out = {c: new + F.col(f"_c{c}") + t * (F.col(f"_s{c}") - F.col(f"_c{c}")) for c in "rgb"}
     return df.withColumns(out).drop("_y", "_smooth", *(f"_{k}{c}" for k in "cs" for c in "rgb"))
 
 
-def hdr_tone(df: DataFrame, shadows: float, highlights: float, local: float, detail: float, colour: float, vibrance: float, radius: int) -> DataFrame:
-    """Local tone mapping of 8-bit pixels: a guided base layer takes the tone curve, detail
-    keeps its strength, changes stay inside the room there is, and a dither hides steps.
-    Column smooth is the luma itself: pictures below 1,250 pixels a side need no blur."""
+def _bounded_gain(gain: Column, room: Column) -> Column:
+    """A gain that follows the wish while it is small and never reaches the room there is:
+    the two in the fourth-power mean."""
+    share = gain / F.greatest(room, F.lit(1e-6))
+    return gain / F.sqrt(F.sqrt(1 + F.pow(share, F.lit(4.0))))
+
+
+def hdr_tone(df: DataFrame, shadows: float, highlights: float, local: float, detail: float, colour: float, vibrance: float, radius: int, side: int) -> DataFrame:
+    """Local tone mapping of 8-bit pixels of pictures whose longer side is ``side``.
+
+    Luminance is split into a guided base, what a fine blur leaves above it (middle) and what
+    the blur takes (fine). The base takes the tone curve; middle and fine are added back,
+    strengthened beyond the noise floor, the middle less where it is an edge. The change stays
+    inside the room to black or white, colour follows the luminance, and a dither hides steps."""
     from photonframe.functions.pixel import BT709, dither
 
-    floor, knee, eps = 1.5 / 255, 0.08, 1e-6
-    df = df.withColumn("_l8", luma8(cols()) / 255.0)
-    df = guided(df, "_l8", "_l8", radius, 0.012, "_base", box_replicate)
-    df = df.withColumns({f"_{c}": F.col(c) / 255.0 for c in "rgb"}).withColumns({"_v": luma(cols("_"), BT709), "_base": clip(F.col("_base"))})
-    base, inv = F.col("_base"), 1 - F.col("_base")
-    df = df.withColumn("_toned", base + shadows * base * inv * inv - highlights * base * base * inv)
-    df = df.withColumns({"_mid": F.col("_l8") - base, "_fine": F.col("_v") - F.col("_l8")})
-    mid, fine, toned, v = (F.col(c) for c in ("_mid", "_fine", "_toned", "_v"))
-    soft = lambda d: F.signum(d) * F.greatest(F.abs(d) - floor, F.lit(0.0))
-    weight = 4 * toned * (1 - toned) * local / (1 + (mid / knee) * (mid / knee))
-    df = df.withColumn("_change", toned + mid + weight * soft(mid) + fine + detail * soft(fine) - v)
-    q = F.pow(F.col("_change") / F.greatest(F.when(F.col("_change") > 0, 1 - v).otherwise(v), F.lit(eps)), F.lit(2.0))
-    df = df.withColumn("_new", v + F.col("_change") / F.sqrt(F.sqrt(1 + q * q)))
-    df = df.withColumns({f"_{c}": F.col(f"_{c}") - v for c in "rgb"})
-    hi, lo = F.greatest(*cols("_")), F.least(*cols("_"))
-    gain = F.least(F.pow((F.col("_new") + 0.02) / (v + 0.02), F.lit(colour)), F.lit(2.0)) * (1 + vibrance * (1 - 0.5 * (hi - lo)))
-    df = df.withColumns({"_gain": gain, "_room": F.least((1 - F.col("_new")) / F.greatest(hi, F.lit(eps)), F.col("_new") / F.greatest(-lo, F.lit(eps)))})
-    q = F.pow(F.col("_gain") / F.greatest(F.col("_room"), F.lit(eps)), F.lit(2.0))
-    df = df.withColumns({"_k": F.col("_gain") / F.sqrt(F.sqrt(1 + q * q)), "_dither": dither(F.col("x"), F.col("y"))})
-    out = {c: F.floor(F.least(F.greatest((F.col(f"_{c}") * F.col("_k") + F.col("_new")) * 255 + F.col("_dither") + 0.5, F.lit(0.0)), F.lit(255.0))).cast("int") for c in "rgb"}
-    return df.withColumns(out).drop("_l8", "_base", "_r", "_g", "_b", "_v", "_toned", "_mid", "_fine", "_change", "_new", "_gain", "_room", "_k", "_dither")
+    floor, knee = 1.5 / 255, 0.08
+    strong = lambda d: F.signum(d) * F.greatest(F.abs(d) - floor, F.lit(0.0))
+    split = df.withColumn("_l8", luma8(cols()) / 255.0)
+    split = gaussian(split, "_l8", max(1.0, 0.0008 * side), "_blur")
+    split = guided(split, "_l8", {"_base": "_l8"}, radius, 0.012, replicate=True)
+    split = split.withColumns({f"_{c}": F.col(c) / 255.0 for c in "rgb"})
+    split = split.withColumns({"_v": luma(cols("_"), BT709), "_base": clip(F.col("_base"))})
+    base, v = F.col("_base"), F.col("_v")
+    layers = split.withColumns({"_toned": base + shadows * base * (1 - base) ** 2 - highlights * base**2 * (1 - base), "_mid": F.col("_blur") - base, "_fine": v - F.col("_blur")})
+    toned, mid, fine = (F.col(c) for c in ("_toned", "_mid", "_fine"))
+    lifted = mid + 4 * toned * (1 - toned) * local / (1 + (mid / knee) ** 2) * strong(mid) + fine + detail * strong(fine)
+    wish = layers.withColumn("_wish", toned + lifted - v)
+    bounded = wish.withColumn("_new", v + F.when(F.col("_wish") > 0, _bounded_gain(F.col("_wish"), 1 - v)).otherwise(-_bounded_gain(-F.col("_wish"), v)))
+    chroma = bounded.withColumns({f"_{c}": F.col(f"_{c}") - v for c in "rgb"})
+    high, low, new = F.greatest(*cols("_")), F.least(*cols("_")), F.col("_new")
+    follow = F.least(F.pow((new + 0.02) / (v + 0.02), F.lit(colour)), F.lit(2.0)) * (1 + vibrance * (1 - 0.5 * (high - low)))
+    room = F.least((1 - new) / F.greatest(high, F.lit(1e-6)), new / F.greatest(-low, F.lit(1e-6)))
+    scaled = chroma.withColumns({"_follow": follow, "_room": room}).withColumn("_k", _bounded_gain(F.col("_follow"), F.col("_room")))
+    step = dither(F.col("x"), F.col("y"))
+    done = scaled.withColumns({c: F.floor(F.least(F.greatest((F.col(f"_{c}") * F.col("_k") + new) * 255 + step + 0.5, F.lit(0.0)), F.lit(255.0))).cast("int") for c in "rgb"})
+    return done.select(*df.columns)

@@ -11,9 +11,9 @@ from photonframe.operators.lighting import LOOKS, PROFILES, Look
 
 MONO = Look(monochrome=100, mix=(0.4, 0.4, 0.2), rolloff=40)
 
-PX = """px as (select event_id // 4096 as image_id, cast((event_id % 4096) // 64 as int) as y, cast(event_id % 64 as int) as x,
+PX = """px as materialized (select event_id // 4096 as image_id, cast((event_id % 4096) // 64 as int) as y, cast(event_id % 64 as int) as x,
   cast(cast(floor(value * 100 + 0.5) as bigint) % 256 as int) as r, cast(user_id % 256 as int) as g, cast(json_extract_string(props, '$.k') as int) % 256 as b from events)"""
-GP = """gp as (select vec_id as image_id, cast((i - 1) // 8 as int) as y, cast((i - 1) % 8 as int) as x,
+GP = """gp as materialized (select vec_id as image_id, cast((i - 1) // 8 as int) as y, cast((i - 1) % 8 as int) as x,
   cast(least(greatest(floor((cast(embedding[i] as double) + 0.5) * 255 + 0.5), 0), 255) as int) as l from embeddings, range(1, 65) t(i))"""
 Y709 = "(r*0.2126::double + g*0.7152::double + b*0.0722::double)"
 Y601 = "(r*0.299::double + g*0.587::double + b*0.114::double)"
@@ -389,6 +389,20 @@ def replicated(source: str, cols: list[str], r: int, name: str) -> list[str]:
     ]
 
 
+def blurred(source: str, c: str, sigma: float, name: str) -> list[str]:
+    """Gaussian with each line's own end, edges reflected or, in short lines, repeated."""
+    r = max(1, ceil(3 * sigma))
+    k = [exp(-(i * i) / (2 * sigma * sigma)) for i in range(-r, r + 1)]
+    rows = values([(i - r, w / sum(k)) for i, w in enumerate(k)])
+
+    def axis(table: str, column: str, at: str, other: str, out: str) -> str:
+        j = f"(p.{at} + k.d)"
+        place = f"case when e + 1 > {r} then case when {j} < 0 then -{j} when {j} > e then 2*e - {j} else {j} end else least(greatest({j}, 0), e) end"
+        return f"{out} as materialized (select p.image_id, p.y, p.x, sum(n.{column}*k.w) as v from (select *, max({at}) over (partition by image_id, {other}) as e from {table}) p cross join (values {rows}) k(d, w) join {table} n on n.image_id = p.image_id and n.{other} = p.{other} and n.{at} = {place} group by 1, 2, 3)"
+
+    return [axis(source, c, "x", "y", f"{name}h"), axis(f"{name}h", "v", "y", "x", name)]
+
+
 def mono_sql() -> str:
     ctes = [PX, f"v as (select image_id, y, x, b - {Y601} as cb, r - {Y601} as cr, least(greatest(cast(floor({Y601}/256*32) as int), 0), 31) as bin from px)", *replicated("v", ["cb", "cr"], 2, "m")]
     ctes.append("a as (select m.*, bin from m join v using (image_id, y, x))".replace("m.*, bin", "image_id, y, x, m.cb, m.cr, bin"))
@@ -414,7 +428,8 @@ def hdr_sql() -> str:
     ctes = [PX, "u as (select *, ((54*r + 183*g + 19*b + 128) >> 8)/255.0::double as l8 from px)", "v as (select image_id, y, x, l8 as i, l8*l8 as ii from u)"]
     ctes += replicated("v", ["i", "ii"], r, "m") + ["ab as (select image_id, y, x, greatest(ii - i*i, 0)/(greatest(ii - i*i, 0) + 0.012) as a, i from m)", "ac as (select image_id, y, x, a, i - a*i as b from ab)"] + replicated("ac", ["a", "b"], r, "n")
     ctes += hash_ctes("hs", "px", [("x", "y", 0x4D5), ("x", "y", 0x1F3B)], "image_id, y, x")
-    ctes.append("t0 as (select u.image_id, u.y, u.x, u.r/255.0::double as r, u.g/255.0::double as g, u.b/255.0::double as b, u.l8, least(greatest(n.a*u.l8 + n.b, 0), 1) as base, (hs.h0 + hs.h1)/4294967296.0::double - 1 as di from u join n on u.image_id = n.image_id and u.y = n.y and u.x = n.x join hs on u.image_id = hs.image_id and u.y = hs.y and u.x = hs.x)")
+    ctes += blurred("u", "l8", 1.0, "bl")
+    ctes.append("t0 as (select u.image_id, u.y, u.x, u.r/255.0::double as r, u.g/255.0::double as g, u.b/255.0::double as b, bl.v as l8, least(greatest(n.a*u.l8 + n.b, 0), 1) as base, (hs.h0 + hs.h1)/4294967296.0::double - 1 as di from u join n on u.image_id = n.image_id and u.y = n.y and u.x = n.x join hs on u.image_id = hs.image_id and u.y = hs.y and u.x = hs.x join bl on u.image_id = bl.image_id and u.y = bl.y and u.x = bl.x)")
     ctes.append(f"t1 as (select *, {Y709} as v, base + {sh}*base*(1-base)*(1-base) - {hl}*base*base*(1-base) as tn, l8 - base as md, {Y709} - l8 as fi from t0)")
     fl = 1.5 / 255
     ctes.append(f"t2 as (select *, tn + md + 4*tn*(1-tn)*{lc}/(1 + pow(md/0.08, 2))*sign(md)*greatest(abs(md) - {fl!r}, 0) + fi + {dt}*sign(fi)*greatest(abs(fi) - {fl!r}, 0) - v as ch from t1)")

@@ -95,7 +95,7 @@ def build(options: Options, upscaler: str = "nearest", side: int = 64) -> list[t
         recipe, _ = HDR_PROFILES[options.hdr]
         share = min(100, max(0, options.hdr_intensity)) / 100
         values = [v * share if i != 4 else v for i, v in enumerate(recipe)]
-        out.append(("hdr", lambda px: stencil.hdr_tone(px, *values, max(1, round(0.04 * side * options.scale)))))
+        out.append(("hdr", lambda px: stencil.hdr_tone(px, *values, max(1, round(0.04 * side * options.scale)), side * options.scale)))
     return out
 
 

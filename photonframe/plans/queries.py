@@ -256,12 +256,12 @@ def paeth_residue(spark: SparkSession, d: str) -> DataFrame:
 @query
 def guided_filter(spark: SparkSession, d: str) -> DataFrame:
     px = px_grey8(spark, d).withColumn("v", F.col("l") / 255.0)
-    return rounded(stencil.guided(px, "v", "v", 1, 0.012, "base").drop("v"), "base")
+    return rounded(stencil.guided(px, "v", {"base": "v"}, 1, 0.012).drop("v"), "base")
 
 
 @query
 def hdr_balanced(spark: SparkSession, d: str) -> DataFrame:
-    return stencil.hdr_tone(px_rgb64(spark, d), 0.9, 0.8, 0.6, 0.1, 0.55, 0.08, 3)
+    return stencil.hdr_tone(px_rgb64(spark, d), 0.9, 0.8, 0.6, 0.1, 0.55, 0.08, 3, 64)
 
 
 @query

@@ -104,7 +104,7 @@ def test_constant_pictures_survive_every_filter(spark):
     px = spark.range(36).select(F.lit(0).cast("long").alias("image_id"), F.expr("cast(id div 6 as int)").alias("y"), F.expr("cast(id % 6 as int)").alias("x"), F.lit(100.0).alias("l"))
     out = stencil.gaussian(stencil.box_replicate(stencil.box_clip(px, "l", 2), "l", 3), "l", 4.0)
     assert out.select(F.max(F.abs(F.col("l") - 100))).first()[0] < 1e-9
-    assert stencil.guided(px, "l", "l", 2, 0.01, "o").select(F.max(F.abs(F.col("o") - 100))).first()[0] < 1e-9
+    assert stencil.guided(px, "l", {"o": "l"}, 2, 0.01).select(F.max(F.abs(F.col("o") - 100))).first()[0] < 1e-9
 
 
 def test_resize_weights_add_up():
