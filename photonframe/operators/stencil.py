@@ -105,9 +105,9 @@ def gaussian(df: DataFrame, col: str, sigma: float, out: str | None = None) -> D
     return df
 
 
-def guided(df: DataFrame, guide: str, sources: dict[str, str], radius: int, eps: float, replicate: bool = False) -> DataFrame:
-    """Guided filter: local linear models of several columns (name to source) in ``guide``.
-    All of them together deal the pixels four times."""
+def guided(df: DataFrame, guide: str, sources: dict[str, str], radius: int, eps: float, replicate: bool = False, at: str | None = None) -> DataFrame:
+    """Guided filter: local linear models of several columns (name to source) in ``guide``,
+    evaluated there or at another column. All of them together deal the pixels four times."""
     g = F.col(guide).cast("double")
     df = df.withColumns({"_i": g, "_ii": g * g, **{f"_p_{o}": F.col(s).cast("double") for o, s in sources.items()}, **{f"_q_{o}": g * F.col(s).cast("double") for o, s in sources.items()}})
     df = box_means(df, {c: c for c in ("_i", "_ii", *(f"_{k}_{o}" for k in "pq" for o in sources))}, radius, replicate)
@@ -115,7 +115,7 @@ def guided(df: DataFrame, guide: str, sources: dict[str, str], radius: int, eps:
     df = df.withColumns({f"_q_{o}": (F.col(f"_q_{o}") - F.col("_i") * F.col(f"_p_{o}")) / spread for o in sources})
     df = df.withColumns({f"_p_{o}": F.col(f"_p_{o}") - F.col(f"_q_{o}") * F.col("_i") for o in sources})
     df = box_means(df, {c: c for c in (f"_{k}_{o}" for k in "pq" for o in sources)}, radius, replicate)
-    return df.withColumns({o: F.col(f"_q_{o}") * F.col(guide) + F.col(f"_p_{o}") for o in sources}).drop("_i", "_ii", *(f"_{k}_{o}" for k in "pq" for o in sources))
+    return df.withColumns({o: F.col(f"_q_{o}") * F.col(at or guide) + F.col(f"_p_{o}") for o in sources}).drop("_i", "_ii", *(f"_{k}_{o}" for k in "pq" for o in sources))
 
 
 def paeth(df: DataFrame, col: str, out: str) -> DataFrame:
@@ -183,7 +183,8 @@ def hdr_tone(df: DataFrame, shadows: float, highlights: float, local: float, det
     strong = lambda d: F.signum(d) * F.greatest(F.abs(d) - floor, F.lit(0.0))
     split = df.withColumn("_l8", luma8(cols()) / 255.0)
     split = gaussian(split, "_l8", max(1.0, 0.0008 * side), "_blur")
-    split = guided(split, "_l8", {"_base": "_l8"}, radius, 0.012, replicate=True)
+    split = split.withColumn("_blur", F.floor(F.col("_blur") * 255 + 0.5) / 255.0)  # in whole levels
+    split = guided(split, "_l8", {"_base": "_l8"}, radius, 0.012, replicate=True, at="_blur")
     split = split.withColumns({f"_{c}": F.col(c) / 255.0 for c in "rgb"})
     split = split.withColumns({"_v": luma(cols("_"), BT709), "_base": clip(F.col("_base"))})
     base, v = F.col("_base"), F.col("_v")

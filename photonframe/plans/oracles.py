@@ -7,7 +7,8 @@ from math import ceil, exp
 
 import numpy as np
 
-from photonframe.operators.lighting import LOOKS, PROFILES, Look
+from photonframe.operators.adjustments import PROFILES
+from photonframe.operators.looks import LOOKS, Look
 
 MONO = Look(monochrome=100, mix=(0.4, 0.4, 0.2), rolloff=40)
 
@@ -158,7 +159,33 @@ def look_sql(look) -> str:  # type: ignore[no-untyped-def]
     if look.fade:
         f = 0.12 * look.fade / 100
         q.each(f"{clip('{c}')}*{1 - f} + {f}")
-    return quantised(q)
+    if not look.clarity:
+        return quantised(q)
+    q.select("image_id, y, x, " + ", ".join(f"cast(floor({clip(f'{c}*255 + 0.5', 0, 255)}) as int) as {c}" for c in C3))
+    return luma_pass(q, 2.0, f"{0.006 * look.clarity!r}*4*v*(1 - v)*(v - b)")
+
+
+def luma_pass(q: Chain, sigma: float, change: str, more: str = "", joins: str = "") -> str:
+    """The change, of v (luminance) and b (its blur), on all channels."""
+    last = q.last
+    q.ctes[-1] = q.ctes[-1].replace(" as (", " as materialized (", 1) if len(q.ctes) > 1 else q.ctes[-1]
+    q.ctes.append(f"y8 as materialized (select image_id, y, x, (54*r + 183*g + 19*b + 128) >> 8 as l from {last})")
+    q.ctes += blurred("y8", "l", sigma, "bl")
+    q.ctes.append(f"yb as (select y8.image_id, y8.y, y8.x, y8.l/255.0::double as v, floor(bl.v + 0.5)/255.0::double as b{more} from y8 join bl on y8.image_id = bl.image_id and y8.y = bl.y and y8.x = bl.x {joins})")
+    q.ctes.append(f"ch as (select image_id, y, x, 255*({change}) as d from yb)")
+    return "with " + ",\n".join(q.ctes) + f"\nselect p.image_id, p.y, p.x, " + ", ".join(f"cast(floor(least(greatest(p.{c} + d + 0.5, 0), 255)) as int) as {c}" for c in C3) + f" from {last} p join ch on p.image_id = ch.image_id and p.y = ch.y and p.x = ch.x"
+
+
+def finish_sql(look) -> str:  # type: ignore[no-untyped-def]
+    """Sharpening within the local range, and grain of one pixel."""
+    q = Chain(PX, source="px")
+    s = 0x5EED1F7
+    q.ctes += hash_ctes("hs", "px", [("x", "y", s), ("x", "y", s * 7 + 1)], "image_id, y, x")
+    q.ctes.append(f"rg as (select p.image_id, p.y, p.x, min((54*n.r + 183*n.g + 19*n.b + 128) >> 8)/255.0::double as lo, max((54*n.r + 183*n.g + 19*n.b + 128) >> 8)/255.0::double as hi from px p join px n on {near(1)} group by 1, 2, 3)")
+    fine = "sign(v - b)*greatest(abs(v - b) - 1.5/255.0::double, 0)"
+    change = f"least(greatest(v + {0.008 * look.sharpen!r}*{fine}, lo - 0.03), hi + 0.03) - v + {0.0005 * look.grain!r}*(0.35 + 2.6*v*(1 - v))*((h0 + h1)/4294967296.0::double - 1)*sqrt(6)"
+    join = " ".join(f"join {t} on {t}.image_id = y8.image_id and {t}.y = y8.y and {t}.x = y8.x" for t in ("rg", "hs"))
+    return luma_pass(q, 1.0, change, ", lo, hi, h0, h1", join)
 
 
 # ---- colour
@@ -429,7 +456,7 @@ def hdr_sql() -> str:
     ctes += replicated("v", ["i", "ii"], r, "m") + ["ab as (select image_id, y, x, greatest(ii - i*i, 0)/(greatest(ii - i*i, 0) + 0.012) as a, i from m)", "ac as (select image_id, y, x, a, i - a*i as b from ab)"] + replicated("ac", ["a", "b"], r, "n")
     ctes += hash_ctes("hs", "px", [("x", "y", 0x4D5), ("x", "y", 0x1F3B)], "image_id, y, x")
     ctes += blurred("u", "l8", 1.0, "bl")
-    ctes.append("t0 as (select u.image_id, u.y, u.x, u.r/255.0::double as r, u.g/255.0::double as g, u.b/255.0::double as b, bl.v as l8, least(greatest(n.a*u.l8 + n.b, 0), 1) as base, (hs.h0 + hs.h1)/4294967296.0::double - 1 as di from u join n on u.image_id = n.image_id and u.y = n.y and u.x = n.x join hs on u.image_id = hs.image_id and u.y = hs.y and u.x = hs.x join bl on u.image_id = bl.image_id and u.y = bl.y and u.x = bl.x)")
+    ctes.append("t0 as (select u.image_id, u.y, u.x, u.r/255.0::double as r, u.g/255.0::double as g, u.b/255.0::double as b, floor(bl.v*255 + 0.5)/255.0::double as l8, least(greatest(n.a*(floor(bl.v*255 + 0.5)/255.0::double) + n.b, 0), 1) as base, (hs.h0 + hs.h1)/4294967296.0::double - 1 as di from u join n on u.image_id = n.image_id and u.y = n.y and u.x = n.x join hs on u.image_id = hs.image_id and u.y = hs.y and u.x = hs.x join bl on u.image_id = bl.image_id and u.y = bl.y and u.x = bl.x)")
     ctes.append(f"t1 as (select *, {Y709} as v, base + {sh}*base*(1-base)*(1-base) - {hl}*base*base*(1-base) as tn, l8 - base as md, {Y709} - l8 as fi from t0)")
     fl = 1.5 / 255
     ctes.append(f"t2 as (select *, tn + md + 4*tn*(1-tn)*{lc}/(1 + pow(md/0.08, 2))*sign(md)*greatest(abs(md) - {fl!r}, 0) + fi + {dt}*sign(fi)*greatest(abs(fi) - {fl!r}, 0) - v as ch from t1)")
@@ -482,6 +509,9 @@ ORACLES: dict[str, str] = {
     "lighting_low_light_half": lighting_sql(PROFILES["low-light-recovery"].scaled(0.5)),
     "lighting_neutral": f"with {PX} select * from px",
     "look_sony_cinematic": look_sql(LOOKS["sony-cinematic"]),
+    "look_leica_monochrome": look_sql(LOOKS["leica-monochrome"]),
+    "look_velvia_half": look_sql(LOOKS["fujifilm-velvia"].scaled(0.5)),
+    "look_finished": finish_sql(Look(sharpen=40, grain=60)),
     "hue_bands": f"with {PX}, a as (select image_id, y, x, r/255.0::double as r, g/255.0::double as g, b/255.0::double as b, greatest(r, g, b)/255.0::double as h, (greatest(r, g, b) - least(r, g, b))/255.0::double as ch from px), c as (select image_id, y, x, {HUE} as hue from a) select image_id, y, x, round(hue, 5) as hue, round({wheel({'red': 10.0, 'orange': -5.0, 'green': 20.0, 'aqua': 15.0, 'blue': -10.0, 'purple': 5.0})}, 5) + 0.0::double as value from c",
     "look_monochrome": look_sql(MONO),
     "grain_and_dither": grain_sql(),

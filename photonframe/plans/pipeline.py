@@ -75,7 +75,8 @@ def _unit(stage: Stage) -> Stage:
 
 
 def build(options: Options, upscaler: str = "nearest", side: int = 64) -> list[tuple[str, Stage]]:
-    """The stages in order: tones, denoising, finish, lighting, look, upscaling, HDR."""
+    """The stages in order: tones, denoising, finish, lighting, look, upscaling,
+    HDR, and the look's sharpening and grain."""
     options.validate()
     out: list[tuple[str, Stage]] = []
     if options.fading or options.auto_colour:
@@ -88,7 +89,7 @@ def build(options: Options, upscaler: str = "nearest", side: int = 64) -> list[t
     if not options.lighting.neutral:
         out.append(("lighting", lambda px: lighting.apply_lighting(px, options.lighting)))
     if not options.look.grade_neutral:
-        out.append(("look", lambda px: lighting.apply_look(px, options.look)))
+        out.append(("look", lambda px: lighting.apply_look(px, options.look, side)))
     if options.scale > 1:
         out.append(("upscale", lambda px: UPSCALERS[upscaler](px, options.scale)))
     if options.hdr:
@@ -96,6 +97,8 @@ def build(options: Options, upscaler: str = "nearest", side: int = 64) -> list[t
         share = min(100, max(0, options.hdr_intensity)) / 100
         values = [v * share if i != 4 else v for i, v in enumerate(recipe)]
         out.append(("hdr", lambda px: stencil.hdr_tone(px, *values, max(1, round(0.04 * side * options.scale)), side * options.scale)))
+    if not options.look.finish_neutral:
+        out.append(("look finish", lambda px: lighting.finish_look(px, options.look, side * options.scale)))
     return out
 
 

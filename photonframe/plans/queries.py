@@ -72,6 +72,22 @@ def look_sony_cinematic(spark: SparkSession, d: str) -> DataFrame:
     return lighting.apply_look(px_rgb64(spark, d), lighting.LOOKS["sony-cinematic"])
 
 
+@query
+def look_leica_monochrome(spark: SparkSession, d: str) -> DataFrame:
+    return lighting.apply_look(px_rgb64(spark, d), lighting.LOOKS["leica-monochrome"])
+
+
+@query
+def look_velvia_half(spark: SparkSession, d: str) -> DataFrame:
+    return lighting.apply_look(px_rgb64(spark, d), lighting.LOOKS["fujifilm-velvia"].scaled(0.5))
+
+
+@query
+def look_finished(spark: SparkSession, d: str) -> DataFrame:
+    """Sharpening and grain, as after the last stage of a job."""
+    return lighting.finish_look(px_rgb64(spark, d), lighting.Look(sharpen=40, grain=60))
+
+
 @query
 def look_monochrome(spark: SparkSession, d: str) -> DataFrame:
     return lighting.apply_look(px_rgb64(spark, d), MONO)
