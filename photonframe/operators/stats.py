@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from photonframe.functions.pixel import BT601, cols, luma
 
-from .stencil import AXES, box_replicate, line
+from .stencil import AXES, box_means, line
 
 
 def luma_bins(px: DataFrame, bins: int = 32) -> DataFrame:
@@ -30,8 +30,7 @@ def monochrome(px: DataFrame, threshold: float = 3.5) -> DataFrame:
     explain, after smoothing, without its most colourful hundredth."""
     y = luma(cols(), BT601)
     rows = px.select("image_id", "y", "x", y.alias("_l"), (F.col("b") - y).alias("cb"), (F.col("r") - y).alias("cr"))
-    for c in ("cb", "cr"):
-        rows = box_replicate(rows, c, 2)
+    rows = box_means(rows, {"cb": "cb", "cr": "cr"}, 2, replicate=True)
     b = F.least(F.greatest((F.col("_l") / 256 * 32).cast("int"), F.lit(0)), F.lit(31))
     own = Window.partitionBy("image_id", "bin")
     rows = rows.withColumn("bin", b)

@@ -161,7 +161,7 @@ def sdr_preview(spark: SparkSession, d: str) -> DataFrame:
 def proxy_curve(spark: SparkSession, d: str) -> DataFrame:
     """Forward and back through the 16-bit proxy, with each picture's peak."""
     px = linear(px_rgb64(spark, d), 4.0).withColumns({c: F.greatest(F.col(c), F.lit(0.0)) for c in "rgb"})
-    px = px.join(F.broadcast(stats.peak(px)), "image_id").withColumn("m", F.greatest(*cols()))
+    px = px.join(stats.peak(px), "image_id").withColumn("m", F.greatest(*cols()))
     code = F.rint(F.col("m") * colour.proxy_ratio(F.col("m"), F.col("peak")) * 65535)
     px = px.select("image_id", "y", "x", "peak", code.cast("int").alias("code"))
     back = F.col("code") / 65535.0

@@ -23,21 +23,107 @@ def scan(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
 
 
+def _number(content: Column, at: Column, size: int, little: bool = False) -> Column:
+    """Unsigned integer of ``size`` bytes from place ``at`` (from 0); null beyond the end."""
+    part = F.substring(content, at + 1, F.lit(size))
+    digits = F.hex(part)
+    if little:
+        digits = F.concat(*(F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))))
+    return F.when(F.octet_length(part) == size, F.conv(digits, 16, 10).cast("long"))
+
+
+MOST_BLOCKS = 4096  # blocks of a file's head that recognition goes through
+
+
+def _walk(content: Column, start: int, block) -> Column:  # type: ignore[no-untyped-def]
+    """Folds over the blocks of a file's head: ``block`` gives (next place, found, is last).
+    struct (at, found): found is the first value that is not null. Places, not bytes, are
+    carried, so the payload is never searched."""
+    begin = F.struct(F.lit(start).cast("long").alias("at"), F.lit(None).cast("string").alias("found"), F.lit(False).alias("done"))
+
+    def step(state: Column, _: Column) -> Column:
+        following, found, last = block(state["at"])
+        new = F.struct(following.alias("at"), F.coalesce(state["found"], found).alias("found"), (last | following.isNull()).alias("done"))
+        return F.when(state["done"], state).otherwise(new)
+
+    steps = F.least(F.octet_length(content) / 4, F.lit(MOST_BLOCKS)).cast("int")
+    return F.aggregate(F.sequence(F.lit(0), F.greatest(steps, F.lit(0))), begin, step)
+
+
+def _png_head(content: Column) -> Column:
+    """The walk over PNG chunks up to the samples; found: "hdr" at a cICP chunk."""
+
+    def block(at: Column) -> tuple[Column, Column, Column]:
+        kind = F.substring(content, at + 5, F.lit(4))
+        return at + 12 + _number(content, at, 4), F.when(kind == F.lit(b"cICP"), "hdr"), kind.isin(F.lit(b"IDAT"), F.lit(b"IEND"))
+
+    return _walk(content, 8, block)
+
+
+def _jpeg_head(content: Column, mark: bytes) -> Column:
+    """The walk over JPEG segments up to the scan; found: "mark" in an application segment,
+    or a frame's place in decimal digits otherwise."""
+
+    def block(at: Column) -> tuple[Column, Column, Column]:
+        marker, length = _number(content, at, 2), _number(content, at + 2, 2)
+        segment = F.substring(content, at + 5, length.cast("int") - 2)
+        frame = marker.between(0xFFC0, 0xFFCF) & ~marker.isin(0xFFC4, 0xFFC8, 0xFFCC)
+        if mark:
+            found = F.when((marker == 0xFFE1) & F.contains(segment, F.lit(mark)), "mark")
+        else:
+            found = F.when(frame, at.cast("string"))
+        return at + 2 + length, found, ~marker.between(0xFFC0, 0xFFFE) | (marker == 0xFFDA) | (marker == 0xFFD9)
+
+    return _walk(content, 2, block)
+
+
 def sniff(content: Column) -> Column:
-    """Format by content: png, png-hdr, jpeg, gain-map, avif, exr, rgbe, webp, tiff, bmp, gif or unknown."""
-    head = F.hex(F.substring(content, 1, 64))
-    body = F.hex(content)
-    starts = lambda b: head.startswith(b.hex().upper())
-    has = lambda b: body.contains(b.hex().upper())
+    """Format by content: png, png-hdr, jpeg, gain-map, avif, exr, rgbe, webp, tiff, bmp, gif
+    or unknown. What follows the head is told by walking its blocks, not by searching."""
+    starts = lambda *b: F.substring(content, 1, len(b[0])).isin(*(F.lit(x) for x in b))
+    at = lambda n, b: F.substring(content, n + 1, len(b)) == F.lit(b)
     return (
-        F.when(starts(SIGNATURE) & has(b"cICP"), "png-hdr").when(starts(SIGNATURE), "png")
-        .when(starts(b"\xff\xd8\xff") & has(b"hdrgm:"), "gain-map").when(starts(b"\xff\xd8\xff"), "jpeg")
-        .when(F.substring(head, 9, 16) == b"ftypavif".hex().upper(), "avif").when(starts(b"\x76\x2f\x31\x01"), "exr")
-        .when(starts(b"#?RADIANCE") | starts(b"#?RGBE"), "rgbe").when(starts(b"RIFF") & (F.substring(head, 17, 8) == b"WEBP".hex().upper()), "webp")
-        .when(starts(b"II*\0") | starts(b"MM\0*"), "tiff").when(starts(b"BM"), "bmp").when(starts(b"GIF8"), "gif").otherwise("unknown")
+        F.when(starts(SIGNATURE), F.when(_png_head(content)["found"] == "hdr", "png-hdr").otherwise("png"))
+        .when(starts(b"\xff\xd8\xff"), F.when(_jpeg_head(content, b"hdrgm:")["found"] == "mark", "gain-map").otherwise("jpeg"))
+        .when(at(4, b"ftypavif") | at(4, b"ftypavis"), "avif").when(starts(b"\x76\x2f\x31\x01"), "exr")
+        .when(starts(b"#?RADIANCE") | starts(b"#?RGBE"), "rgbe").when(starts(b"RIFF") & at(8, b"WEBP"), "webp")
+        .when(starts(b"II*\0", b"MM\0*"), "tiff").when(starts(b"BM"), "bmp").when(starts(b"GIF8"), "gif").otherwise("unknown")
     )
 
 
+def probe(content: Column) -> Column:
+    """struct (format, width, height) from the head alone; sizes of PNG, JPEG, GIF, BMP and
+    WebP (extended, lossless or lossy), null where the head is cut off or of another format."""
+    kind = sniff(content)
+    frame = _jpeg_head(content, b"")["found"].cast("long")
+    lossless = _number(content, F.lit(21), 4, little=True)
+    sub = F.substring(content, 13, 4)
+    n = lambda at, size, little=False: _number(content, F.lit(at), size, little)
+    webp = {
+        b"VP8X": (n(24, 3, True) + 1, n(27, 3, True) + 1),
+        b"VP8L": (lossless.bitwiseAND(0x3FFF) + 1, F.shiftright(lossless, 14).bitwiseAND(0x3FFF) + 1),
+        b"VP8 ": (n(26, 2, True).bitwiseAND(0x3FFF), n(28, 2, True).bitwiseAND(0x3FFF)),
+    }
+    sides = []
+    for i in (0, 1):
+        size = F.when(kind.isin("png", "png-hdr"), n(16 + 4 * i, 4)).when(kind == "gif", n(6 + 2 * i, 2, True)).when(kind == "bmp", n(18 + 4 * i, 4, True))
+        size = size.when(kind.isin("jpeg", "gain-map"), _number(content, frame + 7 - 2 * i, 2))
+        for name, pair in webp.items():
+            size = size.when((kind == "webp") & (sub == F.lit(name)), pair[i])
+        sides.append(size)
+    return F.struct(kind.alias("format"), sides[0].alias("width"), sides[1].alias("height"))
+
+
+def preview_fits(pixels: Column, memory: float) -> Column:
+    """Whether a preview, eight bytes a pixel, takes at most half of the memory."""
+    return pixels * 8 <= memory / 2
+
+
+def is_hdr_source(kind: Column, gain_maps: bool) -> Column:
+    """HDR by format; a JPEG with a gain map counts only on request."""
+    return kind.isin("png-hdr", "avif", "exr", "rgbe") | ((kind == "gain-map") & F.lit(gain_maps))
+
+
 def png_chunks(data: bytes) -> list[tuple[str, bytes, bool]]:
     """(kind, body, checksum is right) of each chunk; stops at a cut-off one."""
     out, at = [], 8
@@ -61,30 +147,20 @@ def _unfilter(raw: bytes, height: int, stride: int, step: int) -> np.ndarray:
     if len(raw) != height * (stride + 1):
         raise ValueError(f"{len(raw)} bytes of rows, {height * (stride + 1)} expected")
     rows = np.frombuffer(raw, np.uint8).reshape(height, stride + 1)
-    out, up = np.zeros((height, stride), np.uint8), np.zeros(stride, np.uint8)
-    for y in range(height):
-        kind, line = rows[y, 0], rows[y, 1:]
-        if kind == 0:
-            up = line.copy()
-        elif kind == 2:
-            up = line + up
-        elif kind == 1:
-            up = line.reshape(-1, step).cumsum(0, dtype=np.uint8).reshape(-1)
-        elif kind in (3, 4):
-            now, pixels, above = np.zeros(stride + step, np.int16), line.astype(np.int16), np.concatenate([np.zeros(step, np.int16), up.astype(np.int16)])
-            for x in range(0, stride, step):
-                a, b, c = now[x : x + step], above[x + step : x + 2 * step], above[x : x + step]
-                if kind == 3:
-                    guess = (a + b) // 2
-                else:
-                    pa_, pb, pc = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)
-                    guess = np.where((pa_ <= pb) & (pa_ <= pc), a, np.where(pb <= pc, b, c))
-                now[x + step : x + 2 * step] = (pixels[x : x + step] + guess) & 255
-            up = now[step:].astype(np.uint8)
-        else:
-            raise ValueError(f"filter {kind}")
-        out[y] = up
-    return out
+    kinds = rows[:, 0]
+    if len(kinds) and kinds.max() > 4:
+        raise ValueError(f"filter {kinds.max()}")
+    width = stride // step
+    lines = rows[:, 1:].reshape(height, width, step).astype(np.int16)
+    out = np.zeros((height + 1, width + 1, step), np.int16)  # a border of zeros above and to the left
+    for d in range(height + width - 1):  # a pixel needs those of the two diagonals before its own
+        y = np.arange(max(0, d - width + 1), min(height, d + 1))
+        x = d - y
+        a, b, c = out[y + 1, x], out[y, x + 1], out[y, x]
+        pa_, pb, pc = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)
+        best = np.where((pa_ <= pb) & (pa_ <= pc), a, np.where(pb <= pc, b, c))
+        out[y + 1, x + 1] = (lines[y, x] + np.choose(kinds[y][:, None], [np.zeros_like(a), a, b, (a + b) // 2, best])) & 255
+    return out[1:, 1:].astype(np.uint8).reshape(height, stride)
 
 
 def read_png(data: bytes) -> tuple[np.ndarray, dict[str, bytes]]:

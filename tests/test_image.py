@@ -167,8 +167,29 @@ def test_png_16_and_damage(spark):
     assert formats.explode_pixels(formats.decode_png(rows)).count() == 37 * 53
 
 
+def test_recognition_reads_blocks_only(spark):
+    s = np.zeros((2, 3, 3), np.uint8)
+    heads = {
+        "png": formats.write_png(s, {"tEXt": b"k\0cICP hdrgm: \x06\x34\x94\x35\x0f"}),
+        "png-hdr": formats.write_png(s, {"gAMA": b"\0\0\0\1", "cICP": bytes([9, 16, 0, 1])}),
+        "jpeg": b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc2\x00\x11\x08\x00\x21\x01\x02" + bytes(10) + b"\xff\xda\x00\x04xx hdrgm: in the scan",
+        "webp": b"RIFF\0\0\0\0WEBPVP8X\x0a\0\0\0\0\0\0\0\x0f\x01\0\x07\0\0",
+        "gif": b"GIF89a\x05\0\x06\0",
+        "unknown": b"",
+    }
+    rows = spark.createDataFrame([(k, bytearray(v)) for k, v in heads.items()], "k string, c binary").select("k", formats.probe(F.col("c")).alias("p"))
+    got = {r.k: tuple(r.p) for r in rows.collect()}
+    assert got == {"png": ("png", 3, 2), "png-hdr": ("png-hdr", 3, 2), "jpeg": ("jpeg", 258, 33), "webp": ("webp", 272, 8), "gif": ("gif", 5, 6), "unknown": ("unknown", None, None)}
+
+
+def test_hdr_sources_and_previews(spark):
+    rows = spark.createDataFrame([("gain-map", 10), ("avif", 1000), ("jpeg", 0)], "k string, n long")
+    got = [tuple(r) for r in rows.select(formats.is_hdr_source(F.col("k"), False), formats.is_hdr_source(F.col("k"), True), formats.preview_fits(F.col("n"), 1600.0)).collect()]
+    assert got == [(False, True, True), (True, True, False), (False, False, True)]
+
+
 def test_sniff(spark):
-    heads = {"png": formats.SIGNATURE, "jpeg": b"\xff\xd8\xff\xe0", "gain-map": b"\xff\xd8\xff\xe1 hdrgm:Version", "avif": b"\0\0\0\x1cftypavif", "exr": b"\x76\x2f\x31\x01", "rgbe": b"#?RADIANCE\n", "webp": b"RIFF\0\0\0\0WEBP", "tiff": b"II*\0", "bmp": b"BM", "gif": b"GIF89a", "unknown": b"hello"}
+    heads = {"png": formats.SIGNATURE, "jpeg": b"\xff\xd8\xff\xe0", "gain-map": b"\xff\xd8\xff\xe0\x00\x04ab\xff\xe1\x00\x14 xmp hdrgm:Version", "avif": b"\0\0\0\x1cftypavif", "exr": b"\x76\x2f\x31\x01", "rgbe": b"#?RADIANCE\n", "webp": b"RIFF\0\0\0\0WEBP", "tiff": b"II*\0", "bmp": b"BM", "gif": b"GIF89a", "unknown": b"hello"}
     rows = spark.createDataFrame([(k, bytearray(v)) for k, v in heads.items()], "k string, c binary").select("k", formats.sniff(F.col("c")).alias("f")).collect()
     assert all(r.k == r.f for r in rows)
 
