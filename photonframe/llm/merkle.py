@@ -1,17 +1,21 @@
 """WARC fixity audit: Merkle trees over the records of an archive, replica against replica.
 
-Only DataFrame functions. A record's leaf hashes its place (offset and length in the
-archive) and its payload digest. A node hashes its ``fanout`` children in order, that is an
-ordered range of offsets. The audit compares the roots of two replicas and goes down only
-below nodes that differ: each level is a join of the children of mismatching nodes, so its
-cost follows the damage, not the archive. Levels are a dozen at most (log of the longest
-archive), each written to the shared folder once.
-
-Cases: a null payload is told from an empty one; records that only one replica has are
-reported as missing or extra; an archive that only one replica has differs at its root; an
-empty replica gives no tree; records with equal offsets are ordered by their key, and
-repeated rows (same archive, offset, key) by digest; payloads of any length are hashed whole
-where they are read, only digests are shuffled; columns that are not named are not read.
+Only DataFrame functions. The two replicas are read independently of each other. A record's
+leaf hashes its name, its length and its payload digest; a node hashes its children in order,
+that is an ordered range of offsets. Where a range begins is settled by the records' names:
+a record starts a node of level k where the hash of its name is divisible by the fanout to
+the power k. So a lost, added or longer record changes the nodes above itself and no others,
+though it shifts all offsets after it; offsets are reported, not hashed. The audit compares
+the roots of two replicas and goes down only below nodes that differ: each level is a join of
+the children of mismatching nodes, so its cost follows the damage, not the archive. Levels
+are a dozen at most (log of the longest archive), each written to the shared folder once.
+
+Cases: a null payload is told from an empty one; a null archive is an archive and a null key
+a key of their own; records of equal archive and key are told apart by their number in order
+of digest; records that only one replica has are reported as missing or extra, with the place
+in the replica that has them; an archive that only one replica has differs at its root; empty
+replicas give no rows; payloads of any length are hashed whole where they are read, only
+digests are shuffled; columns that are not named are not read.
 """
 
 from __future__ import annotations
@@ -22,80 +26,77 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def _leaf(offset: Column, length: Column, digest: Column) -> Column:
-    return F.sha2(F.concat_ws(":", offset, length, digest), 256)
+def _named(c: Column) -> Column:
+    """As text, nulls told from all texts."""
+    return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
 
 
 def records(table: DataFrame, archive: Column, key: Column, payload: Column) -> DataFrame:
-    """(archive, key, offset, length, digest, idx): records in key order, offsets are the
-    bytes before them. An archive is one file and so bounded; its window holds digests."""
+    """(archive, arc, name, idx, offset, length, digest): records in key order, offsets are
+    the bytes before them. An archive is one file and so bounded; its window holds digests."""
     raw = payload.cast("binary")
     rows = table.select(archive.alias("archive"), key.alias("key"), F.coalesce(F.octet_length(raw), F.lit(0)).cast("long").alias("length"), F.coalesce(F.sha2(raw, 256), F.lit("null")).alias("digest"))
-    order = Window.partitionBy("archive").orderBy("key", "digest")
+    rows = rows.withColumn("arc", _named(F.col("archive")))
+    order = Window.partitionBy("arc").orderBy("key", "digest")
     before = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")
-    return rows.withColumns({"offset": before, "idx": (F.row_number().over(order) - 1).cast("long")})
+    nth = F.row_number().over(Window.partitionBy("arc", "key").orderBy("digest"))
+    name = F.concat_ws(":", nth, _named(F.col("key")))
+    return rows.withColumns({"offset": before, "idx": (F.row_number().over(order) - 1).cast("long"), "name": name}).drop("key")
 
 
 class Tree:
-    """Levels of nodes (archive, idx, hash, from, to), leaves first, one root for each
-    archive last. A shorter archive's root is repeated up to the top."""
-
-    def __init__(self, rows: DataFrame, fanout: int = 16) -> None:
-        self.fanout = fanout
-        self.leaves = materialize(rows.withColumn("hash", _leaf(F.col("offset"), F.col("length"), F.col("digest"))), "leaves")
-        longest = self.leaves.agg(F.max("idx")).first()[0]
-        level = self.leaves.select("archive", "idx", "hash", F.col("offset").alias("from"), (F.col("offset") + F.col("length")).alias("to"))
+    """levels: nodes (arc, name, parent, idx, hash), leaves first; roots: (arc, archive, root)."""
+
+    def __init__(self, rows: DataFrame, depth: int, fanout: int = 16) -> None:
+        place = F.conv(F.substring(F.sha2("name", 256), 1, 15), 16, 10).cast("long")
+        so_far = Window.partitionBy("arc").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+        starts = {f"up{k}": F.coalesce(F.last(F.when(F.col("place") % fanout**k == 0, F.col("name")), ignorenulls=True).over(so_far), F.lit("")) for k in range(1, depth + 1)}
+        leaf = F.sha2(F.concat_ws(":", "name", "length", "digest"), 256)
+        self.leaves = materialize(rows.withColumn("place", place).withColumns({**starts, f"up{depth + 1}": F.lit(""), "hash": leaf}).drop("place"), "leaves")
+        level = self.leaves.select("arc", "name", F.col("up1").alias("parent"), "idx", "hash", *(f"up{k}" for k in range(2, depth + 2)))
         self.levels = [level]
-        n = 0 if longest is None else longest + 1
-        while n > 1:
-            child = F.struct("idx", "hash")
-            level = materialize(
-                level.groupBy("archive", F.expr(f"idx div {fanout}").alias("parent"))
-                .agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(child)), lambda x: x["hash"]), ""), 256).alias("hash"), F.min("from").alias("from"), F.max("to").alias("to"))
-                .withColumnRenamed("parent", "idx"),
-                "level",
-            )
+        children = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "hash"))), lambda x: x["hash"]), "")
+        for k in range(1, depth + 1):  # of one node all higher starts are equal
+            above = [f"up{i}" for i in range(k + 1, depth + 2)]
+            level = materialize(level.groupBy("arc", F.col("parent").alias("name"), *above).agg(F.sha2(children, 256).alias("hash"), F.min("idx").alias("idx")).withColumn("parent", F.col(above[0])), "level")
             self.levels.append(level)
-            n = -(-n // fanout)
+        self.roots = level.groupBy("arc").agg(F.sha2(children, 256).alias("root"))
 
-    @property
-    def roots(self) -> DataFrame:
-        return self.levels[-1].select("archive", F.col("hash").alias("root"))
+
+def depth_for(longest: int, fanout: int) -> int:
+    depth = 1
+    while fanout**depth < longest:
+        depth += 1
+    return depth
 
 
 def audit(left: DataFrame, right: DataFrame, fanout: int = 16) -> tuple[DataFrame, DataFrame]:
-    """Of two replicas' records: (archive, root_a, root_b, intact) for every archive, and
-    (archive, idx, status, offset, length) for each record at fault: status corrupt, missing
-    (only in the first) or extra (only in the second)."""
-    a, b = Tree(left, fanout), Tree(right, fanout)
-    while len(a.levels) < len(b.levels):  # an archive may be longer in one replica
-        a.levels.append(_lift(a.levels[-1]))
-    while len(b.levels) < len(a.levels):
-        b.levels.append(_lift(b.levels[-1]))
-    roots = a.roots.withColumnRenamed("root", "root_a").join(b.roots.withColumnRenamed("root", "root_b"), "archive", "full")
+    """Of two replicas' records: (arc, archive, root_a, root_b, intact) for every archive, and
+    (arc, idx, status, offset, length) for each record at fault: status corrupt, missing (only
+    in the first) or extra (only in the second)."""
+    left, right = materialize(left, "records"), materialize(right, "records")
+    longest = left.select("idx").unionByName(right.select("idx")).agg(F.max("idx")).first()[0]
+    depth = depth_for(1 if longest is None else longest + 1, fanout)
+    a, b = Tree(left, depth, fanout), Tree(right, depth, fanout)
+    names = a.leaves.select("arc", "archive").unionByName(b.leaves.select("arc", "archive")).groupBy("arc").agg(F.first("archive").alias("archive"))
+    roots = a.roots.withColumnRenamed("root", "root_a").join(b.roots.withColumnRenamed("root", "root_b"), "arc", "full").join(names, "arc")
     roots = roots.withColumn("intact", F.col("root_a").eqNullSafe(F.col("root_b")))
-    open_ = roots.where("not intact").select("archive", F.lit(0).cast("long").alias("idx"))
+    open_ = roots.where("not intact").select("arc", F.lit("").alias("parent"))
     differs = ~F.col("a").eqNullSafe(F.col("b"))
-    for k in range(len(a.levels) - 2, -1, -1):
-        parent = open_.select("archive", F.col("idx").alias("parent"))
-        below = [t.levels[k].withColumn("parent", F.expr(f"idx div {fanout}")).join(parent, ["archive", "parent"], "left_semi").select("archive", "idx", F.col("hash").alias(n)) for t, n in ((a, "a"), (b, "b"))]
-        open_ = materialize(below[0].join(below[1], ["archive", "idx"], "full").where(differs).select("archive", "idx"), "open")
-    place = [t.leaves.join(open_, ["archive", "idx"], "left_semi").select("archive", "idx", F.struct("offset", "length").alias(n)) for t, n in ((a, "a"), (b, "b"))]
+    for k in range(depth, -1, -1):
+        below = [t.levels[k].join(open_, ["arc", "parent"], "left_semi").select("arc", "name", F.col("hash").alias(n)) for t, n in ((a, "a"), (b, "b"))]
+        open_ = materialize(below[0].join(below[1], ["arc", "name"], "full").where(differs).select("arc", F.col("name").alias("parent")), "open")
+    found = open_.withColumnRenamed("parent", "name")
+    place = [t.leaves.join(found, ["arc", "name"], "left_semi").select("arc", "name", F.struct("idx", "offset", "length").alias(n)) for t, n in ((a, "a"), (b, "b"))]
     status = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").otherwise("corrupt")
     where = F.coalesce("a", "b")
-    return roots, place[0].join(place[1], ["archive", "idx"], "full").select("archive", "idx", status.alias("status"), where["offset"].alias("offset"), where["length"].alias("length"))
-
-
-def _lift(level: DataFrame) -> DataFrame:
-    """One more level above a level of roots."""
-    return level.withColumn("hash", F.sha2("hash", 256))
+    return roots, place[0].join(place[1], ["arc", "name"], "full").select("arc", where["idx"].alias("idx"), status.alias("status"), where["offset"].alias("offset"), where["length"].alias("length"))
 
 
 def report(left: DataFrame, right: DataFrame, fanout: int = 16) -> DataFrame:
     """One row for each archive: its roots, whether they agree, and the faults in order."""
     roots, faults = audit(left, right, fanout)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "status", "offset", "length"))), lambda x: F.concat_ws(":", x["idx"], x["status"], x["offset"], x["length"])), ",")
-    found = faults.groupBy("archive").agg(F.count("*").alias("n_faults"), text.alias("faults"))
-    out = roots.join(found, "archive", "left")
+    found = faults.groupBy("arc").agg(F.count("*").alias("n_faults"), text.alias("faults"))
+    out = roots.join(found, "arc", "left")
     return out.select("archive", "root_a", "root_b", "intact", F.coalesce("n_faults", F.lit(0)).alias("n_faults"), F.coalesce("faults", F.lit("")).alias("faults"))
-
