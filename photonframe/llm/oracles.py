@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
-from .license_scan import CUE, SPLIT, TEMPLATES, _words
+from .license_scan import BLANK, CUE, FILE_NAME, NOTICE, SPLIT, TEMPLATES, _words
 
 
 def _terms(x: str) -> str:
     return f"list_filter(list_transform(string_split_regex(lower({x}), '{SPLIT}'), lambda w: trim(w, '.-')), lambda w: w <> '')"
 
 
-def license_sql(threshold: float = 0.6) -> str:
-    """Documents as files source/lang/doc_id; licence texts, weights, cosines, inheritance."""
+def license_sql(path: str, threshold: float = 0.6) -> str:
+    """Documents as files; licence texts, weights, cosines, inheritance."""
     rows = ", ".join(f"({k}, '{name}', '{w}', {words.count(w)})" for k, (name, text) in enumerate(TEMPLATES) for words in [_words(text)] for w in sorted(set(words)))
+    part = f"regexp_replace(part, '{NOTICE}', ' ', 'g')"
     return f"""
 with tpl(k, licence, term, tf) as (values {rows}),
-f as (select doc_id, concat_ws('/', source, lang) as dir, coalesce(text, '') as text,
-  list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '{CUE}')) as lines from documents),
-g as (select *, len(lines) > 0 and 4*len({_terms("array_to_string(lines, ' ')")}) >= 3*len({_terms('text')}) as is_file from f),
-s as (select doc_id, unnest(range(len(p))) as n, unnest(p) as part from (select doc_id, case when is_file then [text] else lines end as p from g)),
-w as (select doc_id, n, unnest({_terms('part')}) as term from s),
+p as (select doc_id, {path} as path, coalesce(text, '') as text from documents),
+f as (select doc_id, regexp_replace(path, '/?[^/]*$', '') as dir, regexp_extract(path, '([^/]*)$', 1) as name, text,
+  case when regexp_matches(text, '{CUE}') then list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{CUE}')) else [] end as lines,
+  case when regexp_matches(text, '{CUE}') then list_filter(string_split_regex(text, '{BLANK}'), lambda l: regexp_matches(l, '{CUE}')) else [] end as blocks from p),
+g as (select *, regexp_matches(name, '{FILE_NAME}') or (len(lines) > 0 and 4*len({_terms("array_to_string(lines, ' ')")}) >= 3*len({_terms('text')})) as is_file from f),
+q as (select doc_id, list_concat(case when is_file then [text] else [] end, lines, list_filter(blocks, lambda b: contains(b, chr(10))), case when len(blocks) > 1 then [array_to_string(blocks, chr(10))] else [] end) as parts from g),
+s as (select doc_id, unnest(range(len(parts))) as n, unnest(parts) as part from q),
+w as (select doc_id, n, unnest({_terms(part)}) as term from s),
 sp as (select doc_id, n, term, count(*) as tf from w group by 1, 2, 3),
 cnt as (select count(*) as total from s),
-voc as (select distinct term from tpl),
-idf as (select voc.term, ln((1 + any_value(total))/cast(1 + count(sp.doc_id) as double)) + 1 as idf from voc left join sp using (term) cross join cnt group by 1),
-sw as (select doc_id, n, term, tf*coalesce(idf, ln(cast(1 + total as double)) + 1) as v from sp left join idf using (term) cross join cnt),
+df as (select term, count(*) as df from sp group by 1),
+idf as (select term, ln((1 + any_value(total))/cast(1 + coalesce(any_value(df), 0) as double)) + 1 as idf from (select term from df union select term from tpl) left join df using (term) cross join cnt group by 1),
+sw as (select doc_id, n, term, tf*idf as v from sp join idf using (term)),
 tw as (select k, licence, term, tf*idf/sqrt(sum(tf*idf*tf*idf) over (partition by k)) as v from tpl join idf using (term)),
 nm as (select doc_id, n, sqrt(sum(v*v)) as norm from sw group by 1, 2),
 c as (select sw.doc_id, sw.n, k, licence, round(sum(sw.v*tw.v)/any_value(norm), 6) as cosine from sw join tw using (term) join nm on nm.doc_id = sw.doc_id and nm.n = sw.n group by 1, 2, 3, 4),
