@@ -26,25 +26,29 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-#: The audited replica: one record in 97 is altered, one in 211 is lost.
-ALTERED, LOST = "page_id % 97 = 13", "page_id % 211 = 5"
-ARCHIVE_RECORDS = 512
+#: The audited replica: some records are altered, lost or added.
+ALTERED, LOST, ADDED = "page_id % 97 = 13", "page_id % 211 = 5", "page_id % 307 = 11"
+ARCHIVE_RECORDS = 64
 
 
 def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits an altered replica of pages, 512 records to an archive, against the original."""
+    """Audits an altered replica of pages, 64 pages to an archive, against the original. Each
+    replica's records, offsets and tree are made from its own rows."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    altered = F.when(F.expr(ALTERED), F.concat("html", F.lit("!"))).otherwise(F.col("html"))
-    key = F.struct("page_id", F.expr(LOST).alias("lost"), F.sha2(altered, 256).alias("altered"))
-    first = merkle.records(pages, F.expr(f"page_id div {ARCHIVE_RECORDS}"), key, F.col("html"))
-    first = materialize(first, "records")
-    second = first.where("not key.lost").withColumn("digest", F.col("key.altered"))
-    return merkle.report(first, second)
+    archive = F.expr(f"page_id div {ARCHIVE_RECORDS}")
+    altered = pages.where(f"not coalesce({LOST}, false)").withColumn("html", F.when(F.expr(ALTERED), F.concat("html", F.lit("!"))).otherwise(F.col("html")))
+    added = pages.where(ADDED).withColumn("html", F.concat("html", F.lit("?")))
+    other = altered.withColumn("key", F.col("page_id") * 2).unionByName(added.withColumn("key", F.col("page_id") * 2 + 1))
+    first = merkle.records(pages, archive, F.col("page_id") * 2, F.col("html"))
+    return merkle.report(first, merkle.records(other, archive, F.col("key"), F.col("html")))
+
+
+#: Documents as files source/lang/folder/folder/doc_id.txt; one in 50 is the LICENSE of a folder.
+DOCUMENT_PATH = "case when doc_id % 50 = 0 then concat_ws('/', source, lang, 'd' || cast(floor(doc_id % 350 / 50) as int), 'LICENSE') else concat_ws('/', source, lang, 'd' || doc_id % 7, 'e' || doc_id % 3, doc_id || '.txt') end"
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files /source/lang/doc_id."""
-    return license_scan.scan(documents(spark, sf_dir), F.concat_ws("/", "source", "lang", "doc_id"))
+    return license_scan.scan(documents(spark, sf_dir), F.expr(DOCUMENT_PATH))
 
 
 def op3_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,28 +98,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_perplexity": op10_quality_perplexity,
 }
 
-#: Four levels reach 65,536 records; as many as the longest archive needs count.
+#: Two levels, as archives of 17 to 256 records have.
 _OP1_SQL = f"""
-with leaf as (
-  select page_id // {ARCHIVE_RECORDS} as archive, row_number() over w - 1 as idx,
-    cast(sum(strlen(html)) over (w rows unbounded preceding) - strlen(html) as bigint) as off, cast(strlen(html) as bigint) as len,
-    sha256(html) as da, case when {ALTERED} then sha256(html || '!') else sha256(html) end as db, {LOST} as lost
-  from pages window w as (partition by page_id // {ARCHIVE_RECORDS} order by page_id)),
-h0 as (select archive, idx, sha256(off || ':' || len || ':' || da) as a, case when not lost then sha256(off || ':' || len || ':' || db) end as b from leaf),
-h1 as (select archive, idx // 16 as idx, sha256(string_agg(a, '' order by idx)) as a, sha256(string_agg(b, '' order by idx)) as b from h0 group by 1, 2),
-h2 as (select archive, idx // 16 as idx, sha256(string_agg(a, '' order by idx)) as a, sha256(string_agg(b, '' order by idx)) as b from h1 group by 1, 2),
-h3 as (select archive, idx // 16 as idx, sha256(string_agg(a, '' order by idx)) as a, sha256(string_agg(b, '' order by idx)) as b from h2 group by 1, 2),
-n as (select max(idx) + 1 as n from leaf),
-root as (
-  select archive, a, b from h0, n where n = 1
-  union all select archive, a, b from h1, n where n between 2 and 16
-  union all select archive, a, b from h2, n where n between 17 and 256
-  union all select archive, a, b from h3, n where n between 257 and 4096),
+with src as (
+  select 0 as side, page_id // {ARCHIVE_RECORDS} as archive, page_id*2 as key, html as p from pages
+  union all select 1, page_id // {ARCHIVE_RECORDS}, page_id*2, case when {ALTERED} then html || '!' else html end from pages where not {LOST}
+  union all select 1, page_id // {ARCHIVE_RECORDS}, page_id*2 + 1, html || '?' from pages where {ADDED}),
+leaf as (
+  select side, archive, row_number() over w - 1 as idx, strlen(p) as len, cast(sum(strlen(p)) over (w rows unbounded preceding) - strlen(p) as bigint) as off,
+    sha256(p) as digest, '1:=' || key as name
+  from src window w as (partition by side, archive order by key)),
+h as (select *, sha256(name || ':' || len || ':' || digest) as hash, cast('0x' || substr(sha256(name), 1, 15) as bigint) as z from leaf),
+up as (
+  select side, archive, idx, hash, coalesce(last_value(case when z % 16 = 0 then name end ignore nulls) over w, '') as up1, coalesce(last_value(case when z % 256 = 0 then name end ignore nulls) over w, '') as up2
+  from h window w as (partition by side, archive order by idx rows unbounded preceding)),
+n1 as (select side, archive, up1, up2, min(idx) as idx, sha256(string_agg(hash, '' order by idx)) as hash from up group by 1, 2, 3, 4),
+n2 as (select side, archive, up2, min(idx) as idx, sha256(string_agg(hash, '' order by idx)) as hash from n1 group by 1, 2, 3),
+root as (select side, archive, sha256(string_agg(hash, '' order by idx)) as root from n2 group by 1, 2),
 bad as (
-  select archive, count(*) as n, string_agg(idx || ':' || case when lost then 'missing' else 'corrupt' end || ':' || off || ':' || len, ',' order by idx) as t
-  from leaf where lost or da <> db group by 1)
-select archive, a as root_a, b as root_b, a = b as intact, coalesce(n, 0) as n_faults, coalesce(t, '') as faults
-from root left join bad using (archive)
+  select archive, count(*) as n, string_agg(idx || ':' || status || ':' || off || ':' || len, ',' order by idx, status, off, len) as t from (
+    select archive, coalesce(a.idx, b.idx) as idx, coalesce(a.off, b.off) as off, coalesce(a.len, b.len) as len, case when b.idx is null then 'missing' when a.idx is null then 'extra' else 'corrupt' end as status
+    from (select * from h where side = 0) a full join (select * from h where side = 1) b using (archive, name) where a.hash is distinct from b.hash)
+  group by 1)
+select archive, a.root as root_a, b.root as root_b, a.root is not distinct from b.root as intact, coalesce(n, 0) as n_faults, coalesce(t, '') as faults
+from (select * from root where side = 0) a full join (select * from root where side = 1) b using (archive) left join bad using (archive)
 """
 
-ORACLES: dict[str, str] = {"op1_merkle_fixity": _OP1_SQL, "op2_license_scan": license_sql()}
+ORACLES: dict[str, str] = {"op1_merkle_fixity": _OP1_SQL, "op2_license_scan": license_sql(DOCUMENT_PATH)}
