@@ -1,23 +1,25 @@
 """Sharding by a hypergeometric communication matrix: a uniform shuffle with exact sizes.
 
-Every source partition sends an exact number of rows to every shard. The matrix of these
-numbers follows the multivariate hypergeometric law, so that all assignments with the given
-shard sizes are equally likely. It is never built whole: partitions are the leaves of a
+Every source unit sends an exact number of rows to every shard. A unit is a run of at most
+``UNIT`` rows of one source partition; partition and place are columns of the stored rows, so
+a row's unit does not depend on how the stored files are split when they are read. The matrix
+of the numbers follows the multivariate hypergeometric law, so that all assignments with the
+given shard sizes are equally likely. It is never built whole: units are the leaves of a
 binary tree whose nodes split their shard totals between the two halves, each by a draw
-seeded by the node, and a task walks down to its own row. The task permutes locally by
-drawing each batch's share from what is left of its row and shuffling the labels within
-the batch. Rows are exchanged by shard and block and permuted again by a random key; a
+seeded by the node, and a task walks down to the rows of its own units. A unit's labels are
+permuted locally. Rows are exchanged by shard and block and permuted again by a random key; a
 block is a range of keys holding about ``block_rows`` rows, so no task gets a whole shard.
 
 Cases: null texts have size 16 and the checksum of an empty text; repeated rows are rows of
 their own; ties of the random key are broken by source partition and place; an empty table
 gives no rows; with fewer rows than shards some shards are empty; the operator's columns
-shard and slot replace columns of the same name.
+shard and slot replace columns of the same name; any number of rows up to 2^63.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import exp, lgamma, log, pi
 
 import numpy as np
 import pyarrow as pa
@@ -26,45 +28,125 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
+UNIT = 1 << 16
+NUMPY_MOST = 10**9  # NumPy draws from fewer balls than this
+
 
 def shard_sizes(rows: int, shards: int) -> np.ndarray:
     """At most one apart; the first shards get the rest."""
     return np.array([rows // shards + (s < rows % shards) for s in range(shards)], np.int64)
 
 
-def draw(rng: np.random.Generator, colours: np.ndarray, n: int) -> np.ndarray:
-    """n draws without replacement from an urn with these colours."""
-    return rng.multivariate_hypergeometric(colours, n, method="marginals")
+def _stirling_error(n: int) -> float:
+    """log(n!) less Stirling's approximation."""
+    if n < 16:
+        return lgamma(n + 1) - (n + 0.5) * log(n) + n - 0.5 * log(2 * pi)
+    v = 1 / (n * n)
+    return (1 / 12 - v * (1 / 360 - v * (1 / 1260 - v / 1680))) / n
+
+
+def _deviance(x: int, mean: float) -> float:
+    """x log(x / mean) + mean - x, without cancellation near the mean."""
+    d = x - mean
+    if abs(d) >= 0.1 * (x + mean):
+        return x * log(x / mean) + mean - x
+    v = d / (x + mean)
+    total, term, k = d * v, 2 * x * v, 1
+    while True:
+        term *= v * v
+        k += 2
+        if total + term / k == total:
+            return total
+        total += term / k
+
+
+def _log_binomial(x: int, n: int, share: float) -> float:
+    """Log-probability by the saddle-point expansion, exact to rounding for any n."""
+    if x == 0 or x == n:
+        return n * log(1 - share if x == 0 else share) if n else 0.0
+    return _stirling_error(n) - _stirling_error(x) - _stirling_error(n - x) - _deviance(x, n * share) - _deviance(n - x, n * (1 - share)) + 0.5 * log(n / (2 * pi * x * (n - x)))
+
+
+def _log_law(x: int, good: int, bad: int, n: int) -> float:
+    share = n / (good + bad)
+    return _log_binomial(x, good, share) + _log_binomial(n - x, bad, share) - _log_binomial(n, good + bad, share)
+
+
+def rejection(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """Number of good balls among n drawn without replacement, for counts of any size:
+    rejection from the envelope that holds for every log-concave law on the integers, flat
+    around the mode and exponential beyond."""
+    low, high = max(0, n - bad), min(good, n)
+    if low == high:
+        return low
+    mode = (n + 1) * (good + 1) // (good + bad + 2)
+    top = _log_law(mode, good, bad, n)
+    p = exp(top)
+    w = 1 + p / 2
+    while True:
+        flat = rng.random() * (1 + w) <= w
+        y = (rng.random() * w if flat else w + rng.exponential()) / p
+        x = mode + (1 if rng.random() < 0.5 else -1) * round(y)
+        if low <= x <= high and log(1 - rng.random()) + min(0.0, w - p * y) <= _log_law(x, good, bad, n) - top:
+            return x
 
 
-def matrix_row(starts: np.ndarray, sizes: np.ndarray, part: int, seed: int) -> np.ndarray:
-    """Row ``part`` of the communication matrix. starts: rows before each partition, and
-    all rows at the end; its memory is one number for each partition."""
+def draw(rng: np.random.Generator, colours: np.ndarray, n: int) -> np.ndarray:
+    """n draws without replacement from an urn with these colours."""
+    total = int(colours.sum())
+    if total < NUMPY_MOST:
+        return rng.multivariate_hypergeometric(colours, n, method="marginals")
+    out = np.zeros(len(colours), np.int64)
+    for i, own in enumerate(colours.tolist()):
+        total -= own
+        out[i] = rejection(rng, own, total, n)
+        n -= int(out[i])
+    return out
+
+
+def matrix_row(starts: np.ndarray, sizes: np.ndarray, unit: int, seed: int) -> np.ndarray:
+    """Row ``unit`` of the communication matrix. starts: rows before each unit, and all rows
+    at the end; its memory is one number for each unit."""
     low, high, totals = 0, len(starts) - 1, sizes
     while high - low > 1:
         mid = (low + high) // 2
         left = draw(np.random.default_rng((seed, low, high)), totals, int(starts[mid] - starts[low]))
-        low, high, totals = (low, mid, left) if part < mid else (mid, high, totals - left)
+        low, high, totals = (low, mid, left) if unit < mid else (mid, high, totals - left)
     return totals
 
 
-def _assign(starts: np.ndarray, sizes: np.ndarray, seed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row with the task that writes it and its place there."""
+    from pyspark import TaskContext
+
+    part, place = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        n = batch.num_rows
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int64)), pa.array(np.arange(place, place + n))], names=[*batch.schema.names, "_part", "_place"])
+        place += n
+
 
-        part = TaskContext.get().partitionId()
-        rng, left, place = np.random.default_rng((seed, part, 1 << 30)), None, 0
+def _assign(first_unit: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int):  # type: ignore[no-untyped-def]
+    def labels(unit: int) -> tuple[np.ndarray, np.ndarray]:
+        rng = np.random.default_rng((seed, unit, 1 << 30))
+        own = np.repeat(np.arange(len(sizes), dtype=np.int32), matrix_row(starts, sizes, unit, seed))
+        rng.shuffle(own)
+        return own, rng.integers(0, 1 << 62, len(own))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            if left is None:
-                left = matrix_row(starts, sizes, part, seed)
-            n = batch.num_rows
-            took = draw(rng, left, n)
-            left = left - took
-            labels = np.repeat(np.arange(len(sizes), dtype=np.int32), took)
-            rng.shuffle(labels)
-            new = [pa.array(labels), pa.array(rng.integers(0, 1 << 62, n)), pa.array(np.full(n, part, np.int64)), pa.array(np.arange(place, place + n))]
-            place += n
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "shard", "_key", "_part", "_place"])
+            part, place = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("_part", "_place"))
+            unit = first_unit[part] + place // UNIT
+            shard, key = np.empty(len(unit), np.int32), np.empty(len(unit), np.int64)
+            for u in np.unique(unit).tolist():
+                if u not in held:
+                    if len(held) >= 4:
+                        held.pop(next(iter(held)))
+                    held[u] = labels(u)
+                own = unit == u
+                shard[own], key[own] = (x[place[own] % UNIT] for x in held[u])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard), pa.array(key)], names=[*batch.schema.names, "shard", "_key"])
 
     return run
 
@@ -72,14 +154,15 @@ def _assign(starts: np.ndarray, sizes: np.ndarray, seed: int):
 def shuffle_into_shards(rows: DataFrame, shards: int = 40, seed: int = 0, block_rows: int = 500_000) -> DataFrame:
     """``rows`` with shard (int) and slot (long, gapless from 0 in the shard)."""
     rows = rows.drop("shard", "slot", "_key", "_part", "_place")
-    rows = materialize(rows, "to-shard")  # both passes below must see the same partitions
-    counts = {r[0]: r[1] for r in rows.groupBy(F.spark_partition_id().alias("p")).count().collect()}  # one number for each partition
-    n_parts = max(counts, default=-1) + 1
-    starts = np.cumsum([0] + [counts.get(p, 0) for p in range(n_parts)], dtype=np.int64)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    schema += ", _part long, _place long"
+    rows = materialize(rows.mapInArrow(_numbered, schema), "to-shard")
+    counts = {r[0]: r[1] for r in rows.groupBy("_part").count().collect()}  # one number for each task that wrote
+    sizes_ = [counts.get(p, 0) for p in range(max(counts, default=-1) + 1)]
+    first_unit = np.cumsum([0] + [-(-n // UNIT) for n in sizes_], dtype=np.int64)
+    starts = np.cumsum([0] + [min(UNIT, n - at) for n in sizes_ for at in range(0, n, UNIT)], dtype=np.int64)
     total = int(starts[-1])
-    sizes = shard_sizes(total, shards)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", shard int, _key long, _part long, _place long"
-    placed = rows.mapInArrow(_assign(starts, sizes, seed), schema)
+    placed = rows.mapInArrow(_assign(first_unit, starts, shard_sizes(total, shards), seed), schema + ", shard int, _key long")
     blocks = max(1, -(-total // (shards * block_rows)))
     placed = placed.withColumn("_block", F.expr(f"cast(floor(_key / {float(1 << 62)!r}D * {blocks}) as int)"))
     by_block = Window.partitionBy("shard", "_block").orderBy("_key", "_part", "_place")
