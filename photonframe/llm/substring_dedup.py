@@ -6,9 +6,12 @@ one: a document has a fifth as many fingerprints as windows. The index is a set
 runs, one for each ingested batch: tables of (fingerprint, doc_id) bucketed and sorted by
 fingerprint, so that a new batch's run is merge-joined with each earlier run without a
 shuffle. Fingerprints that two documents share are candidates; they are verified on the
-whole windows: documents that have them are read again, each window below such a
-fingerprint is hashed in full, and of the documents with the same fingerprint and window
-hash (128 bits) all but the one with the least doc_id lose the window. When ``fanout`` runs
+whole windows: of the documents, new or stored, only those that have them are taken up again,
+each window below such a fingerprint is hashed in full, and of the documents with the same
+fingerprint and window hash all but the one with the least doc_id lose the window. (The two
+hashes have 64 bits each; the window's chains its words one by one through a mixing step and
+so does not follow from those that make the fingerprint. Words themselves are not compared.)
+When ``fanout`` runs
 have gathered they are compacted into one.
 
 A fingerprint that many documents share is dealt over salts, about ``salt_rows`` documents
@@ -42,6 +45,7 @@ from pyspark.sql import types as T
 from .common import materialize, release, table_path, whole_texts, words_of
 
 WINDOW, GRAM = 13, 5
+BROADCAST_IDS = 1_000_000  # candidates' ids (8 MB) that are broadcast at most
 _GRAM_MIX, _WINDOW_MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -58,6 +62,17 @@ def _rolling(words: np.ndarray, width: int, factor: np.uint64) -> np.ndarray:
     return out
 
 
+def _chained(words: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each run of ``width`` word hashes; every word goes through a mixing step."""
+    n = len(words) - width + 1
+    out = np.full(n, _WINDOW_MIX)
+    for k in range(width):
+        out ^= words[k : k + n]
+        out *= np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(32)
+    return out
+
+
 def window_hashes(words: list[bytes], full: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
     """Fingerprint of each window, and its full hash."""
     if len(words) < WINDOW:
@@ -68,7 +83,7 @@ def window_hashes(words: list[bytes], full: bool = True) -> tuple[np.ndarray, np
     least = grams[:n].copy()
     for k in range(1, WINDOW - GRAM + 1):
         np.minimum(least, grams[k : k + n], out=least)
-    return least.view(np.int64), _rolling(each, WINDOW, _WINDOW_MIX).view(np.int64) if full else None
+    return least.view(np.int64), _chained(each, WINDOW).view(np.int64) if full else None
 
 
 def fingerprints(texts: DataFrame) -> DataFrame:
@@ -98,8 +113,6 @@ def _candidate_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             fp, salts, docs, crc, start, row, hashes, rows = [], [], [], [], [], [], [], 0
             part = batch.slice(at, 256)
             for doc, text, wanted, number in zip(part.column(0).to_pylist(), part.column(1), part.column(2), part.column(3), strict=True):
-                if not wanted.is_valid:
-                    continue
                 raw = text.as_py() or ""
                 own, full = window_hashes(words_of(raw))
                 keys = wanted.values.to_numpy(zero_copy_only=False)
@@ -254,9 +267,12 @@ class SubstringIndex:
     def ingest(self, batch: DataFrame, stored: DataFrame | None) -> DataFrame:
         """Ingest a batch (doc_id, text). stored: the documents ingested before, if any.
         (doc_id, crc, late) of documents of the batch that lose windows."""
-        candidates = self.add(batch)
+        candidates = materialize(self.add(batch), "candidates")
         texts = batch if stored is None else stored.unionByName(batch)
-        rows = texts.join(candidates, "doc_id", "left").select("doc_id", F.when(F.col("fps").isNotNull(), F.col("text")).alias("text"), "fps", F.col("salts"))
+        ids = candidates.select("doc_id")
+        if ids.count() <= BROADCAST_IDS:  # then no text is shuffled that is no candidate
+            texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
+        rows = texts.join(candidates, "doc_id").select("doc_id", "text", "fps", "salts")
         rows = rows.mapInArrow(_candidate_windows, "fp long, salt long, salts long, doc_id long, crc long, start int, hashes array<bigint>")
         late = materialize(late_windows(rows), "late")
         release(self.spark)
