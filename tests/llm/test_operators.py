@@ -159,6 +159,51 @@ def test_matrix_rows_add_up():
     assert matrix.sum(1).tolist() == counts and matrix.sum(0).tolist() == sizes.tolist()
 
 
+def test_matrix_beyond_numpys_limit():
+    counts, sizes = [10**9, 3, 2 * 10**9, 5 * 10**8], sharding.shard_sizes(35 * 10**8 + 3, 7)
+    starts = np.cumsum([0, *counts])
+    matrix = np.array([sharding.matrix_row(starts, sizes, u, 3) for u in range(4)])
+    assert matrix.sum(1).tolist() == counts and matrix.sum(0).tolist() == sizes.tolist()
+    share = matrix[2] / counts[2] - sizes / sizes.sum()
+    assert np.abs(share).max() < 6 * (1 / 7 / counts[2]) ** 0.5 and np.abs(share).max() > 0
+
+
+def test_rejection_follows_the_law():
+    from math import comb
+
+    rng = np.random.default_rng(1)
+    for good, bad, n in ((30, 50, 20), (7, 4, 8), (500, 300, 400)):
+        got = Counter(sharding.rejection(rng, good, bad, n) for _ in range(20_000))
+        law = {x: comb(good, x) * comb(bad, n - x) / comb(good + bad, n) for x in range(max(0, n - bad), min(good, n) + 1)}
+        cells = [(got[x], 20_000 * p) for x, p in law.items() if 20_000 * p >= 10]
+        assert sum((a - b) ** 2 / b for a, b in cells) < len(cells) + 5 * (2 * len(cells)) ** 0.5
+
+
+def test_matrix_is_uniform():
+    # Two units and three shards of six rows: each matrix as often as the law says.
+    from math import comb
+
+    starts, sizes = np.array([0, 3, 6]), np.array([2, 2, 2])
+    got = Counter(tuple(sharding.matrix_row(starts, sizes, 0, s).tolist()) for s in range(6000))
+    law = {(a, b, 3 - a - b): comb(2, a) * comb(2, b) * comb(2, 3 - a - b) / 20 for a in range(3) for b in range(3) if 0 <= 3 - a - b <= 2}
+    assert set(got) == set(law) and sum((got[m] - 6000 * p) ** 2 / (6000 * p) for m, p in law.items()) < 30
+
+
+def test_shards_when_files_are_split_anew(spark):
+    placed = sharding.shuffle_into_shards(spark.range(3000).repartition(5), shards=7)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in old:
+        spark.conf.set(k, "2000")
+    try:
+        got = placed.collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted(r.id for r in got) == list(range(3000))
+    sizes = Counter(r.shard for r in got)
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and {(r.shard, r.slot) for r in got} == {(s, k) for s in sizes for k in range(sizes[s])}
+
+
 # ---- quality
 def brute_base(text):
     text = text or ""
@@ -181,24 +226,79 @@ def test_quality_base_counts(docs, none):
     assert quality_rules.keep(docs).columns == docs.columns
 
 
-def test_kneser_ney_is_a_distribution(spark):
-    texts = ["abracadabra abracadabra", "a cab, a bar", None, ""]
-    model = quality_rules.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
-    table = np.exp(model.table().astype(float) / quality_rules.SCALE)
-    sums = table.reshape(1 << 16, 256).sum(1)
-    assert np.abs(sums - 1).max() < 0.02  # rounding of the log-probabilities
-    counts = Counter()
-    for t in texts:
-        raw = b"\n\n" + (t or "").encode()
-        counts.update((raw[i] << 16) | (raw[i + 1] << 8) | raw[i + 2] for i in range(len(raw) - 2))
-    assert sorted(counts) == model.tri_key.tolist()
+KN_TEXTS = [("en", "abracadabra abracadabra " * 3), ("en", "a cab, a bar, a cab, a barn and a bra"), ("xx", "zzz abz zaz"), ("en", None), ("xx", "")]
+
+
+def brute_kneser_ney(texts, order, share):
+    """Probability of a byte after a context, from the definitions."""
+    raw = Counter()
+    for lang, t in texts:
+        b = b"\n" * (order - 1) + (t or "").encode()
+        raw.update((lang, b[i : i + order]) for i in range(len(b) - order + 1))
+    counts, often = {order: raw}, {order: raw}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter((lang, g[1:]) for lang, g in counts[k + 1])
+        often[k] = Counter()
+        for (lang, g), n in often[k + 1].items():
+            often[k][lang, g[1:]] += n
+    total = sum(raw.values())
+    cuts = {}
+    for k, c in counts.items():
+        n1, n2, n3, n4 = (sum(v == i for v in c.values()) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 else 0
+        cuts[k] = [min(max(v, 0), i) for i, v in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))] if n1 and n2 and n3 else [0.5, 1.0, 1.5]
+
+    def p(lang, g):
+        k = len(g)
+        if k == 0:
+            return 1 / 256
+        inside = {h: n for (l, h), n in counts[k].items() if l == lang and h[:-1] == g[:-1]}
+        if not inside:
+            return p(lang, g[1:])
+        share_of = {h: max(n - cuts[k][min(n, 3) - 1], 0) / sum(inside.values()) for h, n in inside.items() if often[k][lang, h] * share >= total}
+        return share_of.get(g, 0) + (1 - sum(share_of.values())) * p(lang, g[1:])
+
+    return raw, p
+
+
+@pytest.mark.parametrize("order,share", [(3, 10**6), (3, 40), (2, 30)])
+def test_kneser_ney_as_defined(spark, order, share):
+    model = quality_rules.fit(spark.createDataFrame(KN_TEXTS, "lang string, text string"), order, share)
+    grams, p = brute_kneser_ney(KN_TEXTS, order, share)
+    code = lambda g: int.from_bytes(g, "big")
+    for lang, g in [*grams, ("en", b"q" * order), ("xx", b"aq\n"[-order:]), ("xx", b"abr"[:order])]:
+        assert abs(model.log_probability(lang, np.array([code(g)]))[0] / quality_rules.SCALE - np.log(p(lang, g))) < 5e-4 * order
+    for lang, g in grams:
+        every = np.array([code(g[:-1] + bytes([x])) for x in range(256)])
+        assert abs(np.exp(model.log_probability(lang, every) / quality_rules.SCALE).sum() - 1) < 0.01
+    assert all(len(level[0]) <= share and (np.diff(level[0]) > 0).all() for own in model.levels.values() for level in own.values())
+
+
+def test_scores_and_verdicts_by_brute_force(docs, spark):
+    spark_rows = {(r.doc_id, r.lang): r for r in quality_rules.quality(docs).collect()}
+    texts = [(r[2] or "null", r[1]) for r in rows()]
+    model = quality_rules.fit(spark.createDataFrame(texts, "lang string, text string"))
+    for i, text, lang, *_ in rows():
+        raw = (text or "").encode()
+        padded = b"\n" * (quality_rules.ORDER - 1) + raw
+        codes = np.array([int.from_bytes(padded[k : k + quality_rules.ORDER], "big") for k in range(len(raw))], np.int64)
+        total = int(model.log_probability(lang or "null", codes).sum())
+        assert spark_rows[i, lang].log_ppl == -total * quality_rules.STEP // (quality_rules.SCALE * max(len(words(text)), 1))
+    for lang in {r[2] for r in rows()}:
+        own = [r for r in spark_rows.values() if r.lang == lang]
+        passed = [r for r in own for _ in range(2 if r.doc_id == 0 else 1) if not r.base_failed]
+        middle = np.percentile([r.log_ppl for r in passed], 50)
+        off = lambda r: np.sign(v := (r.log_ppl - middle) / np.sqrt(1 + quality_rules.SHORT / max(r.n_words, 1))) * np.floor(abs(v) + 0.5)  # noqa: B023, E731
+        low, high = np.percentile([off(r) for r in passed], [25, 75])
+        for r in own:
+            assert r.kept == (not r.base_failed and low - 3 * (high - low) <= off(r) <= high + 4 * (high - low))
 
 
 def test_quality_rejects_odd_text(spark):
     good = [(i, " ".join(w for w in rows()[16][1].split()[i * 60 : i * 60 + 60]), "en") for i in range(60)]
-    odd = [(100, " ".join(f"{w}#%{w[::-1]}@!" for w in good[0][1].split()), "en")]
+    odd = [(100, " ".join(f"{w}#%{w[::-1]}@!" for w in good[0][1].split()), "en"), (101, " ".join(w[::-1] for w in good[1][1].split()), "en"), (102, good[2][1].replace("e", "xq"), "en")]
     got = {r.doc_id: r.kept for r in quality_rules.quality(spark.createDataFrame(good + odd, "doc_id long, text string, lang string")).collect()}
-    assert not got[100] and sum(got.values()) == len(good)
+    assert not any(got[i] for i in (100, 101, 102)) and sum(got.values()) == len(good)
 
 
 # ---- SimHash
@@ -361,6 +461,45 @@ def test_long_parts_are_linked_by_distance(spark):
     assert "bob7" not in secret_scan.redact(table.where("doc_id = 1")).first().text
 
 
+def brute_spans(text, reach=256):
+    """All spans from the stated rules, every candidate against every part."""
+    flags = re.ASCII
+    parts = [(m.start(), order, m.end(), kind, cls, weak) for order, (kind, cls, weak, pattern, group, least) in enumerate(secret_scan.KINDS) for m in re.finditer(pattern, text, flags) if len(m.group(group)) >= least]
+
+    def near(p, cls):
+        return any(q[4] == cls and q[0] - p[2] <= reach and p[0] - q[2] <= reach for q in parts if q is not p)
+
+    needs = {"secret": ["identifier"], "identifier": ["secret"], "endpoint": ["identifier", "secret"]}
+    return ",".join(f"{p[3]}:{p[0]}:{p[2]}" for p in sorted(parts, key=lambda p: p[:3]) if not p[5] or all(near(p, c) for c in needs[p[4]]))
+
+
+def test_linked_spans_by_brute_force(spark):
+    import random
+
+    r = random.Random(11)
+    key = lambda: "".join(r.choice("abcXYZ0189+/") for _ in range(37)) + "aB3"
+    makers = [
+        lambda: f"token={key()[: r.randint(4, 30)]}",
+        lambda: "AKIA" + "".join(r.choice("ABCZ019") for _ in range(r.randint(12, 20))),
+        lambda: "".join(r.choice("0123abcdef") for _ in range(r.randint(20, 30))),
+        lambda: f"{r.choice(['user', 'client_id', 'Login'])}{r.choice([': ', '='])}{r.choice(['bob7', 'x', 'ann@x.org'])}",
+        key,
+        lambda: f"https://h{'/' + 'p' * r.randint(1, 600) if r.random() < 0.4 else ''}",
+        lambda: "." * r.choice([1, 40, 200, 250, 300, 520]),
+        lambda: "ünï日😀" * r.randint(1, 30),
+    ]
+    texts = [r.choice([" ", "\n"]).join(r.choice(makers)() for _ in range(r.randint(1, 14))) for _ in range(400)]
+    got = {x.doc_id: x.spans for x in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: brute_spans(t) for i, t in enumerate(texts)}
+    assert sum("key:" in x for x in got.values()) > 50 and sum("endpoint:" in x for x in got.values()) > 50
+
+
+def test_secrets_of_a_very_long_text(spark):
+    text = "word " * 200_000 + "user=bob7 " + "key " + "aB3" * 13 + "z " + "tail " * 200_000
+    got = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.spans == brute_spans(text) and got.spans.count(":") == 4
+
+
 def test_redaction(docs):
     out = secret_scan.redact(docs)
     texts = {r.doc_id: r for r in out.collect()}
@@ -385,17 +524,69 @@ def test_licences(spark):
     assert got == {1: ("GPL-3.0", "file", None), 2: ("GPL-3.0", "inherited", "a"), 3: ("Apache-2.0", "header", None), 4: ("MIT", "file", None), 5: ("MIT", "inherited", "a/b/c/d"), 6: (None, "none", None), 7: (None, "none", None)}
 
 
+def test_real_notices(spark):
+    bsd = license_scan._BSD.format("3. neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. ")
+    text = {name: t for name, t in license_scan.TEMPLATES if name in ("ISC", "MIT", "Unlicense")}
+    mit = max((t for n, t in license_scan.TEMPLATES if n == "MIT"), key=len)
+    files = [
+        (1, "BSD 3-Clause License\n\nCopyright (c) 2021, The Somebody Project Authors\n\n" + bsd.replace("are met: ", "are met:\n\n").replace(" 2. ", "\n\n2. ").replace("this software is", "\n\nTHIS SOFTWARE IS"), "a/LICENSE"),
+        (2, "/*\n * Copyright (c) 2019 Jo Doe <jo@example.org>\n *\n * " + text["ISC"].replace(". ", ".\n * ") + "\n */\nint main() { return 0; }", "b/isc.c"),
+        (3, '# Copyright 2020 Acme GmbH, Inc.\n#\n# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.\nimport os', "c/x.py"),
+        (4, "// SPDX-License-Identifier: MIT\nfn main() {}", "d/x.rs"),
+        (5, "MIT License\n\nCopyright (c) 2018 Somebody Else\n\n" + mit, "e/LICENSE.txt"),
+        (6, "Copyright 2021 Acme GmbH, licensed under the Apache License, Version 2.0", "f/notes"),
+        (7, "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n" + "The licences for most software are designed to take away your freedom. " * 40, "g/COPYING"),
+        (8, "SPDX-License-Identifier: Apache-2.0", "h/x"),
+        (9, "no driving licence, no copyright lawyer, " + "only words " * 50, "i/x"),
+    ]
+    want = {1: "BSD-3-Clause", 2: "ISC", 3: "Apache-2.0", 4: "MIT", 5: "MIT", 6: "Apache-2.0", 7: "GPL-3.0", 8: "Apache-2.0", 9: None}
+    for more in (0, 400):  # the cosine of a notice must not fall as licence texts gather
+        table = spark.createDataFrame(files + [(100 + i, f"word{i} is licensed under terms{i % 9} of some licence{i}", f"z{i}/x") for i in range(more)], "doc_id long, text string, path string")
+        table = table.withColumns({"row": F.lit("x"), "dir": F.lit(1), "lines": F.lit("y"), "term": F.lit("t")})
+        got = {r.doc_id: r.licence for r in license_scan.scan(table, F.col("path")).where("doc_id < 100").collect()}
+        assert got == want, (more, got)
+    assert license_scan.scan(table.where("false"), F.col("path")).count() == 0
+
+
+def test_licences_of_long_texts_and_ties(spark):
+    long = "x " * 500_000 + "\nReleased under the MIT License.\n" + "y " * 500_000
+    files = [(1, long, "a/x"), (2, "Released under the MIT License.", "a/LICENSE"), (3, "Released under the MIT License.", "a/COPYING"), (4, "Licensed under CC BY-NC 4.0", "a/LICENSE"), (5, "", "a/b/y")]
+    got = {r.doc_id: (r.licence, r.origin) for r in license_scan.scan(spark.createDataFrame(files, "doc_id long, text string, path string"), F.col("path")).collect()}
+    assert got[1] == ("MIT", "header") and got[2] == got[3] == ("MIT", "file") and got[5] == ("CC-BY-NC-4.0", "inherited")
+
+
 # ---- Merkle
+def merkle_records(spark, rows_):
+    table = spark.createDataFrame(rows_, "a long, k long, p string").withColumns({"idx": F.lit("x"), "name": F.lit(0), "offset": F.lit(None).cast("string")})
+    return merkle.records(table, F.col("a"), F.col("k"), F.col("p"))
+
+
 def test_merkle_finds_the_damage(spark):
-    table = spark.createDataFrame([(i // 40, i, None if i == 7 else f"payload {i}") for i in range(100)], "a long, k long, p string")
-    first = merkle.records(table, F.col("a"), F.col("k"), F.col("p"))
-    second = first.where("key <> 45").withColumn("digest", F.when(F.col("key") == 13, F.lit("x")).otherwise(F.col("digest")))
-    got = {r.archive: r for r in merkle.report(first, second, fanout=3).collect()}
-    assert (got[0].n_faults, got[0].faults.split(":")[:2], got[0].intact) == (1, ["13", "corrupt"], False)
-    assert (got[1].n_faults, got[1].faults.split(":")[:2]) == (1, ["5", "missing"]) and got[2].intact
-    assert merkle.report(first.where("false"), second.where("false")).count() == 0
-    lost = {r.archive: r for r in merkle.report(first, first.where("archive <> 2"), fanout=16).collect()}
-    assert not lost[2].intact and lost[2].n_faults == 20
+    own = [(i // 40, i, None if i == 7 else f"payload {i}") for i in range(100)]
+    # The other replica is made of its own rows: one lost, one longer, one added, one empty.
+    other = [(a, k, p + " and more" if k == 13 else "" if k == 7 else p) for a, k, p in own if k != 45] + [(2, 1000, "new")]
+    got = {r.archive: r for r in merkle.report(merkle_records(spark, own), merkle_records(spark, other), fanout=3).collect()}
+    parts = {a: [x.split(":")[:2] for x in r.faults.split(",")] for a, r in got.items()}
+    assert parts == {0: [["7", "corrupt"], ["13", "corrupt"]], 1: [["5", "missing"]], 2: [["20", "extra"]]}
+    assert not any(r.intact for r in got.values()) and [got[a].n_faults for a in range(3)] == [2, 1, 1]
+
+
+def test_merkle_of_awkward_replicas(spark):
+    long = "x" * 3_000_000
+    own = [(None, 1, "a"), (None, None, "b"), (None, None, "c"), (1, 5, long), (1, 5, long), (2, 1, "z")]
+    same = {r.archive: r for r in merkle.report(merkle_records(spark, own), merkle_records(spark, own[::-1])).collect()}
+    assert set(same) == {None, 1, 2} and all(r.intact and r.n_faults == 0 and r.root_a == r.root_b for r in same.values())
+    less = {r.archive: r for r in merkle.report(merkle_records(spark, own), merkle_records(spark, own[1:4])).collect()}
+    assert {a: (r.intact, r.n_faults) for a, r in less.items()} == {None: (False, 1), 1: (False, 1), 2: (False, 1)} and less[2].root_b is None
+    empty = merkle_records(spark, [])
+    assert merkle.report(empty, empty).count() == 0 and merkle.report(empty, merkle_records(spark, own)).count() == 3
+
+
+def test_merkle_reports_one_lost_record_as_one(spark):
+    own = [(0, i, f"p{i}") for i in range(600)]
+    for lost in (0, 17, 599):
+        r = merkle.report(merkle_records(spark, own), merkle_records(spark, [x for x in own if x[1] != lost])).first()
+        assert (r.n_faults, r.faults.split(":")[:2]) == (1, [str(lost), "missing"])
 
 
 # ---- queries
