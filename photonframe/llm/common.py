@@ -32,7 +32,18 @@ def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
     survives the loss of any executor."""
     path = table_path(df.sparkSession, tag)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path  # for discard()
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables from the shared folder, once everything that reads them
+    has been written itself."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def whole_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

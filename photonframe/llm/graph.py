@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (u, v), u > v. A step links neighbours of a node to the least of its
+def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
+    """edges (u, v), u > v; the new edges and the table of the least ones. A step links neighbours of a node to the least of its
     neighbourhood: the larger neighbours (large star) or the smaller ones (small star).
     The least ones are written first: both sides of the join are then read as they are, so
     that Spark can split the edges of a node that has very many."""
@@ -21,7 +21,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
         both = edges.join(least, "u")
         new = both.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return new.where("u > v").distinct()
+    return new.where("u > v").distinct(), least
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -34,7 +34,12 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     now = materialize(now, "edges")
     seen = None
     for _ in range(rounds):
-        now = materialize(_star(_star(now, True), False), "edges")
+        before = [now]
+        for large in (True, False):
+            new, least = _star(before[-1], large)
+            before += [least, materialize(new, "edges")]
+        now = before.pop()
+        discard(*before)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             break

@@ -54,6 +54,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.model, self.keep = Tokenizer.from_file(path), keep
+        ids = lambda text: self.model.encode(text, add_special_tokens=False).ids
+        for whole, parts in (("The cat", ["the", "cat"]), ("a\t\n b", ["a", "b"]), ("End. no", ["end", ".", "no"]), ("x9?! é", ["x9", "?!", "é"])):
+            if ids(whole) != [i for p in parts for i in ids(p)]:
+                raise ValueError("a tokenizer is needed that lower-cases, drops white space and cuts words from marks")
         self.seen: dict[bytes, bytes] = {}
 
     def learn(self, new: set[bytes]) -> None:
@@ -77,14 +81,14 @@ class WordEncoder:
         return [b"".join(map(self.seen.__getitem__, own) if None in found else found) for own, found in zip(words, parts, strict=True)]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
-def word_encoder(path: str) -> WordEncoder:
+def word_encoder(path: str, keep: int) -> WordEncoder:
     """One for each worker process; tasks that reuse the worker reuse what it has learnt."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    if (path, keep) not in _ENCODERS:
+        _ENCODERS[path, keep] = WordEncoder(path, keep)
+    return _ENCODERS[path, keep]
 
 
 class OpenWindows:
@@ -219,12 +223,13 @@ def _out(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 7, schema, strict=True)], schema=schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, max_len: int = 2048, open_windows: int = 64, merge_tasks: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, max_len: int = 2048, open_windows: int = 64, merge_tasks: int = 64, keep_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents with their sequence and their place in it.
 
     ``sequence_id`` is unique, not dense. Ids are those of ``tokenizer`` (a file of the
-    tokenizers library whose model keeps white-space-separated words apart), then ``end_id``."""
-    pieces = whole_texts(docs, id_col, text_col).mapInArrow(_packer(lambda: word_encoder(tokenizer).encode_many, end_id, max_len, open_windows), f"{SCHEMA}, leftover boolean, task long")
+    tokenizers library whose model keeps white-space-separated words apart), then ``end_id``.
+    ``keep_words``: words whose ids a Python worker remembers at most."""
+    pieces = whole_texts(docs, id_col, text_col).mapInArrow(_packer(lambda: word_encoder(tokenizer, keep_words).encode_many, end_id, max_len, open_windows), f"{SCHEMA}, leftover boolean, task long")
     pieces = materialize(pieces, "pieces")  # both branches below read it
     done = pieces.where(~F.col("leftover")).drop("leftover", "task")
     left = pieces.where("leftover").withColumn("group", F.expr(f"task div {merge_tasks}"))

@@ -51,6 +51,8 @@ def read_pieces(path: str) -> list[tuple[str, float, int]]:
         model.ParseFromString(f.read())
     if model.trainer_spec.model_type != 2 or model.normalizer_spec.precompiled_charsmap or model.normalizer_spec.remove_extra_whitespaces or not model.trainer_spec.byte_fallback:
         raise ValueError("a BPE model with byte fallback and identity normalisation is needed")
+    if any(p.type in (4, 5) or (p.type == 1 and MARK in p.piece.lstrip(MARK)) for p in model.pieces):
+        raise ValueError("no piece may be user-defined or unused, or have a word mark after another character")
     return [(p.piece, p.score, p.type) for p in model.pieces]
 
 

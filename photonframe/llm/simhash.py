@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, release, whole_texts
+from .common import discard, materialize, release, whole_texts
 from .graph import components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -389,6 +389,7 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: st
         release(spark)
         both = left.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
         found = materialize(both.select("a", "b", "ga", "gb").mapInArrow(_alike(similarity), "a long, b long"), "alike")
+        discard(left, sets)
         release(spark)
         return found
 
@@ -411,10 +412,14 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: st
         parts = parts.withColumns({"low": F.min("part").over(place), "high": F.max("part").over(place)}).where("low < high").drop("low", "high")
         return materialize(parts, "open")
 
-    met = still_open().drop("part")
+    every = met
+    met = still_open()
+    discard(every)
     ok = near(F.col("n"), F.col("pos"), F.col("other_n"), F.col("other_pos"))
     other = met.select("key", *(F.col(c).alias(f"other_{c}") for c in ("node", "n", "pos")))
-    met = materialize(met.join(other, (met["key"] == other["key"]) & (F.col("node") != F.col("other_node")) & ok, "left_semi"), "meetings")
+    every = met
+    met = materialize(met.drop("part").join(other, (met["key"] == other["key"]) & (F.col("node") != F.col("other_node")) & ok, "left_semi"), "meetings")
+    discard(every)
     open_ = still_open()
     hubs = F.array(*(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("rank"), "node", "n", "pos", "part")).over(place) for k in range(HUBS)))
     apart = lambda h: (h["part"] != F.col("part")) & near(F.col("n"), F.col("pos"), h["n"], h["pos"])
@@ -422,6 +427,7 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: st
     more = first.select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     more = materialize(more, "pairs")
     release(spark)
+    discard(open_)
     links_, pairs = links_.unionByName(alike(more)), pairs.unionByName(more)
     open_ = still_open()
     other = open_.select("key", *(F.col(c).alias(f"other_{c}") for c in ("node", "n", "pos", "part")))
@@ -433,7 +439,11 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: st
     named = materialize(named, "named")
     least = materialize(named.groupBy("component").agg(F.min("least").alias("component_id")), "least")
     named = materialize(named.join(least, "component").select("node", "component", "component_id"), "components")
-    return rows.select("doc_id", "text_hash", "node").join(named, "node").select("doc_id", "text_hash", "component", "component_id")
+    out = rows.select("doc_id", "text_hash", "node").join(named, "node").select("doc_id", "text_hash", "component", "component_id")
+    out = materialize(out, "similar")
+    discard(rows, nodes, met, open_, named)
+    release(spark)
+    return out
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, release, table_path, whole_texts, words_of
+from .common import discard, materialize, release, table_path, whole_texts, words_of
 
 WINDOW, GRAM = 13, 5
 BROADCAST_IDS = 1_000_000  # candidates' ids (8 MB) that are broadcast at most
@@ -177,11 +177,13 @@ def _compare(rows: DataFrame) -> DataFrame:
 
 
 def late_windows(rows: DataFrame) -> DataFrame:
-    """(doc_id, crc, late): places of windows that a document with a smaller id has."""
+    """(doc_id, crc, late), stored: places of windows that a document with a smaller id has."""
     by_salt = materialize(_compare(rows), "by-salt")  # two readers
     firsts = by_salt.where(F.size("first") > 0).select("fp", "doc_id", "crc", F.explode(F.arrays_zip("first", "first_hashes")).alias("w"))
     between = _compare(firsts.select("fp", F.pmod("w.first_hashes", F.lit(1024)).alias("salt"), F.lit(1).cast("long").alias("salts"), "doc_id", "crc", F.col("w.first").alias("start"), F.array("w.first_hashes").alias("hashes")))
-    return by_salt.unionByName(between).where(F.size("late") > 0).select("doc_id", "crc", "late")
+    late = materialize(by_salt.unionByName(between).where(F.size("late") > 0).select("doc_id", "crc", "late"), "late")
+    discard(by_salt)
+    return late
 
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
@@ -226,12 +228,14 @@ class SubstringIndex:
         self.spark, self.fanout, self.salt_rows = spark, fanout, salt_rows
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[str] = []
+        self.paths: dict[str, str] = {}
 
     def _write_run(self, rows: DataFrame) -> str:
         """An immutable run: one table, bucketed and sorted by fingerprint."""
         name = f"fingerprint_run_{uuid.uuid4().hex}"
         writer = rows.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp")
-        writer.options(path=table_path(self.spark, "run"), compression="zstd", **{"parquet.writer.version": "v2"}).saveAsTable(name)
+        self.paths[name] = table_path(self.spark, "run")
+        writer.options(path=self.paths[name], compression="zstd", **{"parquet.writer.version": "v2"}).saveAsTable(name)
         return name
 
     def _counts(self, run: str) -> DataFrame:
@@ -253,15 +257,20 @@ class SubstringIndex:
         return hits.groupBy("doc_id").agg(F.collect_list("fp").alias("fps"), F.collect_list("salts").alias("salts"))
 
     def compact(self) -> None:
-        """Merge all runs into one."""
+        """Merge all runs into one; the old ones go."""
         if len(self.runs) > 1:
-            self.runs = [self._write_run(reduce(DataFrame.unionByName, (self.spark.table(r) for r in self.runs)))]
+            merged = self._write_run(reduce(DataFrame.unionByName, (self.spark.table(r) for r in self.runs)))
+            self.drop()
+            self.runs = [merged]
 
     def drop(self) -> None:
-        """Take the runs out of the catalogue; their files stay in the shared folder. Only
-        after everything that reads them has been written."""
+        """Take the runs out of the catalogue and delete their files. Only after everything
+        that reads them has been written, as the results of ``ingest`` are."""
         for run in self.runs:
+            table = self.spark.table(run)
+            table.stored_at = self.paths.pop(run)
             self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+            discard(table)
         self.runs = []
 
     def ingest(self, batch: DataFrame, stored: DataFrame | None) -> DataFrame:
@@ -274,7 +283,8 @@ class SubstringIndex:
             texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
         rows = texts.join(candidates, "doc_id").select("doc_id", "text", "fps", "salts")
         rows = rows.mapInArrow(_candidate_windows, "fp long, salt long, salts long, doc_id long, crc long, start int, hashes array<bigint>")
-        late = materialize(late_windows(rows), "late")
+        late = late_windows(rows)
+        discard(candidates)
         release(self.spark)
         if len(self.runs) >= self.fanout:
             self.compact()
@@ -298,6 +308,7 @@ def dedup(docs: DataFrame, batches: int = 2, fanout: int = 4, salt_rows: int = 1
         now = texts if low is None else texts.where(F.col("doc_id") >= low)
         now = now if high is None else now.where(F.col("doc_id") < high)
         late.append(index.ingest(now, before))
+    index.drop()  # nothing is ingested after this
     late = reduce(DataFrame.unionByName, late).groupBy("doc_id", "crc").agg(F.flatten(F.collect_list("late")).alias("late"))
     doc = F.struct(*(F.col(f"`{c}`") for c in (docs.columns if whole else [text_col]))).alias("doc")
     text = F.coalesce(F.col(f"doc.`{text_col}`"), F.lit(""))
