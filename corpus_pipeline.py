@@ -1,4 +1,4 @@
-"""Corpus pipeline: quality rules, exact near-dedup, substring dedup, secret scans, packing.
+"""Corpus pipeline: quality rules, near-dedup, substring dedup, secret scans, packing.
 
 Every stage takes all that its predecessor kept. Stages but the last return the columns of
 documents: the first two drop rows, the next two change texts (and n_chars with them)."""
@@ -54,7 +54,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all rows in sequences of 2048 tokens; a null text has its end id alone."""
-    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), keep_words=500_000)
 
 
 STAGES: list[tuple[str, Stage]] = [(name, _shipped(stage)) for name, stage in (("quality rules", quality), ("near-dedup", near_dedup), ("substring dedup", substring), ("secret scans", secrets), ("packing", pack))]
