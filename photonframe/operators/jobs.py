@@ -115,7 +115,110 @@ def stale(results: DataFrame, wanted: DataFrame, key: str, tags: list[str]) -> D
     return results.join(other, key).where(~same).select(*results.columns)
 
 
+def unfinished(jobs: DataFrame, status: str = "status") -> DataFrame:
+    """Jobs that a run still takes up: neither done nor skipped; no status counts as new."""
+    return jobs.where(~F.coalesce(F.col(status), F.lit("")).isin("done", "skipped"))
+
+
+def references(jobs: DataFrame, source: str = "source") -> DataFrame:
+    """How many jobs of the batch use each source."""
+    return jobs.groupBy(source).agg(F.count("*").alias("n_jobs"))
+
+
+def withdraw(jobs: DataFrame, asked: DataFrame, key: str, status: str = "status") -> DataFrame:
+    """The batch without the jobs that are asked back and have not started; the names that
+    they claimed are free, since names are given to what is left (``name_outputs``)."""
+    back = asked.select(key).distinct().withColumn("_asked", F.lit(True))
+    return jobs.join(back, key, "left").where(F.col("_asked").isNull() | (F.col(status) != "queued")).drop("_asked")
+
+
+def looked_up(jobs: DataFrame, cache: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """Each job with the cached values of its key, and whether there were any. A cache has a
+    key once, so this is a left join; the newest of several entries is up to ``newest``."""
+    found = cache.select(key, *values).withColumn("hit", F.lit(True))
+    return jobs.join(found, key, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+
+def abandoned(files: DataFrame, now: Column, hours: float = 6.0, path: str = "path", modified: str = "modificationTime") -> DataFrame:
+    """Temporary files that no write is likely to finish: older than so many hours. Younger
+    ones may be some other job's write in progress."""
+    age = F.unix_seconds(now) - F.unix_seconds(F.col(modified))
+    return files.where(F.col(path).rlike(r"\.(tmp|part)$") & (age > hours * 3600))
+
+
+def keeps_hdr(hdr_output: Column, kind: Column, usable_gain_map: Column) -> Column:
+    """Whether a source is written as HDR from its own HDR data: only where HDR output is
+    asked for, and a gain map counts only if it can be used."""
+    return hdr_output & (kind.isin("png-hdr", "avif", "exr", "rgbe") | ((kind == "gain-map") & usable_gain_map))
+
+
+def will_colourise(asked: Column, strength: Column, monochrome: Column) -> Column:
+    """Only black-and-white photos are coloured, and only on request."""
+    return F.coalesce(asked & (strength > 0) & monochrome, F.lit(False))
+
+
+# What a restoration level sets (dust, scratches, noise, fading, sharpness, faces, automatic colour, detail).
+LEVELS = {
+    "light": (0, 0, 20, 35, 25, "off", True, False),
+    "standard": (50, 40, 40, 50, 35, "natural", True, False),
+    "heavy": (75, 70, 60, 70, 40, "natural", True, True),
+}
+_LEVEL_FIELDS = "dust int, scratches int, noise int, fading int, sharpness int, face string, auto_colour boolean, detail boolean"
+
+
+def restoration_stages(jobs: DataFrame, level: str = "level") -> DataFrame:
+    """Each job with the strengths of its level's stages (an unknown level counts as the
+    standard one), and the factor at which the upscaler runs: the job's own scale, else two
+    where detail is reconstructed, else none (0)."""
+    table = jobs.sparkSession.createDataFrame([(k, *v) for k, v in LEVELS.items()], f"_level string, {_LEVEL_FIELDS}")
+    known = F.when(F.col(level).isin(*LEVELS), F.col(level)).otherwise("standard")
+    out = jobs.withColumn("_level", known).join(F.broadcast(table), "_level").drop("_level")
+    return out.withColumn("ai_scale", F.when(F.col("scale") > 1, F.col("scale")).when(F.col("detail"), 2).otherwise(0))
+
+
+def preset_flags(preset: Column) -> tuple[Column, Column]:
+    """(colourises, upscales) of a one-click choice."""
+    return preset.isin("colorize", "full"), preset.isin("upscale", "full")
+
+
 # ---- text fields
+def output_folder(source: Column, chosen: Column, restored: Column) -> Column:
+    """The chosen folder, else one beside the source."""
+    beside = F.concat(F.regexp_extract(source, r"^(.*/)?", 0), F.when(restored, "restored").otherwise("upscaled"))
+    return F.coalesce(F.when(chosen != "", chosen), beside)
+
+
+def output_extension(image_format: Column, hdr_format: Column) -> Column:
+    """By the HDR format where there is one, else by the image format."""
+    hdr = F.when(hdr_format == "avif", ".avif").when(hdr_format == "exr", ".exr").when(hdr_format == "gainmap", ".jpg").when(hdr_format == "png", ".png")
+    return F.coalesce(hdr, F.when(image_format == "jpeg", ".jpg").when(image_format == "webp", ".webp").otherwise(".png"))
+
+
+def restored_stem(name: Column, tag: Column, colourised: Column, scale: Column) -> Column:
+    """``name_restored-tag_colorized_2x``, without the parts that do not apply."""
+    return F.concat(
+        name, F.lit("_restored"), F.when(F.coalesce(tag, F.lit("")) != "", F.concat(F.lit("-"), tag)).otherwise(""),
+        F.when(colourised, "_colorized").otherwise(""), F.when(scale > 1, F.concat(F.lit("_"), scale.cast("string"), F.lit("x"))).otherwise(""),
+    )
+
+
+def output_tag(parts: list[Column]) -> Column:
+    """What an output was made with, for ``stale``: all parts between bars, nulls empty."""
+    return F.array_join(F.array(*(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), "|")
+
+
+def hdr_tag(enhancement: Column, output: Column, kept: Column) -> Column:
+    """Enhancement's and output's tags; a source kept as HDR has no enhancement."""
+    first = F.when(~kept & (F.coalesce(enhancement, F.lit("")) != ""), enhancement)
+    return F.concat_ws("_", first, F.when(output != "", output))
+
+
+def result_tags(lighting: Column, look: Column, enhancement: Column, output: Column, kept: Column) -> Column:
+    """struct (lighting, look, hdr): what the output was really made with."""
+    none = lambda c: F.when(kept, "").otherwise(F.coalesce(c, F.lit("")))
+    return F.struct(none(lighting).alias("lighting"), none(look).alias("look"), hdr_tag(enhancement, output, kept).alias("hdr"))
+
+
 def render_name(template: str, values: dict[str, Column], tags: dict[str, Column]) -> Column:
     """A file stem from a template such as ``{name}_{scale}x``. Non-empty tags that it does
     not place are appended; separators become ``_``; outer dots and spaces go."""

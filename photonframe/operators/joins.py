@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from photonframe.functions.stored import stored
+
 
 def bracket(table: DataFrame, key: str, value: str, wrap: float | None = None) -> DataFrame:
     """Intervals (lo, hi, v_lo, v_hi) between neighbouring entries of a small lookup table;
@@ -34,21 +35,42 @@ def as_of(left: DataFrame, right: DataFrame, by: str, on: str, value: str, out:
     return both.withColumn(out, F.last("_v", ignorenulls=True).over(w)).where("_side = 1").drop("_side", "_v")
 
 
+def overlapping(boxes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (image_id, better, worse) of boxes whose intersection is more than ``threshold``
+    of their union; better by score, then by the smaller box_id. Boxes are dealt to the cells
+    of a grid that they touch, cells as large as the picture's largest box, so that a box
+    touches four at most; only boxes of a cell meet."""
+    side = boxes.groupBy("image_id").agg(F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("_side"))
+    span = lambda a, b: F.sequence(F.floor(F.col(a) / F.col("_cell")), F.floor(F.col(b) / F.col("_cell")))
+    dealt = boxes.join(side, "image_id").withColumn("_cell", F.greatest("_side", F.lit(1e-6)))
+    dealt = dealt.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
+    names = ("box_id", "x0", "y0", "x1", "y1", "score")
+    a = dealt.select("image_id", "cx", "cy", *(F.col(n).alias(f"a_{n}") for n in names))
+    b = dealt.select("image_id", "cx", "cy", *(F.col(n).alias(f"b_{n}") for n in names))
+    better = (F.col("a_score") > F.col("b_score")) | ((F.col("a_score") == F.col("b_score")) & (F.col("a_box_id") < F.col("b_box_id")))
+    width = F.least("a_x1", "b_x1") - F.greatest("a_x0", "b_x0")
+    height = F.least("a_y1", "b_y1") - F.greatest("a_y0", "b_y0")
+    both = F.greatest(width, F.lit(0.0)) * F.greatest(height, F.lit(0.0))
+    area = lambda p: F.greatest(F.col(f"{p}_x1") - F.col(f"{p}_x0"), F.lit(0.0)) * F.greatest(F.col(f"{p}_y1") - F.col(f"{p}_y0"), F.lit(0.0))
+    union = F.greatest(area("a") + area("b") - both, F.lit(1e-6))
+    met = a.join(b, ["image_id", "cx", "cy"]).where(better & (both / union > threshold))
+    return met.select("image_id", F.col("a_box_id").alias("better"), F.col("b_box_id").alias("worse")).distinct()
+
+
 def suppress(boxes: DataFrame, threshold: float = 0.4) -> DataFrame:
     """Greedy non-maximum suppression of (image_id, box_id, x0, y0, x1, y1, score): a box goes
     if a better one that stays covers it by more than ``threshold`` (intersection over union).
-    Inherently sequential, so it runs for each picture in pandas."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "box_id"], ascending=[False, True]).reset_index(drop=True)
-        kept: list[int] = []
-        area = (pdf.x1 - pdf.x0).clip(lower=0) * (pdf.y1 - pdf.y0).clip(lower=0)
-        for i in range(len(pdf)):
-            k = pdf.loc[kept]
-            w = (k.x1.clip(upper=pdf.x1[i]) - k.x0.clip(lower=pdf.x0[i])).clip(lower=0)
-            h = (k.y1.clip(upper=pdf.y1[i]) - k.y0.clip(lower=pdf.y0[i])).clip(lower=0)
-            if not ((w * h) / (area.loc[kept] + area[i] - w * h).clip(lower=1e-6) > threshold).any():
-                kept.append(i)
-        return pdf.loc[kept]
-
-    return boxes.groupBy("image_id").applyInPandas(run, boxes.schema)
+
+    In rounds of joins over the overlapping pairs: boxes that no better one overlaps stay,
+    those that they overlap go, and both leave the pairs; as many rounds as the longest chain
+    of boxes each of which would put out the next. A box_id is once in a picture."""
+    pairs = stored(overlapping(boxes, threshold), "pairs")
+    gone = None
+    while pairs.head(1):
+        stay = pairs.select("image_id", F.col("better").alias("box_id")).distinct().join(pairs.select("image_id", F.col("worse").alias("box_id")), ["image_id", "box_id"], "left_anti")
+        out = stored(pairs.join(stay.withColumnRenamed("box_id", "better"), ["image_id", "better"], "left_semi").select("image_id", F.col("worse").alias("box_id")).distinct(), "out")
+        gone = out if gone is None else gone.unionByName(out)
+        for end in ("better", "worse"):
+            pairs = pairs.join(out.withColumnRenamed("box_id", end), ["image_id", end], "left_anti")
+        pairs = stored(pairs, "pairs")
+    return boxes if gone is None else boxes.join(gone, ["image_id", "box_id"], "left_anti")

@@ -87,10 +87,12 @@ def neutrality(px: DataFrame, tolerance: int = 1) -> DataFrame:
     return px.groupBy("image_id").agg(spread.alias("spread")).withColumn("neutral", F.col("spread") <= tolerance)
 
 
-def error_and_bias(a: DataFrame, b: DataFrame, col: str, step: int = 1) -> DataFrame:
-    """(image_id, error, bias) of two versions of pictures on every ``step``-th row and column."""
-    grid = f"y % {step} = 0 and x % {step} = 0"
-    rows = a.where(grid).select("image_id", "y", "x", F.col(col).alias("_a")).join(b.where(grid).select("image_id", "y", "x", F.col(col).alias("_b")), ["image_id", "y", "x"])
+def error_and_bias(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
+    """(image_id, error, bias) of two versions of pictures; from every row and column up to
+    four megapixels, beyond that from a grid of about a megapixel or more."""
+    step = F.greatest(F.floor(F.sqrt(F.count("*").over(Window.partitionBy("image_id")) / 1e6)), F.lit(1))
+    own = a.select("image_id", "y", "x", F.col(col).alias("_a"), step.alias("_step")).where("y % _step = 0 and x % _step = 0")
+    rows = own.join(b.select("image_id", "y", "x", F.col(col).alias("_b")), ["image_id", "y", "x"])
     return rows.groupBy("image_id").agg(F.avg(F.abs(F.col("_a") - F.col("_b"))).alias("error"), F.abs(F.avg("_a") - F.avg("_b")).alias("bias"))
 
 
@@ -101,3 +103,15 @@ def masked_correlation(rows: DataFrame, a: str, b: str, weight: str) -> DataFram
     mx, my = F.col("x") / F.col("w"), F.col("y") / F.col("w")
     cov, vx, vy = F.col("xy") / F.col("w") - mx * my, F.col("xx") / F.col("w") - mx * mx, F.col("yy") / F.col("w") - my * my
     return s.select("image_id", (cov / F.sqrt(F.greatest(vx * vy, F.lit(1e-12)))).alias("correlation"))
+
+
+def recovery_adjustments(level_rows: DataFrame, fading: int, auto_colour: bool) -> DataFrame:
+    """Adds the gentle adjustments (contrast, shadows, highlights, saturation) that follow the
+    stretched levels of a faded photo; ends that were clipped get more. monochrome: a column."""
+    t = min(100, max(0, fading)) / 100
+    clipped = lambda c: F.col(c) > 0.02
+    return level_rows.withColumns({
+        "contrast": F.lit(6 * t), "shadows": F.when(clipped("shadows_clipped"), 14 * t).otherwise(6 * t),
+        "highlights": F.when(clipped("highlights_clipped"), -16 * t).otherwise(-6 * t),
+        "saturation": F.when(F.col("monochrome") | F.lit(not auto_colour), 0.0).otherwise(18 * t),
+    })

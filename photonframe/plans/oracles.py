@@ -532,7 +532,7 @@ ORACLES: dict[str, str] = {
     "light_level": linear(2.0).sql("image_id, round(max(greatest(r, g, b, 0)*203.0), 5) as max_cll, round(avg(greatest(r, g, b, 0)*203.0), 5) as max_fall") + " group by 1",
     "block_means": f"with {PX} select image_id, y // 4 as y, x // 4 as x, round(avg(r), 6) as r, round(avg(g), 6) as g, round(avg(b), 6) as b from px group by 1, 2, 3",
     "neutral_pictures": f"with {PX} select image_id, max(greatest(r, g, b) - least(r, g, b)) as spread, max(greatest(r, g, b) - least(r, g, b)) <= 1 as neutral from px group by 1",
-    "error_and_bias": f"with {PX} select image_id, round(avg(abs(g - least(g + x % 3, 255))), 6) as error, round(abs(avg(g) - avg(least(g + x % 3, 255))), 6) as bias from px where y % 2 = 0 and x % 2 = 0 group by 1",
+    "error_and_bias": f"with {PX} select image_id, round(avg(abs(g - least(g + x % 3, 255))), 6) as error, round(abs(avg(g) - avg(least(g + x % 3, 255))), 6) as bias from px group by 1",
     "box_clipped": f"with {GP}, {box('gp', ['l'], 2, 'm', 'l')} select image_id, y, x, l, round(l_m, 6) as mean from m",
     "box_replicated": f"with {GP} select p.image_id, p.y, p.x, any_value(p.l) as l, round(avg(n.l), 6) as mean from gp p cross join range(-2, 3) a(dy) cross join range(-2, 3) b(dx) join gp n on n.image_id = p.image_id and n.y = least(greatest(p.y + dy, 0), 7) and n.x = least(greatest(p.x + dx, 0), 7) group by 1, 2, 3",
     "local_range": f"with {GP} select p.image_id, p.y, p.x, any_value(p.l) as l, min(n.l) as low, max(n.l) as high from gp p join gp n on {near(1)} group by 1, 2, 3",
@@ -552,14 +552,14 @@ ORACLES: dict[str, str] = {
     "tile_plan": tiles_sql(),
     "tile_sides": "select p_partkey as image_id, case " + " ".join(f"when pow(least({s}, greatest(p_size*97, p_size*61 + 5)), 2)*2500 <= 1e9 then {s}" for s in (1024, 768, 512, 384, 256, 192, 128, 64)) + " else 64 end as tile from part",
     "tiles_pasted": f"with {PX} select * from px",
-    "png_round_trip": f"with {PX} select * from px where r + g + b > 0",
+    "png_round_trip": f"with {PX} select * from px",
     "identity_job": f"with {PX} select * from px",
     "blended": "with " + lighting_sql(PROFILES["vivid"]).removeprefix("with ").replace("\nselect image_id, y, x,", ",\nlit as (select image_id, y, x,", 1) + ") select image_id, y, x, " + ", ".join(f"cast(floor(px.{c}*0.65::double + lit.{c}*0.35::double + 0.5) as int) as {c}" for c in C3) + " from px join lit using (image_id, y, x)",
     "synthetic_pattern": "select cast(0 as bigint) as image_id, cast(i // 64 as int) as y, cast(i % 64 as int) as x, cast(floor((i % 64)*(255.0/63) + 0.5) as int) as r, cast(floor((i // 64)*(255.0/63) + 0.5) as int) as g, cast((i % 64 + i // 64) % 32*8 as int) as b from range(4096) t(i)",
     "output_names": "with s as (select page_id as seq, url as source, regexp_extract(url, '^https?://[^/]+/([^/?#]*)', 1) || '.png' as output from pages), f as (select output, source, min(seq) as m from s group by 1, 2), n as (select *, row_number() over (partition by output order by m) as number from f) select seq, case when number = 1 then output else regexp_extract(output, '^(.*)\\.png$', 1) || ' (' || number || ').png' end as name, cast(number as int) as number from s join n using (output, source)",
     "best_variants": "with p as (select p_brand as family, p_size as native, min(p_partkey) as spec from part group by 1, 2), q as (select family, scale from (select distinct family from p) cross join (values (2), (20), (45)) t(scale)), r as (select q.family, q.scale, native, spec, row_number() over (partition by q.family, q.scale order by native <> q.scale, native < q.scale, abs(native - q.scale), native) as k from q join p on p.family = q.family) select family, scale, native, spec from r where k = 1",
     "collected_inputs": "with a as (select case when page_id % 7 = 0 then 'a/upscaled' when page_id % 7 = 1 then 'restored' else 'b/c' end || '/p' || page_id % 50 || case when page_id % 2 = 0 then '_restored' else '' end || '.' || list_extract(['jpg','PNG','txt','tiff','gif','webp'], cast(page_id % 6 + 1 as int)) as path, page_id from pages), b as (select distinct path from a where page_id % 6 not in (2, 4) and page_id % 7 <> 0 and not (page_id % 7 = 1 and page_id % 2 = 0)) select path, row_number() over (order by path) - 1 as seq from b",
-    "skipped_existing": "select c_custkey as output from customer where c_custkey not in (select o_custkey from orders)",
+    "skipped_existing": "select c_custkey as output from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P')",
     "clashing_jobs": "with e as (select event_id as source, event_id*7 % 9973 + user_id as output from events) select output, source from e where output <> source and output in (select source from e)",
     "missing_models": "select cast(i as int) as p_size from range(60) t(i) where i not in (select p_size from part where p_brand = 'Brand#1')",
     "batch_summary": "select o_custkey as batch, count(*) as total, count(*) filter (o_orderstatus = 'F') as done, count(*) filter (o_orderstatus = 'P') as failed, count(*) filter (o_orderstatus = 'O') as queued from orders group by 1",
@@ -570,6 +570,30 @@ ORACLES: dict[str, str] = {
     "stale_results": "with e as (select o_orderkey, o_orderpriority as look, case when o_orderkey % 5 = 0 then null else o_orderstatus end as hdr from orders) select * from e where hdr is distinct from case when o_orderkey % 3 = 0 then 'F' else hdr end",
     "file_names": "select p_partkey, trim(regexp_replace(p_name || '_' || (p_size % 4 + 1) || 'x' || case when p_partkey % 2 = 0 and p_type <> '' then '_' || p_type else '' end || case when p_partkey % 3 = 0 then '_a/b' else '' end, '[\\\\/]', '_', 'g'), '. ') as name, case when n < 1000 then format('{:.0f} B', n) when n < 1e6 then format('{:.1f} KB', n/1e3) when n < 1e9 then format('{:.1f} MB', n/1e6) else format('{:.1f} GB', n/1e9) end as size, 'custom-' || substr(sha1(p_brand || ',' || p_size), 1, 6) as tag, substr(sha256(p_name || '|' || p_brand), 1, 32) as key from (select *, cast(p_partkey*p_partkey*1009 as double) as n from part)",
     "admitted_jobs": "select p_partkey, case when cast(w as bigint)*h > 1000000000 then 'source too large' when greatest(w*s, h*s) > 65535 then 'side too long' when cast(w*s as bigint)*(h*s)*3 > 30000000000 then 'no room' end as reason from (select p_partkey, cast(p_size*1000 as bigint) as w, cast(p_size*700 as bigint) as h, p_partkey % 3 + 2 as s from part)",
+    "unfinished_jobs": "select * from (select o_orderkey, case when o_orderkey % 11 > 0 then case o_orderstatus when 'F' then 'done' when 'P' then 'failed' else 'skipped' end end as status from orders) where status is null or status not in ('done', 'skipped')",
+    "source_references": "select l_partkey, count(*) as n_jobs from lineitem group by 1",
+    "names_after_withdrawal": "with s as (select page_id as seq, url as source, regexp_extract(url, '^https?://[^/]+/([^/?#]*)', 1) || '.png' as output from pages where not (page_id % 3 = 0 and page_id % 2 = 0)), f as (select output, source, min(seq) as m from s group by 1, 2), n as (select *, row_number() over (partition by output order by m) as number from f) select seq, case when number = 1 then output else regexp_extract(output, '^(.*)\\.png$', 1) || ' (' || number || ').png' end as name, cast(number as int) as number from s join n using (output, source)",
+    "cache_hits": "select c_custkey as o_custkey, o_orderkey, o_orderkey is not null as hit from customer left join (select * from (select o_custkey, o_orderkey, o_orderstatus, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as k from orders) where k = 1 and o_orderstatus = 'F') on c_custkey = o_custkey",
+    "abandoned_files": "select 't' || event_id || '.tmp' as path from events where event_id % 2 = 0 and epoch_us((select max(ts) from events)) // 1000000 - epoch_us(ts) // 1000000 > 72*3600",
+    "output_paths": """select p_partkey, case when p_partkey % 6 = 0 then 'out' else 'in/' || p_brand || '/' || case when p_partkey % 2 = 0 then 'restored' else 'upscaled' end end as folder,
+p_name || '_restored' || case when p_partkey % 4 = 0 then '-heavy' else '' end || case when p_partkey % 3 = 0 and p_size > 10 and p_partkey % 7 < 3 then '_colorized' else '' end || case when p_partkey % 3 > 1 then '_' || p_partkey % 3 || 'x' else '' end as stem,
+case p_partkey % 5 when 1 then '.avif' when 2 then '.exr' when 3 then '.jpg' when 4 then '.png' else case p_partkey % 3 when 0 then '.jpg' when 1 then '.webp' else '.png' end end as extension,
+p_brand || '|' || p_partkey % 3 || '|' || case p_partkey % 3 when 0 then 'jpeg' when 1 then 'webp' else 'png' end || '|' || case when p_partkey % 2 = 0 then 'x' else '' end as tag,
+case when p_partkey % 5 = 0 then '' else p_type end as lighting, case when p_partkey % 5 = 0 then '' else 'look' end as look,
+concat_ws('_', case when p_partkey % 5 <> 0 and p_partkey % 2 = 0 then 'vivid-60' end, case p_partkey % 5 when 1 then 'avif' when 2 then 'exr' when 3 then 'gainmap' when 4 then 'png' end) as hdr,
+p_partkey % 2 = 0 and (p_partkey % 3 <> 0 or p_partkey % 4 = 0) as keeps_hdr from part""",
+    "restoration_plan": "with l(k, dust, scratches, noise, fading, sharpness, face, auto_colour, detail) as (values (0, 0, 0, 20, 35, 25, 'off', true, false), (1, 50, 40, 40, 50, 35, 'natural', true, false), (2, 75, 70, 60, 70, 40, 'natural', true, true), (3, 50, 40, 40, 50, 35, 'natural', true, false)) select p_partkey, list_extract(['light', 'standard', 'heavy', 'odd'], cast(p_partkey % 4 + 1 as int)) as level, cast(p_partkey % 3 as int) as scale, l.* exclude (k), case when p_partkey % 3 > 1 then cast(p_partkey % 3 as int) when detail then 2 else 0 end as ai_scale from part join l on p_partkey % 4 = k",
+    "recovery": f"with {PX}, e as (select image_id, avg((({Y601})/255 < 0.02)::int) as sc, avg((({Y601})/255 > 0.98)::int) as hc from px group by 1) select image_id, round(3.6::double, 6) as contrast, round(case when sc > 0.02 then 8.4 else 3.6 end::double, 6) as shadows, round(case when hc > 0.02 then -9.6 else -3.6 end::double, 6) as highlights, round(case when image_id = 0 then 0 else 10.8 end::double, 6) as saturation from e",
+    "kept_boxes": """with recursive b as (
+  select cast(regexp_extract(p_brand, '([0-9]+)', 1) as bigint) as image_id, p_partkey as box_id, cast(p_partkey*37 % 200 as double) as x0, cast(p_partkey*53 % 200 as double) as y0, cast(p_size + 20 as double) as s, p_retailprice as score from part),
+r as (select image_id, row_number() over (partition by image_id order by score desc, box_id) as k, struct_pack(box_id := box_id, x0 := x0, y0 := y0, x1 := x0 + s, y1 := y0 + s, score := score) as box from b),
+w(image_id, k, kept) as (
+  select image_id, cast(1 as bigint), [box] from r where k = 1
+  union all
+  select w.image_id, w.k + 1, case when len(list_filter(w.kept, lambda o: greatest(least(o.x1, r.box.x1) - greatest(o.x0, r.box.x0), 0)*greatest(least(o.y1, r.box.y1) - greatest(o.y0, r.box.y0), 0)
+    > 0.4*((o.x1 - o.x0)*(o.y1 - o.y0) + (r.box.x1 - r.box.x0)*(r.box.y1 - r.box.y0) - greatest(least(o.x1, r.box.x1) - greatest(o.x0, r.box.x0), 0)*greatest(least(o.y1, r.box.y1) - greatest(o.y0, r.box.y0), 0)))) = 0 then list_append(w.kept, r.box) else w.kept end
+  from w join r on r.image_id = w.image_id and r.k = w.k + 1)
+select image_id, unnest(kept, recursive := true) from (select image_id, arg_max(kept, k) as kept from w group by 1)""",
     "error_kinds": "select list_extract(['memory','permission','disk','missing','internal'], cast(event_id % 5 + 1 as int)) as kind, count(*) as n from events group by 1",
     "queue_order": "select event_id, row_number() over (order by event_id) - 1 as seq from events",
     "last_price": "with e as (select * from events where event_type = 'error'), p as (select * from events where event_type = 'purchase') select e.event_id, p.value as last_value from e asof left join p on e.user_id = p.user_id and e.ts >= p.ts",

@@ -224,10 +224,10 @@ def neutral_pictures(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def error_and_bias(spark: SparkSession, d: str) -> DataFrame:
-    """Of a lit version against the original, on every second row and column."""
+    """Of a lit version against the original."""
     px = px_rgb64(spark, d)
     lit = px.withColumn("g", F.least(F.col("g") + F.col("x") % 3, F.lit(255)))
-    return rounded(stats.error_and_bias(px, lit, "g", 2), "error", "bias")
+    return rounded(stats.error_and_bias(px, lit, "g"), "error", "bias")
 
 
 @query
@@ -377,9 +377,9 @@ def collected_inputs(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def skipped_existing(spark: SparkSession, d: str) -> DataFrame:
-    """Customers without an order: jobs whose output does not exist yet."""
+    """Customers without a pending order: jobs whose output does not exist yet."""
     wanted = table(spark, d, "customer").select(F.col("c_custkey").alias("output"))
-    return jobs.skip_existing(wanted, table(spark, d, "orders").select(F.col("o_custkey").alias("output")))
+    return jobs.skip_existing(wanted, table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("output")))
 
 
 @query
@@ -462,6 +462,70 @@ def queue_order(spark: SparkSession, d: str) -> DataFrame:
     return jobs.with_sequence(table(spark, d, "events").select("ts", "event_id"), "event_id").select("event_id", "seq")
 
 
+@query
+def unfinished_jobs(spark: SparkSession, d: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "P", "failed").otherwise("skipped")
+    e = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 11 > 0, status).alias("status"))
+    return jobs.unfinished(e)
+
+
+@query
+def source_references(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.references(table(spark, d, "lineitem"), "l_partkey")
+
+
+@query
+def names_after_withdrawal(spark: SparkSession, d: str) -> DataFrame:
+    """Names given again once every third queued job is withdrawn; running ones stay."""
+    batch = _sources(spark, d).withColumn("status", F.when(F.col("seq") % 2 == 0, "queued").otherwise("processing"))
+    left = jobs.withdraw(batch, batch.where("seq % 3 = 0"), "seq")
+    return jobs.name_outputs(left).select("seq", "name", "number")
+
+
+@query
+def cache_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's newest order, where finished, as a cache entry looked up by customer."""
+    cache = jobs.newest(table(spark, d, "orders"), 1, "o_custkey", ["o_orderdate", "o_orderkey"])
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"))
+    return jobs.looked_up(asked, cache.where("o_orderstatus = 'F'"), "o_custkey", ["o_orderkey"])
+
+
+@query
+def abandoned_files(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select(F.concat(F.lit("t"), F.col("event_id"), F.when(F.col("event_id") % 2 == 0, ".tmp").otherwise(".png")).alias("path"), F.col("ts").cast("timestamp").alias("modificationTime"))
+    last = e.agg(F.max("modificationTime").alias("now"))  # one row
+    return jobs.abandoned(e.crossJoin(F.broadcast(last)), F.col("now"), 24.0 * 3).select("path")
+
+
+@query
+def output_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Folders, stems, extensions and tags of results."""
+    p = table(spark, d, "part")
+    k = F.col("p_partkey")
+    restored, kept = k % 2 == 0, k % 5 == 0
+    colourised = jobs.will_colourise(k % 3 == 0, F.col("p_size") - 10, k % 7 < 3)
+    stem = jobs.restored_stem(F.col("p_name"), F.when(k % 4 == 0, F.lit("heavy")), colourised, k % 3)
+    hdr = F.element_at(F.array(*map(F.lit, ["", "avif", "exr", "gainmap", "png"])), (k % 5 + 1).cast("int"))
+    image = F.when(k % 3 == 0, "jpeg").when(k % 3 == 1, "webp").otherwise("png")
+    folder = jobs.output_folder(F.concat(F.lit("in/"), F.col("p_brand"), F.lit("/"), F.col("p_name")), F.when(k % 6 == 0, F.lit("out")), restored)
+    tags = jobs.result_tags(F.col("p_type"), F.lit("look"), F.when(k % 2 == 0, F.lit("vivid-60")), hdr, kept)
+    return p.select("p_partkey", folder.alias("folder"), stem.alias("stem"), jobs.output_extension(image, hdr).alias("extension"), jobs.output_tag([F.col("p_brand"), k % 3, image, F.when(k % 2 == 0, F.lit("x"))]).alias("tag"), tags["lighting"].alias("lighting"), tags["look"].alias("look"), tags["hdr"].alias("hdr"), jobs.keeps_hdr(k % 2 == 0, F.when(k % 3 == 0, "gain-map").otherwise("avif"), k % 4 == 0).alias("keeps_hdr"))
+
+
+@query
+def restoration_plan(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select("p_partkey", F.element_at(F.array(*map(F.lit, ["light", "standard", "heavy", "odd"])), (F.col("p_partkey") % 4 + 1).cast("int")).alias("level"), (F.col("p_partkey") % 3).cast("int").alias("scale"))
+    return jobs.restoration_stages(p)
+
+
+@query
+def recovery(spark: SparkSession, d: str) -> DataFrame:
+    """Adjustments that follow restored levels; picture 0 counts as monochrome."""
+    rows = stats.levels(px_rgb64(spark, d)).withColumn("monochrome", F.col("image_id") == 0)
+    out = stats.recovery_adjustments(rows, 60, True)
+    return rounded(out.select("image_id", "contrast", "shadows", "highlights", "saturation"), "contrast", "shadows", "highlights", "saturation")
+
+
 # ---- interpolation, events, streams, formats
 @query
 def last_price(spark: SparkSession, d: str) -> DataFrame:
@@ -530,7 +594,8 @@ def png_round_trip(spark: SparkSession, d: str) -> DataFrame:
     files = px.groupBy("image_id").applyInPandas(encode, "image_id long, content binary")
     files = files.where(formats.sniff(F.col("content")) == "png-hdr")
     back = formats.explode_pixels(formats.decode_png(files))
-    return back.where("r + g + b > 0").select("image_id", "y", "x", *((F.col(c) / 257).cast("int").alias(c) for c in "rgb"))
+    back = back.join(px.select("image_id", "y", "x"), ["image_id", "y", "x"], "left_semi")  # incomplete pictures were padded
+    return back.select("image_id", "y", "x", *((F.col(c) / 257).cast("int").alias(c) for c in "rgb"))
 
 
 @query
