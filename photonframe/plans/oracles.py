@@ -450,8 +450,7 @@ def levels_sql() -> str:
     return "with " + ",\n".join(ctes) + f"\nselect image_id, {rows}, round(sc, 6) as shadows_clipped, round(hc, 6) as highlights_clipped, round(least(greatest((greatest(low_r, low_g, low_b) - 0.03)/0.1, (greatest(high_r, high_g, high_b) - least(high_r, high_g, high_b) - 0.1)/0.15, 0), 1), 6) as evidence from e join m using (image_id)"
 
 
-def hdr_sql() -> str:
-    sh, hl, lc, dt, co, vb, r = 0.9, 0.8, 0.6, 0.1, 0.55, 0.08, 3
+def hdr_sql(sh: float, hl: float, lc: float, dt: float, co: float, vb: float, r: int) -> str:
     ctes = [PX, "u as (select *, ((54*r + 183*g + 19*b + 128) >> 8)/255.0::double as l8 from px)", "v as (select image_id, y, x, l8 as i, l8*l8 as ii from u)"]
     ctes += replicated("v", ["i", "ii"], r, "m") + ["ab as (select image_id, y, x, greatest(ii - i*i, 0)/(greatest(ii - i*i, 0) + 0.012) as a, i from m)", "ac as (select image_id, y, x, a, i - a*i as b from ab)"] + replicated("ac", ["a", "b"], r, "n")
     ctes += hash_ctes("hs", "px", [("x", "y", 0x4D5), ("x", "y", 0x1F3B)], "image_id, y, x")
@@ -484,7 +483,7 @@ def recolour_sql() -> str:
     return q.sql("image_id, y, x, " + ", ".join(f"cast(floor(least(greatest({c} + 0.5, 0), 255)) as int) as {c}" for c in C3))
 
 
-def restored_sql(t: float = 0.6) -> str:
+def restored_sql(t: float = 0.6, colours: bool = True) -> str:
     """On top of the levels: stretch, and a midtone balance as far as the photo shows age."""
     levels = levels_sql().replace("round(case when", "(case when")
     levels = re.sub(r"round\((\w+), 6\) as", r"\1 as", levels).replace("a_r end, 6)", "a_r end)").replace("a_g end, 6)", "a_g end)").replace("a_b end, 6)", "a_b end)")
@@ -497,10 +496,26 @@ def restored_sql(t: float = 0.6) -> str:
     ctes.append("a2 as (select * exclude (lo_r, lo_g, lo_b), " + ", ".join(f"greatest(hi_{c} - lo_{c}, 0.35) as sp_{c}, case when hi_{c} - lo_{c} < 0.35 then (lo_{c} + hi_{c})/2 - greatest(hi_{c} - lo_{c}, 0.35)/2 else lo_{c} end as lo_{c}" for c in C3) + " from a1)")
     ctes.append("a3 as (select *, " + ", ".join(clip(f"(mid_{c}*(high_{c} - low_{c}) + low_{c} - lo_{c})/sp_{c}", 0.05, 0.95) + f" as m_{c}" for c in C3) + " from a2)")
     ctes.append("a4 as (select *, " + ", ".join(f"pow(least(greatest(ln((m_r + m_g + m_b)/3)/ln(m_{c}), 0.65), 1.35), {0.3 + 0.2 * t}*evidence) as g_{c}" for c in C3) + " from a3)")
+    if not colours:
+        ctes = [ctes[0], *(c.replace("evidence", "0") for c in ctes[1:])]
     out = ", ".join(f"cast(round_even(pow({clip(f'(px.{c}/255.0::double - lo_{c})/sp_{c}')}, g_{c})*255, 0) as int) as {c}" for c in C3)
     return head + ",\n" + ",\n".join(ctes) + f"\nselect image_id, y, x, {out} from px join a4 using (image_id)"
 
 
+def upon(inner: str, outer: str) -> str:
+    """The outer query on the pixels that the inner one makes."""
+    return outer.replace(PX, f"px as materialized ({inner})", 1)
+
+
+def whole_sql() -> str:
+    q = upon(restored_sql(0.4, colours=False), lighting_sql(PROFILES["studio"]))
+    q = upon(q, look_sql(LOOKS["canon-natural"]))
+    q = f"select image_id, y*2 + a as y, x*2 + b as x, r, g, b2 as b from (select *, b as b2 from ({q})) t cross join (values (0), (1)) p(a) cross join (values (0), (1)) q(b)".replace("select *, b as b2", "select image_id, y, x, r, g, b as b2")
+    q = upon(q, hdr_sql(0.6, 0.5, 0.35, 0.0, 0.5, 0.04, 5))
+    q = upon(q, finish_sql(LOOKS["canon-natural"]))
+    return f"select image_id, count(*) as n, sum(r) as r, sum(g) as g, sum(b) as b from ({q}) group by 1"
+
+
 ORACLES: dict[str, str] = {
     "recoloured": recolour_sql(),
     "restored_levels": restored_sql(),
@@ -540,7 +555,8 @@ ORACLES: dict[str, str] = {
     "gaussian": "with " + ",\n".join([GP, *weighted("gp", "l", gauss_weights(0.8), gauss_weights(0.8), "w")]) + "\nselect image_id, y, x, l, round(v, 6) as blurred from gp join w using (image_id, y, x)",
     "paeth_residue": f"with {GP}, n as (select p.*, coalesce(a.l, 0) as a, coalesce(b.l, 0) as b, coalesce(c.l, 0) as c from gp p left join gp a on a.image_id = p.image_id and a.y = p.y and a.x = p.x - 1 left join gp b on b.image_id = p.image_id and b.y = p.y - 1 and b.x = p.x left join gp c on c.image_id = p.image_id and c.y = p.y - 1 and c.x = p.x - 1) select image_id, y, x, l, ((l - case when abs(b-c) <= abs(a-c) and abs(b-c) <= abs(a+b-2*c) then a when abs(a-c) <= abs(a+b-2*c) then b else c end) % 256 + 256) % 256 as residue from n",
     "guided_filter": "with " + ",\n".join([GP, "gv as (select image_id, y, x, l, l/255.0::double as v from gp)", *guided_ctes("gv", "v", "v", 1, 0.012, "q")]) + "\nselect image_id, y, x, l, round(a_m*v + b_m, 6) as base from gv join q4 using (image_id, y, x)",
-    "hdr_balanced": hdr_sql(),
+    "hdr_balanced": hdr_sql(0.9, 0.8, 0.6, 0.1, 0.55, 0.08, 3),
+    "whole_job": whole_sql(),
     "sharpened": sharpen_sql(),
     "denoised": denoise_sql(),
     "clarity": "with " + ",\n".join([GP, "gv as (select image_id, y, x, l/255.0::double as v from gp)", *weighted("gv", "v", gauss_weights(1.0), gauss_weights(1.0), "bl")]) + "\nselect image_id, y, x, round(gv.v + 0.3*4*gv.v*(1-gv.v)*(gv.v - bl.v), 6) as v from gv join bl using (image_id, y, x)",
