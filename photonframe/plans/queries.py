@@ -10,11 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photonframe.functions import colour, pixel
+from photonframe.functions import colour, pixel, settings
 from photonframe.functions.pixel import cols, luma8
-from photonframe.operators import jobs, joins, lighting, repair, resample, stats, stencil
+from photonframe.operators import faces, gainmap, jobs, joins, lighting, repair, resample, stats, stencil
 from photonframe.plans import pipeline
-from photonframe.sources import formats
+from photonframe.sources import formats, samples
 from photonframe.sources.relations import px_grey8, px_rgb64, table, test_pattern
 from photonframe.streaming import events as ev
 
@@ -605,6 +605,77 @@ def synthetic_pattern(spark: SparkSession, d: str) -> DataFrame:
 
 
 
+# ---- finishes, gain maps, samples, faces, settings
+@query
+def finished_photo(spark: SparkSession, d: str) -> DataFrame:
+    """A finish: its adjustments, then midtone contrast."""
+    return pipeline.run(px_rgb64(spark, d), pipeline.Options(finish="clean"))
+
+
+@query
+def gain_map_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Whole pictures brightened, stored as codes of a small gain map, and lifted again."""
+    px = px_rgb64(spark, d)
+    whole = px.groupBy("image_id").agg(F.count("*").alias("n")).where("n = 4096").drop("n")
+    sdr = px.join(whole, "image_id", "left_semi").withColumns({c: colour.srgb_eotf(F.col(c) / 255.0) for c in "rgb"})
+    hdr = sdr.withColumns({c: F.col(c) * (1 + F.col("r")) for c in "rgb"})
+    codes = gainmap.encode(gainmap.gains(sdr, hdr))
+    return rounded(gainmap.apply(sdr, codes, 64, 64), "r", "g", "b", digits=5)
+
+
+@query
+def samples_to_8_bits(spark: SparkSession, d: str) -> DataFrame:
+    px = px_rgb64(spark, d).withColumns({"i16": F.col("r") * 257, "i": F.col("g") * F.when(F.col("image_id") % 2 == 0, 200).otherwise(1), "f": F.col("b") / F.when(F.col("image_id") % 2 == 0, 255.0).otherwise(1.0)})
+    for c, kind in (("i16", "I;16"), ("i", "I"), ("f", "F")):
+        px = samples.to_8_bits(px, c, kind)
+    return px.select("image_id", "y", "x", "i16", "i", "f")
+
+
+@query
+def public_tags(spark: SparkSession, d: str) -> DataFrame:
+    tags = F.create_map(F.lit("Make"), F.col("p_brand"), F.lit("GPSLatitude"), F.lit("x"), F.when(F.col("p_partkey") % 2 == 0, "Orientation").otherwise("Artist"), F.col("p_type"))
+    kept = samples.public_metadata(tags)
+    return table(spark, d, "part").select("p_partkey", F.array_join(F.transform(F.array_sort(F.map_entries(kept)), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("tags"))
+
+
+@query
+def face_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """Similarity transforms of each order's line items as five-point faces."""
+    p = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("face"), (F.col("l_linenumber") * F.col("l_linenumber")).cast("double").alias("sx"), (F.col("l_partkey") % 97).cast("double").alias("sy"), F.col("l_quantity").cast("double").alias("tx"), (F.col("l_suppkey") % 31).cast("double").alias("ty"))
+    many = p.groupBy("face").agg(F.count("*").alias("n")).where("n >= 3").drop("n")
+    return rounded(faces.similarity_transform(p.join(many, "face"), "face"), "a", "b", "c", "d", digits=5)
+
+
+@query
+def face_weights(spark: SparkSession, d: str) -> DataFrame:
+    """How much of a restored face is used, from mode, size, score and detail."""
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    mode = F.when(k % 3 == 0, "off").when(k % 3 == 1, "strong").otherwise("natural")
+    factors = [faces.base_weight(mode, k % 120), faces.size_factor(k % 20 * 1.0), faces.score_factor(0.9 + k % 10 / 100.0), faces.detail_factor(k % 17 / 8.0), faces.ellipse_mask(k % 512 * 1.0, k * 7 % 512 * 1.0)]
+    weight = factors[0]
+    for f in factors[1:]:
+        weight = weight * f
+    return p.select("p_partkey", F.round(weight, 6).alias("weight"))
+
+
+@query
+def decoded_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Priors of small pictures and the boxes that offsets make of them."""
+    images = table(spark, d, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("image_id"), (F.col("p_size") * 3 + 20).alias("width"), (F.col("p_size") * 2 + 20).alias("height"))
+    rows = faces.priors(images).withColumns({f"l{i}": F.sin(F.col("image_id") * (i + 1) + F.col("cx") * 9) for i in range(4)})
+    return rounded(faces.decode(rows).select("image_id", "prior", "x0", "y0", "x1", "y1"), "x0", "y0", "x1", "y1", digits=5)
+
+
+@query
+def settings_read(spark: SparkSession, d: str) -> DataFrame:
+    """Settings documents: values clamped, impossible ones replaced, presets recognised."""
+    k = F.col("p_partkey")
+    text = F.concat(F.lit('{"scale": '), k % 6, F.lit(', "quality": "'), F.when(k % 5 == 0, F.lit("x")).otherwise((k * 3 % 130).cast("string")), F.lit('", "mode": "'), F.when(k % 2 == 0, "restore").otherwise("other"), F.lit('", "hdr_enabled": '), F.when(k % 3 == 0, "true").otherwise('"maybe"'), F.lit("}"))
+    s = table(spark, d, "part").select("p_partkey", settings.read(text).alias("s"))
+    s = s.withColumn("s", F.when(k % 7 == 0, settings.apply_preset(F.col("s"), "vintage")).when(k % 7 == 1, settings.apply_preset(F.col("s"), "film").withField("camera_look", F.lit("kodak"))).otherwise(F.col("s")))
+    return s.select("p_partkey", "s.scale", "s.quality", "s.mode", "s.hdr_enabled", "s.camera_look", "s.camera_look_intensity", settings.label(F.col("s")).alias("label"))
+
+
 # ---- repair and whole jobs
 @query
 def restored_levels(spark: SparkSession, d: str) -> DataFrame:
