@@ -101,3 +101,8 @@ def orient(code: Column, y: Column, x: Column, height: Column, width: Column) ->
 def over(front: Column, alpha: Column, back: float) -> Column:
     """8-bit channel blended over a plain background by 8-bit alpha."""
     return F.floor((front * alpha + (255 - alpha) * back) / 255 + 0.5).cast("int")
+
+
+def alpha16(alpha: Column, eight_bits: bool) -> Column:
+    """Alpha as 16 bits, from 8 bits or from 0..1."""
+    return (alpha * 257).cast("int") if eight_bits else F.rint(clip(alpha) * 65535).cast("int")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from photonframe.functions.pixel import clip
 from photonframe.operators.joins import suppress
 from photonframe.operators.stats import masked_correlation
+from photonframe.operators.stencil import gaussian
 
 # Detector steps with their box sizes, variances, thresholds, mask ellipse.
 STEPS = ((8, (16, 32)), (16, (64, 128)), (32, (256, 512)))
@@ -85,3 +86,39 @@ def identity_factor(rows: DataFrame, original: str, restored: str, mask: str) ->
     w, v = F.col(mask), F.col(original)
     spread = rows.groupBy("image_id").agg((F.sum(w * v * v) / F.sum(w) - F.pow(F.sum(w * v) / F.sum(w), F.lit(2.0))).alias("va"))
     return corr.join(spread, "image_id").select("image_id", F.when(F.col("va") < 1e-5, 0.25).otherwise(clip((F.col("correlation") - 0.55) / 0.3, 0.25, 1.0)).alias("identity"))
+
+
+def face_report(faces: DataFrame) -> DataFrame:
+    """(image_id, found, restored, protected) from the faces of pictures with their factors
+    identity, size and weight: a face is restored from a weight of 0.02 up, and held back
+    where identity and size together are below 0.75."""
+    return faces.groupBy("image_id").agg(F.count("*").alias("found"), F.count_if(F.col("weight") > 0.02).alias("restored"), F.count_if(F.col("identity") * F.col("size") < 0.75).alias("protected"))
+
+
+def harmonise(crops: DataFrame, original: str, restored: str, strong: bool, out: str) -> DataFrame:
+    """The restored crop with the original's low frequencies (image_id names the crop)."""
+    sigma = 48.0 if strong else 6.0
+    crops = crops.withColumn("_low", F.col(original) - F.col(restored))
+    return gaussian(crops, "_low", sigma).withColumn(out, F.col(restored) + F.col("_low")).drop("_low")
+
+
+def paste_faces(px: DataFrame, faces: DataFrame, change: DataFrame, side: int = 512) -> DataFrame:
+    """8-bit pixels with the changes of their faces added.
+
+    faces: (image_id, face_id, a, b, c, d), as of ``similarity_transform`` from picture to
+    crop. change: (face_id, y, x, r, g, b, alpha) on the crop, alpha the mask by the weight. A
+    pixel meets the faces of its picture whose crop it falls into, and the four samples of the
+    change around its place there; samples outside the crop count as nothing, so the change
+    fades at the border. Faces that overlap add up."""
+    x, y = F.col("x"), F.col("y")
+    at = px.select("image_id", "y", "x").join(faces, "image_id")
+    at = at.withColumns({"_u": F.col("a") * x - F.col("b") * y + F.col("c"), "_v": F.col("b") * x + F.col("a") * y + F.col("d")})
+    at = at.where(f"_u > -1 and _v > -1 and _u < {side} and _v < {side}")
+    fx, fy = F.col("_u") - F.floor("_u"), F.col("_v") - F.floor("_v")
+    corner = lambda i, j: F.struct((F.floor("_v") + i).cast("int").alias("sy"), (F.floor("_u") + j).cast("int").alias("sx"), ((fy if i else 1 - fy) * (fx if j else 1 - fx)).alias("w"))
+    need = at.select("image_id", "face_id", "y", "x", F.explode(F.array(*(corner(i, j) for i in (0, 1) for j in (0, 1)))).alias("q")).select("image_id", "face_id", "y", "x", "q.*")
+    source = change.select("face_id", F.col("y").alias("sy"), F.col("x").alias("sx"), *(F.col(c).alias(f"_{c}") for c in "rgb"), F.col("alpha").alias("_a"))
+    sampled = need.join(source, ["face_id", "sy", "sx"]).groupBy("image_id", "face_id", "y", "x").agg(*(F.sum(F.col("w") * F.col(f"_{c}")).alias(f"_{c}") for c in "rgba"))
+    total = sampled.groupBy("image_id", "y", "x").agg(*(F.sum(F.col("_a") * F.col(f"_{c}")).alias(f"_{c}") for c in "rgb"))
+    new = {c: F.floor(clip(F.col(c) + F.coalesce(f"_{c}", F.lit(0.0)), 0.0, 255.0) + 0.5).cast("int") for c in "rgb"}
+    return px.join(total, ["image_id", "y", "x"], "left").withColumns(new).select(*px.columns)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from photonframe.functions.pixel import clip, cols
+from photonframe.functions import colour
+from photonframe.functions.pixel import BT2020, clip, cols
 from photonframe.operators.resample import bilinear_grid, block_reduce
 
 OFFSET = 1 / 64
@@ -37,3 +38,16 @@ def apply(sdr: DataFrame, codes: DataFrame, height: int, width: int, block: int
     rows = rows.withColumn("_k", F.pow(F.lit(2.0), weight * (F.col("low") * (1 - g) + F.col("high") * g)))
     lifted: list[Column] = [F.greatest((F.col(c) + OFFSET) * F.col("_k") - OFFSET, F.lit(0.0)).alias(c) for c in "rgb"]
     return rows.select("image_id", "y", "x", *lifted)
+
+
+def place_sdr(px: DataFrame, sdr_white: float, peak: float, expand: bool, matrix: list[list[float]] | None = None, largest: float = 4.926) -> DataFrame:
+    """8-bit sRGB pixels as linear light of BT.2020 in units of reference white: white at
+    ``sdr_white`` nits, highlights stretched towards ``peak`` nits where ``expand``."""
+    matrix = matrix or colour.conversion_matrix("bt709", "bt2020")
+    px = px.withColumns({c: colour.srgb_eotf(F.col(c) / 255.0) for c in "rgb"})
+    px = px.withColumns(dict(zip("rgb", colour.apply_matrix(cols(), matrix), strict=True)))
+    px = px.withColumns(dict(zip("rgb", colour.fit_gamut(cols(), BT2020), strict=True)))
+    headroom = min(largest, peak / sdr_white) if expand else 1.0
+    if headroom > 1:
+        px = px.withColumn("_k", colour.expand_ratio(F.greatest(*cols()), headroom, 0.5)).withColumns({c: F.col(c) * F.col("_k") for c in "rgb"}).drop("_k")
+    return px.withColumns({c: F.col(c) * (sdr_white / colour.WHITE) for c in "rgb"})

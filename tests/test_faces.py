@@ -58,3 +58,23 @@ def test_save_options(spark):
     assert row.b == {"compress_level": "6", "exif": "7879", "dpi": "144"}
     tags = spark.range(1).select(samples.public_metadata(F.create_map(F.lit("GPSInfo"), F.lit("1"), F.lit("Make"), F.lit("m"), F.lit("Orientation"), F.lit("6"))).alias("t")).first().t
     assert tags == {"Make": "m", "Orientation": "1"}
+
+
+def test_faces_are_pasted_where_they_were(spark):
+    px = spark.range(24 * 32).select(F.lit(1).cast("long").alias("image_id"), F.expr("cast(id div 32 as int)").alias("y"), F.expr("cast(id % 32 as int)").alias("x"), *(F.lit(100).alias(c) for c in "rgb"))
+    crop = spark.range(64).select(F.lit(7).cast("long").alias("face_id"), F.expr("cast(id div 8 as int)").alias("y"), F.expr("cast(id % 8 as int)").alias("x"), F.lit(50.0).alias("r"), F.lit(-20.0).alias("g"), F.lit(0.0).alias("b"), F.lit(0.5).alias("alpha"))
+    where = spark.createDataFrame([(1, 7, 1.0, 0.0, -10.0, -4.0), (2, 7, 1.0, 0.0, 0.0, 0.0)], "image_id long, face_id long, a double, b double, c double, d double")
+    got = {(r.y, r.x): (r.r, r.g, r.b) for r in faces.paste_faces(px, where, crop, side=8).collect()}
+    inside = {(y, x) for y in range(4, 12) for x in range(10, 18)}
+    assert len(got) == 24 * 32 and all(got[p] == ((125, 90, 100) if p in inside else (100, 100, 100)) for p in got)
+
+
+def test_harmonised_faces_keep_the_photos_tone(spark):
+    crop = spark.range(400).select(F.lit(1).cast("long").alias("image_id"), F.expr("cast(id div 20 as int)").alias("y"), F.expr("cast(id % 20 as int)").alias("x"), F.lit(0.4).alias("o"), (0.7 + 0.1 * F.pmod(F.col("id"), F.lit(2))).alias("n"))
+    out = faces.harmonise(crop, "o", "n", False, "h").agg(F.avg("h").alias("m"), F.stddev("h").alias("s")).first()
+    assert abs(out.m - 0.4) < 1e-3 and abs(out.s - 0.05) < 2e-3
+
+
+def test_face_report(spark):
+    rows = spark.createDataFrame([(1, 0.9, 1.0, 0.5), (1, 0.5, 1.0, 0.3), (1, 1.0, 1.0, 0.01)], "image_id long, identity double, size double, weight double")
+    assert tuple(faces.face_report(rows).first()) == (1, 3, 2, 1)

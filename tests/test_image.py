@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import struct
 import zlib
+from dataclasses import replace
 
 import duckdb
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from photonframe.functions import colour, pixel
 from photonframe.functions.pixel import cols
-from photonframe.operators import joins, lighting, resample, stencil
+from photonframe.operators import gainmap, joins, lighting, resample, stencil
 from photonframe.plans.oracles import ORACLES
 from photonframe.plans.queries import QUERIES
 from photonframe.sources import formats
@@ -128,6 +129,25 @@ def test_suppression_keeps_the_best(spark):
     assert sorted(r.box_id for r in joins.suppress(frame).collect()) == [0, 2, 3]
 
 
+def test_a_baked_look_is_nearly_the_look(spark):
+    px = pattern(spark)
+    look = lighting.LOOKS["fujifilm-velvia"]
+    plain = replace(look, clarity=0.0)
+    want = lighting.apply_look(px, plain)
+    got = lighting.look_up(px, lighting.bake(spark, plain))
+    both = got.join(want.select("y", "x", *(F.col(c).alias(f"w{c}") for c in "rgb")), ["y", "x"])
+    worst = both.select(F.max(F.greatest(*(F.abs(F.col(c) - F.col(f"w{c}")) for c in "rgb"))), F.count("*")).first()
+    assert worst[0] <= 4 and worst[1] == px.count()
+
+
+def test_sdr_in_hdr(spark):
+    px = spark.createDataFrame([(0, 0, 0, 255, 255, 255), (0, 0, 1, 0, 0, 0)], "image_id long, y int, x int, r int, g int, b int")
+    white, black = gainmap.place_sdr(px, 203.0, 1000.0, True).orderBy("x").collect()
+    assert abs(white.r - 4.926) < 0.01 and black.r == 0
+    assert abs(gainmap.place_sdr(px, 406.0, 1000.0, False).orderBy("x").first().g - 2.0) < 1e-3
+    assert [r[0] for r in px.select(pixel.alpha16(F.col("r"), True)).collect()] == [65535, 0]
+
+
 # ---- formats
 def filtered_png(samples: np.ndarray, kinds) -> bytes:
     """PNG of 8-bit samples whose rows use these filters (an encoder of its own)."""
