@@ -126,6 +126,9 @@ def tile_size(height: Column, width: Column, bytes_per_pixel: float, budget: flo
     return out.otherwise(TILE_CHOICES[-1])  # type: ignore[union-attr]
 
 
+BROADCAST_PIXELS = 300_000  # a warped picture's pixels, four samples each, that are broadcast at most
+
+
 def warp(px: DataFrame, columns: list[str], matrix: tuple[float, float, float, float, float, float], height: int, width: int) -> DataFrame:
     """Affine bilinear warp: output pixel (y, x) samples source (x', y') = matrix (a, b, c, d,
     e, f) as (ax + by + c, dx + ey + f); with coverage, the weight that was inside. Pixels
@@ -137,6 +140,8 @@ def warp(px: DataFrame, columns: list[str], matrix: tuple[float, float, float, f
     fx, fy = F.col("_sx") - F.floor("_sx"), F.col("_sy") - F.floor("_sy")
     corner = lambda dy, dx: F.struct((F.floor("_sy") + dy).cast("int").alias("sy"), (F.floor("_sx") + dx).cast("int").alias("sx"), ((fy if dy else 1 - fy) * (fx if dx else 1 - fx)).alias("w"))
     need = out.select("y", "x", F.explode(F.array(*(corner(i, j) for i in (0, 1) for j in (0, 1)))).alias("q")).select("y", "x", "q.*").where("w > 0")
+    if height * width <= BROADCAST_PIXELS:  # else both sides are dealt by place
+        need = F.broadcast(need)
     source = px.select("image_id", F.col("y").alias("sy"), F.col("x").alias("sx"), *columns)
     sums = need.join(source, ["sy", "sx"]).groupBy("image_id", "y", "x").agg(F.sum("w").alias("coverage"), *(F.sum(F.col(k) * F.col("w")).alias(k) for k in columns))
     return sums.select("image_id", "y", "x", "coverage", *((F.col(k) / F.col("coverage")).alias(k) for k in columns))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
+from functools import wraps
 
 import numpy as np
 import pandas as pd
@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from photonframe.functions import colour, pixel, settings
 from photonframe.functions.pixel import cols, luma8
+from photonframe.functions.stored import stored
 from photonframe.operators import faces, gainmap, jobs, joins, lighting, repair, resample, stats, stencil
 from photonframe.plans import pipeline
 from photonframe.sources import formats, samples
-from photonframe.sources.relations import px_grey8, px_rgb64, table, test_pattern
+from photonframe.sources.relations import px_grey8, px_rgb64, spread, table, test_pattern
 from photonframe.streaming import events as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,8 +26,15 @@ MONO = lighting.Look(monochrome=100, mix=(0.4, 0.4, 0.2), rolloff=40)
 
 
 def query(f: Query) -> Query:
-    QUERIES[f.__name__] = f
-    return f
+    @wraps(f)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        # Formulas of many steps make methods that the JVM does not compile; Spark then calls
+        # its projections, which are split, one by one.
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+        return f(spark, d)
+
+    QUERIES[f.__name__] = run
+    return run
 
 
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
@@ -69,17 +77,17 @@ def lighting_neutral(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def look_sony_cinematic(spark: SparkSession, d: str) -> DataFrame:
-    return lighting.apply_look(px_rgb64(spark, d), lighting.LOOKS["sony-cinematic"])
+    return lighting.apply_look(spread(px_rgb64(spark, d)), lighting.LOOKS["sony-cinematic"])
 
 
 @query
 def look_leica_monochrome(spark: SparkSession, d: str) -> DataFrame:
-    return lighting.apply_look(px_rgb64(spark, d), lighting.LOOKS["leica-monochrome"])
+    return lighting.apply_look(spread(px_rgb64(spark, d)), lighting.LOOKS["leica-monochrome"])
 
 
 @query
 def look_velvia_half(spark: SparkSession, d: str) -> DataFrame:
-    return lighting.apply_look(px_rgb64(spark, d), lighting.LOOKS["fujifilm-velvia"].scaled(0.5))
+    return lighting.apply_look(spread(px_rgb64(spark, d)), lighting.LOOKS["fujifilm-velvia"].scaled(0.5))
 
 
 @query
@@ -149,7 +157,7 @@ def hlg_signal(spark: SparkSession, d: str) -> DataFrame:
 @query
 def sdr_preview(spark: SparkSession, d: str) -> DataFrame:
     """HDR of four times reference white, rolled off, to BT.709, fitted and sRGB-encoded."""
-    px = linear(px_rgb64(spark, d), 4.0)
+    px = linear(spread(px_rgb64(spark, d)), 4.0)
     px = px.withColumn("_k", colour.eetf_ratio(F.greatest(*cols()), 812.0, 203.0)).withColumns({c: F.col(c) * F.col("_k") for c in "rgb"})
     px = px.withColumns(dict(zip("rgb", colour.apply_matrix(cols(), colour.conversion_matrix("bt2020", "bt709")), strict=True)))
     px = px.withColumns(dict(zip("rgb", colour.fit_gamut(cols(), pixel.BT709), strict=True)))
@@ -572,12 +580,17 @@ def throttled_events(spark: SparkSession, d: str) -> DataFrame:
 def streamed_progress(spark: SparkSession, d: str) -> DataFrame:
     """Extension: the event table read as a stream, finished items in hourly windows."""
     schema = table(spark, d, "events").schema
-    name = f"progress_{uuid.uuid4().hex}"
     stream = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
     out = ev.progress_stream(stream, "event_type", "ts", "value > 50", "1 hour")
-    run = out.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    kept: list[DataFrame] = []
+
+    def keep(batch: DataFrame, _: int) -> None:  # the windows so far, in the shared folder
+        kept.append(stored(batch, "progress"))
+
+    run = out.writeStream.outputMode("complete").foreachBatch(keep).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name).select(F.unix_seconds("window.start").alias("at"), "event_type", "n", "finished")
+    last = kept[-1] if kept else stored(spark.createDataFrame([], "window struct<start: timestamp, end: timestamp>, event_type string, n long, finished long"), "progress")
+    return last.select(F.unix_seconds("window.start").alias("at"), "event_type", "n", "finished")
 
 
 @query

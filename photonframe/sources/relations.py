@@ -23,6 +23,13 @@ def px_rgb64(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spread(px: DataFrame) -> DataFrame:
+    """Pixels dealt over the cores where their table has fewer files than there are cores:
+    worth an exchange where much is computed for each pixel and nothing else deals them."""
+    cores = px.sparkSession.sparkContext.defaultParallelism
+    return px.repartition(cores) if len(px.inputFiles()) < cores else px
+
+
 def px_grey8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as 8 x 8 grey pictures."""
     values = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("p", "v"))
