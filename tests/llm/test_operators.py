@@ -598,6 +598,14 @@ def test_queries_run(spark, name):
     assert out.count() >= (1 if table == "pages" else n)
 
 
+def test_empty_tables_and_long_texts(spark, none):
+    assert sentencepiece_bpe.encode_decode(none, tokenizer_file("piece_bpe_32k.model")).count() == 0
+    assert media_ogg.store_and_read(none).count() == 0
+    long = "word 日本 " * 300_000
+    placed = sharding.shuffle_into_shards(sharding.digest_rows(spark.createDataFrame([(1, long), (2, None)], "doc_id long, text string")), shards=3).collect()
+    assert {r.doc_id: r.size for r in placed} == {1: len(long.encode()) + 16, 2: 16} and sorted(r.slot for r in placed) == [0, 0]
+
+
 # ---- null ids
 def test_rows_without_id(spark):
     text = rows()[0][1]
