@@ -543,8 +543,8 @@ ORACLES: dict[str, str] = {
     "gain_map_round_trip": gain_trip_sql(),
     "samples_to_8_bits": f"with {PX}, a as (select *, g*case when image_id % 2 = 0 then 200 else 1 end as gi, b/(case when image_id % 2 = 0 then 255.0::double else 1.0::double end) as bf from px), t as (select *, max(gi) over (partition by image_id) as tg, max(bf) over (partition by image_id) as tb from a) select image_id, y, x, (r*257) >> 8 as i16, least(case when tg > 255 then gi >> 8 else gi end, 255) as i, cast(least(greatest(floor(bf/(case when tb <= 1 then 1.0::double else 255.0::double end)*255), 0), 255) as int) as f from t",
     "public_tags": "select p_partkey, case when p_partkey % 2 = 0 then 'Make=' || p_brand || ';Orientation=1' else 'Artist=' || p_type || ';Make=' || p_brand || ';Orientation=1' end as tags from part",
-    "face_alignment": "with p as (select l_orderkey as face, cast(l_linenumber*l_linenumber as double) as sx, cast(l_partkey % 97 as double) as sy, cast(l_quantity as double) as tx, cast(l_suppkey % 31 as double) as ty from lineitem), s as (select face, count(*) as n, avg(sx) as mx, avg(sy) as my, avg(tx) as ux, avg(ty) as uy, avg(sx*sx + sy*sy) as q, avg(sx*tx + sy*ty) as p, avg(sx*ty - sy*tx) as r from p group by 1 having count(*) >= 3), t as (select *, (p - mx*ux - my*uy)/greatest(q - mx*mx - my*my, 1e-12) as a, (r - mx*uy + my*ux)/greatest(q - mx*mx - my*my, 1e-12) as b from s) select face, round(a, 5) as a, round(b, 5) as b, round(ux - a*mx + b*my, 5) as c, round(uy - b*mx - a*my, 5) as d from t",
-    "face_weights": "with f as (select p_partkey, p_partkey as k, cast(p_partkey % 512 as double) as y, cast(p_partkey*7 % 512 as double) as x from part), t as (select *, least(greatest((1 - sqrt(pow((x - 256)/152.0::double, 2) + pow((y - 292)/188.0::double, 2)))/0.2, 0), 1) as t, least(greatest((k % 120)/100.0::double, 0), 1) as fi from f) select p_partkey, round(case k % 3 when 0 then 0 when 1 then 0.6 + 0.4*fi else 0.35 + 0.55*fi end * least(greatest((k % 20 - 5)/11.0::double, 0.3), 1) * least(greatest(0.5 + 0.5*((0.9 + (k % 10)/100.0::double) - 0.9)/(0.97 - 0.9), 0.5), 1) * least(greatest(((k % 17)/8.0::double - 0.9)/0.6, 0.15), 1) * (t*t*(3 - 2*t)), 6) as weight from t",
+    "face_alignment": "with p as (select l_orderkey as face, cast(l_linenumber*l_linenumber as double) as sx, cast(l_partkey % 97 as double) as sy, cast(l_quantity as double) as tx, cast(l_suppkey % 31 as double) as ty from lineitem), s as (select face, count(*) as n, avg(sx) as mx, avg(sy) as my, avg(tx) as ux, avg(ty) as uy, avg(sx*sx + sy*sy) as q, avg(sx*tx + sy*ty) as p, avg(sx*ty - sy*tx) as r from p group by 1 having count(*) >= 3), t as (select *, (p - mx*ux - my*uy)/greatest(q - mx*mx - my*my, 1e-12) as a, (r - mx*uy + my*ux)/greatest(q - mx*mx - my*my, 1e-12) as b from s) select face, round(a, 4) + 0.0::double as a, round(b, 4) + 0.0::double as b, round(ux - a*mx + b*my, 4) + 0.0::double as c, round(uy - b*mx - a*my, 4) + 0.0::double as d from t",
+    "face_weights": "with f as (select p_partkey, p_partkey as k, cast(p_partkey % 512 as double) as y, cast(p_partkey*7 % 512 as double) as x from part), t as (select *, least(greatest((1 - sqrt(pow((x - 256)/152.0::double, 2) + pow((y - 292)/188.0::double, 2)))/0.2, 0), 1) as t, least(greatest((k % 120)/100.0::double, 0), 1) as fi from f) select p_partkey, round(case k % 3 when 0 then 0 when 1 then 0.6 + 0.4*fi else 0.35 + 0.55*fi end * least(greatest((k % 20 - 5)/11.0::double, 0.3), 1) * least(greatest(0.5 + 0.5*((0.9 + (k % 10)/100.0::double) - 0.9)/(0.97 - 0.9), 0.5), 1) * least(greatest(((k % 17)/8.0::double - 0.9)/0.6, 0.15), 1) * (t*t*(3 - 2*t)) + 1e-9::double, 4) as weight from t",
     "decoded_boxes": "with im as (select p_partkey as image_id, p_size*3 + 20 as width, p_size*2 + 20 as height from part where p_partkey % 50 = 0), st(step, sizes) as (values (8, [16, 32]), (16, [64, 128]), (32, [256, 512])), a as (select *, unnest(range(cast(ceil(height/step::double) as bigint))) as py from im cross join st), b as (select *, unnest(range(cast(ceil(width/step::double) as bigint))) as px from a), c as (select *, unnest(sizes) as sz from b), p as (select image_id, step || ':' || py || ':' || px || ':' || sz as prior, (px + 0.5::double)*step/width as cx, (py + 0.5::double)*step/height as cy, sz/width::double as w, sz/height::double as h from c), o as (select *, cx + sin(image_id*1 + cx*9)*0.1*w as bx, cy + sin(image_id*2 + cx*9)*0.1*h as bby, w*exp(sin(image_id*3 + cx*9)*0.2) as bw, h*exp(sin(image_id*4 + cx*9)*0.2) as bh from p) select image_id, prior, round(bx - bw/2, 5) as x0, round(bby - bh/2, 5) as y0, round(bx + bw/2, 5) as x1, round(bby + bh/2, 5) as y1 from o",
     "settings_read": "with s as (select p_partkey, p_partkey % 7 as m, p_partkey as k from part) select p_partkey, cast(least(greatest(k % 6, 2), 4) as int) as scale, cast(case when k % 5 = 0 then 95 else least(greatest(k*3 % 130, 1), 100) end as int) as quality, case when k % 2 = 0 then 'restore' else 'upscale' end as mode, case when m in (0, 1) then false else k % 3 = 0 end as hdr_enabled, case m when 0 then 'classic-film' when 1 then 'kodak' else 'original' end as camera_look, case m when 0 then 45 when 1 then 60 else 50 end as camera_look_intensity, case when m = 0 then 'Vintage' when m = 1 then 'Film · Modified' when k % 3 = 0 then 'Custom' else 'Original' end as label from s",
     "recoloured": recolour_sql(),

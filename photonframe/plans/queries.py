@@ -656,7 +656,8 @@ def face_alignment(spark: SparkSession, d: str) -> DataFrame:
     """Similarity transforms of each order's line items as five-point faces."""
     p = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("face"), (F.col("l_linenumber") * F.col("l_linenumber")).cast("double").alias("sx"), (F.col("l_partkey") % 97).cast("double").alias("sy"), F.col("l_quantity").cast("double").alias("tx"), (F.col("l_suppkey") % 31).cast("double").alias("ty"))
     many = p.groupBy("face").agg(F.count("*").alias("n")).where("n >= 3").drop("n")
-    return rounded(faces.similarity_transform(p.join(many, "face"), "face"), "a", "b", "c", "d", digits=5)
+    out = rounded(faces.similarity_transform(p.join(many, "face"), "face"), "a", "b", "c", "d", digits=4)
+    return out.withColumns({n: F.col(n) + 0.0 for n in "abcd"})  # no negative zero
 
 
 @query
@@ -668,7 +669,7 @@ def face_weights(spark: SparkSession, d: str) -> DataFrame:
     weight = factors[0]
     for f in factors[1:]:
         weight = weight * f
-    return p.select("p_partkey", F.round(weight, 6).alias("weight"))
+    return p.select("p_partkey", F.round(weight + 1e-9, 4).alias("weight"))
 
 
 @query

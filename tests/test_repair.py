@@ -85,7 +85,7 @@ def test_good_levels_are_kept_and_faded_ones_stretched(spark):
 
 def test_builder_keeps_the_order_and_drops_what_does_nothing(spark):
     options = pipeline.Options(fading=10, denoise=20, finish="clean", lighting=lighting.PROFILES["vivid"], look=lighting.LOOKS["sony-vivid"], scale=2, hdr="dramatic")
-    assert [n for n, _ in pipeline.build(options)] == ["levels", "denoise", "finish", "lighting", "look", "upscale", "hdr"]
+    assert [n for n, _ in pipeline.build(options)] == ["levels", "denoise", "finish", "lighting", "look", "upscale", "hdr", "look finish"]
     assert pipeline.build(pipeline.Options()) == []
     px = pattern(spark, 8)
     assert pipeline.run(px, pipeline.Options()) is px
