@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: st
 SAMPLE = 16  # one text in so many is asked which shingles are common
 COMMON = 8  # texts of the sample that make a shingle common
 LISTED = 1 << 17  # common shingles that are broadcast at most, the most common first
-HUBS = 2  # members of a meeting place that are compared with all others first
+HUBS = 6  # members of a meeting place that are compared with all others first
 MARKS = 1 << 24  # places of the marks by which texts are read again
 
 
