@@ -42,3 +42,27 @@ select doc_id, declared, cosine, coalesce(declared, licence) as licence,
   case when declared is null then licence_dir end as licence_dir
 from r left join i on declared is null and i.dir = r.dir
 """
+
+
+def lloyd_sql(k: int = 8, rounds: int = 10, dims: int = 64, seed: int = 3) -> str:
+    """Lloyd's rounds over all vectors and all centroids, one component to a row."""
+    near = lambda c: f"select n, arg_min(c, (d, c)) as c, min(d) as d from (select v.n, m.c, sum((v.x - m.x)*(v.x - m.x)) as d from v join {c} m using (i) group by 1, 2) group by 1"
+    steps = "".join(
+        f""",
+a{r} as materialized ({near(f"m{r}")}),
+m{r + 1} as materialized (select m{r}.c, m{r}.i, coalesce(q, m{r}.x) as x from m{r} left join
+  (select c, i, cast(sum(x) as bigint) as s, count(*) as z, (s - ((s % z) + z) % z) // z as q from v join a{r} using (n) group by 1, 2) using (c, i))"""
+        for r in range(rounds)
+    )
+    return f"""
+with e as materialized (select row_number() over () as n, vec_id, embedding as v from embeddings
+  where len(embedding) = {dims} and len(list_filter(embedding, lambda t: t is null or not isfinite(t))) = 0),
+v as materialized (select n, vec_id, i, cast(floor(1024*cast(t as double)) as bigint) as x from (select n, vec_id, unnest(v) as t, unnest(range({dims})) as i from e)),
+f as (select n, row_number() over (order by sha256('{seed}:' || vec_id)) - 1 as c from e order by sha256('{seed}:' || vec_id) limit {k}),
+m0 as materialized (select c, i, x from v join f using (n)){steps},
+z as materialized ({near(f"m{rounds}")}),
+h as (select c, sha256(string_agg(cast(x as varchar), ',' order by i)) as centroid_sha256 from m{rounds} group by 1)
+select vec_id, cast(c as integer) as cluster, cast(d as bigint) as distance, cast(sum(d) over (partition by c) as bigint) as cluster_inertia,
+  cast(sum(d) over () as bigint) as inertia, centroid_sha256
+from z join e using (n) join h using (c)
+"""

@@ -1,4 +1,4 @@
-"""The thin queries op1 to op10 over the driver's tables, with their SQL where it exists."""
+"""The thin queries op1 to op13 over the driver's tables, with their SQL where it exists."""
 
 from __future__ import annotations
 
@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 
 from .common import documents, materialize
 from . import license_scan, merkle
+from .dual_tree import lloyd
 from .media_ogg import store_and_read
-from .oracles import license_sql
+from .oracles import license_sql, lloyd_sql
 from .packing import pack
+from .pattern_packing import pack_patterns
 from .quality_rules import quality
 from .secret_scan import scan
 from .sentencepiece_bpe import encode_decode
 from .simhash import near_duplicates
 from .sharding import digest_rows, shuffle_into_shards
 from .substring_dedup import dedup
+from .whitening import whiten
 
 
 def tokenizer_file(name: str) -> str:
@@ -85,6 +88,23 @@ def op10_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "log_ppl", "lower_band", "upper_band")
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_whitening_jacobi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whiten(embeddings(spark, sf_dir))
+    return found.select("vec_id", "component", "n", F.expr("try_cast(deviation as bigint)").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+def op12_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd(embeddings(spark, sf_dir))
+
+
+def op13_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_patterns(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_merkle_fixity": op1_merkle_fixity,
     "op2_license_scan": op2_license_scan,
@@ -96,6 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_ogg": op8_media_ogg,
     "op9_hypergeometric_sharding": op9_hypergeometric_sharding,
     "op10_quality_perplexity": op10_quality_perplexity,
+    "op11_whitening_jacobi": op11_whitening_jacobi,
+    "op12_dual_tree_lloyd": op12_dual_tree_lloyd,
+    "op13_pattern_packing": op13_pattern_packing,
 }
 
 #: Two levels, as archives of 17 to 256 records have.
@@ -124,4 +147,4 @@ select archive, a.root as root_a, b.root as root_b, a.root is not distinct from
 from (select * from root where side = 0) a full join (select * from root where side = 1) b using (archive) left join bad using (archive)
 """
 
-ORACLES: dict[str, str] = {"op1_merkle_fixity": _OP1_SQL, "op2_license_scan": license_sql(DOCUMENT_PATH)}
+ORACLES: dict[str, str] = {"op1_merkle_fixity": _OP1_SQL, "op2_license_scan": license_sql(DOCUMENT_PATH), "op12_dual_tree_lloyd": lloyd_sql()}
