@@ -39,14 +39,50 @@ def with_sequence(rows: DataFrame, order: str, out: str = "seq") -> DataFrame:
     return global_sequence(rows, [order], out)
 
 
-def name_outputs(jobs: DataFrame, output: str = "output", source: str = "source", seq: str = "seq") -> DataFrame:
-    """Adds number and name: sources in queue order that want the same output get ``name``,
-    ``name (2)`` and so on; the same source shares its name. Jobs of one output are a group."""
-    first = jobs.groupBy(output, source).agg(F.min(seq).alias("_first"))
-    rank = first.withColumn("number", F.row_number().over(Window.partitionBy(output).orderBy("_first"))).drop("_first")
-    stem, ext = F.regexp_extract(F.col(output), r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract(F.col(output), r"(\.[^./]*)?$", 1)
-    name = F.when(F.col("number") == 1, F.col(output)).otherwise(F.concat(stem, F.lit(" ("), F.col("number").cast("string"), F.lit(")"), ext))
-    return jobs.join(rank, [output, source]).withColumn("name", name)
+STEM, SUFFIX = r"^(.*?[^/])(\.[^./]+)?$", r"[^/](\.[^./]+)$"
+
+
+def numbered(name: Column, number: Column) -> Column:
+    """``photo.png``, ``photo (2).png``, ``photo (3).png`` and so on."""
+    stem, suffix = F.regexp_extract(name, STEM, 1), F.regexp_extract(name, SUFFIX, 1)
+    return F.when(number == 1, name).otherwise(F.concat(stem, F.lit(" ("), number.cast("string"), F.lit(")"), suffix))
+
+
+def name_outputs(jobs: DataFrame, existing: DataFrame | None = None, output: str = "output", source: str = "source", seq: str = "seq", most: int = 9_999) -> DataFrame:
+    """Adds number and name: the exact outcome of claims made one after the other.
+
+    Before any job starts, the first source in queue order that wants a name has it, unless the
+    name is an original of the batch. Then each source in queue order takes the first of
+    ``name``, ``name (2)``, ... that no other source holds, that is no original, and that is not
+    among the ``existing`` files (their column has the name ``output``). The same source shares
+    its name. No name after ``most`` is tried; a source that finds none has a null name.
+
+    A wanted name is held by the first source that wants it before any number is tried, so what
+    is blocked for a numbered name is known at once: wanted, original and existing names that
+    read like it. Sources and blocked numbers of a wanted name are put into one order, in which
+    a number is a place; a name that a third of the batch wants is many ranges of that order.
+    A null output or source is a value like any other, without a name."""
+    from photonframe.functions.sequence import group_sequence
+
+    first = jobs.groupBy(output, source).agg(F.min(seq).alias("_first")).select(F.col(output).alias("_output"), F.col(source).alias("_source"), "_first")
+    wanted = first.select(F.col("_output").alias("_name")).distinct()
+    originals = first.select(F.col("_source").alias("_name"))
+    taken = originals if existing is None else originals.unionByName(existing.select(F.col(output).alias("_name")))
+    alike = r"^(.*?[^/]) \(([1-9][0-9]{0,8})\)(\.[^./]+)?$"
+    parsed = wanted.unionByName(taken).distinct().select(
+        "_name", F.concat(F.regexp_extract("_name", alike, 1), F.regexp_extract("_name", alike, 3)).alias("_output"), F.regexp_extract("_name", alike, 2).try_cast("int").alias("_number")
+    )
+    numbers = parsed.where("_number > 1").where(numbered(F.col("_output"), F.col("_number")) == F.col("_name")).select("_output", "_number")
+    blocked = taken.distinct().select(F.col("_name").alias("_output"), F.lit(1).alias("_number")).unionByName(numbers)
+    blocked = group_sequence(blocked.join(wanted.withColumnRenamed("_name", "_output"), "_output", "left_semi"), ["_output"], ["_number"], "_before")
+    # A source stands behind the blocked numbers that have fewer free ones before them than it has sources
+    ranked = group_sequence(first, ["_output"], ["_first", "_source"], "_rank").select("_output", "_source", (F.col("_rank") + 1).alias("_at"), F.lit(0).alias("_kind"))
+    walls = blocked.select("_output", F.lit(None).cast(jobs.schema[source].dataType).alias("_source"), (F.col("_number") - F.col("_before") - 1).alias("_at"), F.lit(1).alias("_kind"))
+    placed = group_sequence(ranked.unionByName(walls), ["_output"], ["_at", "_kind"], "_place").where("_kind = 0")
+    number = (F.col("_place") + 1).cast("int")
+    placed = placed.select("_output", "_source", F.when(number <= most, number).alias("number"))
+    named = jobs.join(placed, jobs[output].eqNullSafe(F.col("_output")) & jobs[source].eqNullSafe(F.col("_source"))).drop("_output", "_source")
+    return named.withColumn("name", numbered(F.col(output), F.col("number")))
 
 
 def skip_existing(jobs: DataFrame, existing: DataFrame, key: str = "output") -> DataFrame:

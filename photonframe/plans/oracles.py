@@ -646,6 +646,39 @@ select image_id, unnest(kept, recursive := true) from (select image_id, arg_max(
     "event_totals": "select event_id, cast(sum((event_type = 'purchase')::int) over w as bigint) as completed, count(*) over (partition by user_id) as total, round(sum((event_type = 'purchase')::int) over w/cast(count(*) over (partition by user_id) as double), 6) as fraction from events window w as (partition by user_id order by ts, event_id rows unbounded preceding)",
     "item_status": "select user_id, arg_max(event_type, (ts, event_id)) as status, count(*) as n_events from events group by 1",
     "illegal_steps": f"with e as (select event_id, user_id, {NAMES} as status from events), b as (select *, coalesce(lag(status) over (partition by user_id order by event_id), 'pending') as before from e) select * from b where status <> before and not ((before = 'pending' and status = 'queued') or (before = 'queued' and status in ('processing', 'cancelled')) or (before = 'processing' and status in ('done', 'skipped', 'failed', 'cancelled')))",
-    "throttled_events": "with e as (select *, row_number() over (partition by user_id, epoch_us(ts) // 3600000000 order by ts) as n from events) select event_id from e where n = 1 or event_type = 'purchase'",
+    "throttled_events": """with recursive x as materialized (select event_id, user_id, epoch_us(ts) as us, event_type = 'purchase' as final, row_number() over (partition by user_id order by ts, event_id) as rn from events),
+n as materialized (select a.user_id, a.rn, min(b.rn) as nxt from x a join x b on a.user_id = b.user_id and b.rn > a.rn and (b.final or b.us - a.us >= 3600000000) group by 1, 2),
+r as (select user_id, cast(1 as bigint) as rn from x where rn = 1 union all select user_id, n.nxt from r join n using (user_id, rn))
+select event_id from x join r using (user_id, rn)""",
+    "item_events": """with recursive e as (select event_id // 40 as item, epoch_us(ts) as us, event_id as tie,
+  case event_id % 40 when 0 then 'queued' when 1 then 'processing' when 38 then 'done' when 20 then case when event_id % 3 = 0 then 'done' else 'queued' end end as status,
+  case when event_id % 40 in (0, 1, 20, 38) then null when event_id % 40 = 37 then 1.0 else value/200 end as p,
+  case when event_id // 40 % 5 = 1 and event_id % 40 = 12 then 'pause' when event_id // 40 % 5 = 1 and event_id % 40 = 17 then 'resume' when event_id // 40 % 11 = 4 and event_id % 40 = 25 then 'cancel' end as control from events),
+x as materialized (select item, us, status, control, case when control is null then p end as progress, row_number() over (partition by item order by us, tie) as rn from e),
+r as (
+  select distinct item, cast(0 as bigint) as rn, 'pending' as st, cast(null as bigint) as last, false as paused, false as cancelled, cast(null as bigint) as us, cast(null as varchar) as kind, cast(null as varchar) as status, cast(null as double) as progress from x
+  union all
+  select item, rn, case when step then s2 else st end, case when step then null when moved then us else last end, paused2, cancelled2,
+    us, case when step then 'status' when moved then 'progress' end, case when step then s2 end, case when moved then progress end
+  from (select *, control is null and s2 is not null and not (paused and s2 = 'processing') and ((st = 'pending' and s2 = 'queued') or (st = 'queued' and s2 in ('processing', 'cancelled'))
+        or (st = 'processing' and s2 in ('done', 'skipped', 'failed', 'cancelled'))) as step
+    from (select x.item, x.rn, x.us, x.progress, x.control, r.st, r.last, r.paused,
+      case when r.cancelled and x.status = 'processing' then 'cancelled' else x.status end as s2,
+      case when x.control = 'cancel' or x.control = 'resume' then false when x.control = 'pause' then not r.cancelled else r.paused end as paused2,
+      r.cancelled or coalesce(x.control = 'cancel', false) as cancelled2,
+      x.control is null and x.status is null and x.progress is not null and r.st = 'processing' and not r.paused and not r.cancelled
+        and (r.last is null or x.us - r.last >= 1800000000 or x.progress >= 1) as moved
+      from r join x on x.item = r.item and x.rn = r.rn + 1)))
+select item, us as "at", kind, status, round(progress, 6) as progress from r where kind is not null""",
+    "claimed_names": r"""with o as (select o_orderkey as seq, 'p/' || o_custkey % 211 || case when o_orderkey % 3 = 0 then ' (' || (o_orderkey % 5 + 1) || ')' else '' end || '.png' as source,
+  'p/' || case when o_orderkey % 3 = 0 then 0 else o_custkey % 89 end || case when o_orderkey % 7 = 0 then ' (' || (o_orderkey % 13 + 2) || ')' else '' end || '.png' as output from orders),
+t as (select source as name from o union select * from (select 'p/' || c_custkey % 101 || case when c_custkey % 4 > 0 then ' (' || (c_custkey % 17 + 2) || ')' else '' end || '.png' as name from customer) where name not like 'p/%0%'),
+h as (select name from t union select output from o),
+b as (select distinct output, n from (select name as output, 1 as n from t union all
+  select regexp_extract(name, '^(.*) \(([0-9]+)\)\.png$', 1) || '.png', cast(regexp_extract(name, '^(.*) \(([0-9]+)\)\.png$', 2) as int) from h where regexp_matches(name, '^(.*) \(([0-9]+)\)\.png$')) where (n > 1 or output in (select name from t)) and output in (select output from o)),
+u as (select output, source, row_number() over (partition by output order by min(seq)) as k from o group by 1, 2),
+w as (select output, n, n - row_number() over (partition by output order by n) as free from b),
+p as (select u.output, source, k + (select count(*) from w where w.output = u.output and free < k) as number from u)
+select seq, o.output, cast(number as int) as number, case when number = 1 then o.output else regexp_replace(o.output, '\.png$', '') || ' (' || number || ').png' end as name from o join p on o.output = p.output and o.source = p.source""",
     "streamed_progress": "select cast(epoch_us(ts) // 3600000000*3600 as bigint) as at, event_type, count(*) as n, count(*) filter (value > 50) as finished from events group by 1, 2",
 }

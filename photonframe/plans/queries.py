@@ -367,6 +367,31 @@ def output_names(spark: SparkSession, d: str) -> DataFrame:
     return jobs.name_outputs(_sources(spark, d)).select("seq", "name", "number")
 
 
+@query
+def claimed_names(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as a queue whose wanted names collide with numbered ones, with originals and with files that exist."""
+    o = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("seq"),
+        F.expr("concat('p/', o_custkey % 211, case when o_orderkey % 3 = 0 then concat(' (', o_orderkey % 5 + 1, ')') else '' end, '.png')").alias("source"),
+        F.expr("concat('p/', case when o_orderkey % 3 = 0 then 0 else o_custkey % 89 end, case when o_orderkey % 7 = 0 then concat(' (', o_orderkey % 13 + 2, ')') else '' end, '.png')").alias("output"),
+    )
+    there = table(spark, d, "customer").select(F.expr("concat('p/', c_custkey % 101, case when c_custkey % 4 > 0 then concat(' (', c_custkey % 17 + 2, ')') else '' end, '.png')").alias("output"))
+    return jobs.name_outputs(o, there.where("output not like 'p/%0%'")).select("seq", "output", "number", "name")
+
+
+@query
+def item_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events as the log of items: steps, progress and control, and what of it goes out."""
+    e = table(spark, d, "events").select(
+        F.expr("event_id div 40").alias("item"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("tie"),
+        F.expr("case event_id % 40 when 0 then 'queued' when 1 then 'processing' when 38 then 'done' when 20 then if(event_id % 3 = 0, 'done', 'queued') end").alias("status"),
+        F.expr("if(event_id % 40 in (0, 1, 20, 38), null, if(event_id % 40 = 37, 1.0D, value / 200))").alias("progress"),
+        F.expr("case when event_id div 40 % 5 = 1 and event_id % 40 = 12 then 'pause' when event_id div 40 % 5 = 1 and event_id % 40 = 17 then 'resume' when event_id div 40 % 11 = 4 and event_id % 40 = 25 then 'cancel' end").alias("control"),
+    )
+    e = e.withColumn("progress", F.when(F.col("control").isNull(), F.col("progress")))
+    return ev.item_log(e, "item", 1800.0).select("item", F.unix_micros("at").alias("at"), "kind", "status", F.round("progress", 6).alias("progress"))
+
+
 @query
 def best_variants(spark: SparkSession, d: str) -> DataFrame:
     """For every brand and three scales the variant (a part) that serves it best."""
@@ -573,7 +598,7 @@ def illegal_steps(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def throttled_events(spark: SparkSession, d: str) -> DataFrame:
-    return ev.throttled(table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type"), "user_id", "ts", 3600.0, "event_type = 'purchase'").select("event_id")
+    return ev.throttled(table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type"), "user_id", ["ts", "event_id"], 3600.0, "event_type = 'purchase'").select("event_id")
 
 
 @query
