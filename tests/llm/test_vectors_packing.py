@@ -23,7 +23,7 @@ def vectors(seed: int, n: int, d: int) -> list[tuple]:
     flat = (r.normal(size=(n, d)) * np.linspace(1, 0.01, d)) @ np.linalg.qr(r.normal(size=(d, d)))[0]
     out = [(i, [float(np.float32(v)) for v in x], 0) for i, x in enumerate(flat)]
     odd = [(n, None, 0), (n + 1, [None] * d, 0), (n + 2, [math.nan] * d, 0), (n + 3, [math.inf] * d, 0), (None, out[0][1], None)]
-    return out + odd + out[:40] + [(n + 4, out[7][1], 1)] * 30  # repeated rows and copies
+    return out + odd + out[:40] + [(n + 4, out[2][1], 1)] * 30  # repeated rows and copies
 
 
 def valid(rows_: list[tuple]) -> list[tuple]:
@@ -201,16 +201,21 @@ def test_pack_patterns(spark):
     assert pattern_packing.pack_patterns(spark.createDataFrame([], SCHEMA), tokenizer_file("byte_bpe_50k.json")).collect() == []
 
 
-def test_unit_encoder():
+def test_byte_encoder():
     import random
 
     from tokenizers import Tokenizer
 
     path = tokenizer_file("byte_bpe_50k.json")
-    model, mine, r = Tokenizer.from_file(path), pattern_packing.UnitEncoder(path, keep=500), random.Random(3)
+    model, mine, r = Tokenizer.from_file(path), pattern_packing.ByteEncoder(path), random.Random(3)
     parts = [" ", " ", " ", "\n", "\t", "a", "b", "The", "é", "日", "1", ".", "'s", "'t", "　", "\x1c", "\x85", "\xa0", "​", "<|endoftext|>", "<|", "😀", "\r"]
     texts = ["".join(r.choice(parts) for _ in range(r.randrange(25))) for _ in range(2000)]
-    assert [np.frombuffer(x, "<u4").tolist() for x in mine.encode_many(texts)] == [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+    import duckdb
+
+    texts += [t or "" for (t,) in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    assert [mine.encode(t) for t in texts] == [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+    with pytest.raises(ValueError, match="byte-level"):
+        pattern_packing.ByteEncoder(tokenizer_file("word_bpe_49k.json"))
 
 
 @pytest.mark.parametrize(("low", "high", "n"), [(1, 100, 3000), (30, 70, 2000), (5, 9, 500), (51, 99, 400), (100, 101, 50), (1, 2, 10), (1, 101, 30000)])
