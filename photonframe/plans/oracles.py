@@ -646,6 +646,7 @@ select image_id, unnest(kept, recursive := true) from (select image_id, arg_max(
     "event_totals": "select event_id, cast(sum((event_type = 'purchase')::int) over w as bigint) as completed, count(*) over (partition by user_id) as total, round(sum((event_type = 'purchase')::int) over w/cast(count(*) over (partition by user_id) as double), 6) as fraction from events window w as (partition by user_id order by ts, event_id rows unbounded preceding)",
     "item_status": "select user_id, arg_max(event_type, (ts, event_id)) as status, count(*) as n_events from events group by 1",
     "illegal_steps": f"with e as (select event_id, user_id, {NAMES} as status from events), b as (select *, coalesce(lag(status) over (partition by user_id order by event_id), 'pending') as before from e) select * from b where status <> before and not ((before = 'pending' and status = 'queued') or (before = 'queued' and status in ('processing', 'cancelled')) or (before = 'processing' and status in ('done', 'skipped', 'failed', 'cancelled')))",
+    "pictures_written": f"with {PX}, h as (select image_id, max(y) + 1 as height from px group by 1 having max(x) = 63) select image_id, image_id % 3 || '/' || image_id as name, cast(height as int) as height, count(*) as n, cast(sum(coalesce(r, 0)) as bigint) as sum_r, cast(sum(coalesce(g, 0)) as bigint) as sum_g, cast(sum(coalesce(b, 0)) as bigint) as sum_b from h join (select unnest(range(8, 28)) as y) a on a.y < height cross join (select unnest(range(16, 40)) as x) b left join px using (image_id, y, x) group by 1, 2, 3",
     "throttled_events": """with recursive x as materialized (select event_id, user_id, epoch_us(ts) as us, event_type = 'purchase' as final, row_number() over (partition by user_id order by ts, event_id) as rn from events),
 n as materialized (select a.user_id, a.rn, min(b.rn) as nxt from x a join x b on a.user_id = b.user_id and b.rn > a.rn and (b.final or b.us - a.us >= 3600000000) group by 1, 2),
 r as (select user_id, cast(1 as bigint) as rn from x where rn = 1 union all select user_id, n.nxt from r join n using (user_id, rn))

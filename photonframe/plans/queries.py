@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from photonframe.functions import colour, pixel, settings
 from photonframe.functions.pixel import cols, luma8
-from photonframe.functions.stored import stored
+from photonframe.functions.stored import shared_path, stored
 from photonframe.operators import faces, gainmap, jobs, joins, lighting, repair, resample, stats, stencil
 from photonframe.plans import pipeline
-from photonframe.sources import formats, samples
+from photonframe.sources import formats, pictures, samples
 from photonframe.sources.relations import px_grey8, px_rgb64, spread, table, test_pattern
 from photonframe.streaming import events as ev
 
@@ -636,6 +636,20 @@ def png_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return back.select("image_id", "y", "x", *((F.col(c) / 257).cast("int").alias(c) for c in "rgb"))
 
 
+@query
+def pictures_written(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels to verified files in the shared folder; heads and a region read back from them."""
+    folder = shared_path(spark, "pictures")
+    px = px_rgb64(spark, d)
+    pictures.write(pictures.from_pixels(px, "concat('set', image_id % 3, '/', image_id, '.png')", 16), folder)
+    read = pictures.read(spark, folder, "samples", (8, 16, 20, 24)).where("width = 64 and path like '%.png'")
+    number = F.regexp_extract("path", r"set([0-9]+/[0-9]+)\.png$", 1)
+    seen = read.select(F.regexp_extract(number, "[0-9]+$", 0).cast("long").alias("image_id"), number.alias("name"), "height", F.col("rows").alias("height_read"), F.col("columns").alias("w"), "channels", "depth", "data")
+    parts = formats.explode_pixels(seen.select("image_id", F.col("height_read").alias("height"), F.col("w").alias("width"), "channels", "depth", "data"))
+    sums = parts.groupBy("image_id").agg(F.count("*").alias("n"), *(F.sum(c).alias(f"sum_{c}") for c in "rgb"))
+    return seen.select("image_id", "name", "height").join(sums, "image_id")
+
+
 @query
 def synthetic_pattern(spark: SparkSession, d: str) -> DataFrame:
     return test_pattern(spark)

@@ -119,9 +119,11 @@ def preview_fits(pixels: Column, memory: float) -> Column:
     return pixels * 8 <= memory / 2
 
 
-def is_hdr_source(kind: Column, gain_maps: bool) -> Column:
-    """HDR by format; a JPEG with a gain map counts only on request."""
-    return kind.isin("png-hdr", "avif", "exr", "rgbe") | ((kind == "gain-map") & F.lit(gain_maps))
+def is_hdr_source(kind: Column, gain_maps: bool, transfer: Column | None = None) -> Column:
+    """HDR by format; a JPEG with a gain map counts only on request, and AVIF only where its
+    colour box says PQ or HLG (``transfer``, as ``blocks.colour_codes`` finds it)."""
+    code = F.lit(None).cast("int") if transfer is None else transfer
+    return kind.isin("png-hdr", "exr", "rgbe") | ((kind == "avif") & F.coalesce(code.isin(16, 18), F.lit(False))) | ((kind == "gain-map") & F.lit(gain_maps))
 
 
 def png_chunks(data: bytes) -> list[tuple[str, bytes, bool]]:
@@ -139,10 +141,10 @@ def png_chunks(data: bytes) -> list[tuple[str, bytes, bool]]:
     return out
 
 
-_CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}  # colour type to channels
+CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}  # colour type to channels
 
 
-def _unfilter(raw: bytes, height: int, stride: int, step: int) -> np.ndarray:
+def unfilter(raw: bytes, height: int, stride: int, step: int) -> np.ndarray:
     """Rows of a PNG with their filters undone."""
     if len(raw) != height * (stride + 1):
         raise ValueError(f"{len(raw)} bytes of rows, {height * (stride + 1)} expected")
@@ -169,11 +171,11 @@ def read_png(data: bytes) -> tuple[np.ndarray, dict[str, bytes]]:
     if not chunks or chunks[0][0] != "IHDR" or not all(ok for _, _, ok in chunks) or chunks[-1][0] != "IEND":
         raise ValueError("not a whole PNG")
     width, height, depth, kind, _, _, interlace = struct.unpack(">IIBBBBB", chunks[0][1])
-    if depth not in (8, 16) or kind not in _CHANNELS or interlace:
+    if depth not in (8, 16) or kind not in CHANNELS or interlace:
         raise ValueError(f"PNG of depth {depth}, type {kind}, interlace {interlace} is not supported")
-    step = _CHANNELS[kind] * depth // 8
+    step = CHANNELS[kind] * depth // 8
     raw = zlib.decompress(b"".join(b for k, b, _ in chunks if k == "IDAT"))
-    rows = _unfilter(raw, height, width * step, step)
+    rows = unfilter(raw, height, width * step, step)
     samples = rows.reshape(height, width, -1) if depth == 8 else rows.view(">u2").reshape(height, width, -1).astype(np.uint16)
     return samples, {k: b for k, b, _ in chunks if k not in ("IHDR", "IDAT", "IEND")}
 
@@ -191,7 +193,7 @@ def write_png(samples: np.ndarray, extra: dict[str, bytes] | None = None, level:
     best = np.where((pa_ <= pb) & (pa_ <= pc), left, np.where(pb <= pc, up, corner))
     body = np.concatenate([np.full((height, 1), 4, np.uint8), ((rows - best) & 255).astype(np.uint8)], axis=1).tobytes()
     chunk = lambda kind, b: struct.pack(">I", len(b)) + kind + b + struct.pack(">I", zlib.crc32(kind + b))
-    kind = {c: k for k, c in _CHANNELS.items()}[channels]
+    kind = {c: k for k, c in CHANNELS.items()}[channels]
     out = [SIGNATURE, chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, depth, kind, 0, 0, 0))]
     out += [chunk(k.encode(), b) for k, b in (extra or {}).items()]
     return b"".join([*out, chunk(b"IDAT", zlib.compress(body, level)), chunk(b"IEND", b"")])

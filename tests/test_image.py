@@ -205,7 +205,9 @@ def test_recognition_reads_blocks_only(spark):
 def test_hdr_sources_and_previews(spark):
     rows = spark.createDataFrame([("gain-map", 10), ("avif", 1000), ("jpeg", 0)], "k string, n long")
     got = [tuple(r) for r in rows.select(formats.is_hdr_source(F.col("k"), False), formats.is_hdr_source(F.col("k"), True), formats.preview_fits(F.col("n"), 1600.0)).collect()]
-    assert got == [(False, True, True), (True, True, False), (False, False, True)]
+    assert got == [(False, True, True), (False, False, False), (False, False, True)]
+    codes = spark.createDataFrame([("avif", 16), ("avif", 18), ("avif", 1), ("avif", None), ("jpeg", 16), ("exr", None)], "k string, t int")
+    assert [r.h for r in codes.select(formats.is_hdr_source(F.col("k"), False, F.col("t")).alias("h")).collect()] == [True, True, False, False, False, True]
 
 
 def test_sniff(spark):
