@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-from math import ceil, exp
+from math import ceil, cos, exp, radians, sin
 
 import numpy as np
 
 from photonframe.operators.adjustments import PROFILES, Adjustments
+from photonframe.operators.lines import ANGLES
 from photonframe.operators.looks import LOOKS, Look
 
 MONO = Look(monochrome=100, mix=(0.4, 0.4, 0.2), rolloff=40)
@@ -18,6 +19,7 @@ GP = """gp as materialized (select vec_id as image_id, cast((i - 1) // 8 as int)
   cast(least(greatest(floor((cast(embedding[i] as double) + 0.5) * 255 + 0.5), 0), 255) as int) as l from embeddings, range(1, 65) t(i))"""
 Y709 = "(r*0.2126::double + g*0.7152::double + b*0.0722::double)"
 Y601 = "(r*0.299::double + g*0.587::double + b*0.114::double)"
+LUMA8 = "((r*54 + g*183 + b*19 + 128) >> 8)"
 C3 = "rgb"
 
 
@@ -538,6 +540,52 @@ def gain_trip_sql() -> str:
     return "with " + ",\n".join(ctes) + f"\nselect s.image_id, s.y, s.x, {parts} from s join cy on s.image_id = cy.image_id and s.y = cy.y and s.x = cy.x join n on n.image_id = s.image_id"
 
 
+def _line_at(angle: float) -> tuple[str, str]:
+    across, up = cos(radians(angle)), sin(radians(angle))
+    if abs(across) >= abs(up):
+        return f"y + cast(floor(x*{round(up / across, 12)!r}::double + 0.5) as int)", "x"
+    return f"x + cast(floor(y*{round(across / up, 12)!r}::double + 0.5) as int)", "y"
+
+
+def opened_sql(source: str, length: int, angle: float, opened: str, closed: str, name: str) -> str:
+    """CTEs that add opening and closing along lines to a source with a value v."""
+    key, place = _line_at(angle)
+    m = round(length // 2 * max(abs(cos(radians(angle))), abs(sin(radians(angle)))))
+    w = f"window w as (partition by image_id, {key} order by {place} rows between {m} preceding and {m} following)"
+    return f"""{name}a as materialized (select *, min(v) over w as lo, max(v) over w as hi from {source} {w}),
+{name} as materialized (select * exclude (lo, hi), max(lo) over w as {opened}, min(hi) over w as {closed} from {name}a {w})"""
+
+
+def filled_sql(source: str, top: int) -> str:
+    """CTEs from rows (image_id, y, x, v, mask) to f(image_id, y, x, fixed): the pyramid of means."""
+    out = [f"c{k} as materialized (select image_id, y // {1 << k} as y, x // {1 << k} as x, least(1, 4*count(*) filter (not mask)/count(*)::double) as share, avg(v) filter (not mask) as v from {source} group by 1, 2, 3)" for k in range(1, top + 1)]
+    side = lambda c: f"{c} // 2 + case when {c} % 2 = 0 then -1 else 1 end"
+    four = lambda src: " union all ".join(f"select image_id, y as y0, x as x0, {a} as y, {b} as x, {w} as w from {src}" for a, b, w in (("y // 2", "x // 2", 9.0), ("y // 2", side("x"), 3.0), (side("y"), "x // 2", 3.0), (side("y"), side("x"), 1.0)))
+    out.append(f"g{top} as materialized (select image_id, y, x, v from c{top} where share > 0)")
+    for k in range(top - 1, 0, -1):
+        out.append(f"u{k} as (select image_id, y0 as y, x0 as x, sum(w*v)/sum(w) as up from ({four(f'(select * from c{k} where share < 1)')}) join g{k + 1} using (image_id, y, x) group by 1, 2, 3)")
+        out.append(f"g{k} as materialized (select * from (select image_id, y, x, coalesce(share*v + (1 - share)*up, v, up) as v from c{k} left join u{k} using (image_id, y, x)) where v is not null)")
+    out.append(f"u0 as (select image_id, y0 as y, x0 as x, sum(w*v)/sum(w) as up from ({four(f'(select * from {source} where mask)')}) join g1 using (image_id, y, x) group by 1, 2, 3)")
+    out.append(f"f as (select image_id, y, x, case when mask then coalesce(up, v) else v end as fixed from {source} left join u0 using (image_id, y, x))")
+    return ",\n".join(out)
+
+
+def specks_sql(length: int, bright: float, dark: float, radius: int, most: float) -> str:
+    steps, last = [], "s"
+    for k, angle in enumerate(ANGLES):
+        steps.append(opened_sql(last, length, angle, f"o{k}", f"c{k}", f"l{k}"))
+        last = f"l{k}"
+    o, c = (", ".join(f"{n}{k}" for k in range(len(ANGLES))) for n in "oc")
+    near = lambda r: f"p.image_id = n.image_id and n.y between p.y - {r} and p.y + {r} and n.x between p.x - {r} and p.x + {r}"
+    return f"""with {PX}, s as materialized (select image_id, y, x, {LUMA8}/255.0::double as v from px),
+{", ".join(steps)},
+h as materialized (select image_id, y, x, v, coalesce(v - greatest({o}) > {bright}::double or least({c}) - v > {dark}::double, false) as hit from {last}),
+q as materialized (select p.image_id, p.y, p.x, p.v, p.hit and avg(cast(n.hit as int)) <= {most}::double as hit from h p join h n on {near(radius)} group by p.image_id, p.y, p.x, p.v, p.hit),
+m as materialized (select p.image_id, p.y, p.x, p.v, bool_or(n.hit) as mask from q p join q n on {near(1)} group by 1, 2, 3, 4),
+{filled_sql("m", 6)}
+select image_id, y, x, round(v, 5) as v, hit, round(fixed, 5) as fixed from q join f using (image_id, y, x)"""
+
+
 ORACLES: dict[str, str] = {
     "finished_photo": finish_photo_sql(),
     "gain_map_round_trip": gain_trip_sql(),
@@ -647,6 +695,8 @@ select image_id, unnest(kept, recursive := true) from (select image_id, arg_max(
     "item_status": "select user_id, arg_max(event_type, (ts, event_id)) as status, count(*) as n_events from events group by 1",
     "illegal_steps": f"with e as (select event_id, user_id, {NAMES} as status from events), b as (select *, coalesce(lag(status) over (partition by user_id order by event_id), 'pending') as before from e) select * from b where status <> before and not ((before = 'pending' and status = 'queued') or (before = 'queued' and status in ('processing', 'cancelled')) or (before = 'processing' and status in ('done', 'skipped', 'failed', 'cancelled')))",
     "pictures_written": f"with {PX}, h as (select image_id, max(y) + 1 as height from px group by 1 having max(x) = 63) select image_id, image_id % 3 || '/' || image_id as name, cast(height as int) as height, count(*) as n, cast(sum(coalesce(r, 0)) as bigint) as sum_r, cast(sum(coalesce(g, 0)) as bigint) as sum_g, cast(sum(coalesce(b, 0)) as bigint) as sum_b from h join (select unnest(range(8, 28)) as y) a on a.y < height cross join (select unnest(range(16, 40)) as x) b left join px using (image_id, y, x) group by 1, 2, 3",
+    "specks_removed": specks_sql(5, 0.3, 0.35, 10, 0.2),
+    "line_openings": f"with {PX}, s as materialized (select image_id, y, x, {LUMA8} as v from px), {opened_sql('s', 9, 22.5, 'opened', 'closed', 'a')}, {opened_sql('a', 31, 112.5, 'opened_long', 'closed_long', 'b')} select * from b",
     "throttled_events": """with recursive x as materialized (select event_id, user_id, epoch_us(ts) as us, event_type = 'purchase' as final, row_number() over (partition by user_id order by ts, event_id) as rn from events),
 n as materialized (select a.user_id, a.rn, min(b.rn) as nxt from x a join x b on a.user_id = b.user_id and b.rn > a.rn and (b.final or b.us - a.us >= 3600000000) group by 1, 2),
 r as (select user_id, cast(1 as bigint) as rn from x where rn = 1 union all select user_id, n.nxt from r join n using (user_id, rn))

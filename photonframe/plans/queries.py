@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from photonframe.functions import colour, pixel, settings
 from photonframe.functions.pixel import cols, luma8
 from photonframe.functions.stored import shared_path, stored
-from photonframe.operators import faces, gainmap, jobs, joins, lighting, repair, resample, stats, stencil
+from photonframe.operators import faces, gainmap, jobs, joins, lighting, lines, repair, resample, stats, stencil
 from photonframe.plans import pipeline
 from photonframe.sources import formats, pictures, samples
 from photonframe.sources.relations import px_grey8, px_rgb64, spread, table, test_pattern
@@ -738,7 +738,15 @@ def restored_levels(spark: SparkSession, d: str) -> DataFrame:
 @query
 def specks_removed(spark: SparkSession, d: str) -> DataFrame:
     px = px_rgb64(spark, d).select("image_id", "y", "x", (luma8(cols()) / 255.0).alias("v"))
-    return rounded(repair.remove_specks(px, "v", 5, 0.3, tile=32), "fixed", "v", digits=5)
+    return rounded(repair.remove_specks(px, "v", 5, 0.3, 0.35, 10, 0.2), "fixed", "v", digits=5)
+
+
+@query
+def line_openings(spark: SparkSession, d: str) -> DataFrame:
+    """Openings and closings with lines at two slanted angles, the longer one by running extremes."""
+    px = px_rgb64(spark, d).select("image_id", "y", "x", luma8(cols()).alias("v"))
+    px = lines.opened_and_closed(px, "v", 9, 22.5, "opened", "closed")
+    return lines.opened_and_closed(px, "v", 31, 112.5, "opened_long", "closed_long")
 
 
 @query
