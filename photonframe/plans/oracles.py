@@ -472,7 +472,7 @@ def hdr_sql(sh: float, hl: float, lc: float, dt: float, co: float, vb: float, r:
 def sharpen_sql() -> str:
     w = gauss_weights(0.9)
     y = "v"
-    return "with " + ",\n".join([GP, "gv as (select image_id, y, x, (0.299 + 0.587 + 0.114)*(l/255.0::double) as v, l/255.0::double as r from gp)", *weighted("gv", "v", w, w, "bl"), f"rg as (select p.image_id, p.y, p.x, min(n.v) as lo, max(n.v) as hi from gv p join gv n on {near(1)} group by 1, 2, 3)"]) + f"\nselect image_id, y, x, round(gv.r + least(greatest(gv.{y} + 0.7*sign(gv.v - bl.v)*greatest(abs(gv.v - bl.v) - 0.006, 0), lo - 0.03), hi + 0.03) - gv.v, 6) as v from gv join bl using (image_id, y, x) join rg using (image_id, y, x)"
+    return "with " + ",\n".join([GP, "gv as materialized (select image_id, y, x, (0.299 + 0.587 + 0.114)*(l/255.0::double) as v, l/255.0::double as r from gp)", *weighted("gv", "v", w, w, "bl"), "ra as materialized (select image_id, y, x, min(v) over w as lo, max(v) over w as hi from gv window w as (partition by image_id, y order by x rows between 1 preceding and 1 following))", "rg as materialized (select image_id, y, x, min(lo) over w as lo, max(hi) over w as hi from ra window w as (partition by image_id, x order by y rows between 1 preceding and 1 following))"]) + f"\nselect image_id, y, x, round(gv.r + least(greatest(gv.{y} + 0.7*sign(gv.v - bl.v)*greatest(abs(gv.v - bl.v) - 0.006, 0), lo - 0.03), hi + 0.03) - gv.v, 6) as v from gv join bl using (image_id, y, x) join rg using (image_id, y, x)"
 
 
 NAMES = "list_extract(['pending','queued','processing','done','skipped','failed','cancelled'], 1 + cast(((cast(floor(value*100) as bigint) % 7) + 7) % 7 as int))"
@@ -515,7 +515,7 @@ def whole_sql() -> str:
     q = f"select image_id, y*2 + a as y, x*2 + b as x, r, g, b2 as b from (select *, b as b2 from ({q})) t cross join (values (0), (1)) p(a) cross join (values (0), (1)) q(b)".replace("select *, b as b2", "select image_id, y, x, r, g, b as b2")
     q = upon(q, hdr_sql(0.6, 0.5, 0.35, 0.0, 0.5, 0.04, 5))
     q = upon(q, finish_sql(LOOKS["canon-natural"]))
-    return f"select image_id, count(*) as n, sum(r) as r, sum(g) as g, sum(b) as b from ({q}) group by 1"
+    return q
 
 
 def finish_photo_sql() -> str:
@@ -529,7 +529,9 @@ def finish_photo_sql() -> str:
 def gain_trip_sql() -> str:
     e, o = {c: eotf(c) for c in C3}, "0.015625::double"
     up = ", ".join(f"({k}, {i}, {w!r}::double)" for k, i, w in linear_weights(16, 64))
-    ctes = [PX, "w as (select image_id from px group by 1 having count(*) = 4096)", f"s as materialized (select image_id, y, x, {', '.join(f'{e[c]} as {c}' for c in C3)} from px where image_id in (select image_id from w))"]
+    square = "w as (select image_id, cast(p // 64 as int) as y, cast(p % 64 as int) as x from (select distinct image_id from px) cross join range(4096) t(p))"
+    square += ", z as (select image_id, y, x, coalesce(r, 0) as r, coalesce(g, 0) as g, coalesce(b, 0) as b from w left join px using (image_id, y, x))"
+    ctes = [PX, square, f"s as materialized (select image_id, y, x, {', '.join(f'{e[c]} as {c}' for c in C3)} from z)"]
     ctes.append(f"m as materialized (select image_id, y // 4 as y, x // 4 as x, avg(log2((greatest(r, g, b)*(1 + r) + {o})/(greatest(r, g, b) + {o}))) as gain from s group by 1, 2, 3)")
     ctes.append("n as (select image_id, min(gain) as low, max(gain) as high from m group by 1)")
     ctes.append(f"c as materialized (select image_id, y, x, floor({clip('(gain - low)/greatest(high - low, 1e-6)')}*255 + 0.5)/255.0::double as g from m join n using (image_id))")
@@ -593,7 +595,7 @@ ORACLES: dict[str, str] = {
     "public_tags": "select p_partkey, case when p_partkey % 2 = 0 then 'Make=' || p_brand || ';Orientation=1' else 'Artist=' || p_type || ';Make=' || p_brand || ';Orientation=1' end as tags from part",
     "face_alignment": "with p as (select l_orderkey as face, cast(l_linenumber*l_linenumber as double) as sx, cast(l_partkey % 97 as double) as sy, cast(l_quantity as double) as tx, cast(l_suppkey % 31 as double) as ty from lineitem), s as (select face, count(*) as n, avg(sx) as mx, avg(sy) as my, avg(tx) as ux, avg(ty) as uy, avg(sx*sx + sy*sy) as q, avg(sx*tx + sy*ty) as p, avg(sx*ty - sy*tx) as r from p group by 1 having count(*) >= 3), t as (select *, (p - mx*ux - my*uy)/greatest(q - mx*mx - my*my, 1e-12) as a, (r - mx*uy + my*ux)/greatest(q - mx*mx - my*my, 1e-12) as b from s) select face, round(a, 4) + 0.0::double as a, round(b, 4) + 0.0::double as b, round(ux - a*mx + b*my, 4) + 0.0::double as c, round(uy - b*mx - a*my, 4) + 0.0::double as d from t",
     "face_weights": "with f as (select p_partkey, p_partkey as k, cast(p_partkey % 512 as double) as y, cast(p_partkey*7 % 512 as double) as x from part), t as (select *, least(greatest((1 - sqrt(pow((x - 256)/152.0::double, 2) + pow((y - 292)/188.0::double, 2)))/0.2, 0), 1) as t, least(greatest((k % 120)/100.0::double, 0), 1) as fi from f) select p_partkey, round(case k % 3 when 0 then 0 when 1 then 0.6 + 0.4*fi else 0.35 + 0.55*fi end * least(greatest((k % 20 - 5)/11.0::double, 0.3), 1) * least(greatest(0.5 + 0.5*((0.9 + (k % 10)/100.0::double) - 0.9)/(0.97 - 0.9), 0.5), 1) * least(greatest(((k % 17)/8.0::double - 0.9)/0.6, 0.15), 1) * (t*t*(3 - 2*t)) + 1e-9::double, 4) as weight from t",
-    "decoded_boxes": "with im as (select p_partkey as image_id, p_size*3 + 20 as width, p_size*2 + 20 as height from part where p_partkey % 50 = 0), st(step, sizes) as (values (8, [16, 32]), (16, [64, 128]), (32, [256, 512])), a as (select *, unnest(range(cast(ceil(height/step::double) as bigint))) as py from im cross join st), b as (select *, unnest(range(cast(ceil(width/step::double) as bigint))) as px from a), c as (select *, unnest(sizes) as sz from b), p as (select image_id, step || ':' || py || ':' || px || ':' || sz as prior, (px + 0.5::double)*step/width as cx, (py + 0.5::double)*step/height as cy, sz/width::double as w, sz/height::double as h from c), o as (select *, cx + sin(image_id*1 + cx*9)*0.1*w as bx, cy + sin(image_id*2 + cx*9)*0.1*h as bby, w*exp(sin(image_id*3 + cx*9)*0.2) as bw, h*exp(sin(image_id*4 + cx*9)*0.2) as bh from p) select image_id, prior, round(bx - bw/2, 5) as x0, round(bby - bh/2, 5) as y0, round(bx + bw/2, 5) as x1, round(bby + bh/2, 5) as y1 from o",
+    "decoded_boxes": "with im as (select p_partkey as image_id, p_size*3 + 20 as width, p_size*2 + 20 as height from part), st(step, sizes) as (values (8, [16, 32]), (16, [64, 128]), (32, [256, 512])), a as (select *, unnest(range(cast(ceil(height/step::double) as bigint))) as py from im cross join st), b as (select *, unnest(range(cast(ceil(width/step::double) as bigint))) as px from a), c as (select *, unnest(sizes) as sz from b), p as (select image_id, step || ':' || py || ':' || px || ':' || sz as prior, (px + 0.5::double)*step/width as cx, (py + 0.5::double)*step/height as cy, sz/width::double as w, sz/height::double as h from c), o as (select *, cx + sin(image_id*1 + cx*9)*0.1*w as bx, cy + sin(image_id*2 + cx*9)*0.1*h as bby, w*exp(sin(image_id*3 + cx*9)*0.2) as bw, h*exp(sin(image_id*4 + cx*9)*0.2) as bh from p) select image_id, prior, round(bx - bw/2, 5) + 0.0::double as x0, round(bby - bh/2, 5) + 0.0::double as y0, round(bx + bw/2, 5) + 0.0::double as x1, round(bby + bh/2, 5) + 0.0::double as y1 from o",
     "settings_read": "with s as (select p_partkey, p_partkey % 7 as m, p_partkey as k from part) select p_partkey, cast(least(greatest(k % 6, 2), 4) as int) as scale, cast(case when k % 5 = 0 then 95 else least(greatest(k*3 % 130, 1), 100) end as int) as quality, case when k % 2 = 0 then 'restore' else 'upscale' end as mode, case when m in (0, 1) then false else k % 3 = 0 end as hdr_enabled, case m when 0 then 'classic-film' when 1 then 'kodak' else 'original' end as camera_look, case m when 0 then 45 when 1 then 60 else 50 end as camera_look_intensity, case when m = 0 then 'Vintage' when m = 1 then 'Film · Modified' when k % 3 = 0 then 'Custom' else 'Original' end as label from s",
     "recoloured": recolour_sql(),
     "restored_levels": restored_sql(),
@@ -631,13 +633,13 @@ ORACLES: dict[str, str] = {
     "local_range": f"with {GP} select p.image_id, p.y, p.x, any_value(p.l) as l, min(n.l) as low, max(n.l) as high from gp p join gp n on {near(1)} group by 1, 2, 3",
     "line_opening": f"with {GP}, a as (select p.image_id, p.y, p.x, any_value(p.l) as l, min(n.l) as v from gp p join gp n on {near(2, 'x')} group by 1, 2, 3), b as (select p.image_id, p.y, p.x, max(n.v) as opened from a p join a n on {near(2, 'x')} group by 1, 2, 3), c as (select p.image_id, p.y, p.x, max(n.l) as v from gp p join gp n on {near(2, 'y')} group by 1, 2, 3), e as (select p.image_id, p.y, p.x, min(n.v) as closed from c p join c n on {near(2, 'y')} group by 1, 2, 3) select image_id, y, x, l, opened, closed from gp join b using (image_id, y, x) join e using (image_id, y, x)",
     "gaussian": "with " + ",\n".join([GP, *weighted("gp", "l", gauss_weights(0.8), gauss_weights(0.8), "w")]) + "\nselect image_id, y, x, l, round(v, 6) as blurred from gp join w using (image_id, y, x)",
-    "paeth_residue": f"with {GP}, n as (select p.*, coalesce(a.l, 0) as a, coalesce(b.l, 0) as b, coalesce(c.l, 0) as c from gp p left join gp a on a.image_id = p.image_id and a.y = p.y and a.x = p.x - 1 left join gp b on b.image_id = p.image_id and b.y = p.y - 1 and b.x = p.x left join gp c on c.image_id = p.image_id and c.y = p.y - 1 and c.x = p.x - 1) select image_id, y, x, l, ((l - case when abs(b-c) <= abs(a-c) and abs(b-c) <= abs(a+b-2*c) then a when abs(a-c) <= abs(a+b-2*c) then b else c end) % 256 + 256) % 256 as residue from n",
+    "paeth_residue": f"with {GP}, n as materialized (select *, coalesce(lag(l) over (partition by image_id, y order by x), 0) as a, coalesce(lag(l) over (partition by image_id, x order by y), 0) as b from gp), c as materialized (select *, coalesce(lag(a) over (partition by image_id, x order by y), 0) as c from n) select image_id, y, x, l, ((l - case when abs(b-c) <= abs(a-c) and abs(b-c) <= abs(a+b-2*c) then a when abs(a-c) <= abs(a+b-2*c) then b else c end) % 256 + 256) % 256 as residue from c",
     "guided_filter": "with " + ",\n".join([GP, "gv as (select image_id, y, x, l, l/255.0::double as v from gp)", *guided_ctes("gv", "v", "v", 1, 0.012, "q")]) + "\nselect image_id, y, x, l, round(a_m*v + b_m, 6) as base from gv join q4 using (image_id, y, x)",
     "hdr_balanced": hdr_sql(0.9, 0.8, 0.6, 0.1, 0.55, 0.08, 3),
     "whole_job": whole_sql(),
     "sharpened": sharpen_sql(),
     "denoised": denoise_sql(),
-    "clarity": "with " + ",\n".join([GP, "gv as (select image_id, y, x, l/255.0::double as v from gp)", *weighted("gv", "v", gauss_weights(1.0), gauss_weights(1.0), "bl")]) + "\nselect image_id, y, x, round(gv.v + 0.3*4*gv.v*(1-gv.v)*(gv.v - bl.v), 6) as v from gv join bl using (image_id, y, x)",
+    "clarity": "with " + ",\n".join([GP, "gv as materialized (select image_id, y, x, l/255.0::double as v from gp)", *weighted("gv", "v", gauss_weights(1.0), gauss_weights(1.0), "bl")]) + "\nselect image_id, y, x, round(gv.v + 0.3*4*gv.v*(1-gv.v)*(gv.v - bl.v), 6) as v from gv join bl using (image_id, y, x)",
     "nearest_twice": f"with {GP} select image_id, y*2 + a as y, x*2 + b as x, l from gp cross join (values (0), (1)) p(a) cross join (values (0), (1)) q(b)",
     "bilinear_up": resized(linear_weights(8, 20), linear_weights(8, 12)),
     "lanczos_down": resized(axis_weights("lanczos", 8, 5), axis_weights("lanczos", 8, 6)),
@@ -649,7 +651,7 @@ ORACLES: dict[str, str] = {
     "png_round_trip": f"with {PX} select * from px",
     "identity_job": f"with {PX} select * from px",
     "blended": "with " + lighting_sql(PROFILES["vivid"]).removeprefix("with ").replace("\nselect image_id, y, x,", ",\nlit as (select image_id, y, x,", 1) + ") select image_id, y, x, " + ", ".join(f"cast(floor(px.{c}*0.65::double + lit.{c}*0.35::double + 0.5) as int) as {c}" for c in C3) + " from px join lit using (image_id, y, x)",
-    "synthetic_pattern": "select cast(0 as bigint) as image_id, cast(i // 64 as int) as y, cast(i % 64 as int) as x, cast(floor((i % 64)*(255.0/63) + 0.5) as int) as r, cast(floor((i // 64)*(255.0/63) + 0.5) as int) as g, cast((i % 64 + i // 64) % 32*8 as int) as b from range(4096) t(i)",
+    "synthetic_pattern": "with s as (select p_partkey as image_id, p_size % 13 + 2 as n from part), p as (select *, unnest(range(n*n)) as i from s) select cast(image_id as bigint) as image_id, cast(i // n as int) as y, cast(i % n as int) as x, cast(floor((i % n)*(255.0::double/greatest(n - 1, 1)) + 0.5) as int) as r, cast(floor((i // n)*(255.0::double/greatest(n - 1, 1)) + 0.5) as int) as g, cast((i % n + i // n) % 32*8 as int) as b from p",
     "output_names": "with s as (select page_id as seq, url as source, regexp_extract(url, '^https?://[^/]+/([^/?#]*)', 1) || '.png' as output from pages), f as (select output, source, min(seq) as m from s group by 1, 2), n as (select *, row_number() over (partition by output order by m) as number from f) select seq, case when number = 1 then output else regexp_extract(output, '^(.*)\\.png$', 1) || ' (' || number || ').png' end as name, cast(number as int) as number from s join n using (output, source)",
     "best_variants": "with p as (select p_brand as family, p_size as native, min(p_partkey) as spec from part group by 1, 2), q as (select family, scale from (select distinct family from p) cross join (values (2), (20), (45)) t(scale)), r as (select q.family, q.scale, native, spec, row_number() over (partition by q.family, q.scale order by native <> q.scale, native < q.scale, abs(native - q.scale), native) as k from q join p on p.family = q.family) select family, scale, native, spec from r where k = 1",
     "collected_inputs": "with a as (select case when page_id % 7 = 0 then 'a/upscaled' when page_id % 7 = 1 then 'restored' else 'b/c' end || '/p' || page_id % 50 || case when page_id % 2 = 0 then '_restored' else '' end || '.' || list_extract(['jpg','PNG','txt','tiff','gif','webp'], cast(page_id % 6 + 1 as int)) as path, page_id from pages), b as (select distinct path from a where page_id % 6 not in (2, 4) and page_id % 7 <> 0 and not (page_id % 7 = 1 and page_id % 2 = 0)) select path, row_number() over (order by path) - 1 as seq from b",

@@ -37,9 +37,9 @@ def px_grey8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.select("image_id", F.expr("cast(p div 8 as int)").alias("y"), (F.col("p") % 8).cast("int").alias("x"), F.least(F.greatest(level, F.lit(0)), F.lit(255)).cast("int").alias("l"))
 
 
-def test_pattern(spark: SparkSession, size: int = 64) -> DataFrame:
-    """A synthetic colour picture: ramps along x and y, and a diagonal."""
-    n = spark.range(size * size)
-    y, x = F.expr(f"cast(id div {size} as int)"), F.expr(f"cast(id % {size} as int)")
-    scale = 255.0 / max(size - 1, 1)
-    return n.select(F.lit(0).cast("long").alias("image_id"), y.alias("y"), x.alias("x"), F.floor(x * scale + 0.5).cast("int").alias("r"), F.floor(y * scale + 0.5).cast("int").alias("g"), ((x + y) % 32 * 8).cast("int").alias("b"))
+def test_pattern(sizes: DataFrame) -> DataFrame:
+    """Synthetic square colour pictures of (image_id, size): ramps along x and y, and a diagonal."""
+    px = sizes.where("size > 0").withColumn("p", F.explode(F.expr("sequence(0, size * size - 1)")))
+    y, x = F.expr("cast(p div size as int)"), F.expr("cast(p % size as int)")
+    ramp = lambda c: F.floor(F.col(c) * (F.lit(255.0) / F.greatest(F.col("size") - 1, F.lit(1))) + 0.5).cast("int")
+    return px.withColumns({"y": y, "x": x}).select(F.col("image_id").cast("long").alias("image_id"), "y", "x", ramp("x").alias("r"), ramp("y").alias("g"), ((F.col("x") + F.col("y")) % 32 * 8).cast("int").alias("b"))

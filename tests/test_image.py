@@ -77,7 +77,7 @@ def test_grey_stays_grey_and_ramps_stay_monotone(spark):
 
 
 def test_zero_intensity_changes_nothing(spark):
-    px = pattern(spark, 8)
+    px = pattern(spark.range(1).selectExpr("id as image_id", "8 as size"))
     assert lighting.apply_profile(px, "vivid", 0) is px
     assert lighting.apply_look(px, lighting.LOOKS["sony-vivid"].scaled(0)) is px
 
@@ -118,7 +118,7 @@ def test_resize_weights_add_up():
 
 
 def test_identity_warp(spark):
-    px = pattern(spark, 6)
+    px = pattern(spark.range(1).selectExpr("id as image_id", "6 as size"))
     out = resample.warp(px, ["r"], (1, 0, 0, 0, 1, 0), 6, 6)
     assert out.join(px.select("y", "x", F.col("r").alias("q")), ["y", "x"]).where("abs(r - q) > 1e-9 or coverage <> 1").count() == 0 and out.count() == 36
 
@@ -130,7 +130,7 @@ def test_suppression_keeps_the_best(spark):
 
 
 def test_a_baked_look_is_nearly_the_look(spark):
-    px = pattern(spark)
+    px = pattern(spark.range(1).selectExpr("id as image_id", "64 as size"))
     look = lighting.LOOKS["fujifilm-velvia"]
     plain = replace(look, clarity=0.0)
     want = lighting.apply_look(px, plain)

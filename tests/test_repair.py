@@ -212,7 +212,7 @@ def test_builder_keeps_the_order_and_drops_what_does_nothing(spark):
     options = pipeline.Options(fading=10, denoise=20, finish="clean", lighting=lighting.PROFILES["vivid"], look=lighting.LOOKS["sony-vivid"], scale=2, hdr="dramatic")
     assert [n for n, _ in pipeline.build(options)] == ["levels", "denoise", "finish", "lighting", "look", "upscale", "hdr", "look finish"]
     assert pipeline.build(pipeline.Options()) == []
-    px = pattern(spark, 8)
+    px = pattern(spark.range(1).selectExpr("id as image_id", "8 as size"))
     assert pipeline.run(px, pipeline.Options()) is px
     assert pipeline.run(px, pipeline.Options(scale=3)).count() == 9 * 64
     for bad in (pipeline.Options(scale=5), pipeline.Options(hdr="x"), pipeline.Options(finish="x")):
