@@ -93,18 +93,30 @@ def apply_matrix(rgb: Rgb, m: np.ndarray) -> Rgb:
     return tuple(rgb[0] * float(m[i, 0]) + rgb[1] * float(m[i, 1]) + rgb[2] * float(m[i, 2]) for i in range(3))  # type: ignore[return-value]
 
 
+def towards_grey(rgb: Rgb, grey: Column, low: float | None = None, high: float | None = None) -> Rgb:
+    """The largest share of each colour's way from its grey that stays within the bounds, so
+    luminance and hue are kept and colours inside are left alone."""
+    shares = []
+    for c in rgb:
+        share = F.lit(1.0)
+        if low is not None:
+            share = F.when(c < low, (grey - low) / F.greatest(grey - c, F.lit(1e-12))).otherwise(share)
+        if high is not None:
+            share = F.when(c > high, (high - grey) / F.greatest(c - grey, F.lit(1e-12))).otherwise(share)
+        shares.append(share)
+    share = F.least(*shares)
+    return tuple(F.when(share < 1, grey + share * (c - grey)).otherwise(c) for c in rgb)  # type: ignore[return-value]
+
+
 def fit_gamut(rgb: Rgb, weights: tuple[float, float, float] = BT2020) -> Rgb:
-    """Colours with a negative component move towards their luminance until it is zero."""
-    low, y = F.least(*rgb), F.greatest(luma(rgb, weights), F.lit(0.0))
-    t = F.when(low < 0, y / F.greatest(y - low, F.lit(1e-12)))
-    return tuple(F.when(low < 0, F.greatest(y + t * (c - y), F.lit(0.0))).otherwise(c) for c in rgb)  # type: ignore[return-value]
+    """Colours with a negative component lose saturation until it is zero."""
+    inside = towards_grey(rgb, F.greatest(luma(rgb, weights), F.lit(0.0)), low=0.0)
+    return tuple(F.when(F.least(*rgb) < 0, F.greatest(c, F.lit(0.0))).otherwise(c) for c in inside)  # type: ignore[return-value]
 
 
 def fit_high(rgb: Rgb, weights: tuple[float, float, float] = BT709) -> Rgb:
-    """Components above one move towards the luminance; then all are clipped."""
-    high, y = F.greatest(*rgb), clip(luma(rgb, weights))
-    t = F.when(high > 1, (1 - y) / F.greatest(high - y, F.lit(1e-12)))
-    return tuple(clip(F.when(high > 1, y + t * (c - y)).otherwise(c)) for c in rgb)  # type: ignore[return-value]
+    """Colours with a component above one lose saturation until it is one; then all are clipped."""
+    return tuple(map(clip, towards_grey(rgb, clip(luma(rgb, weights)), high=1.0)))  # type: ignore[return-value]
 
 
 def _pq(nits: float) -> float:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 
 from photonframe.functions.pixel import BT709
@@ -91,14 +91,36 @@ def register_look(name: str, look: Look) -> None:
     LOOKS[name] = look
 
 
+def _on_tone(look: Look, name: str, value: float) -> Look:
+    return replace(look, tone=replace(look.tone, **{name: value}))
+
+
+def _on_band(look: Look, name: str, value: float) -> Look:
+    return replace(look, bands=(*look.bands, (name, (0.0, value, 0.0)))) if value else look
+
+
+def _on_look(field: str) -> Callable[[Look, str, float], Look]:
+    return lambda look, _, value: replace(look, **{field: value})
+
+
+# The sliders of a look of one's own: what they set, and their range.
+SLIDERS: dict[str, tuple[Callable[[Look, str, float], Look], int, int]] = {
+    **dict.fromkeys(("exposure", "contrast", "highlights", "shadows", "temperature", "tint", "saturation"), (_on_tone, -100, 100)),
+    "vibrance": (_on_look("vibrance"), -100, 100),
+    **dict.fromkeys(("red", "orange", "yellow", "green", "aqua", "blue", "purple", "magenta"), (_on_band, -100, 100)),
+    "sharpness": (_on_look("sharpen"), 0, 100),
+}
+OWN = (40.0, 15.0)  # fixed values: skin, and the shoulder of looks that are made brighter or harder
+
+
 def custom(values: Mapping[str, float]) -> Look:
-    """A look from sliders: tone names, saturation, vibrance, a band's saturation by the
-    band's name, sharpness (0..100; all others -100..100); whole numbers."""
-    sliders = {n: float(min(100, max(0 if n == "sharpness" else -100, round(v)))) for n, v in values.items()}
-    tone = Adjustments(**{n: sliders.pop(n) for n in ("exposure", "contrast", "highlights", "shadows", "temperature", "tint", "saturation") if n in sliders})
-    vibrance, sharpen = sliders.pop("vibrance", 0.0), sliders.pop("sharpness", 0.0)
-    shoulder = 15.0 if tone.contrast > 0 or tone.exposure > 0 else 0.0
-    return Look(tone=tone, vibrance=vibrance, sharpen=sharpen, bands=tuple((n, (0.0, v, 0.0)) for n, v in sliders.items() if v), rolloff=shoulder, skin=40.0)
+    """A look from sliders, each laid upon the look so far; whole numbers within their range."""
+    look = Look(skin=OWN[0])
+    for name, value in values.items():
+        apply, low, high = SLIDERS[name]
+        look = apply(look, name, float(min(high, max(low, round(value)))))
+    harder = max(look.tone.contrast, look.tone.exposure) > 0
+    return replace(look, rolloff=OWN[1]) if harder else look
 
 
 def chosen(name: str, intensity: int = 50, grain: str = "auto") -> Look:
@@ -112,8 +134,18 @@ def chosen(name: str, intensity: int = 50, grain: str = "auto") -> Look:
     return look.scaled(min(100, max(0, intensity)) / 100)
 
 
+# Makers by whose name looks are named.
+MAKERS = ("sony", "canon", "nikon", "fujifilm", "leica", "hasselblad")
+
+
+def categories(name: str) -> set[str]:
+    """A look's maker or, without one, film; and monochrome, which is all that a plain
+    black-and-white look is."""
+    if name not in LOOKS or name == "original":
+        return set()
+    found = {m for m in MAKERS if name.split("-")[0] == m} | ({"monochrome"} if LOOKS[name].monochrome > 0 else set())
+    return found or {"film"}
+
+
 def in_category(name: str, category: str) -> bool:
-    """By maker, which the name begins with; monochrome ones of all makers; film for the rest."""
-    makers = ("sony", "canon", "nikon", "fujifilm", "leica", "hasselblad")
-    own = next((m for m in makers if name.startswith(f"{m}-")), "monochrome" if name == "black-white" else "film" if name in LOOKS and name != "original" else "")
-    return category == own or (category == "monochrome" and name in LOOKS and LOOKS[name].monochrome > 0)
+    return category in categories(name)
