@@ -17,12 +17,28 @@ def luma_bins(px: DataFrame, bins: int = 32) -> DataFrame:
     return px.select("image_id", b.alias("bin"), (F.col("b") - y).alias("cb"), (F.col("r") - y).alias("cr")).groupBy("image_id", "bin").agg(F.count("*").alias("n"), F.avg("cb").alias("mean_cb"), F.avg("cr").alias("mean_cr"))
 
 
+BINS = 4096
+
+
 def trimmed_mean(rows: DataFrame, key: str, value: str, share: float, out: str) -> DataFrame:
-    """Mean of the lowest floor(share * n) values of each key, at least one."""
-    order = Window.partitionBy(key).orderBy(value)
-    n = F.count("*").over(Window.partitionBy(key))
-    kept = rows.withColumns({"_k": F.row_number().over(order), "_n": n}).where(F.col("_k") <= F.greatest(F.floor(F.col("_n") * share), F.lit(1)))
-    return kept.groupBy(key).agg(F.avg(value).alias(out))
+    """Mean of the lowest floor(share * n) values of each key, at least one; nulls are none.
+
+    Values are counted and added up by bin, which merges in any order. The running count of a
+    key's bins finds the one in which the share ends; the bins before count whole, and of that
+    one bin alone the values are ranked, equal ones as one row. No window meets a picture."""
+    v = rows.select(F.col(key), F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    ends = v.groupBy(key).agg(F.min("_v").alias("_least"), F.max("_v").alias("_most"), F.count("*").alias("_all"))
+    ends = ends.withColumn("_take", F.greatest(F.floor(F.col("_all") * share), F.lit(1)))
+    place = F.floor((F.col("_v") - F.col("_least")) / (F.col("_most") - F.col("_least")) * BINS)
+    v = v.join(ends, key).withColumn("_bin", F.when(F.col("_most") > F.col("_least"), F.least(place, F.lit(BINS - 1))).otherwise(0).cast("int"))
+    bins = v.groupBy(key, "_bin").agg(F.first("_take").alias("_take"), F.count("*").alias("_n"), F.sum("_v").alias("_sum"))
+    before = Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumns({"_before": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_below": F.coalesce(F.sum("_sum").over(before), F.lit(0.0))})
+    last = bins.where((F.col("_before") < F.col("_take")) & (F.col("_before") + F.col("_n") >= F.col("_take"))).select(key, "_bin", "_before", "_below")
+    inside = v.join(last, [key, "_bin"]).groupBy(key, "_v").agg(F.count("*").alias("_n"), *(F.first(c).alias(c) for c in ("_take", "_before", "_below")))
+    ranked = inside.withColumn("_so_far", F.col("_before") + F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    some = F.greatest(F.least(F.col("_n"), F.col("_take") - F.col("_so_far")), F.lit(0))
+    return ranked.groupBy(key).agg(((F.first("_below") + F.sum(F.col("_v") * some)) / F.first("_take")).alias(out))
 
 
 def monochrome(px: DataFrame, threshold: float = 3.5) -> DataFrame:
@@ -32,9 +48,9 @@ def monochrome(px: DataFrame, threshold: float = 3.5) -> DataFrame:
     rows = px.select("image_id", "y", "x", y.alias("_l"), (F.col("b") - y).alias("cb"), (F.col("r") - y).alias("cr"))
     rows = box_means(rows, {"cb": "cb", "cr": "cr"}, 2, replicate=True)
     b = F.least(F.greatest((F.col("_l") / 256 * 32).cast("int"), F.lit(0)), F.lit(31))
-    own = Window.partitionBy("image_id", "bin")
     rows = rows.withColumn("bin", b)
-    rows = rows.withColumns({"residual": F.hypot(F.col("cb") - F.avg("cb").over(own), F.col("cr") - F.avg("cr").over(own)), "size": F.hypot("cb", "cr")})
+    means = rows.groupBy("image_id", "bin").agg(F.avg("cb").alias("_cb"), F.avg("cr").alias("_cr"))
+    rows = rows.join(means, ["image_id", "bin"]).withColumns({"residual": F.hypot(F.col("cb") - F.col("_cb"), F.col("cr") - F.col("_cr")), "size": F.hypot("cb", "cr")})
     colour = trimmed_mean(rows, "image_id", "residual", 0.99, "colorfulness")
     out = colour.join(rows.groupBy("image_id").agg(F.avg("size").alias("tint")), "image_id")
     mono = F.col("colorfulness") < threshold
@@ -87,11 +103,13 @@ def neutrality(px: DataFrame, tolerance: int = 1) -> DataFrame:
     return px.groupBy("image_id").agg(spread.alias("spread")).withColumn("neutral", F.col("spread") <= tolerance)
 
 
-def error_and_bias(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
-    """(image_id, error, bias) of two versions of pictures; from every row and column up to
-    four megapixels, beyond that from a grid of about a megapixel or more."""
-    step = F.greatest(F.floor(F.sqrt(F.count("*").over(Window.partitionBy("image_id")) / 1e6)), F.lit(1))
-    own = a.select("image_id", "y", "x", F.col(col).alias("_a"), step.alias("_step")).where("y % _step = 0 and x % _step = 0")
+def error_and_bias(a: DataFrame, b: DataFrame, col: str, most: int | None = None) -> DataFrame:
+    """(image_id, error, bias) of two versions of pictures, from all pixels; ``most`` takes a
+    grid of rows and columns instead in pictures of more than four times as many pixels."""
+    own = a.select("image_id", "y", "x", F.col(col).alias("_a"))
+    if most is not None:
+        step = own.groupBy("image_id").agg(F.greatest(F.floor(F.sqrt(F.count("*") / float(most))), F.lit(1)).alias("_step"))
+        own = own.join(step, "image_id").where("y % _step = 0 and x % _step = 0")
     rows = own.join(b.select("image_id", "y", "x", F.col(col).alias("_b")), ["image_id", "y", "x"])
     return rows.groupBy("image_id").agg(F.avg(F.abs(F.col("_a") - F.col("_b"))).alias("error"), F.abs(F.avg("_a") - F.avg("_b")).alias("bias"))
 

@@ -107,7 +107,8 @@ def wheel(values: dict[str, float], hue: str = "hue") -> str:
     return out + f"else {values.get('red', 0.0)} end"
 
 
-def look_sql(look) -> str:  # type: ignore[no-untyped-def]
+def look_sql(look, exact: bool = False) -> str:  # type: ignore[no-untyped-def]
+    """exact: 0..1 values of a look without clarity, not levels."""
     from dataclasses import replace
 
     q = tone_sql(Chain(PX, source="px"), replace(look.tone, saturation=0.0)).each(clip("{c}"))
@@ -161,12 +162,27 @@ def look_sql(look) -> str:  # type: ignore[no-untyped-def]
     if look.fade:
         f = 0.12 * look.fade / 100
         q.each(f"{clip('{c}')}*{1 - f} + {f}")
+    if exact:
+        return q.sql("image_id, y, x, " + ", ".join(f"{clip(c)} as {c}" for c in C3))
     if not look.clarity:
         return quantised(q)
     q.select("image_id, y, x, " + ", ".join(f"cast(floor({clip(f'{c}*255 + 0.5', 0, 255)}) as int) as {c}" for c in C3))
     return luma_pass(q, 2.0, f"{0.006 * look.clarity!r}*4*v*(1 - v)*(v - b)")
 
 
+def cube_sql(look, size: int) -> str:  # type: ignore[no-untyped-def]
+    """The look at size^3 colours, and pixels between them."""
+    levels = ", ".join(str(round(255 * n / (size - 1))) for n in range(size))
+    grid = f"select k as image_id, j as y, i as x, list_extract([{levels}], i + 1) as r, list_extract([{levels}], j + 1) as g, list_extract([{levels}], k + 1) as b from range({size}) a(i), range({size}) b(j), range({size}) c(k)"
+    cube = look_sql(look, exact=True).replace(PX, f"px as materialized ({grid})", 1)
+    parts = ", ".join(f"{c}/({255 / (size - 1)!r}::double) as p{c}, least(floor({c}/({255 / (size - 1)!r}::double)), {size - 2}) as l{c}" for c in C3)
+    weight = "*".join(f"case when u{c} = 1 then p{c} - l{c} else 1 - (p{c} - l{c}) end" for c in C3)
+    out = ", ".join(f"cast(floor({clip(f's{c}*255 + 0.5', 0, 255)}) as int) as {c}" for c in C3)
+    return f"""with {PX}, cube as materialized ({cube}), p as (select *, {parts} from px), u as (select a.v as ur, b.v as ug, c.v as ub from (values (0), (1)) a(v), (values (0), (1)) b(v), (values (0), (1)) c(v)),
+m as (select p.image_id, p.y, p.x, {", ".join(f"sum({weight}*cube.{c}) as s{c}" for c in C3)} from p cross join u join cube on cube.x = lr + ur and cube.y = lg + ug and cube.image_id = lb + ub group by 1, 2, 3)
+select image_id, y, x, {out} from m"""
+
+
 def luma_pass(q: Chain, sigma: float, change: str, more: str = "", joins: str = "") -> str:
     """The change, of v (luminance) and b (its blur), on all channels."""
     last = q.last
@@ -697,6 +713,7 @@ select image_id, unnest(kept, recursive := true) from (select image_id, arg_max(
     "item_status": "select user_id, arg_max(event_type, (ts, event_id)) as status, count(*) as n_events from events group by 1",
     "illegal_steps": f"with e as (select event_id, user_id, {NAMES} as status from events), b as (select *, coalesce(lag(status) over (partition by user_id order by event_id), 'pending') as before from e) select * from b where status <> before and not ((before = 'pending' and status = 'queued') or (before = 'queued' and status in ('processing', 'cancelled')) or (before = 'processing' and status in ('done', 'skipped', 'failed', 'cancelled')))",
     "pictures_written": f"with {PX}, h as (select image_id, max(y) + 1 as height from px group by 1 having max(x) = 63) select image_id, image_id % 3 || '/' || image_id as name, cast(height as int) as height, count(*) as n, cast(sum(coalesce(r, 0)) as bigint) as sum_r, cast(sum(coalesce(g, 0)) as bigint) as sum_g, cast(sum(coalesce(b, 0)) as bigint) as sum_b from h join (select unnest(range(8, 28)) as y) a on a.y < height cross join (select unnest(range(16, 40)) as x) b left join px using (image_id, y, x) group by 1, 2, 3",
+    "look_by_cube": cube_sql(LOOKS["portra"], 17),
     "specks_removed": specks_sql(5, 0.3, 0.35, 10, 0.2),
     "line_openings": f"with {PX}, s as materialized (select image_id, y, x, {LUMA8} as v from px), {opened_sql('s', 9, 22.5, 'opened', 'closed', 'a')}, {opened_sql('a', 31, 112.5, 'opened_long', 'closed_long', 'b')} select * from b",
     "throttled_events": """with recursive x as materialized (select event_id, user_id, epoch_us(ts) as us, event_type = 'purchase' as final, row_number() over (partition by user_id order by ts, event_id) as rn from events),

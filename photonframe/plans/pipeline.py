@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame
 
@@ -21,6 +22,8 @@ HDR_PROFILES = {
     "balanced": ((0.9, 0.8, 0.6, 0.1, 0.55, 0.08), 65),
     "dramatic": ((1.2, 1.1, 1.1, 0.2, 0.6, 0.12), 70),
 }
+# Sharpening at full strength, its radius, and how many deviations of the noise it leaves alone.
+SHARPENING = (1.4, 0.9, 1.5)
 # Finishes (adjustments, clarity).
 FINISHES = {
     "natural": (Adjustments(contrast=6, highlights=-10, shadows=12, saturation=4), 0.10),
@@ -34,11 +37,16 @@ FINISHES = {
 class Options:
     """What a job asks for; the defaults change nothing."""
 
+    dust: int = 0
+    scratches: int = 0
+    noise: float = 0.0  # the grain that defects stand out from, a deviation in 0..1
     fading: int = 0
     auto_colour: bool = False
     denoise: int = 0
+    sharpness: int = 0
     lighting: Adjustments = field(default_factory=Adjustments)
     look: Look = field(default_factory=Look)
+    cube: int = 0  # levels of a baked look; 0 reckons it for each pixel
     scale: int = 1
     hdr: str = ""
     hdr_intensity: int = 100
@@ -75,23 +83,31 @@ def _unit(stage: Stage) -> Stage:
 
 
 def build(options: Options, upscaler: str = "nearest", side: int = 64) -> list[tuple[str, Stage]]:
-    """The stages in order: tones, denoising, finish, lighting, look, upscaling,
-    HDR, and the look's sharpening and grain."""
+    """The stages in order: specks, scratches, denoising, tones, finish, lighting, look,
+    upscaling, sharpening, HDR, and the look's own sharpening and grain."""
     options.validate()
     out: list[tuple[str, Stage]] = []
+    for name, strength in (("specks", options.dust), ("scratches", options.scratches)):
+        if strength:
+            out.append((name, partial(repair.clean, kind=name, strength=strength, noise=options.noise)))
+    if options.denoise:
+        out.append(("denoise", _unit(lambda px: stencil.denoise(px, options.denoise, options.noise or 0.02))))
     if options.fading or options.auto_colour:
         out.append(("levels", lambda px: repair.restore_levels(px, options.fading, options.auto_colour)))
-    if options.denoise:
-        out.append(("denoise", _unit(lambda px: stencil.denoise(px, options.denoise, 0.02))))
     if options.finish:
         adjustments, amount = FINISHES[options.finish]
         out.append(("finish", lambda px: _unit(lambda p: stencil.clarity(p, amount, max(4.0, side / 150)))(lighting.apply_lighting(px, adjustments))))
     if not options.lighting.neutral:
         out.append(("lighting", lambda px: lighting.apply_lighting(px, options.lighting)))
     if not options.look.grade_neutral:
-        out.append(("look", lambda px: lighting.apply_look(px, options.look, side)))
+        out.append(("look", lambda px: lighting.apply_look(px, options.look, side, options.cube)))
     if options.scale > 1:
         out.append(("upscale", lambda px: UPSCALERS[upscaler](px, options.scale)))
+    if options.sharpness:
+        amount, radius, floor = SHARPENING
+        strength = amount * min(100, options.sharpness) / 100
+        factor = min(4.0, max(1.0, side * options.scale / 2000))
+        out.append(("sharpen", _unit(lambda px: stencil.noise_aware_sharpen(px, strength, radius * factor, floor * options.noise))))
     if options.hdr:
         recipe, _ = HDR_PROFILES[options.hdr]
         share = min(100, max(0, options.hdr_intensity)) / 100

@@ -773,6 +773,19 @@ def whole_job(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.run(px_rgb64(spark, d), options)
 
 
+@query
+def restored_job(spark: SparkSession, d: str) -> DataFrame:
+    """Specks, scratches, tones, upscaling and sharpening as one plan."""
+    options = pipeline.Options(dust=70, scratches=55, noise=0.01, fading=40, scale=2, sharpness=35)
+    return pipeline.run(px_rgb64(spark, d), options)
+
+
+@query
+def look_by_cube(spark: SparkSession, d: str) -> DataFrame:
+    """A look baked into a cube of 17 levels and looked up by colour."""
+    return lighting.apply_look(px_rgb64(spark, d), lighting.LOOKS["portra"], cube=17)
+
+
 @query
 def identity_job(spark: SparkSession, d: str) -> DataFrame:
     """Options that change nothing leave the scan alone."""

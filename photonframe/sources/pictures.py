@@ -2,12 +2,14 @@
 sink, ``df.write.format("pictures")``.
 
 Reading. A partition is a run of files, so many small files share a task. ``what`` = "head"
-(the default) reads heads by ranges and no samples; "samples" decodes PNG besides. Filters on
+(the default) reads heads by ranges and no samples; "samples" decodes PNG, JPEG and Radiance
+besides. ``shrink`` of 2, 4 or 8 decodes JPEG at that part of its size. Filters on
 path and length leave files out of the listing, filters on what a head says leave samples
-unread. ``region`` = "top,left,height,width" decodes no further than its last row, and the file
-is read no further either. A file that cannot be read is a row with an error.
+unread. ``region`` = "top,left,height,width" decodes a PNG no further than its last row, and reads
+the file no further either. A file that cannot be read is a row with an error.
 
-Writing. Rows (name, height, width, channels, depth, data[, cicp, exif]) become files. Each
+Writing. Rows (name, height, width, channels, depth, data[, cicp, exif, quality]) become PNG or
+JPEG files by their names; rows (name, content) files of just these bytes. Each
 task writes into a folder of its own below a staging folder, reads every file back and compares
 it with the samples, and hands in a list of names. The driver moves the files to their names
 when all tasks are done; if anything fails, the staging folder goes and nothing else has
@@ -23,7 +25,7 @@ import posixpath
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -37,7 +39,7 @@ from pyspark.sql.datasource import (
     StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage,
 )
 
-from photonframe.sources import formats, heads
+from photonframe.sources import formats, heads, jpeg, radiance
 from photonframe.sources.heads import Ranged
 
 HEAD = [
@@ -120,6 +122,7 @@ class PictureReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.path, self.samples = options["path"], options.get("what", "head") == "samples"
         self.region = tuple(int(v) for v in options["region"].split(",")) if options.get("region") else None
+        self.shrink = int(options.get("shrink", 1))
         self.most_bytes, self.most_files = int(options.get("runbytes", 128 << 20)), int(options.get("runfiles", 4096))
         self.filters: list[Filter] = []
 
@@ -159,19 +162,23 @@ class PictureReader(DataSourceReader):
             return row | {"bytes_read": r.read}
 
     def _decoded(self, r: Ranged, head: heads.Head) -> dict:
-        if head.format != "png":
-            raise ValueError(f"{head.format} is recognised, not decoded")
         if (head.width or 0) * (head.height or 0) > MOST_PIXELS:
             raise ValueError(f"{head.width} x {head.height} pixels are too many")
-        top, left, height, width = self.region or (0, 0, head.height, head.width)
-        if self.region is None:
-            whole = r.at(0, r.size)
-            samples, extra = formats.read_png(whole)  # checks every chunk
+        top, left, height, width = self.region or (0, 0, 1 << 31, 1 << 31)
+        cicp = None
+        if head.format == "png" and self.region is not None:
+            samples, _, cicp = read_rows(r, top, height)
+        elif head.format == "png":
+            samples, extra = formats.read_png(r.at(0, r.size))  # checks every chunk
             cicp = extra.get("cICP")
+        elif head.format in ("jpeg", "gain-map"):
+            samples = jpeg.decode(r.at(0, r.size), self.shrink)[top : top + height]
+        elif head.format == "rgbe":
+            samples = radiance.decode(r.at(0, r.size))[top : top + height]
         else:
-            samples, _, cicp = read_rows(r, top, height)
-        part = samples[:, left : left + width]
-        return {"top": top, "left": left, "rows": part.shape[0], "columns": part.shape[1], "data": np.ascontiguousarray(part).astype(part.dtype.newbyteorder("<")).tobytes(), "cicp": cicp}
+            raise ValueError(f"{head.format} is recognised, not decoded")
+        part = np.ascontiguousarray(samples[:, left : left + width])
+        return {"top": top, "left": left, "rows": part.shape[0], "columns": part.shape[1], "data": part.astype(part.dtype.newbyteorder("<")).tobytes(), "cicp": cicp}
 
     def read(self, partition: Run) -> Iterator[pa.RecordBatch]:
         store, _ = store_of(self.path)
@@ -201,15 +208,37 @@ class VerificationError(RuntimeError):
     """A file that was read back is not what was written."""
 
 
-def encode(row: dict) -> tuple[bytes, np.ndarray]:
-    """A row's file and the samples that it must give back."""
+# How far lossy files may be off on average, in levels, and lean to one side.
+MOST_ERROR, MOST_BIAS = 8.0, 1.0
+
+
+def encode(row: dict) -> tuple[bytes, Callable[[bytes], bool]]:
+    """A row's file, and whether bytes that were read back are what was written: the very bytes
+    of a given content, the very samples of a PNG, nearly those of a JPEG."""
+    if row.get("content") is not None:
+        content = row["content"]
+        return content, lambda back: back == content
     shape = (row["height"], row["width"], row["channels"])
     samples = np.frombuffer(row["data"], "<u2" if row["depth"] == 16 else np.uint8).reshape(shape)
     if row["depth"] == 16:
         samples = samples.astype(np.uint16)
-    extra = {"cICP": row["cicp"]} if row.get("cicp") else {}
-    extra |= {"eXIf": row["exif"]} if row.get("exif") else {}
-    return formats.write_png(samples, extra), samples
+    if row["name"].lower().endswith(".png"):
+        extra = {"cICP": row["cicp"]} if row.get("cicp") else {}
+        extra |= {"eXIf": row["exif"]} if row.get("exif") else {}
+
+        def same(back: bytes) -> bool:
+            found, _ = formats.read_png(back)
+            return found.shape == samples.shape and found.dtype == samples.dtype and bool((found == samples).all())
+
+        return formats.write_png(samples, extra), same
+    exif = row.get("exif") or b""
+    segments = b"\xff\xe1" + struct.pack(">H", 8 + len(exif)) + b"Exif\0\0" + exif if 0 < len(exif) <= 65_527 else b""
+
+    def near(back: bytes) -> bool:
+        off = jpeg.decode(back).astype(float) - samples
+        return bool(np.abs(off).mean() <= MOST_ERROR and abs(off.mean()) <= MOST_BIAS)
+
+    return jpeg.encode(samples, row.get("quality") or 95, segments), near
 
 
 class PictureWriter(DataSourceArrowWriter):
@@ -247,14 +276,13 @@ class PictureWriter(DataSourceArrowWriter):
                 for k in range(batch.num_rows):  # one picture in memory at a time
                     row = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
                     name = row["name"]
-                    if not name or name.startswith("/") or ".." in name.split("/") or not name.lower().endswith(".png"):
+                    if not name or name.startswith("/") or ".." in name.split("/") or not name.lower().endswith((".png", ".jpg", ".jpeg")):
                         raise ValueError(f"no file of the name {name!r} can be written")
-                    data, samples = encode(row)
+                    data, as_written = encode(row)
                     temporary = f"{own}/{len(names)}.part"
                     self._put(store, temporary, data)
                     try:
-                        back, _ = formats.read_png(self._stored(store, temporary))
-                        same = back.shape == samples.shape and back.dtype == samples.dtype and bool((back == samples).all())
+                        same = as_written(self._stored(store, temporary))
                     except (ValueError, zlib.error, struct.error) as e:
                         raise VerificationError(f"{name} cannot be read back: {e}") from e
                     if not same:

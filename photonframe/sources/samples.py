@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LARGEST_EXIF = 65_533  # fixed value: bytes in one segment
@@ -11,8 +11,9 @@ LARGEST_EXIF = 65_533  # fixed value: bytes in one segment
 def to_8_bits(px: DataFrame, col: str, kind: str) -> DataFrame:
     """Samples of kind I;16, I or F as 8-bit levels: 16 bits lose their low byte, integers do
     so only in pictures that exceed 255, floats are scaled from 1 or from 255."""
-    top = F.max(col).over(Window.partitionBy("image_id"))
-    v = F.col(col)
+    v, top = F.col(col), F.col("_top")
+    if kind in ("I", "F"):  # the picture's largest sample decides
+        px = px.join(px.groupBy("image_id").agg(F.max(col).alias("_top")), "image_id")
     if kind == "I;16":
         out = F.shiftright(v.cast("int"), 8)
     elif kind == "I":
@@ -21,7 +22,7 @@ def to_8_bits(px: DataFrame, col: str, kind: str) -> DataFrame:
         out = F.floor(v / F.when(top <= 1, 1.0).otherwise(255.0) * 255)
     else:
         raise ValueError(f"unknown sample kind {kind}")
-    return px.withColumn(col, F.least(F.greatest(out, F.lit(0)), F.lit(255)).cast("int"))
+    return px.withColumn(col, F.least(F.greatest(out, F.lit(0)), F.lit(255)).cast("int")).drop("_top")
 
 
 def save_options(fmt: Column, quality: Column, mode: Column, exif: Column, icc: Column, dpi: Column, scale: Column) -> Column:

@@ -210,7 +210,9 @@ def test_good_levels_are_kept_and_faded_ones_stretched(spark):
 
 def test_builder_keeps_the_order_and_drops_what_does_nothing(spark):
     options = pipeline.Options(fading=10, denoise=20, finish="clean", lighting=lighting.PROFILES["vivid"], look=lighting.LOOKS["sony-vivid"], scale=2, hdr="dramatic")
-    assert [n for n, _ in pipeline.build(options)] == ["levels", "denoise", "finish", "lighting", "look", "upscale", "hdr", "look finish"]
+    assert [n for n, _ in pipeline.build(options)] == ["denoise", "levels", "finish", "lighting", "look", "upscale", "hdr", "look finish"]
+    options = pipeline.Options(scratches=5, dust=10, fading=10, sharpness=3, scale=2)
+    assert [n for n, _ in pipeline.build(options)] == ["specks", "scratches", "levels", "upscale", "sharpen"]
     assert pipeline.build(pipeline.Options()) == []
     px = pattern(spark.range(1).selectExpr("id as image_id", "8 as size"))
     assert pipeline.run(px, pipeline.Options()) is px
