@@ -58,3 +58,14 @@ def runs(rows: DataFrame, group: list[str], order: list[str], begins: Callable[[
     carried = near.groupBy("_range").agg(F.max("_own").alias("_last"))
     carried = carried.select("_range", F.last("_last", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
     return near.join(F.broadcast(carried), "_range").select(*names, F.coalesce("_own", "_carried").alias(out))
+
+
+def running_sum(rows: DataFrame, order: list[str | Column], value: str, out: str, ranges: int | None = None) -> DataFrame:
+    """Sum of a column up to and with each row, in the order of columns, over all rows: by range
+    and shifted by the sums of the ranges before. Rows that tie in all columns come in any order."""
+    n = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy("_range").agg(F.sum(value).alias("_s"))
+    before = sums.select("_range", F.coalesce(F.sum("_s").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.sum(value).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn(out, F.col("_own") + F.col("_before")).drop("_range", "_own", "_before")
