@@ -239,6 +239,15 @@ def bitmap_distance(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
 
 
+CLASSES = 64
+
+
+def class_counts(grams: np.ndarray) -> np.ndarray:
+    """How many shingles fall into each class of hashes, 127 at most: two such rows of counts
+    are no further apart in sum than one set has shingles that the other lacks, both ways."""
+    return np.minimum(np.bincount((grams >> np.uint64(40)).astype(np.int64) % CLASSES, minlength=CLASSES), 127).astype(np.int8)
+
+
 def prefix_size(n: int, similarity: float) -> int:
     """So many of n shingles, the first in an order that all texts share, hold at least one
     that any text of the similarity has among its own first ones."""
@@ -261,7 +270,7 @@ def _common(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return grams[order], found["n"].to_numpy(np.int64)[order]
 
 
-_ROW = [("text_hash", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("bits", pa.binary()), ("prefix", pa.list_(pa.int64()))]
+_ROW = [("text_hash", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("bits", pa.binary()), ("prefix", pa.list_(pa.int64())), ("classes", pa.list_(pa.int8()))]
 
 
 def _prefixes(shared, width: int, similarity: float):  # type: ignore[no-untyped-def]
@@ -270,7 +279,7 @@ def _prefixes(shared, width: int, similarity: float):  # type: ignore[no-untyped
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, often = shared.value
         for batch in batches:
-            nodes, prints, sizes, bitmaps, prefixes = [], [], [], [], []
+            nodes, prints, sizes, bitmaps, prefixes, classes = [], [], [], [], [], []
             for text in batch.column(1):
                 grams = shingles(text.as_py(), width)
                 weight = np.zeros(len(grams), np.int64)
@@ -281,8 +290,9 @@ def _prefixes(shared, width: int, similarity: float):  # type: ignore[no-untyped
                 prints.append(majority(grams))
                 sizes.append(len(grams))
                 bitmaps.append(bitmap(grams))
+                classes.append(class_counts(grams))
                 prefixes.append(grams[np.argsort(weight, kind="stable")[: prefix_size(len(grams), similarity)]].view(np.int64))
-            own = (nodes, prints, sizes, bitmaps, prefixes)
+            own = (nodes, prints, sizes, bitmaps, prefixes, classes)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, t) for c, (_, t) in zip(own, _ROW[1:], strict=True))], names=["doc_id", *(n for n, _ in _ROW)])
 
     return run
@@ -365,13 +375,14 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: st
     texts share is no meeting place unless a text has little else. At a meeting place the
     sizes and the places of the shingle in the order rule out pairs. Where members are still
     in different components, all are compared with ``HUBS`` of them; where that leaves
-    different components, all pairs across components are compared."""
+    different components, all pairs across components are compared that counts of their
+    shingles by class (``class_counts``) do not rule out."""
     spark = docs.sparkSession
     texts = whole_texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     listed = spark.sparkContext.broadcast(_common(texts, width))
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = materialize(texts.mapInArrow(_prefixes(listed, width, similarity), f"doc_id {id_type}, text_hash long, node long, fp long, n int, bits binary, prefix array<long>"), "prefixes")
-    nodes = materialize(rows.select("node", "fp", "n", "bits", "text_hash").dropDuplicates(["node"]), "nodes")
+    rows = materialize(texts.mapInArrow(_prefixes(listed, width, similarity), f"doc_id {id_type}, text_hash long, node long, fp long, n int, bits binary, prefix array<long>, classes array<tinyint>"), "prefixes")
+    nodes = materialize(rows.select("node", "fp", "n", "bits", "text_hash", "classes").dropDuplicates(["node"]), "nodes")
     release(spark)
 
     def alike(pairs: DataFrame) -> DataFrame:
@@ -430,8 +441,12 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: st
     discard(open_)
     links_, pairs = links_.unionByName(alike(more)), pairs.unionByName(more)
     open_ = still_open()
-    other = open_.select("key", *(F.col(c).alias(f"other_{c}") for c in ("node", "n", "pos", "part")))
-    across = open_.join(other, (open_["key"] == other["key"]) & (F.col("node") < F.col("other_node")) & (F.col("part") != F.col("other_part")) & ok)
+    # Counts by class rule out most pairs of what is left before they are pairs
+    counted = open_.join(nodes.select("node", "classes"), "node")
+    other = counted.select("key", *(F.col(c).alias(f"other_{c}") for c in ("node", "n", "pos", "part", "classes")))
+    apart = F.aggregate(F.zip_with("classes", "other_classes", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda total, x: total + x)
+    few = apart * (1 + similarity) <= (1 - similarity) * (F.col("n") + F.col("other_n")) + 1e-6
+    across = counted.join(other, (counted["key"] == other["key"]) & (F.col("node") < F.col("other_node")) & (F.col("part") != F.col("other_part")) & ok & few)
     across = across.select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     member = components(links_.unionByName(alike(materialize(across, "pairs"))))
     named = rows.groupBy("node").agg(F.min("doc_id").alias("least")).join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -652,3 +652,14 @@ def test_pipeline_stages(spark):
             assert docs.where("n_chars <> length(text)").count() == 0
             before = now
     assert docs.select("doc_id").distinct().count() == before
+
+
+def test_class_counts_never_rule_out_too_much():
+    """Counts by class differ by no more than the sets do, whatever their sizes."""
+    r = np.random.default_rng(11)
+    for n in (1, 5, 60, 900, 20_000):
+        a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[r.random(len(a)) < 0.8], r.integers(0, 1 << 63, max(1, n // 6), dtype=np.uint64)]))
+        apart = int(np.abs(simhash.class_counts(a).astype(int) - simhash.class_counts(b)).sum())
+        assert apart <= len(np.setxor1d(a, b)) and (simhash.class_counts(a) == simhash.class_counts(a.copy())).all()
+    assert simhash.class_counts(np.zeros(0, np.uint64)).sum() == 0
