@@ -10,6 +10,7 @@ import numpy as np
 from photonframe.operators.adjustments import PROFILES, Adjustments
 from photonframe.operators.lines import ANGLES
 from photonframe.operators.looks import LOOKS, Look
+from photonframe.operators.networks import seeded
 
 MONO = Look(monochrome=100, mix=(0.4, 0.4, 0.2), rolloff=40)
 
@@ -183,6 +184,27 @@ m as (select p.image_id, p.y, p.x, {", ".join(f"sum({weight}*cube.{c}) as s{c}"
 select image_id, y, x, {out} from m"""
 
 
+SQUARES = """w as (select image_id, cast(p // 64 as int) as y, cast(p % 64 as int) as x from (select distinct image_id from px) cross join range(4096) t(p)),
+z as materialized (select image_id, y, x, coalesce(r, 0) as r, coalesce(g, 0) as g, coalesce(b, 0) as b from w left join px using (image_id, y, x))"""
+
+
+def network_sql(net) -> str:  # type: ignore[no-untyped-def]
+    """A network of two layers and scale 2, one value to a row."""
+
+    def weights(k: int) -> str:
+        w = net.weights[k]
+        return ", ".join(f"({o}, {i}, {y - 1}, {x - 1}, {float(w[o, i, y, x])!r}::double)" for o in range(w.shape[0]) for i in range(w.shape[1]) for y in range(3) for x in range(3))
+
+    bias = lambda k: "list_extract([" + ", ".join(repr(float(v)) for v in net.biases[k]) + "], o + 1)"
+    slope = "list_extract([" + ", ".join(repr(float(v)) for v in net.slopes[0]) + "], o + 1)"
+    conv = lambda src, k: f"select p.image_id, p.y - w.dy as y, p.x - w.dx as x, w.o, sum(p.v*w.w) as v from {src} p join (values {weights(k)}) w(o, i, dy, dx, w) on w.i = p.c group by 1, 2, 3, 4"
+    return f"""with {PX}, {SQUARES}, c0 as materialized ({" union all ".join(f"select image_id, y, x, {i} as c, coalesce({c}, 0)/255.0::double as v from z" for i, c in enumerate(C3))}),
+a as materialized (select image_id, y, x, o as c, case when v + {bias(0)} < 0 then (v + {bias(0)})*{slope} else v + {bias(0)} end as v from ({conv("c0", 0)}) join (select image_id, y, x from z) using (image_id, y, x)),
+b as materialized (select image_id, y, x, o, v + {bias(1)} as v from ({conv("a", 1)}) join (select image_id, y, x from z) using (image_id, y, x)),
+q as (select b.image_id, b.y*2 + o % 4 // 2 as y, b.x*2 + o % 2 as x, o // 4 as c, cast(floor(least(greatest((b.v + c0.v)*255 + 0.5, 0), 255)) as int) as v from b join c0 on c0.image_id = b.image_id and c0.y = b.y and c0.x = b.x and c0.c = o // 4)
+select image_id, cast(y as int) as y, cast(x as int) as x, cast(max(v) filter (c = 0) as int) as r, cast(max(v) filter (c = 1) as int) as g, cast(max(v) filter (c = 2) as int) as b from q group by 1, 2, 3"""
+
+
 def luma_pass(q: Chain, sigma: float, change: str, more: str = "", joins: str = "") -> str:
     """The change, of v (luminance) and b (its blur), on all channels."""
     last = q.last
@@ -545,9 +567,7 @@ def finish_photo_sql() -> str:
 def gain_trip_sql() -> str:
     e, o = {c: eotf(c) for c in C3}, "0.015625::double"
     up = ", ".join(f"({k}, {i}, {w!r}::double)" for k, i, w in linear_weights(16, 64))
-    square = "w as (select image_id, cast(p // 64 as int) as y, cast(p % 64 as int) as x from (select distinct image_id from px) cross join range(4096) t(p))"
-    square += ", z as (select image_id, y, x, coalesce(r, 0) as r, coalesce(g, 0) as g, coalesce(b, 0) as b from w left join px using (image_id, y, x))"
-    ctes = [PX, square, f"s as materialized (select image_id, y, x, {', '.join(f'{e[c]} as {c}' for c in C3)} from z)"]
+    ctes = [PX, SQUARES, f"s as materialized (select image_id, y, x, {', '.join(f'{e[c]} as {c}' for c in C3)} from z)"]
     ctes.append(f"m as materialized (select image_id, y // 4 as y, x // 4 as x, avg(log2((greatest(r, g, b)*(1 + r) + {o})/(greatest(r, g, b) + {o}))) as gain from s group by 1, 2, 3)")
     ctes.append("n as (select image_id, min(gain) as low, max(gain) as high from m group by 1)")
     ctes.append(f"c as materialized (select image_id, y, x, floor({clip('(gain - low)/greatest(high - low, 1e-6)')}*255 + 0.5)/255.0::double as g from m join n using (image_id))")
@@ -713,6 +733,7 @@ select image_id, unnest(kept, recursive := true) from (select image_id, arg_max(
     "item_status": "select user_id, arg_max(event_type, (ts, event_id)) as status, count(*) as n_events from events group by 1",
     "illegal_steps": f"with e as (select event_id, user_id, {NAMES} as status from events), b as (select *, coalesce(lag(status) over (partition by user_id order by event_id), 'pending') as before from e) select * from b where status <> before and not ((before = 'pending' and status = 'queued') or (before = 'queued' and status in ('processing', 'cancelled')) or (before = 'processing' and status in ('done', 'skipped', 'failed', 'cancelled')))",
     "pictures_written": f"with {PX}, h as (select image_id, max(y) + 1 as height from px group by 1 having max(x) = 63) select image_id, image_id % 3 || '/' || image_id as name, cast(height as int) as height, count(*) as n, cast(sum(coalesce(r, 0)) as bigint) as sum_r, cast(sum(coalesce(g, 0)) as bigint) as sum_g, cast(sum(coalesce(b, 0)) as bigint) as sum_b from h join (select unnest(range(8, 28)) as y) a on a.y < height cross join (select unnest(range(16, 40)) as x) b left join px using (image_id, y, x) group by 1, 2, 3",
+    "network_upscaled": network_sql(seeded(4, 1, 2)),
     "look_by_cube": cube_sql(LOOKS["portra"], 17),
     "specks_removed": specks_sql(5, 0.3, 0.35, 10, 0.2),
     "line_openings": f"with {PX}, s as materialized (select image_id, y, x, {LUMA8} as v from px), {opened_sql('s', 9, 22.5, 'opened', 'closed', 'a')}, {opened_sql('a', 31, 112.5, 'opened_long', 'closed_long', 'b')} select * from b",

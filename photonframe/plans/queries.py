@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from photonframe.functions import colour, pixel, settings
 from photonframe.functions.pixel import cols, luma8
 from photonframe.functions.stored import shared_path, stored
-from photonframe.operators import faces, gainmap, jobs, joins, lighting, lines, repair, resample, stats, stencil
+from photonframe.operators import faces, gainmap, jobs, joins, lighting, lines, networks, repair, resample, stats, stencil
 from photonframe.plans import pipeline
 from photonframe.sources import formats, pictures, samples
 from photonframe.sources.relations import px_grey8, px_rgb64, spread, table, test_pattern
@@ -41,6 +41,12 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(F.col(n), digits) for n in names})
 
 
+def squares(px: DataFrame) -> DataFrame:
+    """Pictures with all 64 x 64 pixels; those that are not there are black."""
+    every = px.select("image_id").distinct().withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(4095)))).select("image_id", F.expr("p div 64").cast("int").alias("y"), (F.col("p") % 64).alias("x"))
+    return every.join(px, ["image_id", "y", "x"], "left").withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in "rgb"})
+
+
 def linear(px: DataFrame, gain: float = 1.0) -> DataFrame:
     """8-bit pixels as linear BT.2020."""
     m = colour.conversion_matrix("bt709", "bt2020")
@@ -670,10 +676,7 @@ def finished_photo(spark: SparkSession, d: str) -> DataFrame:
 def gain_map_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Pictures brightened, stored as codes of a small gain map, and lifted again; what a picture
     lacks of its square is black."""
-    px = px_rgb64(spark, d)
-    square = px.select("image_id").distinct().withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(4095)))).select("image_id", F.expr("p div 64").cast("int").alias("y"), (F.col("p") % 64).alias("x"))
-    px = square.join(px, ["image_id", "y", "x"], "left").withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in "rgb"})
-    sdr = px.withColumns({c: colour.srgb_eotf(F.col(c) / 255.0) for c in "rgb"})
+    sdr = squares(px_rgb64(spark, d)).withColumns({c: colour.srgb_eotf(F.col(c) / 255.0) for c in "rgb"})
     hdr = sdr.withColumns({c: F.col(c) * (1 + F.col("r")) for c in "rgb"})
     codes = gainmap.encode(gainmap.gains(sdr, hdr))
     return rounded(gainmap.apply(sdr, codes, 64, 64), "r", "g", "b", digits=5)
@@ -780,6 +783,12 @@ def restored_job(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.run(px_rgb64(spark, d), options)
 
 
+@query
+def network_upscaled(spark: SparkSession, d: str) -> DataFrame:
+    """Pictures at twice their size by a small network, in tiles."""
+    return networks.upscale(squares(px_rgb64(spark, d)), 2, networks.seeded(4, 1, 2), 32)
+
+
 @query
 def look_by_cube(spark: SparkSession, d: str) -> DataFrame:
     """A look baked into a cube of 17 levels and looked up by colour."""
