@@ -241,12 +241,13 @@ def brute_kneser_ney(texts, order, share):
         often[k] = Counter()
         for (lang, g), n in often[k + 1].items():
             often[k][lang, g[1:]] += n
-    total = sum(raw.values())
+    languages = {lang for lang, _ in raw}
+    total = {lang: sum(n for (own, _), n in raw.items() if own == lang) for lang in languages}
     cuts = {}
-    for k, c in counts.items():
-        n1, n2, n3, n4 = (sum(v == i for v in c.values()) for i in (1, 2, 3, 4))
+    for k, lang in ((k, lang) for k in counts for lang in languages):
+        n1, n2, n3, n4 = (sum(v == i for (own, _), v in counts[k].items() if own == lang) for i in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2) if n1 else 0
-        cuts[k] = [min(max(v, 0), i) for i, v in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))] if n1 and n2 and n3 else [0.5, 1.0, 1.5]
+        cuts[k, lang] = [min(max(v, 0), i) for i, v in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))] if n1 and n2 and n3 else [0.5, 1.0, 1.5]
 
     def p(lang, g):
         k = len(g)
@@ -255,7 +256,7 @@ def brute_kneser_ney(texts, order, share):
         inside = {h: n for (l, h), n in counts[k].items() if l == lang and h[:-1] == g[:-1]}
         if not inside:
             return p(lang, g[1:])
-        share_of = {h: max(n - cuts[k][min(n, 3) - 1], 0) / sum(inside.values()) for h, n in inside.items() if often[k][lang, h] * share >= total}
+        share_of = {h: max(n - cuts[k, lang][min(n, 3) - 1], 0) / sum(inside.values()) for h, n in inside.items() if often[k][lang, h] * (share // len(languages)) >= total[lang]}
         return share_of.get(g, 0) + (1 - sum(share_of.values())) * p(lang, g[1:])
 
     return raw, p
@@ -274,6 +275,17 @@ def test_kneser_ney_as_defined(spark, order, share):
     assert all(len(level[0]) <= share and (np.diff(level[0]) > 0).all() for own in model.levels.values() for level in own.values())
 
 
+def test_a_rare_language_keeps_its_model(spark):
+    """Its arrays are the same beside 20 texts of another language and beside 2,000 times its bytes."""
+    rare = [("xx", prose(900 + i, 30)) for i in range(8)]
+    few, many = [("en", prose(i, 60)) for i in range(20)], [("en", prose(i, 2_000)) for i in range(250)]
+    models = [quality_rules.fit(spark.createDataFrame(rare + other, "lang string, text string"), share=1 << 13) for other in (few, many)]
+    first, second = (m.levels["xx"] for m in models)
+    assert first.keys() == second.keys() == set(range(1, 7))
+    assert all((x == y).all() for k in first for x, y in zip(first[k], second[k], strict=True)) and len(first[6][0]) > 100
+    assert all(len(level[0]) <= 1 << 12 for m in models for own in m.levels.values() for level in own.values())
+
+
 def test_scores_and_verdicts_by_brute_force(docs, spark):
     spark_rows = {(r.doc_id, r.lang): r for r in quality_rules.quality(docs).collect()}
     texts = [(r[2] or "null", r[1]) for r in rows()]
