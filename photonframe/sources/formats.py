@@ -165,19 +165,51 @@ def unfilter(raw: bytes, height: int, stride: int, step: int) -> np.ndarray:
     return out[1:, 1:].astype(np.uint8).reshape(height, stride)
 
 
+def _levels(rows: np.ndarray, width: int, depth: int) -> np.ndarray:
+    """Samples of 1, 2 or 4 bits, one to a byte."""
+    bits = np.unpackbits(rows, axis=1).reshape(len(rows), -1, depth)
+    return (bits * (1 << np.arange(depth)[::-1])).sum(axis=2).astype(np.uint8)[:, :width]
+
+
+def _with_alpha(samples: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """One colour of the picture is transparent."""
+    top = np.iinfo(samples.dtype).max
+    alpha = np.where((samples == key).all(axis=2), 0, top).astype(samples.dtype)
+    return np.concatenate([samples, alpha[:, :, None]], axis=2)
+
+
 def read_png(data: bytes) -> tuple[np.ndarray, dict[str, bytes]]:
-    """(height, width, channels) samples of 8 or 16 bits, and the other chunks."""
+    """(height, width, channels) samples of 8 or 16 bits, and the other chunks. Fewer bits are
+    stretched to 8, palettes become colours, with alpha where they or a colour key have it."""
     chunks = png_chunks(data)
     if not chunks or chunks[0][0] != "IHDR" or not all(ok for _, _, ok in chunks) or chunks[-1][0] != "IEND":
         raise ValueError("not a whole PNG")
     width, height, depth, kind, _, _, interlace = struct.unpack(">IIBBBBB", chunks[0][1])
-    if depth not in (8, 16) or kind not in CHANNELS or interlace:
+    small = depth in (1, 2, 4) and kind in (0, 3)
+    if not (small or depth == 8 or (depth == 16 and kind != 3)) or kind not in (*CHANNELS, 3) or interlace:
         raise ValueError(f"PNG of depth {depth}, type {kind}, interlace {interlace} is not supported")
-    step = CHANNELS[kind] * depth // 8
-    raw = zlib.decompress(b"".join(b for k, b, _ in chunks if k == "IDAT"))
-    rows = unfilter(raw, height, width * step, step)
-    samples = rows.reshape(height, width, -1) if depth == 8 else rows.view(">u2").reshape(height, width, -1).astype(np.uint16)
-    return samples, {k: b for k, b, _ in chunks if k not in ("IHDR", "IDAT", "IEND")}
+    bits = CHANNELS.get(kind, 1) * depth
+    rows = unfilter(zlib.decompress(b"".join(b for k, b, _ in chunks if k == "IDAT")), height, -(-width * bits // 8), max(1, bits // 8))
+    extra = {k: b for k, b, _ in chunks if k not in ("IHDR", "IDAT", "IEND")}
+    if small:
+        samples = _levels(rows, width, depth)[:, :, None]
+    else:
+        samples = rows.reshape(height, width, -1) if depth == 8 else rows.view(">u2").reshape(height, width, -1).astype(np.uint16)
+    clear = extra.get("tRNS")
+    if kind == 3:
+        palette = np.frombuffer(extra.get("PLTE", b""), np.uint8).reshape(-1, 3)
+        if samples.size and samples.max() >= len(palette):
+            raise ValueError("a colour is not in the palette")
+        if clear is not None:
+            alpha = np.full(len(palette), 255, np.uint8)
+            alpha[: len(clear)] = np.frombuffer(clear[: len(palette)], np.uint8)
+            palette = np.column_stack([palette, alpha])
+        return palette[samples[:, :, 0]], extra
+    if clear is not None and kind in (0, 2):
+        samples = _with_alpha(samples, np.frombuffer(clear, ">u2").astype(samples.dtype))
+    if small:
+        samples[:, :, 0] *= 255 // ((1 << depth) - 1)
+    return samples, extra
 
 
 def write_png(samples: np.ndarray, extra: dict[str, bytes] | None = None, level: int = 6) -> bytes:

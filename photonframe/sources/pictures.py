@@ -2,8 +2,8 @@
 sink, ``df.write.format("pictures")``.
 
 Reading. A partition is a run of files, so many small files share a task. ``what`` = "head"
-(the default) reads heads by ranges and no samples; "samples" decodes PNG, JPEG and Radiance
-besides. ``shrink`` of 2, 4 or 8 decodes JPEG at that part of its size. Filters on
+(the default) reads heads by ranges and no samples; "samples" decodes PNG, JPEG,
+Radiance and OpenEXR besides (the last two to 32-bit floats). ``shrink`` of 2, 4 or 8 decodes JPEG at that part of its size. Filters on
 path and length leave files out of the listing, filters on what a head says leave samples
 unread. ``region`` = "top,left,height,width" decodes a PNG no further than its last row, and reads
 the file no further either. A file that cannot be read is a row with an error.
@@ -39,7 +39,7 @@ from pyspark.sql.datasource import (
     StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage,
 )
 
-from photonframe.sources import formats, heads, jpeg, radiance
+from photonframe.sources import formats, heads, jpeg, openexr, radiance
 from photonframe.sources.heads import Ranged
 
 HEAD = [
@@ -173,8 +173,8 @@ class PictureReader(DataSourceReader):
             cicp = extra.get("cICP")
         elif head.format in ("jpeg", "gain-map"):
             samples = jpeg.decode(r.at(0, r.size), self.shrink)[top : top + height]
-        elif head.format == "rgbe":
-            samples = radiance.decode(r.at(0, r.size))[top : top + height]
+        elif head.format in ("rgbe", "exr"):
+            samples = (radiance if head.format == "rgbe" else openexr).decode(r.at(0, r.size))[top : top + height]
         else:
             raise ValueError(f"{head.format} is recognised, not decoded")
         part = np.ascontiguousarray(samples[:, left : left + width])
