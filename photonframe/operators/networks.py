@@ -123,9 +123,9 @@ def load(table: DataFrame, model: str, scale: int, registered: str) -> Network:
     return Network(layers("weights"), layers("biases"), layers("slopes"), scale)
 
 
-def upscale(px: DataFrame, factor: int, network: Network, tile: int = 256) -> DataFrame:
-    """8-bit pixels (image_id, y, x, r, g, b) at ``factor`` times the size; the network's own
-    scale has to be that. A task holds a tile with its neighbours and the network."""
+def upscale(px: DataFrame, factor: int, network: Network, tile: int = 256, top: int = 255) -> DataFrame:
+    """Pixels (image_id, y, x, r, g, b) of levels 0 to ``top`` at ``factor`` times the size; the
+    network's own scale has to be that. A task holds a tile with its neighbours and the network."""
     if factor != network.scale:
         raise ValueError(f"a network of scale {network.scale} cannot give {factor}")
     spark: SparkSession = px.sparkSession
@@ -137,10 +137,10 @@ def upscale(px: DataFrame, factor: int, network: Network, tile: int = 256) -> Da
         y0, x0 = int(pdf.y.min()), int(pdf.x.min())
         y, x = (pdf.y - y0).to_numpy(), (pdf.x - x0).to_numpy()
         picture = np.zeros((3, y.max() + 1, x.max() + 1))
-        picture[:, y, x] = pdf[["r", "g", "b"]].to_numpy().T / 255.0
+        picture[:, y, x] = pdf[["r", "g", "b"]].to_numpy().T / float(top)
         net = shared.value
         done = infer(net, picture, net.reach, s)
-        levels = np.floor(np.clip(done * 255 + 0.5, 0, 255)).astype(np.int32)
+        levels = np.floor(np.clip(done * top + 0.5, 0, top)).astype(np.int32)
         own = pdf.own.to_numpy()
         dy, dx = np.divmod(np.arange(s * s), s)
         rows, columns = (y[own][:, None] * s + dy).ravel(), (x[own][:, None] * s + dx).ravel()

@@ -7,6 +7,7 @@ from math import ceil, cos, exp, radians, sin
 
 import numpy as np
 
+from photonframe.functions.colour import conversion_matrix
 from photonframe.operators.adjustments import PROFILES, Adjustments
 from photonframe.operators.lines import ANGLES
 from photonframe.operators.looks import LOOKS, Look
@@ -299,6 +300,22 @@ def hlg_sql() -> str:
     return q.sql("image_id, y, x, round(r, 6) as r, round(g, 6) as g, round(b, 6) as b")
 
 
+def hdr_model_sql() -> str:
+    """PQ codes to light, BT.709 to BT.2020, fit, proxy at 16 bits, twice the size, and back."""
+    m = conversion_matrix("bt709", "bt2020")
+    q = Chain(PX, source="px").select("image_id, y, x, " + ", ".join(f"{pq_back(f'(coalesce({c}, 0)*180/65535.0::double)')}/203.0::double as {c}" for c in C3))
+    q.select("image_id, y, x, " + ", ".join(f"r*{float(m[i, 0])!r}::double + g*{float(m[i, 1])!r}::double + b*{float(m[i, 2])!r}::double as {c}" for i, c in enumerate(C3)))
+    q.each("least({c}, 10000/203.0::double)", "")
+    q.select("*, max(greatest(r, g, b)) over (partition by image_id) as peak, greatest(r, g, b, 0) as mx").select("*, 1/(0.5*(1 + ln(peak/0.5))) as a")
+    q.select("image_id, y, x, peak, a, " + ", ".join(f"{c}*(case when mx > 0 then least(case when peak <= 1 then mx when mx <= 0.5 then a*mx else a*0.5*(1 + ln(greatest(mx, 0.5)/0.5)) end, 1)/greatest(mx, 1e-12) else 0 end) as {c}" for c in C3))
+    code = lambda c: f"round_even((case when {c} <= 0.0031308 then {c}*12.92::double else 1.055::double*pow({c}, 1/2.4::double) - 0.055::double end)*65535, 0)/65535.0::double"
+    q.select("image_id, y, x, peak, a, " + ", ".join(f"{code(clip(c))} as {c}" for c in C3))
+    q.select("image_id, y, x, peak, a, " + ", ".join(f"case when {c} <= 0.04045 then {c}/12.92::double else pow(({c} + 0.055::double)/1.055::double, 2.4::double) end as {c}" for c in C3))
+    q.select("*, greatest(r, g, b) as mx").select("image_id, y, x, " + ", ".join(f"greatest({c}*(case when mx > 0 then case when peak <= 1 then mx when mx <= a*0.5 then mx/a else 0.5*exp(greatest(mx, a*0.5)/(a*0.5) - 1) end/greatest(mx, 1e-12) else 0 end), 0) as {c}" for c in C3))
+    q.select("image_id, y, x, " + ", ".join(f"cast(round_even({pq(f'({c}*203.0::double)')}*65535, 0) as int) as {c}" for c in C3))
+    return f"select image_id, y*2 + a.v as y, x*2 + c.v as x, r, g, b from ({q.sql('image_id, y, x, r, g, b')}) t cross join (values (0), (1)) a(v) cross join (values (0), (1)) c(v)"
+
+
 def proxy_sql() -> str:
     q = linear(4.0).each("greatest({c}, 0)").select("image_id, y, x, greatest(r, g, b) as m").select("*, greatest(max(m) over (partition by image_id), 0) as peak")
     q.select("*, case when peak <= 1 then 1 else 1/(0.5*(1 + ln(peak/0.5))) end as a").select("*, case when peak <= 1 then least(m, 1) else least(case when m <= 0.5 then a*m else a*0.5*(1 + ln(greatest(m, 0.5)/0.5)) end, 1) end as f")
@@ -733,6 +750,7 @@ select image_id, unnest(kept, recursive := true) from (select image_id, arg_max(
     "item_status": "select user_id, arg_max(event_type, (ts, event_id)) as status, count(*) as n_events from events group by 1",
     "illegal_steps": f"with e as (select event_id, user_id, {NAMES} as status from events), b as (select *, coalesce(lag(status) over (partition by user_id order by event_id), 'pending') as before from e) select * from b where status <> before and not ((before = 'pending' and status = 'queued') or (before = 'queued' and status in ('processing', 'cancelled')) or (before = 'processing' and status in ('done', 'skipped', 'failed', 'cancelled')))",
     "pictures_written": f"with {PX}, h as (select image_id, max(y) + 1 as height from px group by 1 having max(x) = 63) select image_id, image_id % 3 || '/' || image_id as name, cast(height as int) as height, count(*) as n, cast(sum(coalesce(r, 0)) as bigint) as sum_r, cast(sum(coalesce(g, 0)) as bigint) as sum_g, cast(sum(coalesce(b, 0)) as bigint) as sum_b from h join (select unnest(range(8, 28)) as y) a on a.y < height cross join (select unnest(range(16, 40)) as x) b left join px using (image_id, y, x) group by 1, 2, 3",
+    "hdr_through_model": hdr_model_sql(),
     "network_upscaled": network_sql(seeded(4, 1, 2)),
     "look_by_cube": cube_sql(LOOKS["portra"], 17),
     "specks_removed": specks_sql(5, 0.3, 0.35, 10, 0.2),

@@ -14,7 +14,7 @@ from photonframe.functions import colour, pixel, settings
 from photonframe.functions.pixel import cols, luma8
 from photonframe.functions.stored import shared_path, stored
 from photonframe.operators import faces, gainmap, jobs, joins, lighting, lines, networks, repair, resample, stats, stencil
-from photonframe.plans import pipeline
+from photonframe.plans import hdr, pipeline
 from photonframe.sources import formats, pictures, samples
 from photonframe.sources.relations import px_grey8, px_rgb64, spread, table, test_pattern
 from photonframe.streaming import events as ev
@@ -182,6 +182,14 @@ def proxy_curve(spark: SparkSession, d: str) -> DataFrame:
     return px.select("image_id", "y", "x", "code", F.round(back * colour.proxy_inverse_ratio(back, F.col("peak")), 6).alias("back"))
 
 
+@query
+def hdr_through_model(spark: SparkSession, d: str) -> DataFrame:
+    """PQ codes of BT.709 pictures through a model that doubles the size, back to PQ codes."""
+    px = px_rgb64(spark, d).na.fill(0).withColumns({c: F.col(c) * 180 for c in "rgb"})
+    lin = hdr.decode(px, F.lit(hdr.PQ), F.lit(1))
+    return hdr.encode(hdr.through(lin, lambda codes: resample.nearest(codes, 2)))
+
+
 @query
 def expand_highlights(spark: SparkSession, d: str) -> DataFrame:
     px = px_rgb64(spark, d).withColumns({c: colour.srgb_eotf(F.col(c) / 255.0) for c in "rgb"})
@@ -648,7 +656,7 @@ def pictures_written(spark: SparkSession, d: str) -> DataFrame:
     folder = shared_path(spark, "pictures")
     px = px_rgb64(spark, d)
     pictures.write(pictures.from_pixels(px, "concat('set', image_id % 3, '/', image_id, '.png')", 16), folder)
-    read = pictures.read(spark, folder, "samples", (8, 16, 20, 24)).where("width = 64 and path like '%.png'")
+    read = pictures.read(spark, folder, "samples", (8, 16, 20, 24), [("width", "=", 64), ("path", "endswith", ".png")])
     number = F.regexp_extract("path", r"set([0-9]+/[0-9]+)\.png$", 1)
     seen = read.select(F.regexp_extract(number, "[0-9]+$", 0).cast("long").alias("image_id"), number.alias("name"), "height", F.col("rows").alias("height_read"), F.col("columns").alias("w"), "channels", "depth", "data")
     parts = formats.explode_pixels(seen.select("image_id", F.col("height_read").alias("height"), F.col("w").alias("width"), "channels", "depth", "data"))

@@ -2,19 +2,22 @@
 sink, ``df.write.format("pictures")``.
 
 Reading. A partition is a run of files, so many small files share a task. ``what`` = "head"
-(the default) reads heads by ranges and no samples; "samples" decodes PNG, JPEG,
-Radiance and OpenEXR besides (the last two to 32-bit floats). ``shrink`` of 2, 4 or 8 decodes JPEG at that part of its size. Filters on
-path and length leave files out of the listing, filters on what a head says leave samples
-unread. ``region`` = "top,left,height,width" decodes a PNG no further than its last row, and reads
-the file no further either. A file that cannot be read is a row with an error.
-
-Writing. Rows (name, height, width, channels, depth, data[, cicp, exif, quality]) become PNG or
-JPEG files by their names; rows (name, content) files of just these bytes. Each
-task writes into a folder of its own below a staging folder, reads every file back and compares
-it with the samples, and hands in a list of names. The driver moves the files to their names
-when all tasks are done; if anything fails, the staging folder goes and nothing else has
-changed. A name that two rows have, and one that exists where ``overwrite`` is not set, fail
-the write before any file is moved.
+(the default) reads heads by ranges and no samples; "samples" decodes PNG, JPEG, Radiance and
+OpenEXR besides (the last two to 32-bit floats). ``shrink`` of 2, 4 or 8 decodes JPEG at that
+part of its size. ``region`` = "top,left,height,width" decodes a PNG no further than its last
+row, and reads the file no further either. ``where``, a list of tests (column, name, value) as
+JSON, leaves files out: by path and length before they are opened, by what a head says before
+samples are read. It is an option and no pushed filter, since Spark 4.1 keeps what it has pushed
+into a Python source with the DataFrame, where the next query on it would meet it. A file that
+cannot be read is a row with an error.
+
+Writing. Rows (name, height, width, channels, depth, data[, cicp, clli, exif, quality]) become
+PNG or JPEG files by their names; rows (name, content) files of just these bytes. Each task
+writes into a folder of its own below a staging folder, reads every file back and compares it
+with the samples, and hands in a list of names. The driver moves the files to their names when
+all tasks are done; if anything fails, the staging folder goes and nothing else has changed. A
+name that two rows have, and one that exists where ``overwrite`` is not set, fail the write
+before any file is moved.
 
 Paths are those of pyarrow's file systems (local and mounted folders, S3, GCS, HDFS)."""
 
@@ -34,10 +37,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import (
-    DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual,
-    StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage,
-)
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from photonframe.sources import formats, heads, jpeg, openexr, radiance
 from photonframe.sources.heads import Ranged
@@ -56,19 +56,17 @@ def store_of(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else posixpath.abspath(path))
 
 
-def passes(f: Filter, row: dict) -> bool:
-    """Whether a row passes a filter as in SQL: an unknown outcome is no pass."""
-    value = row.get(f.attribute[0])  # type: ignore[attr-defined]
-    if isinstance(f, EqualNullSafe):
-        return value == f.value
-    if value is None:
-        return False
-    tests = {
-        EqualTo: lambda: value == f.value, In: lambda: value in f.value, IsNotNull: lambda: True,
-        GreaterThan: lambda: value > f.value, GreaterThanOrEqual: lambda: value >= f.value, LessThan: lambda: value < f.value, LessThanOrEqual: lambda: value <= f.value,
-        StringStartsWith: lambda: value.startswith(f.value), StringEndsWith: lambda: value.endswith(f.value), StringContains: lambda: f.value in value,
-    }
-    return tests[type(f)]()
+#: Tests that a reader makes by itself, by name; an unknown value passes none.
+TESTS: dict[str, Callable] = {
+    "=": lambda v, x: v == x, "in": lambda v, x: v in x, ">": lambda v, x: v > x, ">=": lambda v, x: v >= x, "<": lambda v, x: v < x, "<=": lambda v, x: v <= x,
+    "startswith": lambda v, x: v.startswith(x), "endswith": lambda v, x: v.endswith(x), "contains": lambda v, x: x in v,
+}
+
+
+def passes(test: tuple[str, str, object], row: dict) -> bool:
+    """Whether a row passes a test (column, name, value) as in SQL: an unknown outcome is no pass."""
+    column, name, value = test
+    return row.get(column) is not None and TESTS[name](row[column], value)
 
 
 @dataclass
@@ -124,18 +122,13 @@ class PictureReader(DataSourceReader):
         self.region = tuple(int(v) for v in options["region"].split(",")) if options.get("region") else None
         self.shrink = int(options.get("shrink", 1))
         self.most_bytes, self.most_files = int(options.get("runbytes", 128 << 20)), int(options.get("runfiles", 4096))
-        self.filters: list[Filter] = []
-
-    def pushFilters(self, filters: list[Filter]):  # type: ignore[no-untyped-def]  # noqa: N802
-        able = (EqualTo, EqualNullSafe, In, IsNotNull, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual, StringStartsWith, StringEndsWith, StringContains)
-        for f in filters:
-            if isinstance(f, able) and len(f.attribute) == 1 and f.attribute[0] in LISTED | TOLD:
-                self.filters.append(f)
-            else:
-                yield f
+        self.tests = [tuple(t) for t in json.loads(options.get("where", "[]"))]
+        for column, name, _ in self.tests:
+            if column not in LISTED | TOLD or name not in TESTS:
+                raise ValueError(f"a reader has no test {name!r} of {column!r}")
 
     def _all(self, names: set[str], row: dict) -> bool:
-        return all(passes(f, row) for f in self.filters if f.attribute[0] in names)  # type: ignore[attr-defined]
+        return all(passes(t, row) for t in self.tests if t[0] in names)
 
     def partitions(self) -> list[Run]:
         store, path = store_of(self.path)
@@ -223,8 +216,7 @@ def encode(row: dict) -> tuple[bytes, Callable[[bytes], bool]]:
     if row["depth"] == 16:
         samples = samples.astype(np.uint16)
     if row["name"].lower().endswith(".png"):
-        extra = {"cICP": row["cicp"]} if row.get("cicp") else {}
-        extra |= {"eXIf": row["exif"]} if row.get("exif") else {}
+        extra = {chunk: row[name] for name, chunk in (("cicp", "cICP"), ("clli", "cLLi"), ("exif", "eXIf")) if row.get(name)}
 
         def same(back: bytes) -> bool:
             found, _ = formats.read_png(back)
@@ -338,15 +330,15 @@ class PictureSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Make the source known to a session; filters reach it where Spark is told to pass them."""
+    """Make the source known to a session."""
     spark.dataSource.register(PictureSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def read(spark: SparkSession, folder: str, what: str = "head", region: tuple[int, int, int, int] | None = None, **options: str) -> DataFrame:
-    """Heads or samples of the files of a folder; region is (top, left, height, width)."""
+def read(spark: SparkSession, folder: str, what: str = "head", region: tuple[int, int, int, int] | None = None, where: list[tuple[str, str, object]] | None = None, **options: str) -> DataFrame:
+    """Heads or samples of the files of a folder that pass all tests (column, name of ``TESTS``,
+    value); region is (top, left, height, width)."""
     register(spark)
-    reader = spark.read.format("pictures").options(path=folder, what=what, **options)
+    reader = spark.read.format("pictures").options(path=folder, what=what, where=json.dumps(where or []), **options)
     return (reader.option("region", ",".join(map(str, region))) if region else reader).load()
 
 
