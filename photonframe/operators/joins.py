@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photonframe.functions.stored import stored
@@ -35,42 +35,87 @@ def as_of(left: DataFrame, right: DataFrame, by: str, on: str, value: str, out:
     return both.withColumn(out, F.last("_v", ignorenulls=True).over(w)).where("_side = 1").drop("_side", "_v")
 
 
-def overlapping(boxes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (image_id, better, worse) of boxes whose intersection is more than ``threshold``
-    of their union; better by score, then by the smaller box_id. Boxes are dealt to the cells
-    of a grid that they touch, cells as large as the picture's largest box, so that a box
-    touches four at most; only boxes of a cell meet."""
+NAMES = ("box_id", "x0", "y0", "x1", "y1", "score")
+
+
+def _area(p: str) -> Column:
+    return F.greatest(F.col(f"{p}x1") - F.col(f"{p}x0"), F.lit(0.0)) * F.greatest(F.col(f"{p}y1") - F.col(f"{p}y0"), F.lit(0.0))
+
+
+def _dealt(boxes: DataFrame) -> DataFrame:
+    """Boxes once for each cell (cx, cy) of a grid that they touch, cells as large as the
+    picture's largest box, so that a box touches four at most; n_cells: how many it touches."""
     side = boxes.groupBy("image_id").agg(F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("_side"))
     span = lambda a, b: F.sequence(F.floor(F.col(a) / F.col("_cell")), F.floor(F.col(b) / F.col("_cell")))
     dealt = boxes.join(side, "image_id").withColumn("_cell", F.greatest("_side", F.lit(1e-6)))
-    dealt = dealt.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
-    names = ("box_id", "x0", "y0", "x1", "y1", "score")
-    a = dealt.select("image_id", "cx", "cy", *(F.col(n).alias(f"a_{n}") for n in names))
-    b = dealt.select("image_id", "cx", "cy", *(F.col(n).alias(f"b_{n}") for n in names))
+    dealt = dealt.withColumns({"_xs": span("x0", "x1"), "_ys": span("y0", "y1")}).withColumn("n_cells", F.size("_xs") * F.size("_ys"))
+    return dealt.withColumn("cx", F.explode("_xs")).withColumn("cy", F.explode("_ys")).select("image_id", "cx", "cy", "n_cells", *NAMES)
+
+
+def _met(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (image_id, better, worse) of dealt boxes, the better one from ``left``; only boxes of a cell meet."""
+    a = left.select("image_id", "cx", "cy", *(F.col(n).alias(f"a_{n}") for n in NAMES))
+    b = right.select("image_id", "cx", "cy", *(F.col(n).alias(f"b_{n}") for n in NAMES))
     better = (F.col("a_score") > F.col("b_score")) | ((F.col("a_score") == F.col("b_score")) & (F.col("a_box_id") < F.col("b_box_id")))
     width = F.least("a_x1", "b_x1") - F.greatest("a_x0", "b_x0")
     height = F.least("a_y1", "b_y1") - F.greatest("a_y0", "b_y0")
     both = F.greatest(width, F.lit(0.0)) * F.greatest(height, F.lit(0.0))
-    area = lambda p: F.greatest(F.col(f"{p}_x1") - F.col(f"{p}_x0"), F.lit(0.0)) * F.greatest(F.col(f"{p}_y1") - F.col(f"{p}_y0"), F.lit(0.0))
-    union = F.greatest(area("a") + area("b") - both, F.lit(1e-6))
+    union = F.greatest(_area("a_") + _area("b_") - both, F.lit(1e-6))
     met = a.join(b, ["image_id", "cx", "cy"]).where(better & (both / union > threshold))
-    return met.select("image_id", F.col("a_box_id").alias("better"), F.col("b_box_id").alias("worse")).distinct()
+    return met.select("image_id", F.col("a_box_id").alias("better"), F.col("b_box_id").alias("worse"))
+
 
+def overlapping(boxes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (image_id, better, worse) of boxes whose intersection is more than ``threshold``
+    of their union; better by score, then by the smaller box_id."""
+    dealt = _dealt(boxes)
+    return _met(dealt, dealt, threshold).distinct()
 
-def suppress(boxes: DataFrame, threshold: float = 0.4) -> DataFrame:
+
+def suppress(boxes: DataFrame, threshold: float = 0.4, top: int = 256) -> DataFrame:
     """Greedy non-maximum suppression of (image_id, box_id, x0, y0, x1, y1, score): a box goes
     if a better one that stays covers it by more than ``threshold`` (intersection over union).
 
-    In rounds of joins over the overlapping pairs: boxes that no better one overlaps stay,
-    those that they overlap go, and both leave the pairs; as many rounds as the longest chain
-    of boxes each of which would put out the next. A box_id is once in a picture."""
-    pairs = stored(overlapping(boxes, threshold), "pairs")
-    gone = None
-    while pairs.head(1):
-        stay = pairs.select("image_id", F.col("better").alias("box_id")).distinct().join(pairs.select("image_id", F.col("worse").alias("box_id")), ["image_id", "box_id"], "left_anti")
+    Of boxes with the same place and size only the best can stay, and the others change
+    nothing. The rest go in rounds over the ``top`` best boxes that each cell of the grid has
+    left: one that is among them in all its cells has met every better box that is left there,
+    so it is settled as soon as these are. Boxes that stay put out all that they overlap, in
+    this round's best and beyond; what is left comes in the next round. A box meets ``top``
+    others a cell and round, and those that stay, of which a place has few however many boxes
+    crowd it; the best box left of a picture always stays, so rounds end. A box_id is once in
+    a picture; a box with a null overlaps none."""
+    key = ["image_id", "box_id"]
+    place = ["image_id", "x0", "y0", "x1", "y1"]
+    known = boxes.select("image_id", *NAMES).where(" and ".join(f"{n} is not null" for n in ("image_id", *NAMES)))
+    # A box too small to overlap itself has no copies
+    single = F.when(_area("") / F.greatest(_area(""), F.lit(1e-6)) > threshold, F.lit(None)).otherwise(F.col("box_id"))
+    best = known.withColumn("_single", single).groupBy(*place, "_single", "score").agg(F.min("box_id").alias("box_id"))
+    best = best.groupBy(*place, "_single").agg(F.max(F.struct("score", "box_id")).alias("_best")).select(*place, "_best.*")
+    rest = stored(_dealt(best), "boxes")
+    order = Window.partitionBy("image_id", "cx", "cy").orderBy(F.desc("score"), "box_id")
+    kept = known.select(*key).limit(0)
+    while True:
+        tops = stored(rest.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= top), "tops")
+        if not tops.head(1):
+            break
+        stay = _settled(_met(tops, tops, threshold).distinct(), tops.groupBy(*key, "n_cells").count().where("count = n_cells").select(*key))
+        kept = kept.unionByName(stay)
+        out = _met(tops.join(stay, key, "left_semi"), rest, threshold).select("image_id", F.col("worse").alias("box_id"))
+        rest = stored(rest.join(stay.unionByName(out).distinct(), key, "left_anti"), "boxes")
+    gone = known.select(*key).join(kept, key, "left_anti")
+    return boxes.join(gone, key, "left_anti")
+
+
+def _settled(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """Of the boxes ``whole``, all whose better ones are among the pairs, those that stay for
+    sure: boxes that no better one overlaps stay, those that they overlap go, and both leave
+    the pairs; as many rounds as the longest chain of boxes each of which would put out the next."""
+    pairs, whole = stored(pairs, "pairs"), stored(whole, "whole")
+    while True:
+        stay = whole.join(pairs.select("image_id", F.col("worse").alias("box_id")), ["image_id", "box_id"], "left_anti")
         out = stored(pairs.join(stay.withColumnRenamed("box_id", "better"), ["image_id", "better"], "left_semi").select("image_id", F.col("worse").alias("box_id")).distinct(), "out")
-        gone = out if gone is None else gone.unionByName(out)
+        if not out.head(1):
+            return stored(stay, "stay")
         for end in ("better", "worse"):
             pairs = pairs.join(out.withColumnRenamed("box_id", end), ["image_id", end], "left_anti")
-        pairs = stored(pairs, "pairs")
-    return boxes if gone is None else boxes.join(gone, ["image_id", "box_id"], "left_anti")
+        pairs, whole = stored(pairs, "pairs"), stored(whole.join(out, ["image_id", "box_id"], "left_anti"), "whole")
