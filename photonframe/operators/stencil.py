@@ -20,6 +20,23 @@ def line(axis: tuple[str, str]):  # type: ignore[no-untyped-def]
     return Window.partitionBy("image_id", axis[0]).orderBy(axis[1])
 
 
+WHOLE = 1 << 18  # pixels of a picture up to which a task takes all of it
+TASK = 1 << 16  # pixels that a task gets, or a picture more
+
+
+def by_picture(px: DataFrame, growth: int = 1) -> DataFrame:
+    """Pixels dealt by picture, so that windows along lines at any angle find their lines where
+    they are: one exchange for all of them, and tasks of the same size however many pictures
+    there are. Where a picture has more than ``WHOLE`` pixels they stay where they are, and each
+    window deals lines. ``growth``: how many pixels will come of each before the windows."""
+    each = px.groupBy("image_id").agg(F.count("*").alias("n"))
+    most, total, pictures = each.agg(F.max("n"), F.sum("n"), F.count("*")).first()
+    if not total or most * growth > WHOLE:
+        return px
+    tasks = max(ceil(total * growth / TASK), px.sparkSession.sparkContext.defaultParallelism)
+    return px.repartition(min(tasks, pictures), "image_id")
+
+
 def box_means(df: DataFrame, columns: dict[str, str], radius: int, replicate: bool = False) -> DataFrame:
     """Means of several columns (name to source) over the (2r+1)^2 window, all along one axis
     and then all along the other, so that the pixels are dealt twice however many columns

@@ -118,7 +118,17 @@ def build(options: Options, upscaler: str = "nearest", side: int = 64) -> list[t
     return out
 
 
+#: Stages that deal pixels themselves, or look at each pixel alone.
+APART = {"specks", "scratches", "levels", "lighting", "upscale"}
+
+
 def run(px: DataFrame, options: Options, upscaler: str = "nearest", side: int = 64) -> DataFrame:
-    for _, stage in build(options, upscaler, side):
+    """The stages one after the other. After the repair stages pixels are dealt by picture once,
+    where a later stage has windows; what comes between keeps them there."""
+    stages = build(options, upscaler, side)
+    dealt = all(name in APART for name, _ in stages)
+    for name, stage in stages:
+        if not dealt and name not in ("specks", "scratches"):
+            px, dealt = stencil.by_picture(px, options.scale**2), True
         px = stage(px)
     return px

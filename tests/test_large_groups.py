@@ -1,4 +1,4 @@
-"""Crowded pictures, and a colour at the edge of a rounding."""
+"""Crowded pictures, a colour at the edge of a rounding, and how often pixels are dealt."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from photonframe.operators import joins, lighting
+from photonframe.operators import joins, lighting, repair, stencil
+from photonframe.plans import pipeline
 
 
 def greedy(boxes: list[tuple], threshold: float) -> set[tuple[int, int]]:
@@ -52,3 +53,24 @@ def test_a_colour_at_the_edge_of_two_levels(spark):
     px = spark.createDataFrame([(0, 0, 0, 142, 206, 43)], "image_id long, y int, x int, r int, g int, b int")
     mono = lighting.Look(monochrome=100, mix=(0.4, 0.4, 0.2), rolloff=40)
     assert tuple(lighting.apply_look(px, mono).select("r", "g", "b").first()) == (154, 154, 154)
+
+
+def exchanges(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_windows_find_their_lines_where_they_are(spark, monkeypatch):
+    """Pixels are dealt once by picture, not for each window; large pictures by line as before."""
+    px = spark.range(3 * 24 * 24).selectExpr("id div 576 as image_id", "cast(id % 576 div 24 as int) as y", "cast(id % 24 as int) as x", "cast(id * 37 % 251 as int) as r", "cast(id * 91 % 241 as int) as g", "cast(id * 13 % 239 as int) as b")
+    grey = px.selectExpr("image_id", "y", "x", "r / 255 as v")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        job = lambda: pipeline.run(px, pipeline.Options(scale=2, sharpness=35, hdr="natural"), side=24)
+        marked = lambda: repair.mark_specks(stencil.by_picture(grey), "v", 5, 0.3, 0.35)
+        assert exchanges(job()) == exchanges(marked()) == 1
+        small = sorted(map(tuple, job().collect())), sorted(map(tuple, marked().collect()))
+        monkeypatch.setattr(stencil, "WHOLE", 500)
+        assert exchanges(job()) > 3 and exchanges(marked()) > 3
+        assert small == (sorted(map(tuple, job().collect())), sorted(map(tuple, marked().collect())))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
