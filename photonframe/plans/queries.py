@@ -730,7 +730,7 @@ def face_weights(spark: SparkSession, d: str) -> DataFrame:
 def decoded_boxes(spark: SparkSession, d: str) -> DataFrame:
     """Priors of small pictures and the boxes that offsets make of them."""
     images = table(spark, d, "part").select(F.col("p_partkey").alias("image_id"), (F.col("p_size") * 3 + 20).alias("width"), (F.col("p_size") * 2 + 20).alias("height"))
-    rows = faces.priors(images).withColumns({f"l{i}": F.sin(F.col("image_id") * (i + 1) + F.col("cx") * 9) for i in range(4)})
+    rows = faces.priors(spread(images)).withColumns({f"l{i}": F.sin(F.col("image_id") * (i + 1) + F.col("cx") * 9) for i in range(4)})
     boxes = rounded(faces.decode(rows).select("image_id", "prior", "x0", "y0", "x1", "y1"), "x0", "y0", "x1", "y1", digits=5)
     return boxes.withColumns({c: F.col(c) + 0.0 for c in ("x0", "y0", "x1", "y1")})  # no negative zero
 

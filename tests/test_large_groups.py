@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from photonframe.operators import joins, lighting, repair, stencil
-from photonframe.plans import pipeline
+from photonframe.plans import pipeline, queries
 
 
 def greedy(boxes: list[tuple], threshold: float) -> set[tuple[int, int]]:
@@ -74,3 +74,11 @@ def test_windows_find_their_lines_where_they_are(spark, monkeypatch):
         assert small == (sorted(map(tuple, job().collect())), sorted(map(tuple, marked().collect())))
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_priors_are_made_by_all_cores(spark, tmp_path):
+    """A part is hundreds of priors: a table in one file is dealt over the cores before they are made."""
+    spark.range(40).selectExpr("id as p_partkey", "cast(id % 9 + 1 as int) as p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    boxes = queries.decoded_boxes(spark, str(tmp_path))
+    spread = boxes.groupBy(F.spark_partition_id()).count().count()
+    assert spread >= spark.sparkContext.defaultParallelism * 3 and boxes.select("image_id", "prior").distinct().count() == boxes.count()
