@@ -306,6 +306,20 @@ def test_scores_and_verdicts_by_brute_force(docs, spark):
             assert r.kept == (not r.base_failed and low - 6 * (high - low) <= off(r) <= high + 4 * (high - low))
 
 
+def test_rare_n_grams_count_in_full(spark):
+    """A language's scores are by definition, also beside 1,000 others and when few n-grams are broadcast or none."""
+    own = [(i, prose(700 + i, 150), "en") for i in range(12)] + [(12, "", "en"), (13, None, "en"), (14, prose(700, 20) + "\n" + prose(700, 20), "en")]
+    other = [(100 + i, f"{i} ab", f"l{i}") for i in range(1_000)]
+    score = lambda table, **more: {r.doc_id: r.log_ppl for r in quality_rules.quality(spark.createDataFrame(table, "doc_id long, text string, lang string"), **more).collect() if r.lang == "en"}
+    got = score(own + other)
+    assert score(own, hot=700) == score(own + other, hot=0) == got
+    _, p = brute_kneser_ney([(lang, t) for _, t, lang in own], quality_rules.ORDER, 10**9)
+    text = own[-1][1]
+    raw = b"\n" * (quality_rules.ORDER - 1) + text.encode()
+    total = sum(round(np.log(p("en", raw[k : k + quality_rules.ORDER])) * quality_rules.SCALE) for k in range(len(text.encode())))
+    assert abs(got[14] - -total * quality_rules.STEP // (quality_rules.SCALE * len(words(text)))) <= 1
+
+
 def test_quality_rejects_odd_text(spark):
     good = [(i, prose(5000 + i, 400), "en") for i in range(250)]  # so many that a text does not teach the model itself
     odd = [(1000, " ".join(f"{w}#%{w[::-1]}@!" for w in good[0][1].split()), "en"), (1001, " ".join(w[::-1] for w in good[1][1].split()), "en")]
