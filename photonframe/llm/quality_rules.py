@@ -4,10 +4,11 @@ The model is an interpolated modified Kneser-Ney model over UTF-8 bytes, of orde
 for each language. Tasks count the n-grams of whole texts, Spark adds the counts up, and
 discounts, continuation counts, context weights and probabilities are DataFrame aggregates,
 windows over a context's 256 n-grams at most and joins over all counts. Every n-gram has its
-own probability, however rare it is. The logarithms of the ``HOT`` commonest are broadcast, in
-arrays sorted by n-gram key (64 bits, the bytes themselves: a hash without collisions); what a
-text has of the others is written beside it and joined with the table of all. No such n-gram is
-common, so neither join has a hot key. A score does not depend on ``HOT``.
+own probability, however rare it is. The logarithms of the common ones (``RARE``, ``SHARE``, at
+most ``HOT``) are broadcast, in arrays sorted by n-gram key (64 bits, the bytes themselves: a hash
+without collisions); what a text has of the others is written beside it and joined with the table
+of all. No such n-gram is common, so neither join has a hot key. A score does not depend on
+which are broadcast.
 A text's score is its negative log-probability for each of its words, that is the logarithm
 of its perplexity by word, summed in whole ten-thousandths of a nat, so that it does not
 depend on order.
@@ -41,6 +42,8 @@ from .common import discard, materialize, release, words_of
 
 ORDER = 6
 HOT = 1 << 21  # n-grams that are broadcast at most, the others are joined
+RARE = 4  # n-grams seen less often are joined, however few they are
+SHARE = 1 << 26  # so are those that are seen less than once in so many bytes
 FINE = 64  # parts of n-grams seen equally often
 SCALE = 10_000
 SHORT = 1_000
@@ -231,19 +234,42 @@ def log_probabilities(texts: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def commonest(grams: DataFrame, most: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Of rows (lang, gram, n, logp) at most ``most`` that are seen most often: sorted keys and
-    logarithms by language. Rows are taken by classes of n, of which a part may be taken."""
+    """Of rows (lang, gram, n, logp) those seen RARE times or more and at least once in SHARE
+    bytes of all, but at most ``most``, the most often seen first: sorted keys and logarithms by
+    language. Rows are taken by classes of n, of which a part may be taken. So their number does
+    not grow with the table, and the rest is about the same part of each text at every size."""
     place = F.floor(F.log2("n") * 8) * FINE + F.pmod(F.xxhash64("lang", "gram"), F.lit(FINE))
+    classes = grams.groupBy(place.alias("place")).agg(F.count("*").alias("grams"), F.sum("n").alias("bytes")).orderBy(F.desc("place")).collect()  # 8 * 64 * FINE rows at most
+    lowest = FINE * int(np.log2(max(RARE, sum(r.bytes for r in classes) / SHARE)) * 8)
     least, size = None, 0
-    for r in grams.groupBy(place.alias("place")).count().orderBy(F.desc("place")).collect():  # 8 * 64 * FINE rows at most
-        size += r["count"]
-        if size > most:
+    for r in classes:
+        size += r.grams
+        if size > most or r.place < lowest:
             break
         least = r.place
-    if least is None:
-        return {}
-    found = _by_lang_and_order(grams.where(place >= least).select("lang", F.lit(0).alias("k"), "gram", "logp"))
-    return {lang: (own[0][0], own[0][1]) for lang, own in found.items()}
+    return {} if least is None else _by_language_sorted(grams.where(place >= least).select("lang", "gram", "logp"))
+
+
+def _by_language_sorted(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Of rows (lang, gram, logp): sorted keys and logarithms by language. The driver is sent
+    twelve bytes a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, keys, logp = batch.column(0).dictionary_encode(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            code = langs.indices.to_numpy()
+            own = [np.flatnonzero(code == i) for i in range(len(langs.dictionary))]
+            yield pa.RecordBatch.from_arrays([langs.dictionary, *(pa.array([c[x].tobytes() for x in own], pa.binary()) for c in (keys, logp))], names=["lang", "keys", "logp"])
+
+    parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for lang, keys, logp in zip(*(c.to_pylist() for c in rows.mapInArrow(run, "lang string, keys binary, logp binary").toArrow().columns), strict=True):
+        parts.setdefault(lang, []).append((np.frombuffer(keys, np.int64), np.frombuffer(logp, np.int32)))
+    found = {}
+    for lang in list(parts):
+        keys, logp = (np.concatenate(c) for c in zip(*parts.pop(lang), strict=True))
+        order = np.argsort(keys)
+        found[lang] = keys[order], logp[order]
+    return found
 
 
 def fit(texts: DataFrame, order: int = ORDER, share: int | None = None) -> Model:

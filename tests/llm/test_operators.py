@@ -320,6 +320,23 @@ def test_rare_n_grams_count_in_full(spark):
     assert abs(got[14] - -total * quality_rules.STEP // (quality_rules.SCALE * len(words(text)))) <= 1
 
 
+def test_rare_n_grams_are_joined_in_proportion(spark, monkeypatch):
+    """What is left to the join grows no faster than the table, also where ``HOT`` lies between the sizes."""
+    monkeypatch.setattr(quality_rules, "SHARE", 1 << 12)
+    rows, held = {}, {}
+    for times in (1, 5):
+        docs = spark.createDataFrame([(i, prose(800 + i, 100), "en") for i in range(20 * times)], "doc_id long, text string, lang string")
+        grams = quality_rules.log_probabilities(docs.select(quality_rules._lang(F.col("lang")).alias("lang"), "text"))
+        hot = grams.count() if times == 1 else hot
+        common = quality_rules.commonest(grams, hot)
+        held[times] = sum(len(keys) for keys, _ in common.values())
+        want = {(r.lang, r.gram): r.logp for r in grams.collect()}
+        assert all((np.diff(keys) > 0).all() and [want[lang, k] for k in keys.tolist()] == logp.tolist() for lang, (keys, logp) in common.items())
+        rows[times] = quality_rules.score(docs, common, quality_rules.ORDER, "doc_id", "text", "lang").where("gram is not null").count()
+    assert 0 < rows[5] <= 6 * rows[1]
+    assert 0 < held[5] <= 1 << 12
+
+
 def test_quality_rejects_odd_text(spark):
     good = [(i, prose(5000 + i, 400), "en") for i in range(250)]  # so many that a text does not teach the model itself
     odd = [(1000, " ".join(f"{w}#%{w[::-1]}@!" for w in good[0][1].split()), "en"), (1001, " ".join(w[::-1] for w in good[1][1].split()), "en")]
