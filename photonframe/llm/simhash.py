@@ -264,10 +264,10 @@ def _common(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py(), width).view(np.int64))], names=["gram"])
 
     counted = texts.where(f"pmod(text_hash, {SAMPLE}) = 0").select("text").mapInArrow(run, "gram long").groupBy("gram").agg(F.count("*").alias("n"))
-    found = counted.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "gram").limit(LISTED).toPandas()
-    grams = found["gram"].to_numpy(np.int64).view(np.uint64)
+    found = counted.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "gram").limit(LISTED).toArrow()
+    grams = found["gram"].to_numpy().view(np.uint64)
     order = np.argsort(grams)
-    return grams[order], found["n"].to_numpy(np.int64)[order]
+    return grams[order], found["n"].to_numpy()[order]
 
 
 _ROW = [("text_hash", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("bits", pa.binary()), ("prefix", pa.list_(pa.int64())), ("classes", pa.list_(pa.int8()))]
@@ -394,7 +394,7 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: st
         both = pairs.join(one, "a").join(two, "b").where(sizes).select("a", "b", "n", "other_n", "bits", "other_bits", "hash", "other_hash")
         left = materialize(both.mapInArrow(_possible(similarity), "a long, b long, hash long, other_hash long"), "possible")
         marks = left.select(F.explode(F.array("hash", "other_hash")).alias("hash")).select(F.pmod("hash", F.lit(MARKS)).cast("int").alias("at")).distinct()
-        marks = spark.sparkContext.broadcast(marks.toPandas()["at"].to_numpy(np.int32))  # MARKS at most
+        marks = spark.sparkContext.broadcast(marks.toArrow()["at"].to_numpy())  # MARKS at most
         release(spark)
         sets = materialize(texts.select("text", "text_hash").mapInArrow(_sets(marks, width), "node long, grams binary").dropDuplicates(["node"]), "sets")
         release(spark)
